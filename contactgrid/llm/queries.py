@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactgrid.llm import chat, licenses, line_dedup, mixing, quality_rules
+from contactgrid.llm import chat, licenses, line_dedup, mixing, near_dup, packing, quality_rules
 from contactgrid.llm.common import read
 
 
@@ -14,6 +14,10 @@ def op3_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
 def op5_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(read(spark, sf_dir, "documents"), licenses.known_digests(spark), len(licenses.KNOWN))
     return found.select("row.doc_id", "digest", "license_id")
@@ -24,6 +28,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
     return d.select("row.doc_id", F.col("new_text").alias("text"), "n_lines", "n_removed")
@@ -38,8 +46,10 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_quality_divergence": op3_quality_divergence,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_license_digests": op5_license_digests,
     "op7_source_mixing": op7_source_mixing,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_windows": op10_chat_windows,
 }
