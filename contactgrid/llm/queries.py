@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactgrid.llm import chat, licenses, line_dedup, mixing, near_dup, packing, quality_rules
+from contactgrid.llm import chat, licenses, line_dedup, mixing, near_dup, packing, quality_model, quality_rules
 from contactgrid.llm.common import read
 
 
+def op2_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = quality_model.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return rated.select("doc_id", "quality_score", F.col("quality_kept").alias("kept"))
+
+
 def op3_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = quality_rules.quality_rules(read(spark, sf_dir, "documents"), ["doc_id"])
     return d.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -45,6 +50,7 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_cotraining": op2_quality_cotraining,
     "op3_quality_divergence": op3_quality_divergence,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_license_digests": op5_license_digests,
