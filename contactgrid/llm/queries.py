@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactgrid.llm import chat, licenses, line_dedup, mixing, near_dup, packing, quality_model, quality_rules
+from contactgrid.llm import chat, html_text, licenses, line_dedup, mixing, near_dup, packing, quality_model, quality_rules, topk
 from contactgrid.llm.common import read
 
 
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(read(spark, sf_dir, "pages"))
+
+
 def op2_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality_model.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return rated.select("doc_id", "quality_score", F.col("quality_kept").alias("kept"))
@@ -28,6 +32,10 @@ def op5_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "digest", "license_id")
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(read(spark, sf_dir, "documents"), ["doc_id"])
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
@@ -50,10 +58,12 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_main_text": op1_html_main_text,
     "op2_quality_cotraining": op2_quality_cotraining,
     "op3_quality_divergence": op3_quality_divergence,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_license_digests": op5_license_digests,
+    "op6_exact_topk": op6_exact_topk,
     "op7_source_mixing": op7_source_mixing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_line_dedup": op9_line_dedup,
