@@ -6,6 +6,7 @@ import random
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 from math import ceil
 
 import numpy as np
@@ -20,6 +21,8 @@ from contactgrid.llm.tokens import ChunkedTokenizer
 CAPACITY = 4096
 #: The id after each document's ids.
 END_ID = 1
+#: Documents that are encoded at a time.
+STEP_ROWS = 500
 #: Pieces that one shard holds, on average. Each shard is a packing problem of its own.
 SHARD_PIECES = 1024
 ISLANDS, EPOCHS, POPULATION, CHILDREN = 2, 2, 5, 16
@@ -35,12 +38,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@lru_cache(maxsize=1)
+def _tokenizer(path: str) -> ChunkedTokenizer:
+    """One for each worker process, so that its cache serves all the tasks that the worker runs."""
+    return ChunkedTokenizer(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of each document: doc_id, piece, start, length, ids_crc32. Null text counts as empty: one piece with the end id."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = ChunkedTokenizer(tokenizer_path)
-        for batch in batches:
+        tokenizer = _tokenizer(tokenizer_path)
+        for batch in (b.slice(i, STEP_ROWS) for b in batches for i in range(0, b.num_rows, STEP_ROWS)):
             rows: list[tuple] = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer.encode(batch.column(1).to_pylist()), strict=True):
                 ids = np.append(ids, np.uint32(END_ID)).astype("<u4")

@@ -7,9 +7,9 @@ from itertools import repeat
 import numpy as np
 
 #: Chunks that one worker keeps at most. When there are more, it starts anew; ids do not depend on it.
-CACHE_CHUNKS = 1_600_000
+CACHE_CHUNKS = 800_000
 #: Characters that are encoded together.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 2_000_000
 
 
 class ChunkedTokenizer:
