@@ -1,7 +1,666 @@
-"""The registered queries of the contact-matrix engine and the SQL that gives the same rows."""
+"""The registered queries of the contact-matrix engine, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from contactgrid import adapters
+from contactgrid.functions import scalars, transforms
+from contactgrid.operators import binning, expected, features, intervals, linalg, norm, pairs, query, stats
+from contactgrid.sources import binary, text
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "q_region_dump"
+SIZE = 25_000
+
+# The adapters again, as SQL.
+PAIRS = """pairs AS (SELECT l_orderkey AS pair_id, l_returnflag <> 'R' AS strand1, CAST(1 + l_orderkey % 3 AS INTEGER) AS chr1, CAST(l_partkey * 500 AS INTEGER) AS pos1,
+ CAST(l_partkey * 500 // 4000 AS INTEGER) AS frag1, CAST(l_quantity AS INTEGER) AS mapq1, l_linestatus = 'F' AS strand2, CAST(1 + (l_orderkey + l_linenumber) % 3 AS INTEGER) AS chr2,
+ CAST((l_suppkey * 20 + l_linenumber) * 500 AS INTEGER) AS pos2, CAST((l_suppkey * 20 + l_linenumber) * 500 // 4000 AS INTEGER) AS frag2, CAST(l_linenumber * 10 AS INTEGER) AS mapq2,
+ CAST(1.0 AS DOUBLE) AS score FROM lineitem)"""
+SIZES = "sizes AS (SELECT unnest([1, 2, 3]) AS chr, length FROM (SELECT CAST(max(greatest(pos1, pos2)) + 1 AS BIGINT) AS length FROM pairs))"
+
+
+def cells_sql(size: int = SIZE, name: str = "cells", source: str = "pairs", at: str = "pos") -> str:
+    return f"""{name} AS (SELECT least(chr1, chr2) AS chr1, greatest(chr1, chr2) AS chr2,
+ CASE WHEN chr1 = chr2 THEN least({at}1 // {size}, {at}2 // {size}) WHEN chr1 < chr2 THEN {at}1 // {size} ELSE {at}2 // {size} END AS bin_x,
+ CASE WHEN chr1 = chr2 THEN greatest({at}1 // {size}, {at}2 // {size}) WHEN chr1 < chr2 THEN {at}2 // {size} ELSE {at}1 // {size} END AS bin_y,
+ CAST(sum(score) AS DOUBLE) AS counts FROM {source} GROUP BY 1, 2, 3, 4)"""
+
+
+BASE = f"WITH {PAIRS}, {SIZES}, {cells_sql()}"
+SIDES = """sides AS (SELECT chr1 AS chr, bin_x AS bin, bin_y AS other, counts FROM cells WHERE chr1 = chr2
+ UNION ALL SELECT chr1, bin_y, bin_x, counts FROM cells WHERE chr1 = chr2 AND bin_x <> bin_y)"""
+COVERAGE = f"{SIDES}, coverage AS (SELECT chr, bin, sum(counts) AS value FROM sides GROUP BY chr, bin)"
+
+
+def finish_sql(value: str) -> str:
+    return f"""raw AS (SELECT chr, bin, {value} AS value FROM coverage),
+ factors AS (SELECT s.chr, sqrt(sum(s.counts / (a.value * b.value)) / sum(s.counts)) AS factor FROM sides s JOIN raw a ON s.chr = a.chr AND s.bin = a.bin
+  JOIN raw b ON s.chr = b.chr AND s.other = b.bin GROUP BY s.chr),
+ vec AS (SELECT raw.chr, bin, value * factor AS value FROM raw JOIN factors ON raw.chr = factors.chr)"""
+
+
+VC = f"{BASE}, {COVERAGE}, {finish_sql('value')}"
+NORMED = """normed AS (SELECT c.chr1, c.chr2, c.bin_x, c.bin_y, c.counts / (a.value * b.value) AS counts FROM cells c
+ JOIN vec a ON c.chr1 = a.chr AND c.bin_x = a.bin JOIN vec b ON c.chr2 = b.chr AND c.bin_y = b.bin)"""
+DENSITY = f"""possible AS (SELECT dist, sum(n - dist) AS possible FROM (SELECT n, unnest(range(n)) AS dist FROM (SELECT length // {SIZE} AS n FROM sizes)) GROUP BY dist),
+ seen AS (SELECT bin_y - bin_x AS dist, sum(counts) AS observed FROM cells WHERE chr1 = chr2 GROUP BY 1),
+ density AS (SELECT p.dist, coalesce(observed, 0) / possible AS value FROM possible p LEFT JOIN seen s ON p.dist = s.dist)"""
+OE = """oe AS (SELECT chr1, chr2, bin_x, bin_y, counts / nullif(value, 0) AS oe FROM cells JOIN density ON dist = least(bin_y - bin_x, (SELECT max(dist) FROM density)) WHERE chr1 = chr2)"""
+LOOPS = """loops AS (SELECT o_orderkey AS id, CAST(1 + o_orderkey % 3 AS INTEGER) AS chr, o_custkey * 1000 AS start1, o_custkey * 1000 + 1000 * (1 + o_orderkey % 7) AS end1,
+ o_custkey * 1000 + 20000 + 1000 * (o_orderkey % 40) AS start2, o_custkey * 1000 + 20000 + 1000 * (o_orderkey % 40) + 1000 * (1 + o_orderkey % 7) AS end2,
+ CAST(floor(o_totalprice) AS BIGINT) AS observed, o_orderpriority AS priority, o_orderstatus AS status FROM orders)"""
+HALVES = f"{LOOPS}, la AS (SELECT * FROM loops WHERE id % 2 = 0), lb AS (SELECT * FROM loops WHERE id % 2 = 1)"
+LOCI = """loci AS (SELECT event_id AS id, CAST(1 + user_id % 3 AS INTEGER) AS chr, (event_id * 37003) % 1000000 AS x1, (event_id * 37003) % 1000000 + 200 + event_id % 900 AS x2,
+ event_type AS name, value AS score FROM events)"""
+GENES = """genes AS (SELECT p_partkey AS gene_id, p_partkey AS id, p_name || ' ' || CAST(p_partkey AS VARCHAR) AS name, CAST(1 + p_partkey % 3 AS INTEGER) AS chr, (p_partkey * 7919) % 1000000 AS x1,
+ (p_partkey * 7919) % 1000000 + 1000 + 100 * p_size AS x2 FROM part)"""
+INTERVALS = f"WITH {LOCI}, {GENES}, hits AS (SELECT g.id AS g_id, g.chr, g.x1 AS gx1, g.x2 AS gx2, l.id AS l_id, l.x1 AS lx1, l.x2 AS lx2, l.score FROM genes g JOIN loci l ON g.chr = l.chr AND g.x1 <= l.x2 AND l.x1 <= g.x2)"
+CLASS = """CASE WHEN chr1 = chr2 THEN CASE WHEN lo AND hi THEN 'LL' WHEN NOT lo AND NOT hi THEN 'RR' WHEN lo THEN 'INNER' ELSE 'OUTER' END END"""
+FACED = f"""faced AS (SELECT *, {CLASS} AS way FROM (SELECT *, CASE WHEN pos1 < pos2 THEN strand1 ELSE strand2 END AS lo, CASE WHEN pos1 < pos2 THEN strand2 ELSE strand1 END AS hi FROM pairs))"""
+
+
+def registered(name: str, sql: str | None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return adapters.pairs(spark, d)
+
+
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return adapters.chrom_sizes(_pairs(spark, d))
+
+
+def _cells(spark: SparkSession, d: str, size: int = SIZE) -> DataFrame:
+    return binning.bin_contacts(_pairs(spark, d), [size]).drop("unit", "bin_size")
+
+
+def _control(spark: SparkSession, d: str) -> DataFrame:
+    return binning.bin_contacts(_pairs(spark, d).where("pair_id % 2 = 0"), [SIZE]).drop("unit", "bin_size")
+
+
+def _genes(spark: SparkSession, d: str) -> DataFrame:
+    return adapters.genes(spark, d).withColumn("id", F.col("gene_id"))
+
+
+def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    loops = adapters.loops(spark, d)
+    return loops.where("id % 2 = 0"), loops.where("id % 2 = 1")
+
+
+def _round(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in columns})
+
+
+LOOP_COLS = ["id", "chr", "start1", "end1", "start2", "end2"]
+PICK = ", ".join(LOOP_COLS)
+
+
+@registered("q_region_dump", f"""{VC}, {NORMED} SELECT bin_x * {SIZE} AS x, bin_y * {SIZE} AS y, round(counts, 6) AS value FROM normed WHERE chr1 = 1 AND chr2 = 1
+ AND ((bin_x * {SIZE} BETWEEN 0 AND 500000 AND bin_y * {SIZE} BETWEEN 100000 AND 900000) OR (bin_y * {SIZE} BETWEEN 0 AND 500000 AND bin_x * {SIZE} BETWEEN 100000 AND 900000))""")
+def q_region_dump(s, d):
+    cells = _cells(s, d)
+    return _round(query.dump(norm.normalize(cells, norm.vc(cells)), 1, (0, 500_000), 1, (100_000, 900_000), SIZE), "value")
+
+
+# Sources: lines that Spark makes of the pairs, parsed again.
+def _lines(s, d, *parts) -> DataFrame:
+    return _pairs(s, d).select(F.concat_ws(" ", *parts).alias("value"))
+
+
+def _strand(c: str, forward: str = "0", reverse: str = "16"):
+    return F.when(F.col(c), forward).otherwise(reverse)
+
+
+PARSED = "SELECT strand1, CAST(chr1 AS VARCHAR) AS chr1, pos1, {f1} AS frag1, {q1} AS mapq1, strand2, CAST(chr2 AS VARCHAR) AS chr2, pos2, {f2} AS frag2, {q2} AS mapq2 FROM pairs"
+_PAIR_COLS = ["strand1", "chr1", "pos1", "frag1", "mapq1", "strand2", "chr2", "pos2", "frag2", "mapq2"]
+
+
+@registered("s05_parse_short", f"WITH {PAIRS} " + PARSED.format(f1="frag1", q1="1000", f2="frag2", q2="1000"))
+def s05(s, d):
+    return text.parse_pairs(_lines(s, d, _strand("strand1"), "chr1", "pos1", "frag1", _strand("strand2"), "chr2", "pos2", "frag2"), "short").select(*_PAIR_COLS)
+
+
+@registered("s06_parse_super_short", f"WITH {PAIRS} SELECT CAST(chr1 AS VARCHAR) AS chr1, pos1, CAST(chr2 AS VARCHAR) AS chr2, pos2, score FROM pairs")
+def s06(s, d):
+    return text.parse_pairs(_lines(s, d, "chr1", "pos1", "chr2", "pos2", "score"), "super_short_score").select("chr1", "pos1", "chr2", "pos2", F.col("score").cast("double").alias("score"))
+
+
+@registered("s07_parse_dcic", f"WITH {PAIRS} " + PARSED.format(f1="0", q1="mapq1", f2="1", q2="mapq2"))
+def s07(s, d):
+    at = text.dcic_columns(["## pairs format v1.0", "#columns: readID chr1 pos1 chr2 pos2 strand1 strand2 mapq1 mapq2"])
+    lines = _lines(s, d, "pair_id", "chr1", "pos1", "chr2", "pos2", _strand("strand1", "+", "-"), _strand("strand2", "+", "-"), "mapq1", "mapq2")
+    return text.parse_pairs(lines, "dcic", at).select(*_PAIR_COLS)
+
+
+@registered("s08_parse_long", f"WITH {PAIRS} " + PARSED.format(f1="frag1", q1="mapq1", f2="frag2", q2="mapq2"))
+def s08(s, d):
+    x = F.lit("x")
+    lines = _lines(s, d, _strand("strand1"), "chr1", "pos1", "frag1", _strand("strand2"), "chr2", "pos2", "frag2", "mapq1", x, x, "mapq2", x, x, x, x)
+    return text.parse_pairs(lines, "long").select(*_PAIR_COLS)
+
+
+@registered("s09_parse_medium", f"WITH {PAIRS} " + PARSED.format(f1="frag1", q1="mapq1", f2="frag2", q2="mapq2"))
+def s09(s, d):
+    lines = _lines(s, d, "pair_id", _strand("strand1"), "chr1", "pos1", "frag1", _strand("strand2"), "chr2", "pos2", "frag2", "mapq1", "mapq2")
+    return text.parse_pairs(lines, "medium").select(*_PAIR_COLS)
+
+
+@registered("s11_chromosome_ordinals", f"WITH {PAIRS} SELECT chr1, pos1, chr2, pos2 FROM pairs WHERE chr1 < 3 AND chr2 < 3")
+def s11(s, d):
+    named = _pairs(s, d).select(*(F.concat(F.lit("chr"), F.col(f"chr{e}").cast("string")).alias(f"chr{e}") for e in "12"), "pos1", "pos2")
+    dim = s.createDataFrame([(1, "1", 1), (2, "2", 1)], "chr int, name string, length long")
+    return text.with_ordinals(named, dim, clean=True).select("chr1", "pos1", "chr2", "pos2")
+
+
+@registered("s13_binary_records", f"WITH {PAIRS} SELECT strand1, chr1, pos1, frag1, strand2, chr2, pos2, frag2 FROM pairs")
+def s13(s, d):
+    return binary.decode_records(binary.encode_records(_pairs(s, d), binary.LONG), binary.LONG)
+
+
+@registered("s14_short_binary_records", f"WITH {PAIRS} SELECT chr1, pos1, chr2, pos2, score FROM pairs")
+def s14(s, d):
+    return binary.decode_records(binary.encode_records(_pairs(s, d), binary.SHORT), binary.SHORT).withColumn("score", F.col("score").cast("double"))
+
+
+@registered("s24_parse_bedpe", f"WITH {LOOPS} SELECT CAST(chr AS VARCHAR) AS chr1, start1, end1, CAST(chr AS VARCHAR) AS chr2, start2, end2, CAST(observed AS VARCHAR) AS observed, status FROM loops")
+def s24(s, d):
+    dot = F.lit(".")
+    lines = adapters.loops(s, d).select(F.concat_ws("\t", "chr", "start1", "end1", "chr", "start2", "end2", dot, dot, dot, F.lit("0,0,255"), "observed", "status").alias("value"))
+    f = text.parse_bedpe(lines, "#chr1\tx1\tx2\tchr2\ty1\ty2\tname\tscore\tstrand1\tcolor\to\tstatus")
+    return f.select("chr1", "start1", "end1", "chr2", "start2", "end2", F.col("attrs")["observed"].alias("observed"), F.col("attrs")["status"].alias("status"))
+
+
+@registered("s26_parse_bed", f"WITH {LOCI} SELECT DISTINCT 'chr' || CAST(chr AS VARCHAR) AS chr, x1, x2 FROM loci WHERE chr < 3")
+def s26(s, d):
+    name = F.when(F.col("chr") < 3, F.concat(F.lit("chr"), F.col("chr").cast("string"))).otherwise("scaffold")
+    return text.parse_bed(adapters.loci(s, d).select(F.concat_ws("\t", name, "x1", "x2", "name").alias("value")))
+
+
+@registered("s27_parse_fimo", f"WITH {LOCI} SELECT CAST(chr AS VARCHAR) AS chr, x1, x2, id % 2 = 0 AS forward, round(score, 6) AS score FROM loci")
+def s27(s, d):
+    strand = F.when(F.col("id") % 2 == 0, "+").otherwise("-")
+    lines = adapters.loci(s, d).select(F.concat_ws("\t", "name", "chr", "x1", "x2", strand, "score", F.lit("0.1"), F.lit("0.2"), F.lit("ACGT")).alias("value"))
+    return _round(text.parse_fimo(lines).select("chr", "x1", "x2", "forward", "score"), "score")
+
+
+@registered("s29_parse_genes", f"WITH {GENES} SELECT replace(name, ' ', '_') AS name, CAST(chr AS VARCHAR) AS chr, x1, x2 FROM genes")
+def s29(s, d):
+    return text.parse_genes(adapters.genes(s, d).select(F.concat_ws(" ", F.replace("name", F.lit(" "), F.lit("_")), "chr", "x1", "x2").alias("value")))
+
+
+@registered("s31_parse_bedgraph", f"WITH {LOCI} SELECT CAST(chr AS VARCHAR) AS chr, x1, x2, round(score, 6) AS score FROM loci")
+def s31(s, d):
+    return _round(text.parse_bedgraph(adapters.loci(s, d).select(F.concat_ws("\t", "chr", "x1", "x2", "score").alias("value"))), "score")
+
+
+@registered("s32_parse_norm_vectors", f"{BASE}, {COVERAGE} SELECT CAST(chr AS VARCHAR) AS chr, CAST(row_number() OVER (PARTITION BY chr ORDER BY bin) - 1 AS INTEGER) AS bin, round(value, 6) AS value FROM coverage")
+def s32(s, d):
+    v = norm.coverage(_cells(s, d))
+    head = v.select("chr").distinct().select(F.col("chr").cast("string").alias("file"), F.lit(-1).alias("line"), F.concat(F.lit("vector VC "), "chr", F.lit(" 25000 BP")).alias("value"))
+    body = v.select(F.col("chr").cast("string").alias("file"), F.col("bin").alias("line"), F.col("value").cast("string").alias("value"))
+    from pyspark.sql import Window
+
+    lines = head.unionByName(body).withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("line")))
+    return _round(text.parse_norm_vectors(lines).select("chr", "bin", "value"), "value")
+
+
+# Filters.
+FILTERS = {
+    "f01_intra": (pairs.intra_only, "chr1 = chr2"),
+    "f02_chromosomes": (lambda p: pairs.on_chromosomes(p, [1, 2]), "chr1 IN (1, 2) AND chr2 IN (1, 2)"),
+    "f03_mapq": (lambda p: pairs.least_mapq(p, 25), "least(mapq1, mapq2) >= 25"),
+    "f05_between_fragments": (pairs.between_fragments, "NOT (chr1 = chr2 AND frag1 = frag2)"),
+}
+for _name, (_filter, _where) in FILTERS.items():
+    registered(_name, f"WITH {PAIRS} SELECT pair_id, chr1, pos1, chr2, pos2 FROM pairs WHERE {_where}")(
+        lambda s, d, f=_filter: f(_pairs(s, d)).select("pair_id", "chr1", "pos1", "chr2", "pos2")
+    )
+
+
+@registered("f04_alignment", f"WITH {PAIRS}, {FACED} SELECT way, count(*) AS n FROM faced GROUP BY way")
+def f04(s, d):
+    return _pairs(s, d).groupBy(pairs.alignment().alias("way")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@registered("f08_clamp", f"WITH {PAIRS} SELECT pair_id, least(pos1, 400000) AS pos1, least(pos2, 400000) AS pos2 FROM pairs WHERE chr1 < 3 AND chr2 < 3")
+def f08(s, d):
+    dim = s.createDataFrame([(1, 400_000), (2, 400_000)], "chr int, length long")
+    return pairs.clamp(_pairs(s, d), dim).select("pair_id", "pos1", "pos2")
+
+
+@registered("f09_canonical", f"""WITH {PAIRS}, t AS (SELECT *, chr1 > chr2 OR (chr1 = chr2 AND pos1 > pos2) AS turn FROM pairs) SELECT pair_id, least(chr1, chr2) AS chr1, greatest(chr1, chr2) AS chr2,
+ CASE WHEN turn THEN pos2 ELSE pos1 END AS pos1, CASE WHEN turn THEN pos1 ELSE pos2 END AS pos2, CASE WHEN turn THEN mapq2 ELSE mapq1 END AS mapq1 FROM t""")
+def f09(s, d):
+    return pairs.canonical(_pairs(s, d)).select("pair_id", "chr1", "chr2", "pos1", "pos2", "mapq1")
+
+
+@registered("f12_min_count", f"{BASE} SELECT chr1, chr2, bin_x, bin_y, counts FROM cells WHERE counts >= 5")
+def f12(s, d):
+    return query.min_count(_cells(s, d), 5)
+
+
+@registered("f15_point_lookup", f"""{BASE}, {LOOPS}, p AS (SELECT id, chr, least(start1 // {SIZE}, start2 // {SIZE}) AS bin_x, greatest(start1 // {SIZE}, start2 // {SIZE}) AS bin_y FROM loops)
+ SELECT id, p.chr, p.bin_x, p.bin_y, coalesce(counts, 0) AS counts FROM p LEFT JOIN cells c ON c.chr1 = p.chr AND c.chr2 = p.chr AND c.bin_x = p.bin_x AND c.bin_y = p.bin_y""")
+def f15(s, d):
+    points = adapters.loops(s, d).select("id", "chr", *(F.floor(F.col(f"start{e}") / SIZE).cast("int").alias(f"bin_{a}") for e, a in (("2", "x"), ("1", "y"))))
+    return query.lookup(_cells(s, d), points).select("id", "chr", "bin_x", "bin_y", "counts")
+
+
+@registered("f16_window", f"""{BASE}, sym AS (SELECT bin_x, bin_y, counts FROM cells WHERE chr1 = 1 AND chr2 = 1 UNION ALL SELECT bin_y, bin_x, counts FROM cells WHERE chr1 = 1 AND chr2 = 1 AND bin_x <> bin_y),
+ grid AS (SELECT i, j FROM range(12) a(i), range(9) b(j)) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, coalesce(counts, 0) AS value FROM grid LEFT JOIN sym ON bin_x = i + 3 AND bin_y = j + 5""")
+def f16(s, d):
+    return query.window(_cells(s, d), 1, 3, 5, 12, 9)
+
+
+@registered("f18_loop_size", f"WITH {LOOPS} SELECT {PICK} FROM loops WHERE round(abs((start1 + end1) // 2 - (start2 + end2) // 2) / 10000.0) BETWEEN 3 AND 5")
+def f18(s, d):
+    return features.by_size(adapters.loops(s, d), 3, 5, 10_000).select(*LOOP_COLS)
+
+
+@registered("f19_near_diagonal", f"WITH {LOOPS} SELECT {PICK} FROM loops WHERE abs(start1 - start2) < 30000")
+def f19(s, d):
+    return features.near_diagonal(adapters.loops(s, d), 30_000).select(*LOOP_COLS)
+
+
+@registered("f20_strong", f"WITH {LOOPS} SELECT {PICK}, observed FROM loops WHERE observed > 100000")
+def f20(s, d):
+    return features.strong(adapters.loops(s, d), 100_000).select(*LOOP_COLS, "observed")
+
+
+@registered("f21_mapq_clear", f"""WITH {LOOPS}, bad AS (SELECT DISTINCT CAST(1 + p_partkey % 3 AS INTEGER) AS chr, p_partkey * 97 % 4000 AS bin FROM part WHERE p_size < 3)
+ SELECT {PICK} FROM loops l WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.chr = l.chr AND (abs(l.start1 // 5000 - b.bin) <= 5 OR abs(l.start2 // 5000 - b.bin) <= 5))""")
+def f21(s, d):
+    bad = adapters.table(s, d, "part").where("p_size < 3").select((1 + F.col("p_partkey") % 3).cast("int").alias("chr"), (F.col("p_partkey") * 97 % 4000).alias("bin")).distinct()
+    return features.mapq_clear(adapters.loops(s, d), bad, 5000).select(*LOOP_COLS)
+
+
+# Aggregations.
+@registered("a01_bin_contacts", f"{BASE} SELECT chr1, chr2, bin_x, bin_y, counts FROM cells")
+def a01(s, d):
+    return _cells(s, d)
+
+
+@registered("a02_multi_resolution", f"WITH {PAIRS}, " + ", ".join(cells_sql(z, f"c{z}") for z in (5000, 25000, 100000)) + " " + " UNION ALL ".join(
+    f"SELECT chr1, chr2, 'BP' AS unit, {z} AS bin_size, bin_x, bin_y, counts FROM c{z}" for z in (5000, 25000, 100000)))
+def a02(s, d):
+    return binning.bin_contacts(_pairs(s, d), [5000, 25_000, 100_000])
+
+
+@registered("a03_fragment_bins", f"WITH {PAIRS}, {cells_sql(5, 'cells', at='frag')} SELECT chr1, chr2, bin_x, bin_y, counts FROM cells")
+def a03(s, d):
+    return binning.bin_contacts(_pairs(s, d), [5], "FRAG").drop("unit", "bin_size")
+
+
+@registered("a04_whole_genome", f"""WITH {PAIRS}, {SIZES}, o AS (SELECT chr, CAST(coalesce(sum(length // 1000) OVER (ORDER BY chr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off,
+ CAST(greatest(sum(length // 1000) OVER () // 500, 1) AS BIGINT) AS size FROM sizes), b AS (SELECT (a.off + pos1 // 1000) // a.size AS x, (c.off + pos2 // 1000) // c.size AS y, score FROM pairs JOIN o a ON a.chr = chr1
+ JOIN o c ON c.chr = chr2) SELECT least(x, y) AS bin_x, greatest(x, y) AS bin_y, sum(score) AS counts FROM b GROUP BY 1, 2""")
+def a04(s, d):
+    return binning.whole_genome(_pairs(s, d), _sizes(s, d))
+
+
+@registered("a05_coarsen", f"WITH {PAIRS}, {cells_sql(100_000)} SELECT chr1, chr2, bin_x, bin_y, counts FROM cells")
+def a05(s, d):
+    return binning.coarsen(_cells(s, d), 4)
+
+
+@registered("a07_merge_maps", f"WITH {PAIRS}, even AS (SELECT * FROM pairs WHERE pair_id % 2 = 0), every AS (SELECT * FROM pairs UNION ALL SELECT * FROM even), {cells_sql(source='every')} SELECT chr1, chr2, bin_x, bin_y, counts FROM cells")
+def a07(s, d):
+    return binning.merge_maps(_cells(s, d), _control(s, d))
+
+
+@registered("a08_coverage", f"{BASE}, {COVERAGE} SELECT chr, bin, value FROM coverage")
+def a08(s, d):
+    return norm.coverage(_cells(s, d))
+
+
+@registered("a09_occupancy", f"{BASE} SELECT chr1, chr2, count(*) AS n_cells, round(quantile_cont(counts, 0.05), 6) AS p05, round(quantile_cont(counts, 0.95), 6) AS p95 FROM cells GROUP BY chr1, chr2")
+def a09(s, d):
+    return _round(binning.occupancy(_cells(s, d)), "p05", "p95")
+
+
+@registered("a11_matrix_sums", f"{BASE} SELECT chr1, chr2, sum(CASE WHEN chr1 = chr2 AND bin_x <> bin_y THEN 2 * counts ELSE counts END) AS sum_counts, count(*) AS n_cells FROM cells GROUP BY chr1, chr2")
+def a11(s, d):
+    return binning.matrix_sums(_cells(s, d))
+
+
+@registered("a12_average_counts", f"""{BASE}, m AS (SELECT chr1, chr2, sum(CASE WHEN chr1 = chr2 AND bin_x <> bin_y THEN 2 * counts ELSE counts END) AS s FROM cells GROUP BY chr1, chr2)
+ SELECT chr1, chr2, round(s / greatest(a.length // {SIZE}, 1) / greatest(b.length // {SIZE}, 1), 6) AS average FROM m JOIN sizes a ON a.chr = chr1 JOIN sizes b ON b.chr = chr2""")
+def a12(s, d):
+    return _round(binning.average_counts(_cells(s, d), _sizes(s, d), SIZE), "average")
+
+
+@registered("a14_distance_sums", f"{BASE} SELECT bin_y - bin_x AS dist, sum(counts) AS observed FROM cells WHERE chr1 = chr2 GROUP BY 1")
+def a14(s, d):
+    return expected.observed_by_distance(_cells(s, d))
+
+
+@registered("a15_raw_density", f"{BASE}, {DENSITY} SELECT dist, round(value, 6) AS value FROM density")
+def a15(s, d):
+    return _round(expected.raw_density(_cells(s, d), _sizes(s, d), SIZE), "value")
+
+
+@registered("a16_smoothed_expected", None)
+def a16(s, d):
+    return _round(expected.expected(_cells(s, d), _sizes(s, d), SIZE), "value")
+
+
+@registered("a18_pair_statistics", f"""WITH {PAIRS}, {FACED}, g AS (SELECT *, least(mapq1, mapq2) >= 20 AS good, chr1 = chr2 AS intra, abs(pos1 - pos2) AS far, chr1 = chr2 AND frag1 = frag2 AS same FROM faced)
+ SELECT count(*) AS total, count(*) FILTER (NOT good) AS below_mapq, count(*) FILTER (good AND same) AS intra_fragment, count(*) FILTER (good AND NOT same) AS hic_contacts,
+ count(*) FILTER (good AND NOT same AND NOT intra) AS inter, count(*) FILTER (good AND NOT same AND intra) AS intra, count(*) FILTER (good AND NOT same AND intra AND far < 20000) AS short_range,
+ count(*) FILTER (good AND NOT same AND intra AND far >= 20000) AS long_range, count(*) FILTER (good AND NOT same AND way = 'INNER') AS inner, count(*) FILTER (good AND NOT same AND way = 'OUTER') AS outer,
+ count(*) FILTER (good AND NOT same AND way = 'LL') AS ll, count(*) FILTER (good AND NOT same AND way = 'RR') AS rr FROM g""")
+def a18(s, d):
+    return stats.pair_statistics(_pairs(s, d), 20)
+
+
+@registered("a19_distance_histogram", f"""WITH {PAIRS}, {FACED} SELECT way AS orientation, CAST(len(list_filter({stats.log_bins()}, lambda e: e <= abs(pos1 - pos2))) AS INTEGER) AS bin, count(*) AS n FROM faced WHERE chr1 = chr2 GROUP BY 1, 2""")
+def a19(s, d):
+    return stats.distance_histogram(_pairs(s, d), stats.log_bins())
+
+
+@registered("a20_mapq_histogram", f"""WITH {PAIRS} SELECT least(mapq1, mapq2, 200) AS mapq, count(*) AS n, CAST(sum(CAST(chr1 = chr2 AS INTEGER)) AS BIGINT) AS n_intra,
+ CAST(count(*) - sum(CAST(chr1 = chr2 AS INTEGER)) AS BIGINT) AS n_inter FROM pairs GROUP BY 1""")
+def a20(s, d):
+    return stats.mapq_histogram(_pairs(s, d))
+
+
+@registered("a25_merge_statistics", f"WITH {LOOPS} SELECT 'Orders ' || status AS label, CAST(sum(observed) AS BIGINT) AS total FROM loops GROUP BY 1")
+def a25(s, d):
+    lines = adapters.loops(s, d).select(F.concat(F.lit("Orders "), "status", F.lit(": "), F.format_number("observed", 0), F.lit(" (1.0% / 2.0%)")).alias("value"))
+    return stats.merge_statistics(lines)
+
+
+@registered("a31_binned_track", f"WITH {LOCI}, b AS (SELECT chr, unnest(range(x1 // 1000, x2 // 1000 + 1)) AS bin, score FROM loci) SELECT chr, bin, round(avg(score), 6) AS mean, round(max(score), 6) AS high FROM b GROUP BY chr, bin")
+def a31(s, d):
+    return _round(intervals.binned_track(adapters.loci(s, d), 1000), "mean", "high")
+
+
+@registered("a33_merge_intervals", f"""WITH {LOCI}, m AS (SELECT *, max(x2) OVER (PARTITION BY chr ORDER BY x1, x2, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM loci),
+ g AS (SELECT *, sum(CASE WHEN reach IS NULL OR x1 > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chr ORDER BY x1, x2, id) AS island FROM m) SELECT chr, min(x1) AS x1, max(x2) AS x2, count(*) AS n FROM g GROUP BY chr, island""")
+def a33(s, d):
+    return intervals.merge(adapters.loci(s, d))
+
+
+@registered("a35_best_per_cell", f"""WITH {LOCI}, r AS (SELECT *, row_number() OVER (PARTITION BY chr, x1 // 5000, x2 // 5000 ORDER BY score DESC, id) AS k FROM loci) SELECT id, chr, round(score, 6) AS score FROM r WHERE k = 1""")
+def a35(s, d):
+    return _round(intervals.best_per_cell(adapters.loci(s, d), 5000), "score")
+
+
+@registered("a35_unique_per_cell", f"WITH {LOCI} SELECT min(id) AS id, chr, round(min(score), 6) AS score FROM loci GROUP BY chr, x1 // 100, x2 // 100 HAVING count(*) = 1")
+def a35u(s, d):
+    return _round(intervals.unique_per_cell(adapters.loci(s, d), 100), "score")
+
+
+@registered("a36_convergence", f"WITH {LOOPS} SELECT CASE WHEN observed % 7 = 0 THEN 'incomplete' ELSE (CASE WHEN id % 2 = 0 THEN '+' ELSE '-' END) || (CASE WHEN observed % 3 = 0 THEN '+' ELSE '-' END) END AS status, count(*) AS n FROM loops GROUP BY 1")
+def a36(s, d):
+    pairs_ = adapters.loops(s, d).select((F.col("id") % 2 == 0).alias("strand1"), F.when(F.col("observed") % 7 != 0, F.col("observed") % 3 == 0).alias("strand2"))
+    return features.convergence(pairs_)
+
+
+@registered("a37_column_sums", f"""{BASE}, x AS (SELECT chr1 AS chr, bin_x AS bin, counts, chr1 = chr2 AND bin_x = bin_y AS diag FROM cells UNION ALL SELECT chr2, bin_y, counts, FALSE FROM cells WHERE chr1 <> chr2 OR bin_x <> bin_y)
+ SELECT chr, bin, sum(counts) AS total, sum(CASE WHEN diag THEN counts ELSE 0 END) AS diagonal FROM x GROUP BY chr, bin""")
+def a37(s, d):
+    return stats.column_sums(_cells(s, d))
+
+
+@registered("a27_pile_up", f"""{BASE}, {LOOPS}, a AS (SELECT chr, (start1 + end1) // 2 // {SIZE} AS mx, (start2 + end2) // 2 // {SIZE} AS my FROM loops), w AS (SELECT chr, mx + dx AS bx, my + dy AS y2, dx, dy FROM a, range(-4, 5) p(dx), range(-4, 5) q(dy))
+ SELECT CAST(dx AS INTEGER) AS dx, CAST(dy AS INTEGER) AS dy, sum(counts) AS value FROM w JOIN cells ON chr1 = w.chr AND chr2 = w.chr AND bin_x = bx AND bin_y = y2 GROUP BY dx, dy""")
+def a27(s, d):
+    return features.pile_up(adapters.loops(s, d), _cells(s, d), SIZE, 4)
+
+
+@registered("a28_corner_scores", None)
+def a28(s, d):
+    return features.corner_scores(features.pile_up(adapters.loops(s, d), _cells(s, d), SIZE, 4), 4, 2)
+
+
+# Joins.
+@registered("j01_normalize", f"{VC}, {NORMED} SELECT chr1, chr2, bin_x, bin_y, round(counts, 6) AS counts FROM normed")
+def j01(s, d):
+    cells = _cells(s, d)
+    return _round(norm.normalize(cells, norm.vc(cells)), "counts")
+
+
+@registered("j02_observed_over_expected", f"{BASE}, {DENSITY}, {OE} SELECT chr1, chr2, bin_x, bin_y, round(oe, 6) AS oe FROM oe WHERE oe IS NOT NULL")
+def j02(s, d):
+    cells = _cells(s, d)
+    return _round(expected.observed_over_expected(cells, expected.raw_density(cells, _sizes(s, d), SIZE)), "oe")
+
+
+@registered("j05_intersect", f"{INTERVALS} SELECT DISTINCT chr, greatest(gx1, lx1) AS x1, least(gx2, lx2) AS x2 FROM hits")
+def j05(s, d):
+    return intervals.intersect(_genes(s, d).select("id", "chr", "x1", "x2"), adapters.loci(s, d))
+
+
+@registered("j06_preserving_intersect", f"{INTERVALS} SELECT g_id AS id, chr, gx1 AS x1, gx2 AS x2, count(*) AS n_hits, min(l_id) AS first_hit FROM hits GROUP BY 1, 2, 3, 4")
+def j06(s, d):
+    return intervals.preserving_intersect(_genes(s, d).select("id", "chr", "x1", "x2"), adapters.loci(s, d))
+
+
+@registered("j08_alone_in_locus", f"{INTERVALS}, n AS (SELECT g_id FROM hits GROUP BY g_id HAVING count(*) = 1) SELECT DISTINCT l_id AS id, chr, lx1 AS x1, lx2 AS x2 FROM hits JOIN n ON hits.g_id = n.g_id")
+def j08(s, d):
+    return intervals.in_locus(_genes(s, d).select("id", "chr", "x1", "x2"), adapters.loci(s, d), True).select("id", "chr", "x1", "x2")
+
+
+@registered("j09_best_in_locus", f"{INTERVALS}, r AS (SELECT *, row_number() OVER (PARTITION BY g_id ORDER BY score DESC, l_id) AS k FROM hits) SELECT g_id AS id, l_id AS hit, round(score, 6) AS score FROM r WHERE k = 1")
+def j09(s, d):
+    return _round(intervals.best_in_locus(_genes(s, d).select("id", "chr", "x1", "x2"), adapters.loci(s, d)), "score")
+
+
+FAR = "sqrt(power(a.start1 - b.start1, 2) + power(a.start2 - b.start2, 2))"
+
+
+@registered("j10_reproducible", f"WITH {HALVES} SELECT {PICK} FROM lb b WHERE EXISTS (SELECT 1 FROM la a WHERE a.chr = b.chr AND {FAR} <= 2500)")
+def j10(s, d):
+    return features.reproducible(*_halves(s, d), 2500).select(*LOOP_COLS)
+
+
+@registered("j11_reproducible_nearest", f"""WITH {HALVES}, n AS (SELECT b.id, min({FAR}) AS far, any_value(b.start2 - b.start1) AS span FROM la a JOIN lb b ON a.chr = b.chr AND {FAR} <= 5000 GROUP BY b.id)
+ SELECT {', '.join('lb.' + c for c in LOOP_COLS)} FROM lb JOIN n ON lb.id = n.id WHERE n.far / n.span <= 0.05""")
+def j11(s, d):
+    return features.reproducible_nearest(*_halves(s, d), 5000, 0.05).select(*LOOP_COLS)
+
+
+for _keep, _name, _not in ((True, "j12_at_locations", ""), (False, "j13_not_at_locations", "NOT ")):
+    registered(_name, f"WITH {HALVES} SELECT {PICK} FROM la a WHERE {_not}EXISTS (SELECT 1 FROM lb b WHERE a.chr = b.chr AND a.start1 = b.start1 AND a.start2 = b.start2)")(
+        lambda s, d, k=_keep: features.at_locations(*_halves(s, d), k).select(*LOOP_COLS)
+    )
+
+
+@registered("j14_loop_domains", f"WITH {HALVES} SELECT {PICK} FROM lb b WHERE EXISTS (SELECT 1 FROM la a WHERE a.chr = b.chr AND abs(a.start1 - b.start1) <= 20000 AND abs(a.start2 - b.end1) <= 20000)")
+def j14(s, d):
+    loops, domains = _halves(s, d)
+    return features.loop_domains(loops, domains, 20_000).select(*LOOP_COLS)
+
+
+@registered("j15_rectangle_overlaps", f"WITH {HALVES} SELECT a.id, b.id AS b_id FROM la a JOIN lb b ON a.chr = b.chr AND a.start1 <= b.end1 AND b.start1 <= a.end1 AND a.start2 <= b.end2 AND b.start2 <= a.end2")
+def j15(s, d):
+    return features.overlapping_rectangles(*_halves(s, d)).select("id", "b_id")
+
+
+@registered("j15_nearest", f"""WITH {HALVES}, r AS (SELECT a.id, b.id AS b_id, {FAR} AS far FROM la a JOIN lb b ON a.chr = b.chr AND {FAR} <= 8000), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY far, b_id) AS rank FROM r)
+ SELECT id, b_id, round(far, 6) AS far, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 3""")
+def j15n(s, d):
+    return _round(features.nearest(*_halves(s, d), 3, 8000).select("id", "b_id", "far", "rank"), "far")
+
+
+@registered("j17_fragment_lookup", f"""WITH {LOCI}, sites AS (SELECT DISTINCT CAST(1 + p_partkey % 3 AS INTEGER) AS chr, p_partkey * 700 + 350 AS pos FROM part), l AS (SELECT id, chr, x1 FROM loci)
+ SELECT l.id, l.chr, l.x1, CAST(count(s.pos) AS INTEGER) AS frag FROM l LEFT JOIN sites s ON s.chr = l.chr AND s.pos <= l.x1 GROUP BY l.id, l.chr, l.x1""")
+def j17(s, d):
+    return pairs.fragment_of(adapters.loci(s, d).select("id", "chr", "x1"), adapters.sites(s, d), "x1")
+
+
+@registered("j19_site_distance", f"""WITH {LOCI}, sites AS (SELECT DISTINCT CAST(1 + p_partkey % 3 AS INTEGER) AS chr, p_partkey * 700 + 350 AS pos FROM part)
+ SELECT l.id, l.chr, l.x1, least(l.x1 - max(s.pos) FILTER (s.pos <= l.x1), min(s.pos) FILTER (s.pos > l.x1) - l.x1) AS site_distance FROM loci l LEFT JOIN sites s ON s.chr = l.chr GROUP BY l.id, l.chr, l.x1""")
+def j19(s, d):
+    return pairs.distance_to_site(adapters.loci(s, d).select("id", "chr", "x1"), adapters.sites(s, d), "x1")
+
+
+@registered("j22_lift_over", f"""WITH {LOCI}, {GENES}, s AS (SELECT id, chr, x1, x2, x1 * 2 AS new_start, id % 2 = 0 AS inverted FROM genes), h AS (SELECT l.id, l.chr, s.id AS scaffold, greatest(l.x1, s.x1) AS a, least(l.x2, s.x2) AS b, s.*
+ FROM loci l JOIN s ON l.chr = s.chr AND l.x1 <= s.x2 AND s.x1 <= l.x2) SELECT id, chr, scaffold, CASE WHEN inverted THEN new_start + x2 - b ELSE new_start + a - x1 END AS x1,
+ CASE WHEN inverted THEN new_start + x2 - b ELSE new_start + a - x1 END + b - a AS x2 FROM h""")
+def j22(s, d):
+    scaffolds = _genes(s, d).select("id", "chr", "x1", "x2", (F.col("x1") * 2).alias("new_start"), (F.col("id") % 2 == 0).alias("inverted"))
+    return intervals.lift(adapters.loci(s, d).select("id", "chr", "x1", "x2"), scaffolds)
+
+
+@registered("j25_gene_lookup", f"WITH {GENES} SELECT gene_id, name, chr, x1, x2 FROM genes WHERE gene_id % 5 = 0")
+def j25(s, d):
+    genes = adapters.genes(s, d)
+    return intervals.genes_by_name(genes, genes.where("gene_id % 5 = 0").select(F.upper("name").alias("name"))).select("gene_id", "name", "chr", "x1", "x2")
+
+
+# Set operations on lists.
+NEAR = " AND ".join(f"abs(a.{c} - b.{c}) <= 3000" for c in ("start1", "end1", "start2", "end2"))
+for _keep, _name, _not in ((True, "u02_intersect_tolerant", ""), (False, "u03_subtract_tolerant", "NOT ")):
+    registered(_name, f"WITH {HALVES} SELECT {PICK} FROM la a WHERE {_not}EXISTS (SELECT 1 FROM lb b WHERE a.chr = b.chr AND {NEAR})")(
+        lambda s, d, k=_keep: features.tolerant(*_halves(s, d), 3000, k).select(*LOOP_COLS)
+    )
+
+
+@registered("u04_differences", f"""WITH {HALVES} SELECT {PICK}, 'A' AS only_in FROM la a WHERE NOT EXISTS (SELECT 1 FROM lb b WHERE a.chr = b.chr AND {NEAR})
+ UNION ALL SELECT {PICK}, 'B' FROM lb b WHERE NOT EXISTS (SELECT 1 FROM la a WHERE a.chr = b.chr AND {NEAR})""")
+def u04(s, d):
+    return features.differences(*_halves(s, d), 3000).select(*LOOP_COLS, F.col("only").alias("only_in"))
+
+
+SAME = " AND ".join(f"a.{c} = b.{c}" for c in ("chr", "start1", "end1", "start2", "end2"))
+
+
+@registered("c08_compare_lists", f"""WITH {HALVES}, ra AS (SELECT * FROM la a WHERE NOT EXISTS (SELECT 1 FROM lb b WHERE {SAME})), rb AS (SELECT * FROM lb b WHERE NOT EXISTS (SELECT 1 FROM la a WHERE {SAME}))
+ SELECT id, 'Common' AS label FROM la a WHERE EXISTS (SELECT 1 FROM lb b WHERE {SAME})
+ UNION ALL SELECT id, CASE WHEN EXISTS (SELECT 1 FROM lb b WHERE a.chr = b.chr AND {NEAR}) THEN 'A*' ELSE 'A' END FROM ra a
+ UNION ALL SELECT id, CASE WHEN EXISTS (SELECT 1 FROM la a WHERE a.chr = b.chr AND {NEAR}) THEN 'B*' ELSE 'B' END FROM rb b""")
+def c08(s, d):
+    return features.compare_lists(*_halves(s, d), 3000).select("id", "label")
+
+
+# Windows and orders.
+@registered("w01_sliding_mean", f"{BASE}, {COVERAGE} SELECT chr, bin, round(avg(value) OVER (PARTITION BY chr ORDER BY bin RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS mean FROM coverage")
+def w01(s, d):
+    return _round(stats.sliding_mean(norm.coverage(_cells(s, d)), 2), "mean")
+
+
+@registered("w02_reverse_cumulative", f"{BASE}, h AS (SELECT chr1 AS series, CAST(counts AS BIGINT) AS k, count(*) AS n FROM cells GROUP BY 1, 2) SELECT series, k, CAST(sum(n) OVER (PARTITION BY series ORDER BY k DESC) AS BIGINT) AS at_least FROM h")
+def w02(s, d):
+    return stats.reverse_cumulative(_cells(s, d).groupBy(F.col("chr1").alias("series"), F.col("counts").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n")))
+
+
+@registered("o06_top_neighbours", f"{BASE}, {SIDES}, r AS (SELECT *, rank() OVER (PARTITION BY chr, bin ORDER BY counts DESC) AS rank FROM sides WHERE bin <> other) SELECT chr, bin, other, counts, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3")
+def o06(s, d):
+    return stats.top_neighbours(_cells(s, d), 3).select("chr", "bin", "other", "counts", "rank")
+
+
+@registered("o05_poisson_peaks", f"""{BASE}, {DENSITY}, z AS (SELECT chr1, bin_x, bin_y, 2 * (sqrt(counts) - sqrt(value)) AS z FROM cells JOIN density ON dist = bin_y - bin_x WHERE chr1 = chr2),
+ r AS (SELECT *, row_number() OVER (PARTITION BY chr1 ORDER BY z DESC, bin_x, bin_y) AS rank FROM z) SELECT chr1, bin_x, bin_y, round(z, 6) AS z, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20""")
+def o05(s, d):
+    cells = _cells(s, d).where("chr1 = chr2")
+    both = cells.withColumn("dist", F.col("bin_y") - F.col("bin_x")).join(expected.raw_density(cells, _sizes(s, d), SIZE), "dist")
+    return _round(stats.poisson_peaks(both, 20).select("chr1", "bin_x", "bin_y", "z", "rank"), "z")
+
+
+# Two maps: all transforms at once.
+_T = {
+    "log": "ln(1 + o)", "oe": "o / e", "oectrl": "c / ec", "oep1": "(o + 1) / (e + 1)", "ome": "o - e", "logeo": "ln(o + 1) / ln(e + 1)", "explogeo": "exp(ln(o + 1) / ln(e + 1))",
+    "ratio": "(o / a) / (c / ac)", "ratiop1": "((o + 1) / (a + 1)) / ((c + 1) / (ac + 1))", "ratio0": "(o / e0) / (c / ec0)", "logratio": "ln(o / a + 1) / ln(c / ac + 1)",
+    "logeoratio": "(ln(o + 1) / ln(e + 1)) / (ln(c + 1) / ln(ec + 1))", "oeratio": "(o / e) / (c / ec)", "oeratiominus": "o / e - c / ec", "diff": "(o / a - c / ac) * (a + ac) / 2",
+}
+_EVEN = f"even AS (SELECT * FROM pairs WHERE pair_id % 2 = 0), {cells_sql(name='ctrl', source='even')}"
+_TWO = f"""{BASE}, {_EVEN}, {DENSITY}, cseen AS (SELECT bin_y - bin_x AS dist, sum(counts) AS observed FROM ctrl WHERE chr1 = chr2 GROUP BY 1),
+ cdensity AS (SELECT p.dist, coalesce(observed, 0) / possible AS value FROM possible p LEFT JOIN cseen s ON p.dist = s.dist),
+ av AS (SELECT chr1, sum(CASE WHEN bin_x <> bin_y THEN 2 * counts ELSE counts END) / greatest(any_value(length) // {SIZE}, 1) / greatest(any_value(length) // {SIZE}, 1) AS a FROM cells JOIN sizes ON chr = chr1 WHERE chr1 = chr2 GROUP BY chr1),
+ cav AS (SELECT chr1, sum(CASE WHEN bin_x <> bin_y THEN 2 * counts ELSE counts END) / greatest(any_value(length) // {SIZE}, 1) / greatest(any_value(length) // {SIZE}, 1) AS a FROM ctrl JOIN sizes ON chr = chr1 WHERE chr1 = chr2 GROUP BY chr1),
+ two AS (SELECT x.chr1, x.bin_x, x.bin_y, x.counts AS o, y.counts AS c, d.value AS e, cd.value AS ec, av.a, cav.a AS ac, (SELECT value FROM density WHERE dist = 0) AS e0, (SELECT value FROM cdensity WHERE dist = 0) AS ec0
+ FROM cells x JOIN ctrl y ON x.chr1 = y.chr1 AND x.chr2 = y.chr2 AND x.bin_x = y.bin_x AND x.bin_y = y.bin_y JOIN density d ON d.dist = x.bin_y - x.bin_x JOIN cdensity cd ON cd.dist = x.bin_y - x.bin_x
+ JOIN av ON av.chr1 = x.chr1 JOIN cav ON cav.chr1 = x.chr1 WHERE x.chr1 = x.chr2)"""
+
+
+@registered("j03_two_map_transforms", f"{_TWO} SELECT chr1, bin_x, bin_y, " + ", ".join(f"round({v}, 5) AS {k}" for k, v in _T.items()) + " FROM two")
+def j03(s, d):
+    cells, control, sizes = _cells(s, d).where("chr1 = chr2"), _control(s, d).where("chr1 = chr2"), _sizes(s, d)
+    density, cdensity = (expected.raw_density(m, sizes, SIZE).select("dist", F.col("value").alias(v)) for m, v in ((cells, "e"), (control, "ec")))
+    averages = [binning.average_counts(m, sizes, SIZE).select("chr1", F.col("average").alias(v)) for m, v in ((cells, "a"), (control, "ac"))]
+    both = cells.withColumnRenamed("counts", "o").join(control.withColumnRenamed("counts", "c"), binning.CELL).withColumn("dist", F.col("bin_y") - F.col("bin_x"))
+    both = both.join(density, "dist").join(cdensity, "dist").join(averages[0], "chr1").join(averages[1], "chr1")
+    zero = density.where("dist = 0").select(F.col("e").alias("e0")).join(cdensity.where("dist = 0").select(F.col("ec").alias("ec0")))
+    both = both.join(F.broadcast(zero))
+    known = transforms.transforms()
+    return both.select("chr1", "bin_x", "bin_y", *(F.round(known[k], 5).alias(k) for k in _T))
+
+
+# Vectors.
+@registered("m02_vc_sqrt", f"{BASE}, {COVERAGE}, {finish_sql('sqrt(value)')} SELECT chr, bin, round(value, 6) AS value FROM vec")
+def m02(s, d):
+    return _round(norm.vc_sqrt(_cells(s, d)), "value")
+
+
+@registered("m01_matvec", f"{BASE}, {COVERAGE} SELECT s.chr, s.bin, sum(counts * value) AS value FROM sides s JOIN coverage v ON s.chr = v.chr AND s.other = v.bin GROUP BY s.chr, s.bin")
+def m01(s, d):
+    cells = _cells(s, d)
+    return norm.matvec(cells, norm.coverage(cells))
+
+
+@registered("m03_balanced", None)
+def m03(s, d):
+    return _round(norm.balance(_cells(s, d)), "value")
+
+
+@registered("m03d_genome_wide_coverage", f"""{BASE}, o AS (SELECT chr, CAST(coalesce(sum(length // {SIZE} + 1) OVER (ORDER BY chr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS off FROM sizes),
+ g AS (SELECT bin_x + a.off AS x, bin_y + b.off AS y, counts FROM cells JOIN o a ON a.chr = chr1 JOIN o b ON b.chr = chr2), v AS (SELECT x AS bin, counts FROM g UNION ALL SELECT y, counts FROM g WHERE x <> y)
+ SELECT bin, sum(counts) AS value FROM v GROUP BY bin""")
+def m03d(s, d):
+    wide, _ = norm.genome_wide(_cells(s, d), _sizes(s, d), SIZE)
+    return norm.coverage(wide).select("bin", "value")
+
+
+@registered("m04_pearson", f"""WITH {PAIRS}, {cells_sql(100_000)}, {SIDES}, r AS (SELECT bin AS row, other AS col, counts AS value FROM sides WHERE chr = 1), w AS (SELECT max(col) + 1 AS n FROM r), s AS (SELECT row, sum(value) AS s, sum(value * value) AS ss FROM r GROUP BY row),
+ d AS (SELECT a.row, b.row AS row2, sum(a.value * b.value) AS dot FROM r a JOIN r b ON a.col = b.col GROUP BY 1, 2)
+ SELECT d.row, d.row2, round((dot - x.s * y.s / n) / nullif(sqrt(x.ss - x.s * x.s / n) * sqrt(y.ss - y.s * y.s / n), 0), 5) AS r FROM d JOIN s x ON x.row = d.row JOIN s y ON y.row = d.row2, w""")
+def m04(s, d):
+    sides = norm.both_sides(_cells(s, d, 100_000)).where("chr = 1").select(F.col("bin").alias("row"), F.col("other").alias("col"), F.col("counts").alias("value"))
+    return _round(linalg.pearson(sides), "r", places=5)
+
+
+@registered("m05_eigenvector", None)
+def m05(s, d):
+    cells = _cells(s, d, 100_000)
+    return _round(linalg.eigenvector(expected.observed_over_expected(cells, expected.raw_density(cells, _sizes(s, d), 100_000))), "value")
+
+
+@registered("m06_compartment_difference", f"""{BASE}, {COVERAGE}, a AS (SELECT chr, bin, value - avg(value) OVER (PARTITION BY chr) AS v FROM coverage), {_EVEN},
+ cs AS (SELECT chr1 AS chr, bin_x AS bin, counts FROM ctrl WHERE chr1 = chr2 UNION ALL SELECT chr1, bin_y, counts FROM ctrl WHERE chr1 = chr2 AND bin_x <> bin_y), cc AS (SELECT chr, bin, sum(counts) AS value FROM cs GROUP BY chr, bin),
+ b AS (SELECT chr, bin, avg(value) OVER (PARTITION BY chr) - value AS v FROM cc), j AS (SELECT a.chr, a.bin, a.v AS a, b.v AS b FROM a JOIN b ON a.chr = b.chr AND a.bin = b.bin),
+ t AS (SELECT chr, CASE WHEN sum(sign(a) * sign(b)) < 0 THEN -1 ELSE 1 END AS turn FROM j GROUP BY chr)
+ SELECT j.chr, bin, round(CASE WHEN a < 0 THEN -abs(a - b * turn) ELSE abs(a - b * turn) END, 6) AS difference, sign(a) = sign(b * turn) AS similar_sign FROM j JOIN t ON j.chr = t.chr""")
+def m06(s, d):
+    from pyspark.sql import Window
+
+    mean = F.avg("value").over(Window.partitionBy("chr"))
+    a = norm.coverage(_cells(s, d)).select("chr", "bin", (F.col("value") - mean).alias("value"))
+    b = norm.coverage(_control(s, d)).select("chr", "bin", (mean - F.col("value")).alias("value"))
+    return _round(linalg.compartment_difference(a, b).withColumnRenamed("similar", "similar_sign"), "difference")
+
+
+@registered("x08_lambda_bins", f"{BASE}, {DENSITY} SELECT dist, CAST(CASE WHEN value * 100 <= 1 THEN 0 ELSE least(floor(ln(value * 100) / ln(power(2, 0.33))), 39) END AS INTEGER) AS bin FROM density")
+def x08(s, d):
+    return expected.raw_density(_cells(s, d), _sizes(s, d), SIZE).select("dist", scalars.lambda_bin(F.col("value") * 100).alias("bin"))
+
+
+@registered("k11_cross_hair", f"""{BASE}, m AS (SELECT CASE WHEN bin_x = 7 THEN bin_y ELSE bin_x END AS bin, counts FROM cells WHERE chr1 = 1 AND chr2 = 1 AND (bin_x = 7 OR bin_y = 7))
+ SELECT CAST(b.i AS INTEGER) AS bin, coalesce(counts, 0) AS value FROM range(40) b(i) LEFT JOIN m ON m.bin = b.i""")
+def k11(s, d):
+    return query.cross_hair(_cells(s, d), 1, 7, 40)
