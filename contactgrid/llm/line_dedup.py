@@ -38,7 +38,7 @@ def dedup_lines(docs: DataFrame, window_lines: int = WINDOW_LINES) -> DataFrame:
     Lines are split at \\n. Those with a word, trimmed of white space, form overlapping windows of three
     consecutive ones; blank lines don't count and stay. Of all windows with equal lines the first stays:
     the one of the smallest doc_id (nulls last), there the first place. Every other occurrence's lines go,
-    where occurrences that overlap are merged. Returns row (struct of all input columns), new_text,
+    where occurrences that overlap are merged: of six equal lines five are in later windows and go. Returns row (struct of all input columns), new_text,
     n_lines (those with a word), n_removed.
 
     The windows are counted with partial sums before the shuffle, so one that a third of the documents

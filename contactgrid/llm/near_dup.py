@@ -19,8 +19,8 @@ SHINGLE_WORDS, THRESHOLD = 5, 0.8
 REGISTERS, BAND_REGISTERS = 96, 6
 #: Share of equal registers below which two documents of one band are taken for less than similar: at 0.8, six standard deviations off.
 LEAST_AGREEMENT = 0.55
-#: Documents of one block of a band's bucket in the second pass.
-BLOCK = 512
+#: Documents of one block of a leader's group in the second pass.
+BLOCK = 256
 #: Sets of ids of at most this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -69,20 +69,25 @@ def _bags(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return d.join(few, "id").dropDuplicates(["id"]).mapInArrow(bag, "id bigint, bag binary")
 
 
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two bags, as sorted sets, have a Jaccard similarity of THRESHOLD or more."""
+    if min(len(x), len(y)) < THRESHOLD * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    same = int((both[1:] == both[:-1]).sum())
+    return same >= THRESHOLD * (len(x) + len(y) - same)
+
+
 def _similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of document ids whose multisets of shingles have a Jaccard similarity of THRESHOLD or more."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for i, (x, y) in enumerate(zip(batch.column("bag_a"), batch.column("bag_b"), strict=True)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                if min(len(x), len(y)) >= THRESHOLD * max(len(x), len(y)):
-                    both = np.concatenate([x, y])
-                    both.sort()
-                    same = int((both[1:] == both[:-1]).sum())
-                    if same >= THRESHOLD * (len(x) + len(y) - same):
-                        keep.append(i)
+            for i, pair in enumerate(zip(batch.column("bag_a"), batch.column("bag_b"), strict=True)):
+                if _alike(*(np.frombuffer(v.as_buffer(), np.uint64) for v in pair)):
+                    keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in "ab"], ["a", "b"])
 
     pairs = materialize(pairs, "pairs")
@@ -91,24 +96,29 @@ def _similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "bag_a", "bag_b").mapInArrow(verify, "a bigint, b bigint"), "similar")
 
 
-def _block_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components within a bucket that agree in LEAST_AGREEMENT of their registers.
+def _block_links(rows: DataFrame) -> DataFrame:
+    """Links (a, b) between documents of different components within a leader's group, enough to join all that are linked.
 
-    rows: key, id, component, major (whether of the leader's component), signature, n_major, n_minor. The
-    others of a bucket (minor) are held against all of it, in blocks of BLOCK documents, so a
-    bucket of any size is many groups of bounded size, and pairs of one component are not looked at.
+    rows: leader, id, component, major (whether of the leader's component), n_major, n_minor, signature, bag. The
+    others of a group (minor) are held against all of it, in blocks of BLOCK documents, so that a group of any size
+    is many groups of bounded size. Pairs whose registers agree enough are verified where they are, the likest first,
+    unless links found before already join them; so only links leave, at most one for each document of a block.
     """
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(f["signature"]), np.uint32).reshape(-1, REGISTERS)
-        left, right = f["left"].to_numpy(), f["right"].to_numpy()
-        x, y = np.flatnonzero(left), np.flatnonzero(right)
-        ids, comp = f["id"].to_numpy(), f["component"].to_numpy()
+        bags = [np.frombuffer(x, np.uint64) for x in f["bag"]]
+        x, y = np.flatnonzero(f["left"].to_numpy()), np.flatnonzero(f["right"].to_numpy())
+        ids = f["id"].to_numpy()
+        _, part = np.unique(f["component"].to_numpy(), return_inverse=True)
         found = []
         for i in x:
-            near = y[((sig[y] == sig[i]).mean(axis=1) >= LEAST_AGREEMENT) & (comp[y] != comp[i])]
-            found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in near]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64").drop_duplicates()
+            agree = (sig[y] == sig[i]).mean(axis=1)
+            for j in y[np.argsort(-agree, kind="stable")[: int((agree >= LEAST_AGREEMENT).sum())]]:
+                if part[i] != part[j] and _alike(bags[i], bags[j]):
+                    found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                    part[part == part[j]] = part[i]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     rows = rows.withColumns({"nb_major": blocks("n_major"), "nb_minor": blocks("n_minor")})
@@ -123,7 +133,8 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
     as_right = F.transform(F.filter(upto(F.col("nb_minor")), lambda i: i < me), lambda i: cell(i, me, "minor-minor", False, True))
     own = F.array(cell(me, me, "minor-minor", True, True))
     cells = F.when(F.col("major"), for_major).otherwise(F.concat(F.coalesce(against_major, F.slice(own, 1, 0)), as_left, as_right, own))
-    return rows.select("key", "id", "component", "signature", F.inline(cells)).groupBy("key", "i", "j", "kind").applyInPandas(compare, "a bigint, b bigint").distinct()
+    rows = rows.select("leader", "id", "component", "signature", "bag", F.inline(cells))
+    return rows.groupBy("leader", "i", "j", "kind").applyInPandas(compare, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -133,9 +144,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of 0.8 or more; classes are the components of links. Documents of equal words are one class by their
     hashes; one of them stands for all. Each of these has a BagMinHash signature; bands of
     registers that two have in common make them candidates (at 0.8 similarity, all but a few in ten thousand).
-    In a bucket all are first verified against the smallest id; where the bucket then still has several
-    components, those that are not the leader's are held against all in blocks, by their registers, and
-    pairs that agree are verified, too. So neither pass makes all pairs of a group of copies.
+    In a bucket all are first verified against the smallest id, its leader. Where the documents that have been held against
+    one leader are then still of several components, those not of the leader's are held against all of them in
+    blocks, by their registers first; pairs that agree are verified on the spot. Pairs within a component are not looked
+    at, and only links leave a block, so no pass emits all pairs of a group of copies, and none that matters is lost.
 
     A text of fewer than five words is one shingle. Null or blank text: a class of its own. Null doc_id: null
     class. Rows that share doc_id are one document, of class by any of the texts. No rows: no rows.
@@ -151,21 +163,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     leaders = members.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "leader")
     leaders = materialize(leaders, "leaders")
     members = materialize(members.join(leaders, "key").select("key", "id", "leader"), "members")
-    pairs = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = materialize(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "first-pairs")
     links = _similar(docs, pairs)
     found = components(links)
 
-    named = members.join(found, "id", "left").select("key", "id", "leader", F.coalesce("component", "id").alias("component"))
-    named = materialize(named, "named")
-    open_ = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "id").alias("lead"))
-    open_ = materialize(open_.where("low <> high").select("key", "lead"), "open")
-    rows = named.join(open_, "key").withColumn("major", F.col("component") == F.col("lead")).select("key", "id", "component", "major")
-    sizes = rows.groupBy("key").agg(F.sum(F.col("major").cast("long")).alias("n_major"), F.sum((~F.col("major")).cast("long")).alias("n_minor"))
-    rows, sizes = materialize(rows, "open-rows"), materialize(sizes, "open-sizes")
-    rows = materialize(rows.join(sizes, "key"), "open-sized").join(first.select("id", "signature"), "id")
-    more = _block_pairs(rows).join(pairs, ["a", "b"], "left_anti")
-    more = _similar(docs, more)
-    found = components(links.unionByName(more))
+    rows = materialize(members.select("leader", "id").distinct(), "grouped").join(found, "id", "left")
+    rows = materialize(rows.select("leader", "id", F.coalesce("component", "id").alias("component")), "named")
+    lead = rows.where("id = leader").select("leader", F.col("component").alias("lead"))
+    rows = materialize(rows.join(materialize(lead, "leads"), "leader").withColumn("major", F.col("component") == F.col("lead")).drop("lead"), "led")
+    sizes = rows.groupBy("leader").agg(F.sum(F.col("major").cast("long")).alias("n_major"), F.sum((~F.col("major")).cast("long")).alias("n_minor"))
+    rows = materialize(rows.join(materialize(sizes.where("n_minor > 0"), "open-sizes"), "leader"), "open")
+    ids = materialize(rows.select("id").distinct(), "open-ids")
+    bags = materialize(_bags(docs, ids).join(first.select("id", "signature"), "id"), "open-bags")
+    more = materialize(_block_links(rows.join(bags, "id")), "more-links")
+    if more.limit(1).count():
+        found = components(links.unionByName(more))
 
     classes = of_same.join(found, F.col("same") == F.col("id"), "left").select("doc_id", F.coalesce("component", "same").alias("class_id"))
     classes = materialize(classes.groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "classes")
