@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from itertools import repeat
+from itertools import chain, repeat
+from string import punctuation
 
 import numpy as np
 
@@ -50,10 +51,11 @@ class ChunkedTokenizer:
         return self.ids[np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], n
 
     def _learn(self, chunks: list[str]) -> None:
-        """Chunks in ASCII are encoded in lower case, and a letter's full stop or comma by itself: the ids are the same."""
+        """Chunks in ASCII are encoded in lower case, and the symbols after a chunk's letters by themselves: the ids are the same."""
         lower = [c.lower() if c.isascii() else c for c in chunks]
-        parts = [(c[:-1], c[-1]) if c[-1] in ".," and c[-2:-1].isalpha() else (c, "") for c in lower]
-        bases = [x for x in dict.fromkeys(["." , ",", *(x for x, _ in parts)]) if x not in self.index]
+        cores = [c.rstrip(punctuation) for c in lower]
+        parts = [(core, c[len(core) :]) if core.isalpha() else (c, "") for core, c in zip(cores, lower, strict=True)]
+        bases = [x for x in dict.fromkeys(chain.from_iterable(parts)) if x not in self.index]
         if bases:
             starts = np.cumsum([0] + [len(c) + 1 for c in bases[:-1]])
             code = self.whole.encode(" ".join(bases), add_special_tokens=False)
