@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactgrid.llm import chat, html_text, licenses, line_dedup, mixing, near_dup, packing, quality_model, quality_rules, topk
+from contactgrid.llm import chat, html_text, licenses, line_dedup, mixing, near_dup, oracles, packing, quality_model, quality_rules, topk
 from contactgrid.llm.common import read
 
 
@@ -69,4 +69,4 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_windows": op10_chat_windows,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
