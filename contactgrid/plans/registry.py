@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from contactgrid import adapters
 from contactgrid.functions import scalars, transforms
-from contactgrid.operators import binning, expected, features, intervals, linalg, norm, pairs, query, stats
+from contactgrid.operators import binning, domains, expected, features, intervals, linalg, loops, norm, pairs, query, stats
 from contactgrid.sources import binary, text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,8 +97,8 @@ def _genes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    loops = adapters.loops(spark, d)
-    return loops.where("id % 2 = 0"), loops.where("id % 2 = 1")
+    both = adapters.loops(spark, d)
+    return both.where("id % 2 = 0"), both.where("id % 2 = 1")
 
 
 def _round(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
@@ -483,8 +483,7 @@ for _keep, _name, _not in ((True, "j12_at_locations", ""), (False, "j13_not_at_l
 
 @registered("j14_loop_domains", f"WITH {HALVES} SELECT {PICK} FROM lb b WHERE EXISTS (SELECT 1 FROM la a WHERE a.chr = b.chr AND abs(a.start1 - b.start1) <= 20000 AND abs(a.start2 - b.end1) <= 20000)")
 def j14(s, d):
-    loops, domains = _halves(s, d)
-    return features.loop_domains(loops, domains, 20_000).select(*LOOP_COLS)
+    return features.loop_domains(*_halves(s, d), 20_000).select(*LOOP_COLS)
 
 
 @registered("j15_rectangle_overlaps", f"WITH {HALVES} SELECT a.id, b.id AS b_id FROM la a JOIN lb b ON a.chr = b.chr AND a.start1 <= b.end1 AND b.start1 <= a.end1 AND a.start2 <= b.end2 AND b.start2 <= a.end2")
@@ -664,3 +663,27 @@ def x08(s, d):
  SELECT CAST(b.i AS INTEGER) AS bin, coalesce(counts, 0) AS value FROM range(40) b(i) LEFT JOIN m ON m.bin = b.i""")
 def k11(s, d):
     return query.cross_hair(_cells(s, d), 1, 7, 40)
+
+
+# Callers: tiles of numpy, so no SQL. The tests hold them against planted signals.
+@registered("c01_loops", None)
+def c01(s, d):
+    cells = _cells(s, d)
+    vector = norm.vc_sqrt(cells)
+    density = expected.expected(norm.normalize(cells, vector), _sizes(s, d), SIZE)
+    return loops.call_loops(cells, vector, density, SIZE).select("chr", "start1", "end1", "start2", "end2", "observed", *(f"expected{m}" for m in loops.MASKS), "numCollapsed")
+
+
+@registered("c05_domains", None)
+def c05(s, d):
+    return domains.call_domains(_cells(s, d))
+
+
+C04_FAR = "sqrt(power(a.start1 - b.start1, 2) + power(a.start2 - b.start2, 2))"
+
+
+@registered("c04_loop_differences", f"""WITH {HALVES}, n AS (SELECT a.id AS a_id, b.id AS b_id, {C04_FAR} AS far, a.start2 - a.start1 AS span_a, b.start2 - b.start1 AS span_b FROM la a JOIN lb b ON a.chr = b.chr AND {C04_FAR} <= 4000)
+ SELECT {PICK}, 'A' AS only_in FROM la WHERE id NOT IN (SELECT a_id FROM n GROUP BY a_id HAVING min(far) / any_value(span_a) <= 0.1)
+ UNION ALL SELECT {PICK}, 'B' FROM lb WHERE id NOT IN (SELECT b_id FROM n GROUP BY b_id HAVING min(far) / any_value(span_b) <= 0.1)""")
+def c04(s, d):
+    return loops.loop_differences(*_halves(s, d), 4000, 0.1).select(*LOOP_COLS, "only_in")

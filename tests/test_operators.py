@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from contactgrid.functions import scalars
-from contactgrid.operators import binning, expected, intervals, linalg, norm, query
+from contactgrid.operators import binning, domains, expected, intervals, linalg, loops, norm, query
 from contactgrid.sources import text
 from contactgrid.streaming.ingest import stream_contacts
 
@@ -86,3 +86,38 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     batch = binning.bin_contacts(pairs, [50]).drop("unit", "bin_size")
     assert sorted(map(tuple, spark.table("cells").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_loops_are_found_where_planted(spark):
+    n, size = 200, 10_000
+    rng = np.random.default_rng(0)
+    i, j = np.indices((n, n))
+    rate = 300 / (1 + np.abs(i - j)) ** 0.9
+    planted = {(60, 110), (130, 155)}
+    for a, b in planted:
+        for di in range(-2, 3):
+            for dj in range(-2, 3):
+                rate[a + di, b + dj] *= 1 + 8 * np.exp(-(di * di + dj * dj) / 1.5)
+    m = np.triu(rng.poisson(rate))
+    cells = spark.createDataFrame([(1, 1, int(a), int(b), float(m[a, b])) for a, b in zip(*np.nonzero(m), strict=True)], CELL)
+    sizes = spark.createDataFrame([(1, n * size)], "chr int, length long")
+    vector = norm.vc_sqrt(cells)
+    density = expected.expected(norm.normalize(cells, vector), sizes, size)
+    found = {(r.bin_x, r.bin_y) for r in loops.call_loops(cells, vector, density, size).collect()}
+    assert found == planted
+    fine = loops.call_loops(cells, vector, density, size)
+    assert loops.merge_resolutions(fine, fine).count() == len(planted)
+
+
+def test_domains_are_found_where_planted(spark):
+    n = 240
+    rate = np.ones((n, n)) * 2
+    planted = [(20, 70), (70, 130), (150, 210)]
+    for a, b in planted:
+        rate[a:b, a:b] += 20
+    m = np.triu(np.random.default_rng(0).poisson(rate))
+    cells = spark.createDataFrame([(1, 1, int(a), int(b), float(m[a, b])) for a, b in zip(*np.nonzero(m), strict=True)], CELL)
+    found = sorted(domains.call_domains(cells).collect(), key=lambda r: -r.score)[:3]
+    assert sorted((r.start_bin, r.end_bin + 1) for r in found) == planted
+    labels = domains.components(np.array([[1, 0, 0], [0, 1, 0], [0, 0, 0]]) > 0)
+    assert len(set(labels[labels > 0])) == 1
