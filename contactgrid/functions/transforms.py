@@ -6,12 +6,10 @@ at distance 0. A result that is no number is null.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-P = F.lit(1.0)
+P = 1.0
 
 
 def _cols(*names: str) -> list[Column]:
@@ -54,6 +52,3 @@ def split_transforms() -> dict[str, tuple[Column, Column]]:
 def norm_squared(v1: Column, v2: Column, dist: Column) -> Column:
     """X20."""
     return _by(F.lit(1.0), v1 * v2 * F.pow(F.greatest(dist, F.lit(1)).cast("double"), F.lit(4.0)))
-
-
-CellTransform = Callable[[], dict[str, Column]]

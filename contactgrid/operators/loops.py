@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from contactgrid.functions.scalars import poisson_tail
 from contactgrid.operators import features
+from contactgrid.tables import written
 
 MASKS = ("BL", "Donut", "H", "V")
 #: Peak width, window and clustering radius by bin size.
@@ -186,7 +187,7 @@ PIXEL_COLUMNS = [c.split()[0] for c in PIXEL.split(", ")]
 
 def call_loops(cells: DataFrame, vector: DataFrame, density: DataFrame, bin_size: int, settings: tuple[int, int, int] | None = None) -> DataFrame:
     """C01 at one resolution: loops as features with their scores."""
-    p = pixels(cells, vector, density, bin_size, settings=settings)
+    p = written(pixels(written(cells, "cells"), written(vector, "vector"), written(density, "density"), bin_size, settings=settings), "pixels")
     found = cluster(enriched(p, thresholds(p)), bin_size, (settings or SETTINGS[bin_size])[2])
     loops = found.where(features.fdr_accepts())
     start = lambda b: (F.col(b).cast("long") * bin_size)

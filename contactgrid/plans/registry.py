@@ -11,6 +11,7 @@ from contactgrid import adapters
 from contactgrid.functions import scalars, transforms
 from contactgrid.operators import binning, domains, expected, features, intervals, linalg, loops, norm, pairs, query, stats
 from contactgrid.sources import binary, text
+from contactgrid.tables import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -668,8 +669,8 @@ def k11(s, d):
 # Callers: tiles of numpy, so no SQL. The tests hold them against planted signals.
 @registered("c01_loops", None)
 def c01(s, d):
-    cells = _cells(s, d)
-    vector = norm.vc_sqrt(cells)
+    cells = written(_cells(s, d), "cells")
+    vector = written(norm.vc_sqrt(cells), "vector")
     density = expected.expected(norm.normalize(cells, vector), _sizes(s, d), SIZE)
     return loops.call_loops(cells, vector, density, SIZE).select("chr", "start1", "end1", "start2", "end2", "observed", *(f"expected{m}" for m in loops.MASKS), "numCollapsed")
 
