@@ -14,6 +14,7 @@ import pytest
 from contactgrid.llm import html_blocks, html_text, near_dup, packing, quality_model, topk
 from contactgrid.llm.shingles import WordHasher, bag_minhash, counted, shingle_sets
 from contactgrid.llm.tokens import ChunkedTokenizer
+from tests_llm_helpers import bag, classes
 
 DOC = "doc_id long, text string, lang string, source string, a string, bag string, key string"
 
@@ -122,29 +123,6 @@ def test_genetic_steps_keep_every_item_once():
 
 
 # Near-duplicates
-def bag(text):
-    w = (text or "").split()
-    return Counter(zip(*(w[k:] for k in range(5)), strict=False)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
-
-
-def classes(rows):
-    items = {i: bag(t) for i, t in rows}
-    name = {i: i for i in items}
-
-    def top(x):
-        while name[x] != x:
-            x = name[x]
-        return x
-
-    for a in items:
-        for b in items:
-            if a < b and items[a] and items[b]:
-                if sum((items[a] & items[b]).values()) >= 0.8 * sum((items[a] | items[b]).values()):
-                    x, y = sorted((top(a), top(b)))
-                    name[y] = x
-    return {i: top(i) for i in items}
-
-
 def test_near_duplicates(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 16)
     rng = random.Random(3)
