@@ -111,10 +111,10 @@ PICK = ", ".join(LOOP_COLS)
 
 
 @registered("q_region_dump", f"""{VC}, {NORMED} SELECT bin_x * {SIZE} AS x, bin_y * {SIZE} AS y, round(counts, 6) AS value FROM normed WHERE chr1 = 1 AND chr2 = 1
- AND ((bin_x * {SIZE} BETWEEN 0 AND 500000 AND bin_y * {SIZE} BETWEEN 100000 AND 900000) OR (bin_y * {SIZE} BETWEEN 0 AND 500000 AND bin_x * {SIZE} BETWEEN 100000 AND 900000))""")
+ AND ((bin_x * {SIZE} BETWEEN 0 AND 500000 AND bin_y * {SIZE} BETWEEN 25000 AND 900000) OR (bin_y * {SIZE} BETWEEN 0 AND 500000 AND bin_x * {SIZE} BETWEEN 25000 AND 900000))""")
 def q_region_dump(s, d):
     cells = _cells(s, d)
-    return _round(query.dump(norm.normalize(cells, norm.vc(cells)), 1, (0, 500_000), 1, (100_000, 900_000), SIZE), "value")
+    return _round(query.dump(norm.normalize(cells, norm.vc(cells)), 1, (0, 500_000), 1, (25_000, 900_000), SIZE), "value")
 
 
 # Sources: lines that Spark makes of the pairs, parsed again.
