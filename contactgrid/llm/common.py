@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import cache
+from functools import cache, lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +24,22 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
 
 
+_worker_caches: list = []
+
+
+def worker_cache(make):
+    """What make returns, once for each worker process and argument, until another stage frees it."""
+    kept = lru_cache(maxsize=1)(make)
+    _worker_caches.append(kept)
+    return kept
+
+
+def free_worker_caches() -> None:
+    """Called where a stage's tasks begin that don't need what a worker process has kept of another stage."""
+    for kept in _worker_caches:
+        kept.cache_clear()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it again.
 

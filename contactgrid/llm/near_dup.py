@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactgrid.llm.common import materialize, spaced
+from contactgrid.llm.common import free_worker_caches, materialize, spaced
 from contactgrid.llm.components import components
 from contactgrid.llm.shingles import WordHasher, bag_minhash, counted, mix, shingle_sets
 
@@ -29,6 +29,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
     """doc_id, a, b (hash of the words), signature, bands; only documents with words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker_caches()
         hasher = WordHasher()
         order = np.concatenate([np.arange(REGISTERS), np.arange(REGISTERS).reshape(BAND_REGISTERS, -1).T.ravel()])
         for batch in batches:
@@ -56,6 +57,7 @@ def _bags(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, bag): the counted shingles of the documents of ids."""
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker_caches()
         hasher = WordHasher()
         for batch in batches:
             for start, n, h, r, c in shingle_sets(batch.column("text"), SHINGLE_WORDS, hasher):

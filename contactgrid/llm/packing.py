@@ -6,7 +6,6 @@ import random
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
 from math import ceil
 
 import numpy as np
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactgrid.llm.common import materialize
+from contactgrid.llm.common import free_worker_caches, materialize, worker_cache
 from contactgrid.llm.tokens import ChunkedTokenizer
 
 CAPACITY = 4096
@@ -38,7 +37,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-@lru_cache(maxsize=1)
+@worker_cache
 def _tokenizer(path: str) -> ChunkedTokenizer:
     """One for each worker process, so that its cache serves all the tasks that the worker runs."""
     return ChunkedTokenizer(path)
@@ -163,6 +162,7 @@ ISLAND = "shard bigint, island int, lengths binary, groupings array<binary>"
 
 def _epoch(capacity: int, seed: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        free_worker_caches()
         for f in frames:
             kept = []
             for shard, island, raw, groupings in zip(f["shard"], f["island"], f["lengths"], f["groupings"], strict=True):

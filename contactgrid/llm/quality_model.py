@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactgrid.llm.common import materialize
+from contactgrid.llm.common import free_worker_caches, materialize
 
 #: Bounds of what the fit sees: labelled documents, and documents of the pool that gets pseudo-labels.
 MAX_LABELLED, MAX_POOL = 3_000, 3_000
@@ -150,6 +150,7 @@ def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, held: np.ndarray, pool
 
 
 def _views(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    free_worker_caches()
     texts = [b"" if t is None else t.encode(errors="replace") for t in f["text"]]
     return count_pairs(texts), metadata_view(f["lang"].tolist(), f["source"].tolist(), texts)
 

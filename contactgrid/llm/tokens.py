@@ -8,9 +8,9 @@ from string import punctuation
 import numpy as np
 
 #: Chunks that one worker keeps at most. When there are more, it starts anew; ids do not depend on it.
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 600_000
 #: Characters that are encoded together.
-STEP_CHARS = 2_000_000
+STEP_CHARS = 1_500_000
 
 
 class ChunkedTokenizer:
