@@ -169,3 +169,18 @@ def convergence(motif_pairs: DataFrame) -> DataFrame:
     sign = lambda c: F.when(F.col(c), "+").when(~F.col(c), "-")
     status = F.coalesce(F.concat(sign("strand1"), sign("strand2")), F.lit("incomplete"))
     return motif_pairs.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def union_without_overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
+    """A, and those of b that overlap none of it."""
+    hit = overlapping_rectangles(a, b).select(F.col("b_id").alias("id")).distinct()
+    return a.unionByName(b.join(hit, "id", "left_anti"))
+
+
+def centre_by_distance(loops: DataFrame, cells: DataFrame, resolution: int, first: int = 20_000) -> DataFrame:
+    """The sum of the loops' own cells by doubling bands of distance."""
+    mid = lambda e: F.floor(F.floor((F.col(f"start{e}") + F.col(f"end{e}")) / 2) / resolution).cast("int")
+    band = F.floor(F.log2(F.greatest((F.col("start2") - F.col("start1")) / first, F.lit(1.0)))).cast("int")
+    at = loops.select("chr", band.alias("band"), mid(1).alias("bin_x"), mid(2).alias("bin_y")).groupBy("chr", "band", "bin_x", "bin_y").agg(F.count(F.lit(1)).alias("n"))
+    c = cells.where("chr1 = chr2").select(F.col("chr1").alias("chr"), "bin_x", "bin_y", "counts")
+    return at.join(c, ["chr", "bin_x", "bin_y"]).groupBy("band").agg(F.sum(F.col("n") * F.col("counts")).alias("centre"))

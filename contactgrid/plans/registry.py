@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from contactgrid import adapters
 from contactgrid.functions import scalars, transforms
-from contactgrid.operators import binning, domains, expected, features, intervals, linalg, loops, norm, pairs, query, stats
+from contactgrid.operators import binning, domains, expected, features, intervals, linalg, loops, motifs, norm, pairs, query, stats
 from contactgrid.sources import binary, text
 from contactgrid.tables import written
 
@@ -688,3 +688,48 @@ C04_FAR = "sqrt(power(a.start1 - b.start1, 2) + power(a.start2 - b.start2, 2))"
  UNION ALL SELECT {PICK}, 'B' FROM lb WHERE id NOT IN (SELECT b_id FROM n GROUP BY b_id HAVING min(far) / any_value(span_b) <= 0.1)""")
 def c04(s, d):
     return loops.loop_differences(*_halves(s, d), 4000, 0.1).select(*LOOP_COLS, "only_in")
+
+
+ENDS_SQL = "ends AS (SELECT chr, start1 AS x1, end1 AS x2 FROM loops UNION ALL SELECT chr, start2, end2 FROM loops)"
+
+
+@registered("c11_genes_at_loops", f"WITH {LOOPS}, {GENES}, {ENDS_SQL} SELECT DISTINCT name FROM genes g WHERE EXISTS (SELECT 1 FROM ends e WHERE e.chr = g.chr AND e.x1 <= g.x2 AND g.x1 <= e.x2)")
+def c11(s, d):
+    return motifs.genes_at_loops(adapters.loops(s, d), _genes(s, d).select("id", "name", "chr", "x1", "x2"))
+
+
+@registered("a34_anchors", f"""WITH {LOOPS}, {ENDS_SQL}, m AS (SELECT *, max(x2) OVER (PARTITION BY chr ORDER BY x1, x2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, row_number() OVER (PARTITION BY chr ORDER BY x1, x2) AS k FROM ends),
+ g AS (SELECT *, sum(CASE WHEN reach IS NULL OR x1 > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chr ORDER BY k) AS island FROM m), i AS (SELECT chr, min(x1) AS x1, max(x2) AS x2, count(*) AS n FROM g GROUP BY chr, island)
+ SELECT chr, n, CASE WHEN x2 - x1 < 15000 THEN greatest((x1 + x2) // 2 - 7500, 0) ELSE x1 END AS x1, CASE WHEN x2 - x1 < 15000 THEN (x1 + x2) // 2 + 7500 ELSE x2 END AS x2 FROM i""")
+def a34(s, d):
+    return intervals.anchors(adapters.loops(s, d), 15_000)
+
+
+@registered("c07_unique_motifs", None)
+def c07(s, d):
+    loci = adapters.loci(s, d)
+    return motifs.unique_motifs(adapters.loops(s, d).where("id % 50 = 0"), [loci, _genes(s, d).select("id", "chr", "x1", "x2")], loci)
+
+
+
+
+@registered("f29_catalog_filter", f"WITH {GENES} SELECT gene_id, name FROM genes WHERE regexp_matches(lower(name), '(re|or).*[02468]$')")
+def f29(s, d):
+    return adapters.genes(s, d).where(F.lower("name").rlike("(re|or).*[02468]$")).select("gene_id", "name")
+
+
+@registered("u01_union_without_overlaps", f"""WITH {HALVES} SELECT id FROM la UNION ALL SELECT id FROM lb b WHERE NOT EXISTS (SELECT 1 FROM la a WHERE a.chr = b.chr AND a.start1 <= b.end1 AND b.start1 <= a.end1 AND a.start2 <= b.end2 AND b.start2 <= a.end2)""")
+def u01(s, d):
+    a, b = _halves(s, d)
+    return features.union_without_overlaps(a, b).select("id")
+
+
+@registered("a41_distinct_features", f"WITH {LOOPS} SELECT DISTINCT chr, start1, end1, start2, end2 FROM loops")
+def a41(s, d):
+    return adapters.loops(s, d).select("chr", *features.ENDS).distinct()
+
+
+@registered("a29_pile_up_by_distance", f"""{BASE}, {LOOPS}, a AS (SELECT chr, CAST(floor(log2(greatest((start2 - start1) / 20000.0, 1))) AS INTEGER) AS band, (start1 + end1) // 2 // {SIZE} AS mx, (start2 + end2) // 2 // {SIZE} AS my FROM loops)
+ SELECT band, sum(counts) AS centre FROM a JOIN cells ON chr1 = a.chr AND chr2 = a.chr AND bin_x = mx AND bin_y = my GROUP BY band""")
+def a29(s, d):
+    return features.centre_by_distance(adapters.loops(s, d), _cells(s, d), SIZE)
