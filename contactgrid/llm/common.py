@@ -40,6 +40,17 @@ def free_worker_caches() -> None:
         kept.cache_clear()
 
 
+#: Rows of an Arrow batch at most: texts are long, and both sides of the pipe hold a batch whole.
+BATCH_ROWS = 1_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to BATCH_ROWS, if there are more."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it again.
 

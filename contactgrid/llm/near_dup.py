@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactgrid.llm.common import free_worker_caches, materialize, spaced
+from contactgrid.llm.common import bound_batches, free_worker_caches, materialize, spaced
 from contactgrid.llm.components import components
 from contactgrid.llm.shingles import WordHasher, bag_minhash, counted, mix, shingle_sets
 
@@ -155,6 +155,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     class. Rows that share doc_id are one document, of class by any of the texts. No rows: no rows.
     Columns other than doc_id and text play no part.
     """
+    bound_batches(docs.sparkSession)
     signed = materialize(_signatures(docs), "signatures")
     equal = materialize(signed.groupBy("a", "b").agg(F.min("doc_id").alias("same")), "equal")
     of_same = materialize(signed.select("doc_id", "a", "b").join(equal, ["a", "b"]).select("doc_id", "same"), "same")

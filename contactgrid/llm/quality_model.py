@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactgrid.llm.common import free_worker_caches, materialize
+from contactgrid.llm.common import bound_batches, free_worker_caches, materialize
 
 #: Bounds of what the fit sees: labelled documents, and documents of the pool that gets pseudo-labels.
 MAX_LABELLED, MAX_POOL = 3_000, 3_000
@@ -197,6 +197,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     1 for all other texts. Labels of ids without document play no part; of several labels of an id the highest
     holds. Rows alike have equal scores. A column of the input named quality_score or quality_kept is replaced.
     """
+    bound_batches(docs.sparkSession)
     model = fit_quality(docs, labels)
     blank = F.coalesce(F.length(F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))) == 0, F.lit(True))
 

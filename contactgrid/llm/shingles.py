@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_STEP_BYTES = 1 << 21
+_STEP_BYTES = 1 << 19
 _GAPS = np.zeros(256, bool)
 _GAPS[[9, 10, 11, 12, 13, 32]] = True
 
