@@ -121,3 +121,43 @@ def test_domains_are_found_where_planted(spark):
     assert sorted((r.start_bin, r.end_bin + 1) for r in found) == planted
     labels = domains.components(np.array([[1, 0, 0], [0, 1, 0], [0, 0, 0]]) > 0)
     assert len(set(labels[labels > 0])) == 1
+
+
+def test_sinks_read_back(spark, tmp_path):
+    from contactgrid.sources import sinks
+
+    cells = cells_of(spark, symmetric(6)).selectExpr("chr1", "chr2", "'BP' unit", "5000 bin_size", "bin_x", "bin_y", "counts")
+    sinks.write_matrices(cells, f"{tmp_path}/m", least=3.0)
+    back = spark.read.parquet(f"{tmp_path}/m").where("unit = 'BP' and bin_size = 5000 and chr1 = 1 and bin_x = 2")
+    assert {(r.bin_y, r.counts) for r in back.collect()} == {(r.bin_y, r.counts) for r in cells.where("bin_x = 2 and counts >= 3").collect()}
+    loops_ = spark.createDataFrame([("1", 10, 20, 30, 40, 7.0)], "chr string, start1 long, end1 long, start2 long, end2 long, observed double")
+    found = text.parse_bedpe(sinks.bedpe_lines(loops_).selectExpr("regexp_replace(value, '^((?:[^\\t]*\\t){9})[^\\t]*\\t', '$1') value"), sinks.bedpe_header().replace("\tstrand2", "")).first()
+    assert (found.start1, found.end2, found.attrs["observed"]) == (10, 40, "7.0")
+    wig = sinks.wig_lines(spark.createDataFrame([(1, 3, 1.5), (1, 4, 2.0), (1, 9, 3.0)], "chr int, bin int, value double"), 10).orderBy("line").collect()
+    assert [r.value for r in wig] == ["fixedStep chrom=1 start=31 step=10 span=10", "1.5", "2.0", "fixedStep chrom=1 start=91 step=10 span=10", "3.0"]
+
+
+def test_assembly_edits():
+    from contactgrid.operators import assembly
+
+    layout = [[1, 2, -3], [4, 5]]
+    assert assembly.invert(layout, 2, 3) == [[1, 3, -2], [4, 5]]
+    assert assembly.move(layout, 1, 2, 4) == [[-3], [4, 1, 2, 5]]
+    assert assembly.split(layout, 1) == [[1], [2, -3], [4, 5]]
+    assert assembly.merge(layout, 5, 1) == [[1, 2, -3, 4, 5]]
+    assert assembly.scatter(layout, 2, 3) == [[1], [2], [-3], [4, 5]]
+    h = assembly.History([layout])
+    h.apply(assembly.split, 1)
+    assert h.undo() == layout and h.redo() == assembly.split(layout, 1)
+    lines = [">a 1 100", ">b 2 50", "1 -2"]
+    assert assembly.format_assembly(*assembly.parse_assembly(lines)) == lines
+
+
+def test_resolved_layout(spark):
+    from contactgrid.operators import assembly
+
+    scaffolds = spark.createDataFrame([(1, 100), (2, 50), (3, 30)], "id int, length long")
+    layout = spark.createDataFrame([(0, 0, -2), (0, 1, 1), (1, 0, 3)], "super_id int, pos int, signed_id int")
+    found = {r.id: (r.new_start, r.inverted) for r in assembly.resolve(scaffolds, layout).collect()}
+    assert found == {2: (0, True), 1: (50, False), 3: (150, False)}
+    assert assembly.aggregates(assembly.resolve(scaffolds, layout)).count() == 3
