@@ -59,6 +59,18 @@ def test_host_repeats_go_where_markup_is_silent(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_runs_are_cut_exactly_and_copies_are_no_repeats(spark):
+    own = lambda i, n: " ".join(f"u{i}x{k}" for k in range(n))
+    shared = " ".join(f"s{k}" for k in range(20))
+    pages = [f"<p>{own('copy', 40)}</p>"] * 4
+    pages += [f"<div>Read more</div><p>{own(i, 60)} {shared} {own(-i, 5)}</p><p>{shared} {own(i + 10, 3)}</p>" for i in range(1, 5)]
+    rows = [(i, "http://h.example/", x) for i, x in enumerate(pages)] + [(90, "http://h.example/", f"<article>{shared}</article>"), (91, "http://g.example/", f"<p>{shared}</p>")]
+    found = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == own("copy", 40) for i in range(4))
+    assert all(found[3 + i] == f"{own(i, 60)} {own(-i, 5)}\n{own(i + 10, 3)}" for i in range(1, 5))
+    assert found[90] == found[91] == shared
+
+
 def test_sampled_suffixes_are_the_same_wherever_a_run_stands():
     run = [f"r{k}" for k in range(80)]
     pages = [[" ".join([f"a{k}" for k in range(n)] + run + [f"z{n}{k}" for k in range(9)])] for n in (0, 13, 57)]
