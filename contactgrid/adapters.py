@@ -57,6 +57,12 @@ def loci(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spread(features: DataFrame, step: int, first: str, *others: str) -> DataFrame:
+    """All rows, each moved to start at id * step: along chromosomes that grow with the table, so that anchors don't all merge."""
+    at = F.col("id").cast("long") * step
+    return features.withColumns({first: at, **{c: at + F.col(c) - F.col(first) for c in others}})
+
+
 def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named intervals from parts."""
     t = table(spark, sf_dir, "part")

@@ -707,8 +707,10 @@ def a34(s, d):
 
 @registered("c07_unique_motifs", None)
 def c07(s, d):
-    loci = adapters.loci(s, d)
-    return motifs.unique_motifs(adapters.loops(s, d).where("id % 50 = 0"), [loci, _genes(s, d).select("id", "chr", "x1", "x2")], loci)
+    sparse = adapters.spread(adapters.loops(s, d), 40_000, "start1", "end1", "start2", "end2")
+    loci = adapters.spread(adapters.loci(s, d), 60_000, "x1", "x2")
+    genes = adapters.spread(_genes(s, d).select("id", "chr", "x1", "x2"), 300_000, "x1", "x2")
+    return motifs.unique_motifs(sparse, [loci, genes], loci)
 
 
 

@@ -109,6 +109,19 @@ def test_loops_are_found_where_planted(spark):
     assert loops.merge_resolutions(fine, fine).count() == len(planted)
 
 
+def test_unique_motifs_of_all_loops(spark, monkeypatch):
+    from contactgrid import adapters
+    from contactgrid.plans import registry
+
+    loops_ = spark.createDataFrame([(i, 1, 0, 1000, 25_000, 26_000) for i in range(30)], "id long, chr int, start1 long, end1 long, start2 long, end2 long")
+    loci = spark.createDataFrame([(i, 1, 5, 205, float(i)) for i in range(20)], "id long, chr int, x1 long, x2 long, score double")
+    genes = spark.createDataFrame([(i, 1, 7, 2007) for i in range(4)], "gene_id long, chr int, x1 long, x2 long")
+    for name, table in (("loops", loops_), ("loci", loci), ("genes", genes)):
+        monkeypatch.setattr(adapters, name, lambda s, d, table=table: table)
+    # each locus, at 60,000 * i, is alone in an end of a loop at 40,000 * k or 25,000 further; genes, at 300,000 * k, overlap each fifth
+    assert sorted(r.hit for r in registry.QUERIES["c07_unique_motifs"](spark, "").collect()) == [0, 5, 10, 15]
+
+
 def test_domains_are_found_where_planted(spark):
     n = 240
     rate = np.ones((n, n)) * 2
