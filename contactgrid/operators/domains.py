@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from contactgrid.operators.norm import both_sides
 
 GAP = 7
+#: Bins of the window that slides along the diagonal by half of it: no wider domain is found.
+TILE = 2_000
 VARIANCE, SIGN, LEAST_SIGN, SIGN_STEP = 0.2, 0.5, 0.4, 0.1
 
 
@@ -28,20 +30,22 @@ def preference(m: np.ndarray) -> np.ndarray:
 
 
 def _triangles(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each corner (a, b), the sums of v over its two triangles, from running sums along rows, of every eighth row of wide ones.
+    """For each corner (a, b), the whole sums of v over its two triangles, each from that of (a, b - 1) and running sums along rows and columns.
 
     A domain a..b leaves two marks. In rows of its first half, cells whose mirror is upstream of a, columns 2i - a to b, prefer
     downstream (upper); in rows of its second half, cells past b whose mirror is still inside, b to 2i - a, prefer upstream (lower).
     """
     n = len(v)
-    right = np.pad(v.cumsum(1), ((0, 0), (1, 0)))
+    right, down = np.pad(v.cumsum(1), ((0, 0), (1, 0))), np.pad(v.cumsum(0), ((1, 0), (0, 0)))
     upper, lower = np.zeros((n, n)), np.zeros((n, n))
+    up, lo = v.diagonal().copy(), np.zeros(n)
     for width in range(1, n):
         a = np.arange(0, n - width)
-        b, half = a + width, width // 2
-        step = max(1, half // 8)
-        upper[a, b] = sum(right[a + r, b + 1] - right[a + r, a + 2 * r] for r in range(0, half + 1, step))
-        lower[a, b] = sum(right[a + r, np.minimum(a + 2 * r, n - 1) + 1] - right[a + r, b + 1] for r in range(half + 1, width + 1, step))
+        b = a + width
+        # column b comes to the upper triangle, and goes from the lower one, which gets row b
+        up = up[:-1] + down[a + width // 2 + 1, b] - down[a, b]
+        lo = lo[:-1] - (down[b, b] - down[a + (width + 1) // 2, b]) + right[b, np.minimum(2 * b - a, n - 1) + 1] - right[b, b + 1]
+        upper[a, b], lower[a, b] = up, lo
     return upper, lower
 
 
@@ -51,46 +55,49 @@ def _mean(v: np.ndarray, ones: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarra
 
 
 def components(mask: np.ndarray) -> np.ndarray:
-    """Labels of 8-connected components, by label spreading; 0 is outside."""
-    labels = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        padded = np.pad(labels, 1)
-        best = labels
-        for di in (0, 1, 2):
-            for dj in (0, 1, 2):
-                best = np.maximum(best, padded[di : di + mask.shape[0], dj : dj + mask.shape[1]])
-        best = np.where(mask, best, 0)
-        if (best == labels).all():
-            return labels
-        labels = best
-
-
-def corner_scores(m: np.ndarray, sign: float, variance: float = VARIANCE) -> tuple[np.ndarray, ...]:
-    """The score of each corner, and the variances and signs it is made of; zero where the thresholds fail."""
+    """Labels of 8-connected components, by label spreading over the cells of the mask; 0 is outside."""
+    number = np.zeros((mask.shape[0] + 2, mask.shape[1] + 2), np.int64)
+    i, j = np.nonzero(mask)
+    number[i + 1, j + 1] = np.arange(1, len(i) + 1)
+    near = [number[i + 1 + di, j + 1 + dj] for di, dj in ((0, 1), (1, -1), (1, 0), (1, 1))]
+    a, b = np.concatenate([np.flatnonzero(x) + 1 for x in near]), np.concatenate([x[x > 0] for x in near])
+    top = np.arange(len(i) + 1)
+    while (top[a] != top[b]).any():
+        low, high = np.minimum(top[a], top[b]), np.maximum(top[a], top[b])
+        np.minimum.at(top, high, low)
+        while (top[top] != top).any():
+            top = top[top]
+    out = np.zeros(mask.shape, np.int64)
+    out[i, j] = top[1:]
+    return out
+
+
+def corner_scores(m: np.ndarray, variance: float = VARIANCE) -> tuple[np.ndarray, ...]:
+    """The score of each corner, and the variances and signs it is made of; zero where the variance is over its threshold."""
     p = preference(m)
     ones = _triangles((np.abs(p) > 0).astype(float))
     u, l = _mean(p, ones)  # noqa: E741
     su, sl = _mean(np.sign(p), ones)
-    qu, ql = _mean(p * p, ones)
-    vu, vl = qu - u * u, ql - l * l
+    vu, vl = _mean(p * p, ones)
+    vu -= u * u
+    vl -= l * l
     scaled = lambda x: x / (np.abs(x).max() or 1)
     score = scaled(l - u) + scaled(sl - su) - scaled(vu + vl)
-    bad = (-su < sign) | (sl < sign) | (vu + vl > variance)
-    return np.where(bad, 0.0, np.maximum(score, 0.0)), vu, vl, su, sl
+    return np.where(vu + vl > variance, 0.0, np.maximum(score, 0.0)), vu, vl, su, sl
 
 
 def call_tile(m: np.ndarray) -> list[tuple]:
     """Domains of a square on the diagonal: (start, end, score, uVar, lVar, upSign, loSign), under falling sign thresholds until there are some."""
+    score, vu, vl, su, sl = corner_scores(m)
     sign = SIGN
     while sign >= LEAST_SIGN - 1e-9:
-        score, vu, vl, su, sl = corner_scores(m, sign)
-        labels = components(score > 0)
-        found = []
-        for k in np.unique(labels[labels > 0]):
-            i, j = np.unravel_index(np.where(labels == k, score, -1).argmax(), score.shape)
-            found.append((int(i), int(j), *(float(x[i, j]) for x in (score, vu, vl, su, sl))))
-        if found:
-            return found
+        mask = (score > 0) & (-su >= sign) & (sl >= sign)
+        i, j = np.nonzero(mask)
+        labels, scores = components(mask)[i, j], score[i, j]
+        order = np.lexsort((j, i, -scores, labels))
+        best = order[np.diff(labels[order], prepend=0) > 0]
+        if len(best):
+            return [(int(i[k]), int(j[k]), *(float(x[i[k], j[k]]) for x in (score, vu, vl, su, sl))) for k in best]
         sign -= SIGN_STEP
     return []
 
@@ -98,14 +105,14 @@ def call_tile(m: np.ndarray) -> list[tuple]:
 DOMAIN = "chr int, start_bin int, end_bin int, score double, uVarScore double, lVarScore double, upSign double, loSign double"
 
 
-def call_domains(cells: DataFrame, tile: int = 200, least_width: int = 8) -> DataFrame:
+def call_domains(cells: DataFrame, tile: int = TILE, least_width: int = 8) -> DataFrame:
     """Domains of each chromosome from tiles along its diagonal, each half over the next; the same domain from two tiles counts once.
 
-    A tile's cells are packed in one row and solved by numpy, so that the work is spread over tiles of bounded size; domains within two bins at both ends of a
+    A tile's cells, of one side, are packed in one row and solved by numpy, so that the work is spread over tiles of bounded size; domains within two bins at both ends of a
     stronger one of the next tile are left out.
     """
     step = tile // 2
-    sides = both_sides(cells).where(F.abs(F.col("bin") - F.col("other")) < tile)
+    sides = both_sides(cells).where((F.col("bin") <= F.col("other")) & (F.col("other") - F.col("bin") < tile))
     low, high = F.least("bin", "other"), F.greatest("bin", "other")
     numbers = F.sequence(F.greatest(F.ceil((high - tile + 1) / step), F.lit(0)).cast("int"), F.floor(low / step).cast("int"))
     dealt = sides.where(F.greatest(F.ceil((high - tile + 1) / step), F.lit(0)) <= F.floor(low / step)).withColumn("tile", F.explode(numbers))
@@ -114,8 +121,9 @@ def call_domains(cells: DataFrame, tile: int = 200, least_width: int = 8) -> Dat
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for t in f.itertuples(index=False):
-                m = np.zeros((tile, tile))
-                m[np.asarray(t.bin) - t.tile * step, np.asarray(t.other) - t.tile * step] = t.counts
+                i, j = np.asarray(t.bin) - t.tile * step, np.asarray(t.other) - t.tile * step
+                m = np.zeros((j.max() + 1, j.max() + 1))
+                m[i, j] = m[j, i] = t.counts
                 rows = [(t.chr, a + t.tile * step, b + t.tile * step, *rest) for a, b, *rest in call_tile(m) if b - a >= least_width]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in DOMAIN.split(", ")])
 

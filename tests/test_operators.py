@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from contactgrid.functions import scalars
@@ -136,6 +137,25 @@ def test_domains_are_found_where_planted(spark):
     assert len(set(labels[labels > 0])) == 1
 
 
+def test_triangle_sums_are_whole():
+    v = np.triu(np.random.default_rng(1).normal(size=(60, 60)))
+    upper, lower = domains._triangles(v)
+    for a in range(60):
+        for b in range(a + 1, 60):
+            half = (b - a) // 2
+            assert np.isclose(upper[a, b], sum(v[a + r, a + 2 * r : b + 1].sum() for r in range(half + 1)))
+            assert np.isclose(lower[a, b], sum(v[a + r, b + 1 : a + 2 * r + 1].sum() for r in range(half + 1, b - a + 1)))
+
+
+def test_wide_domains_are_found(spark):
+    n = 700
+    rate = np.ones((n, n)) * 2
+    rate[200:500, 200:500] += 20
+    m = np.triu(np.random.default_rng(0).poisson(rate))
+    cells = spark.createDataFrame(pd.DataFrame([(1, 1, int(a), int(b), float(m[a, b])) for a, b in zip(*np.nonzero(m), strict=True)]), CELL)
+    assert (200, 500) in {(r.start_bin, r.end_bin + 1) for r in domains.call_domains(cells).collect()}
+
+
 def test_sinks_read_back(spark, tmp_path):
     from contactgrid.sources import sinks
 
