@@ -28,7 +28,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan_licenses(read(spark, sf_dir, "documents"), licenses.known_digests(spark), len(licenses.KNOWN))
+    found = licenses.scan_licenses(read(spark, sf_dir, "documents"), licenses.known_digests(spark), len(licenses.KNOWN) + len(licenses.DIGESTS))
     return found.select("row.doc_id", "digest", "license_id")
 
 

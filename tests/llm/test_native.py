@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +63,16 @@ def test_digests(spark):
     assert len(found) == len(rows)
 
 
+@pytest.mark.parametrize(("file", "told"), [("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("MPL-2.0", "MPL-2.0"), ("LGPL-2.1", "LGPL-2.1")])
+def test_long_licences_are_known(spark, file, told):
+    path = Path("/usr/share/common-licenses") / file
+    if not path.exists():
+        pytest.skip("no licence texts")
+    text = path.read_text()
+    found = licenses.scan_licenses(docs(spark, [(1, text), (2, text.upper()), (3, text + " more")]), licenses.known_digests(spark), len(licenses.KNOWN) + len(licenses.DIGESTS))
+    assert {r.doc_id: r.license_id for r in found.select("row.doc_id", "license_id").collect()} == {1: told, 2: told, 3: None}
+
+
 def water_fill(sizes, weights, most):
     total, open_, target = sum(sizes.values()), set(sizes), {}
     while open_:
