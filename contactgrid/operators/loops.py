@@ -212,10 +212,37 @@ def merge_resolutions(fine: DataFrame, coarse: DataFrame, coarsest: DataFrame |
 
 
 def loop_differences(a: DataFrame, b: DataFrame, radius: int = 50_000, fraction: float = 0.2) -> DataFrame:
-    """Loops that the other list doesn't have nearby, labelled with their own."""
+    """C04, first half: loops that the other list doesn't have nearby, labelled with their own."""
     out = None
     for mine, other, name in ((a, b, "A"), (b, a, "B")):
         kept = features.reproducible_nearest(other, mine, radius, fraction).select("id")
         part = mine.join(kept, "id", "left_anti").withColumn("only_in", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def not_enriched(loops: DataFrame, cells: DataFrame, vector: DataFrame, density: DataFrame, bin_size: int, limit: float = 1.3, settings: tuple[int, int, int] | None = None) -> DataFrame:
+    """Loops whose pixel in a map is observed less than ``limit`` times what each of the four masks expects.
+
+    Loops' pixels that the map has no counts in are scored as zero counts. A loop without expected values, such as one near the
+    diagonal or of a bin without a norm, can't be told and is left out, as in the original.
+    """
+    at = loops.withColumns({"bin_x": F.floor(F.col("start1") / bin_size).cast("int"), "bin_y": F.floor(F.col("start2") / bin_size).cast("int")})
+    pixel = at.select(F.col("chr").alias("chr1"), F.col("chr").alias("chr2"), "bin_x", "bin_y").distinct()
+    empty = pixel.join(cells, ["chr1", "chr2", "bin_x", "bin_y"], "left_anti").withColumn("counts", F.lit(0.0))
+    p = pixels(cells.select(*empty.columns).unionByName(empty), vector, density, bin_size, settings=settings)
+    low = p.where(F.col("observed") < limit * F.least(*(F.col(f"expected{m}") for m in MASKS))).select("chr", "bin_x", "bin_y")
+    return at.join(low, ["chr", "bin_x", "bin_y"], "left_semi").select(*loops.columns)
+
+
+def differential_loops(
+    a: DataFrame, b: DataFrame, map_a: tuple[DataFrame, DataFrame, DataFrame], map_b: tuple[DataFrame, DataFrame, DataFrame], bin_size: int, radius: int = 50_000, fraction: float = 0.2, limit: float = 1.3,
+    settings: tuple[int, int, int] | None = None,
+) -> DataFrame:
+    """Loops that the other list doesn't have nearby and that aren't enriched in the other map, labelled with their own.
+
+    A map is its cells, norm vector and expected values by distance, as in call_loops().
+    """
+    found = loop_differences(a, b, radius, fraction)
+    parts = [not_enriched(found.where(F.col("only_in") == name), *other, bin_size, limit, settings) for name, other in (("A", map_b), ("B", map_a))]
+    return parts[0].unionByName(parts[1])

@@ -123,6 +123,25 @@ def test_unique_motifs_of_all_loops(spark, monkeypatch):
     assert sorted(r.hit for r in registry.QUERIES["c07_unique_motifs"](spark, "").collect()) == [0, 5, 10, 15]
 
 
+def test_differential_loops_are_not_enriched_in_the_other_map(spark):
+    n, size = 120, 10_000
+    rate = np.full((n, n), 20.0)
+    rate[20, 60] = 200  # in the other map too, though its list has no loop there
+    m = np.triu(np.random.default_rng(3).poisson(rate)).astype(float)
+    m[70, 100], m[40, 90] = 0, 20
+    cells = spark.createDataFrame(pd.DataFrame([(1, 1, int(x), int(y), m[x, y]) for x, y in zip(*np.nonzero(m), strict=True)]), CELL)
+    vector = spark.createDataFrame([(1, i, 1.0) for i in range(n)], "chr int, bin int, value double")
+    density = spark.createDataFrame([(i, 20.0) for i in range(n)], "dist int, value double")
+    schema = "id long, chr int, start1 long, end1 long, start2 long, end2 long"
+    loop = lambda k, x, y: (k, 1, x * size, (x + 1) * size, y * size, (y + 1) * size)
+    mine = spark.createDataFrame([loop(1, 20, 60), loop(2, 40, 90), loop(3, 70, 100), loop(4, 10, 50)], schema)
+    m2 = (cells, vector, density)
+    other = spark.createDataFrame([loop(5, 10, 50)], schema)
+    found = {(r.id, r.only_in) for r in loops.differential_loops(mine, other, m2, m2, size).collect()}
+    assert found == {(2, "A"), (3, "A")}
+    assert {r.id for r in loops.loop_differences(mine, other).collect()} == {1, 2, 3}
+
+
 def test_domains_are_found_where_planted(spark):
     n = 240
     rate = np.ones((n, n)) * 2
