@@ -15,18 +15,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactgrid.llm.common import bound_batches, free_worker_caches, materialize, worker_cache
-from contactgrid.llm.tokens import ChunkedTokenizer
+from contactgrid.llm.tokens import RunTokenizer
 
 CAPACITY = 4096
 #: The id after each document's ids.
 END_ID = 1
-#: Documents that are encoded at a time.
-STEP_ROWS = 500
 #: Pieces that one shard holds, on average. Each shard is a packing problem of its own.
-SHARD_PIECES = 1024
-ISLANDS, EPOCHS, POPULATION, CHILDREN = 2, 2, 5, 16
-#: Of each shard, so many of the least filled sequences are packed once more together with those of so many other shards.
-LOOSE_BINS, LOOSE_PIECES, LOOSE_SHARDS = 6, 256, 32
+SHARD_PIECES = 4096
+ISLANDS, EPOCHS, POPULATION, CHILDREN = 2, 3, 5, 30
+#: The share of the other parent's full bins that a crossover injects, and that of the child's other bins that it takes apart.
+INJECTED, DISSOLVED = 0.25, 0.3
+#: Of each shard, the least filled sequences, up to so many pieces, are packed once more together with those of so many other shards.
+LOOSE_PIECES, LOOSE_SHARDS = 256, 16
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -38,9 +38,9 @@ def default_tokenizer() -> str:
 
 
 @worker_cache
-def _tokenizer(path: str) -> ChunkedTokenizer:
+def _tokenizer(path: str) -> RunTokenizer:
     """One for each worker process, so that its cache serves all the tasks that the worker runs."""
-    return ChunkedTokenizer(path)
+    return RunTokenizer(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -48,16 +48,20 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
-        for batch in (b.slice(i, STEP_ROWS) for b in batches for i in range(0, b.num_rows, STEP_ROWS)):
-            rows: list[tuple] = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer.encode(batch.column(1).to_pylist()), strict=True):
-                ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
-                for k, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    rows.append((doc_id, k, start, len(part), zlib.crc32(part.tobytes())))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        for batch in batches:
+            for first, ids, ends in tokenizer.encode(batch.column(1)):
+                n = np.diff(ends, prepend=0)
+                ids = np.insert(ids, ends, END_ID).astype("<u4")
+                begin, n = ends - n + np.arange(len(n)), n + 1
+                parts = -(-n // capacity)
+                of = np.repeat(np.arange(len(n)), parts)
+                k = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+                start = k * capacity
+                length = np.minimum(n[of] - start, capacity)
+                raw, at = memoryview(ids).cast("B"), 4 * (begin[of] + start)
+                crc = [zlib.crc32(raw[a : a + x]) for a, x in zip(at.tolist(), (4 * length).tolist(), strict=True)]
+                columns = [batch.column(0).take(pa.array(first + of)), pa.array(k, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
@@ -73,52 +77,62 @@ class Grouping:
 
     def best_fit(self, items: list[int]) -> None:
         """Puts items, the longest first, each into the bin that it fills best, or a new one."""
-        room = sorted((self.capacity - load, k) for k, load in enumerate(self.loads))
-        for i in items:
+        room = sorted((self.capacity - load, k) for k, load in enumerate(self.loads) if load < self.capacity)
+        for i in sorted(items, key=lambda i: (-self.lengths[i], i)):
             n = self.lengths[i]
             at = bisect_left(room, (n, -1))
             if at == len(room):
                 self.bins.append([i])
                 self.loads.append(n)
-                insort(room, (self.capacity - n, len(self.bins) - 1))
+                left, k = self.capacity, len(self.bins) - 1
             else:
                 left, k = room.pop(at)
                 self.bins[k].append(i)
                 self.loads[k] += n
+            if left > n:
                 insort(room, (left - n, k))
 
-    def fitness(self) -> float:
-        """Fewer bins first; among as many, the fuller the full ones."""
-        return sum((x / self.capacity) ** 2 for x in self.loads) / max(1, len(self.bins)) - len(self.bins)
+    def fill(self, items: list[int]) -> list[int]:
+        """Swaps members of bins with room for items that fill these exactly; returns the items that are left over then."""
+        by_length: dict[int, list[int]] = {}
+        for i in items:
+            by_length.setdefault(self.lengths[i], []).append(i)
+        for k, load in enumerate(self.loads):
+            room = self.capacity - load
+            for at, i in enumerate(self.bins[k] if room > 0 else ()):
+                if fitting := by_length.get(self.lengths[i] + room):
+                    self.bins[k][at] = fitting.pop()
+                    self.loads[k] = self.capacity
+                    by_length.setdefault(self.lengths[i], []).append(i)
+                    break
+        return [i for same in by_length.values() for i in same]
+
+    def rank(self) -> tuple[int, int]:
+        """The number of bins, then the room outside the emptiest one: least is best, and (n, 0) as good as can be."""
+        room = [max(0, self.capacity - x) for x in self.loads]
+        return len(room), sum(room) - max(room, default=0)
 
-    def without(self, items: set[int]) -> tuple[Grouping, list[int]]:
-        """The bins that hold none of the items, and the other items of the rest."""
+    def crossover(self, other: Grouping, rng: random.Random) -> Grouping:
+        """Injects whole well-filled bins of the other parent, removes the bins that share members with them, best-fits what these leave.
+
+        The emptiest bins, and some of the others with room, are taken apart too, so that there is something to fit.
+        """
+        best = [k for k, x in enumerate(other.loads) if x >= self.capacity and len(other.bins[k]) > 1]
+        best = best or sorted(range(len(other.bins)), key=lambda k: -other.loads[k])[: ceil(len(other.bins) / 4)]
+        injected = [list(other.bins[k]) for k in rng.sample(best, ceil(len(best) * INJECTED))]
+        doubled = {i for b in injected for i in b}
+        with_room = sorted((k for k, x in enumerate(self.loads) if x < self.capacity), key=lambda k: self.loads[k])
+        apart = {*with_room[:2], *rng.sample(with_room, int(len(with_room) * DISSOLVED))}
         keep, displaced = [], []
-        for b in self.bins:
-            if items.isdisjoint(b):
-                keep.append(list(b))
+        for k, b in enumerate(self.bins):
+            if k in apart or not doubled.isdisjoint(b):
+                displaced += [i for i in b if i not in doubled]
             else:
-                displaced += [i for i in b if i not in items]
-        return Grouping(self.lengths, self.capacity, keep), displaced
-
-    def crossover(self, other: Grouping, rng: random.Random) -> Grouping:
-        """Injects whole well-filled bins of the other parent, removes the bins they double, best-fits what these leave."""
-        ranked = sorted(range(len(other.bins)), key=lambda k: -other.loads[k])
-        top = ranked[: max(1, len(ranked) // 2)]
-        injected = [list(other.bins[k]) for k in rng.sample(top, max(1, len(top) // 4))]
-        child, displaced = self.without({i for b in injected for i in b})
-        child = Grouping(self.lengths, self.capacity, child.bins + injected)
-        displaced += child.dissolve(2)
-        child.best_fit(sorted(displaced, key=lambda i: (-self.lengths[i], i)))
+                keep.append(list(b))
+        child = Grouping(self.lengths, self.capacity, keep + injected)
+        child.best_fit(child.fill(displaced))
         return child
 
-    def dissolve(self, n: int) -> list[int]:
-        """Takes the n least filled bins apart."""
-        gone = set(sorted(range(len(self.bins)), key=lambda k: self.loads[k])[:n])
-        items = [i for k in gone for i in self.bins[k]]
-        self.bins, self.loads = [b for k, b in enumerate(self.bins) if k not in gone], [x for k, x in enumerate(self.loads) if k not in gone]
-        return items
-
     def labels(self) -> np.ndarray:
         found = np.empty(len(self.lengths), "<i4")
         for k, b in enumerate(self.bins):
@@ -133,29 +147,35 @@ class Grouping:
         return cls(lengths, capacity, [b for b in bins if b])
 
     @classmethod
-    def start(cls, lengths: list[int], capacity: int, rng: random.Random, shake: float) -> Grouping:
-        """Best-fit in decreasing order of lengths, of which a share is random."""
+    def start(cls, lengths: list[int], capacity: int, rng: random.Random, first: float) -> Grouping:
+        """Best-fit in decreasing order of lengths; a random share of the items goes first."""
         g = cls(lengths, capacity)
-        g.best_fit(sorted(range(len(lengths)), key=lambda i: (-lengths[i] * (1 + shake * rng.random()), i)))
+        early = [i for i in range(len(lengths)) if first and rng.random() < first]
+        g.best_fit(early)
+        g.best_fit(sorted(set(range(len(lengths))).difference(early)))
         return g
 
 
 def evolve(lengths: list[int], capacity: int, population: list[Grouping], rng: random.Random, children: int = CHILDREN) -> list[Grouping]:
     """One epoch of an island; the fittest come first. It ends early where no packing can be better."""
-    least = ceil(sum(lengths) / capacity)
-    population = sorted(population, key=Grouping.fitness, reverse=True)[:POPULATION]
-    while len(population) < POPULATION and (not population or len(population[0].bins) > least):
-        population.append(Grouping.start(lengths, capacity, rng, 0.0 if not population else 0.3 * rng.random()))
-        population.sort(key=Grouping.fitness, reverse=True)
-    for _ in range(children if len(population) > 1 else 0):
-        if len(population[0].bins) <= least:
+    least = (ceil(sum(min(n, capacity) for n in lengths) / capacity), 0)
+    ranked = [(g.rank(), g) for g in population]
+    if not ranked:
+        starts = [Grouping.start(lengths, capacity, rng, 0.0)]
+        if starts[0].rank() > least:
+            starts += [Grouping.start(lengths, capacity, rng, 0.3 * rng.random()) for _ in range(POPULATION - 1)]
+        ranked = [(g.rank(), g) for g in starts]
+    ranked = sorted(ranked, key=lambda x: x[0])[:POPULATION]
+    for _ in range(children if len(ranked) > 1 else 0):
+        if ranked[0][0] <= least:
             break
-        a, b = rng.sample(range(len(population)), 2)
-        child = population[min(a, b)].crossover(population[max(a, b)], rng)
-        if child.fitness() > population[-1].fitness():
-            population[-1] = child
-            population.sort(key=Grouping.fitness, reverse=True)
-    return population
+        a, b = sorted(rng.sample(range(len(ranked)), 2))
+        child = ranked[a][1].crossover(ranked[b][1], rng)
+        rank = child.rank()
+        if rank < ranked[-1][0] and all(rank != r for r, _ in ranked):
+            ranked[-1] = (rank, child)
+            ranked.sort(key=lambda x: x[0])
+    return [g for _, g in ranked]
 
 
 ISLAND = "shard bigint, island int, lengths binary, groupings array<binary>"
@@ -189,9 +209,9 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, seed: int = 11) -> DataFram
 
     The pieces are dealt to shards at random, SHARD_PIECES on average, so no key makes a large one. Each shard has
     ISLANDS populations of groupings, which evolve for EPOCHS epochs; between epochs each island gets the
-    next one's elites. The fittest grouping holds, but for a shard's least filled sequences, which are
-    packed again, by the same evolution, with those of LOOSE_SHARDS shards. Shards are rows and groups of
-    bounded size; their number grows with the input.
+    next one's elites. Fewer sequences win, then those whose room is in one of them. The fittest grouping holds, but for a
+    shard's least filled sequences, which are packed again, by the same evolution, with those of LOOSE_SHARDS
+    shards. Shards are rows and groups of bounded size; their number grows with the input.
     Pieces of capacity or, should there be such, more are sequences of their own. Equal rows are pieces of their own.
     """
     parts = parts.withColumns({"doc_id": F.coalesce("doc_id", F.lit(0)), "no_id": F.col("doc_id").isNull()})
@@ -220,7 +240,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, seed: int = 11) -> DataFram
     def again(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = _sorted(f)
         sizes = f["length"].tolist()
-        f["bin"] = evolve(sizes, capacity, [], random.Random(f"{seed} {key[0]}"))[0].labels().astype("int64")
+        f["bin"] = evolve(sizes, capacity, [], random.Random(f"{seed} {key[0]}"), EPOCHS * CHILDREN)[0].labels().astype("int64")
         f["shard"] = -1 - key[0]
         return _placed(f, capacity)
 
@@ -234,7 +254,7 @@ def _fittest(capacity: int):
     def choose(f: pd.DataFrame) -> pd.DataFrame:
         sizes = np.frombuffer(f["lengths"].iloc[0], "<i4").tolist()
         found = [g[0] for _, g in sorted(zip(f["island"], f["groupings"], strict=True), key=lambda x: x[0]) if len(g)]
-        best = max(found, key=lambda g: Grouping.of(sizes, capacity, np.frombuffer(g, "<i4")).fitness())
+        best = min(found, key=lambda g: Grouping.of(sizes, capacity, np.frombuffer(g, "<i4")).rank())
         return pd.DataFrame({"shard": [f["shard"].iloc[0]], "labels": [best]})
 
     return choose
@@ -245,7 +265,7 @@ def _placed(f: pd.DataFrame, capacity: int) -> pd.DataFrame:
     by_bin = f.groupby("bin", sort=False)["length"]
     f["offset"] = by_bin.cumsum() - f["length"]
     fill = by_bin.agg(["sum", "count"]).sort_values("sum", kind="stable")
-    few = fill[(fill["sum"] < capacity) & (fill["count"].cumsum() <= LOOSE_PIECES)].index[:LOOSE_BINS]
+    few = fill[(fill["sum"] < capacity) & (fill["count"].cumsum() <= LOOSE_PIECES)].index
     f["loose"] = f["bin"].isin(few)
     return f
 

@@ -20,10 +20,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    p = np.full(n, base, np.uint64)
-    p[0] = 1
-    return np.cumprod(p)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the polynomial's base, and of its inverse."""
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
 
 
 class WordHasher:
@@ -33,7 +34,7 @@ class WordHasher:
         self._grow(1 << 16)
 
     def _grow(self, n: int) -> None:
-        self.up, self.down = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
+        self.up, self.down = powers(n)
 
     def words(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word hashes and the text that each is in; texts are data's bytes up to each of ends."""
@@ -56,7 +57,7 @@ class WordHasher:
         return hashes, np.searchsorted(ends, a, "right")
 
 
-def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def steps(column: pa.Array, step_bytes: int = _STEP_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, ends) of as many texts as a step holds; a long text is a step of its own."""
     column = column.cast(pa.large_string())
     _, offsets, values = column.buffers()
@@ -64,7 +65,7 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(values, np.uint8) if values is not None else np.empty(0, np.uint8)
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _STEP_BYTES, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + step_bytes, "right")) - 1)
         j = min(j, len(column))
         yield i, data[offsets[i] : offsets[j]], offsets[i + 1 : j + 1] - offsets[i]
         i = j
@@ -76,7 +77,7 @@ def shingle_sets(column: pa.Array, size: int, hasher: WordHasher) -> Iterator[tu
     A shingle is ``size`` consecutive words; a text of fewer words has one, of all its words; a text
     without words has none.
     """
-    for start, data, ends in _texts(column):
+    for start, data, ends in steps(column):
         words, row = hasher.words(data, ends)
         n = len(ends)
         per = np.bincount(row, minlength=n)

@@ -13,7 +13,7 @@ import pytest
 
 from contactgrid.llm import html_blocks, html_text, near_dup, packing, quality_model, topk
 from contactgrid.llm.shingles import WordHasher, bag_minhash, counted, shingle_sets
-from contactgrid.llm.tokens import ChunkedTokenizer
+from contactgrid.llm.tokens import RunTokenizer
 from tests_llm_helpers import bag, classes
 
 DOC = "doc_id long, text string, lang string, source string, a string, bag string, key string"
@@ -99,27 +99,38 @@ def test_cotraining_on_held_out_documents(spark):
 
 
 # Packing
+def encoded(tokens, texts):
+    found = []
+    for _, ids, ends in tokens.encode(pa.array(texts, pa.string())):
+        found += np.split(ids, ends[:-1])
+    return found
+
+
 def test_tokens_are_those_of_the_library():
-    t = ChunkedTokenizer(packing.default_tokenizer(), cache_chunks=50)
-    texts = ["", None, " \n", "It's DON'T' a!b!! c**. d'S'", "<|endoftext|>! x<|startoftext|>*", "é ́x ＡΣ Σ's 12a３ \x1c b x\x85q", "ａ! ²! é!! ß. ǅ. "] + [f"word{k}, Word{k}." for k in range(200)]
-    assert [x.tolist() for x in t.encode(texts)] == [t.whole.encode(x or "", add_special_tokens=False).ids for x in texts]
+    rng = random.Random(6)
+    texts = ["", None, " \n", "It's DON'T' a!b!! c**. d'S'", "<|endoftext|>! x<|startoftext|>*", "é ́x ＡΣ Σ's 12a３ \x1c b x\x85q", "ａ! ²! é!! ß. ǅ. ÉCOLE À×Ã÷ÿ ÀÞß í à", "' ( '("]
+    texts += [f"word{k}, Word{k}." for k in range(200)] + ["x" * 300_000, "!?" * 100_000, "long " * 700_000]
+    texts += ["".join(rng.choice("aBcé'É.!<|> \n12×ß\u0301 Σ\x1c\xa0íÀ") for _ in range(60)) for _ in range(800)]
+    for runs in (50, 1 << 16):
+        t = RunTokenizer(packing.default_tokenizer(), runs)
+        assert [x.tolist() for x in encoded(t, texts)] == [t.whole.encode(x or "", add_special_tokens=False).ids for x in texts]
+        assert [x.tolist() for x in encoded(t, texts[:9])] == [t.whole.encode(x or "", add_special_tokens=False).ids for x in texts[:9]]
 
 
 def test_packing(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 900)))) for i in range(300)]
-    rows += [(400, "x y " * 3000), (401, None), (402, ""), (403, "a " * 4095), (1, "dup"), (1, "dup"), (None, "no id")]
+    rows += [(400, "x y " * 3000), (401, None), (402, ""), (403, "a " * 4095), (404, "ab" * 500_000), (1, "dup"), (1, "dup"), (None, "no id")]
     got = packing.pack_documents(docs(spark, rows)).toPandas()
-    tokens = ChunkedTokenizer(packing.default_tokenizer())
     told = Counter()
-    for i, t in rows:
-        ids = np.append(tokens.encode([t])[0], 1).astype("<u4")
+    for (i, _), ids in zip(rows, encoded(RunTokenizer(packing.default_tokenizer()), [t for _, t in rows]), strict=True):
+        ids = np.append(ids, 1).astype("<u4")
         for k in range(0, len(ids), 4096):
             told[(-1 if i is None else i, k // 4096, k, len(ids[k : k + 4096]), zlib.crc32(ids[k : k + 4096].tobytes()))] += 1
     assert Counter(got[["doc_id", "piece", "start", "length", "ids_crc32"]].fillna(-1).astype("int64").itertuples(index=False, name=None)) == told
     got = got.sort_values(["sequence_id", "offset"])
     assert (got.groupby("sequence_id")["length"].cumsum() - got["length"] == got["offset"]).all() and got.groupby("sequence_id")["length"].sum().max() <= 4096
-    assert got["sequence_id"].nunique() <= 1.02 * ceil(got["length"].sum() / 4096) + 1
+    assert got["sequence_id"].nunique() == ceil(got["length"].sum() / 4096)
     assert packing.pack_documents(docs(spark, [])).count() == 0
 
 
@@ -129,11 +140,22 @@ def test_genetic_steps_keep_every_item_once():
     a, b = (packing.Grouping.start(lengths, 100, rng, s) for s in (0.0, 0.5))
     child = a.crossover(b, rng)
     assert sorted(i for x in child.bins for i in x) == list(range(300)) and max(child.loads) <= 100
-    best = packing.evolve(lengths, 100, [b], rng)[0]
-    assert best.fitness() >= b.fitness()
+    best = packing.evolve(lengths, 100, [a, b], rng)[0]
+    assert best.rank() <= min(a.rank(), b.rank())
     assert (packing.Grouping.of(lengths, 100, best.labels()).labels() >= 0).all()
 
 
+def test_crossover_beats_best_fit():
+    rng = random.Random(1)
+    lengths = []
+    for _ in range(60):  # three that fill a bin
+        a = rng.randrange(1300, 1800)
+        b = rng.randrange(1000, (4096 - a) // 2 + 1)
+        lengths += [a, b, 4096 - a - b]
+    alone = packing.evolve(lengths, 4096, [], random.Random(2), children=0)[0]
+    assert packing.evolve(lengths, 4096, [], random.Random(2), children=90)[0].rank()[0] < alone.rank()[0]
+
+
 # Near-duplicates
 def test_near_duplicates(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 16)
