@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 from collections import Counter
 from math import ceil
@@ -42,6 +43,32 @@ def test_blocks(page, told):
     assert html_blocks.article_blocks(page) == told
 
 
+@pytest.mark.parametrize(
+    ("page", "told"),
+    [
+        ("<p id='notice-of-appeal'>a<h2 class='search-title'>b</h2><div class='hidden-gems'>c</div><p class='navigation-history'>d", ["a", "b", "c", "d"]),
+        ("<div class='site-footer'>no</div><div id='comment-12'>no</div><p class='ad-300x250'>no</p><ul class=sidebarLeft><li>no</ul><p>yes", ["yes"]),
+        ("<p>one<a href=/some/long/path/to/page title=don't>two</a><a title='x>y'>three</a>", ["onetwothree"]),
+        ("<p>a<a href=/path/to/the-page-that-was-cut", ["a"]), ("<p>a<a title='never closed>b", ["ab"]), ("<p>&#99999999999999;&#x0000041;&#00000000066;", ["�AB"]),
+    ],
+)
+def test_names_and_quotes(page, told):
+    assert html_blocks.article_blocks(page) == told
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a href=/path/to/the-page-that-was-cut" * 100_000, "<a title='" * 400_000, "<" * 2_000_000, "<div>" * 300_000 + "</span>" * 300_000, "<b>" * 200_000 + "<div></b>" * 200_000,
+        "&#" + "9" * 1_000_000 + ";", "<!--" * 500_000, "<p a" + "= " * 500_000, "<script>" * 300_000, "<p class='" + "ad " * 300_000 + "'>x", "<x =' " * 100_000 + '"' * 9, "<p>word " * 1_000_000,
+    ],
+)
+def test_any_page_takes_linear_time(page):
+    began = time.process_time()
+    html_blocks.page_blocks(page)
+    assert time.process_time() - began < 30
+
+
 def test_host_repeats_go_where_markup_is_silent(spark):
     menu = "<div>Home of all the things that we sell and more of them</div><div>Read our long and repeated terms of service which nobody reads at all ever</div>"
     word = lambda i, k: f"w{i}x{k}"
