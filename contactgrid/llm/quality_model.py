@@ -11,19 +11,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactgrid.llm.common import bound_batches, free_worker_caches, materialize
+from contactgrid.llm.shingles import mix
 
-#: Bounds of what the fit sees: labelled documents, and documents of the pool that gets pseudo-labels.
-MAX_LABELLED, MAX_POOL = 3_000, 3_000
+#: The fit sees at most so many labelled documents, chosen by hash of doc_id.
+MAX_LABELLED = 3_000
 #: Bins of hashed pairs of neighbouring bytes.
 PAIR_BINS = 512
 #: Bytes' worth of the average text that is added to each, so that short texts are near the average.
 SHRINK = 300
-META_BINS = 128
-ROUNDS = 4
-#: Pseudo-labels that a view gives in a round, of each class, and how sure it has to be.
+META_BINS = 256
+ROUNDS = 3
+#: In each round each view gives pseudo-labels to the documents, of all without one, that it is surest of: so many of each class, and as sure as this at least.
 PER_ROUND, SURE = 200, 0.95
 #: A document is rejected below this combined probability of good quality.
-KEEP_AT = 0.2
+KEEP_AT = 0.5
 
 
 def count_pairs(texts: list[bytes]) -> np.ndarray:
@@ -50,18 +51,16 @@ def _bin(value: str, salt: int) -> int:
     return h % META_BINS
 
 
-def metadata_view(langs: list, sources: list, texts: list[bytes]) -> np.ndarray:
-    """Language and source as hashed flags, and the layout: size, lines, line lengths."""
-    x = np.zeros((len(texts), META_BINS + 4), np.float32)
+def metadata_view(langs: list, sources: list) -> np.ndarray:
+    """Language, source and both together as hashed flags: nothing of the text."""
+    x = np.zeros((len(langs), META_BINS), np.float32)
     seen: dict[tuple, int] = {}
-    for i, (lang, source, t) in enumerate(zip(langs, sources, texts, strict=True)):
-        for salt, v in ((17, lang), (91, source)):
+    for i, (lang, source) in enumerate(zip(langs, sources, strict=True)):
+        for salt, v in ((17, lang), (91, source), (5, f"{lang} {source}")):
             key = (salt, v)
             if key not in seen:
                 seen[key] = _bin(str(v), salt)
             x[i, seen[key]] = 1
-        lines = t.count(b"\n") + 1
-        x[i, META_BINS:] = np.log1p(len(t)) / 10, np.log1p(lines) / 5, np.log1p(len(t) / lines) / 7, lines == 1
     return x
 
 
@@ -103,6 +102,11 @@ def calibrate(view: View, x: np.ndarray, y: np.ndarray) -> View:
     return View(view.weights, view.bias, (max(0.0, float(platt.weights[0])), platt.bias + float(prior)))
 
 
+def _odds(views: list[View], x: list[np.ndarray]) -> np.ndarray:
+    p = [np.clip(v.probability(part), 1e-6, 1 - 1e-6) for v, part in zip(views, x, strict=True)]
+    return np.stack([np.log(q / (1 - q)) for q in p], axis=1)
+
+
 @dataclass
 class CoTrained:
     text: View
@@ -110,83 +114,142 @@ class CoTrained:
     average: np.ndarray
     blend: tuple[float, float, float] = (1.0, 1.0, 0.0)
 
-    def score(self, pairs: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def views(self, pairs: np.ndarray, metadata: np.ndarray) -> list[np.ndarray]:
+        return [text_view(pairs, self.average), metadata]
+
+    def score(self, pairs: np.ndarray, metadata: np.ndarray) -> np.ndarray:
         """The two calibrated log-odds, in the blend fitted on held-out rows, as one probability."""
-        odds = [np.log(p / (1 - p)) for p in (np.clip(v.probability(x), 1e-6, 1 - 1e-6) for v, x in ((self.text, text_view(pairs, self.average)), (self.metadata, b)))]
-        return 1 / (1 + np.exp(-(self.blend[0] * odds[0] + self.blend[1] * odds[1] + self.blend[2])))
+        odds = _odds([self.text, self.metadata], self.views(pairs, metadata))
+        return 1 / (1 + np.exp(-(odds @ np.array(self.blend[:2]) + self.blend[2])))
 
 
-def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, held: np.ndarray, pool_a: np.ndarray, pool_b: np.ndarray, average: np.ndarray, rounds: int = ROUNDS) -> CoTrained:
-    """a, b: the two views of the labelled rows, of which ``held`` calibrate; pool: the views of rows without labels.
+@dataclass
+class Rows:
+    """Documents with a label, known or given: ids, counted pairs, metadata view, label."""
 
-    In each round each view, fitted on its own rows, labels the pool rows that it is surest of, and the other view
-    learns from them. A row is labelled once.
-    """
-    views = (a, b)
-    pools = (pool_a, pool_b)
-    train = [(x[~held], y[~held]) for x in views]
-    free = np.ones(len(pool_a), bool)
-    for _ in range(rounds):
-        for me, other in ((0, 1), (1, 0)):
-            model = calibrate(fit(*train[me]), views[me][held], y[held])
-            p = model.probability(pools[me])
-            picked = []
-            for good in (True, False):
-                sure = np.where(free, p if good else 1 - p, -1)
-                best = np.argsort(-sure, kind="stable")[:PER_ROUND]
-                picked.append(best[sure[best] >= SURE])
-            rows = np.concatenate(picked)
-            labels = np.concatenate([np.full(len(x), v) for x, v in zip(picked, (1.0, 0.0), strict=True)])
-            free[rows] = False
-            train[other] = (np.vstack([train[other][0], pools[other][rows]]), np.concatenate([train[other][1], labels]))
-    text, metadata = (calibrate(fit(*train[k]), views[k][held], y[held]) for k in (0, 1))
-    model = CoTrained(text, metadata, average)
-    if len(set(y[held].tolist())) == 2:
-        odds = np.stack([np.log(p / (1 - p)) for p in (np.clip(v.probability(x[held]), 1e-6, 1 - 1e-6) for v, x in ((text, a), (metadata, b)))], axis=1)
-        blend = fit(odds.astype(np.float32), y[held], penalty=1e-3)
-        prior = np.log(max(1, (y[held] > 0).sum()) / max(1, (y[held] == 0).sum()))
-        model.blend = (max(0.0, float(blend.weights[0])), max(0.0, float(blend.weights[1])), blend.bias + float(prior))
-    return model
+    ids: np.ndarray
+    pairs: np.ndarray
+    metadata: np.ndarray
+    label: np.ndarray
+
+
+@dataclass
+class Round:
+    """A round's views, and the labels that each of them then gives: (doc_id, label), the surest first."""
+
+    text: View
+    metadata: View
+    by_text: list[tuple[int, float]]
+    by_metadata: list[tuple[int, float]]
+
+
+class CoTraining:
+    """The labelled rows, of which one third is held out, and what the views have been taught since."""
+
+    def __init__(self, rows: Rows):
+        self.rows = rows
+        total = np.maximum(rows.pairs.sum(axis=1, keepdims=True), 1)
+        self.average = (rows.pairs / total).sum(axis=0) / max(1, len(total)) + 1e-6
+        self.average = self.average / self.average.sum()
+        self.known = [text_view(rows.pairs, self.average), rows.metadata]
+        place = mix(rows.ids.astype(np.uint64)) % np.uint64(6)  # by hash, so that no order of ids decides
+        self.calibrating, self.blending = place == 0, place == 3
+        self.held = self.calibrating | self.blending
+        self.train = [(x[~self.held], rows.label[~self.held]) for x in self.known]
+        self.rounds: list[Round] = []
+
+    def two_classes(self) -> bool:
+        return len(set(self.rows.label[~self.held].tolist())) == 2
+
+    def fitted(self) -> list[View]:
+        """Both views, fitted on what they were taught and calibrated on half of the held-out rows."""
+        return [calibrate(fit(*self.train[k]), self.known[k][self.calibrating], self.rows.label[self.calibrating]) for k in (0, 1)]
+
+    def teach(self, by_text: Rows, by_metadata: Rows) -> None:
+        """What one view has labelled, the other learns."""
+        for k, given, x in ((1, by_text, by_text.metadata), (0, by_metadata, text_view(by_metadata.pairs, self.average))):
+            if len(given.ids):
+                self.train[k] = (np.vstack([self.train[k][0], x]), np.concatenate([self.train[k][1], given.label]))
+
+    def model(self) -> CoTrained:
+        """The views as they are, blended by a fit on the other half of the held-out rows."""
+        views = self.fitted()
+        y = self.rows.label[self.blending]
+        if len(set(y.tolist())) < 2:
+            return CoTrained(*views, self.average)
+        blend = fit(_odds(views, [x[self.blending] for x in self.known]).astype(np.float32), y, penalty=1e-3)
+        prior = np.log((y > 0).sum() / (y == 0).sum())
+        return CoTrained(*views, self.average, (max(0.0, float(blend.weights[0])), max(0.0, float(blend.weights[1])), blend.bias + float(prior)))
 
 
 def _views(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     free_worker_caches()
-    texts = [b"" if t is None else t.encode(errors="replace") for t in f["text"]]
-    return count_pairs(texts), metadata_view(f["lang"].tolist(), f["source"].tolist(), texts)
-
+    return count_pairs([b"" if t is None else t.encode(errors="replace") for t in f["text"]]), metadata_view(f["lang"].tolist(), f["source"].tolist())
 
-def fit_quality(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
-    """Fits on at most MAX_LABELLED labelled documents and MAX_POOL others, chosen by hash of doc_id; None without labels of both classes.
 
-    The two sets of ids are bounded, so they are broadcast; only the views of their documents reach the driver.
-    """
-    picked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    by_hash = F.xxhash64("doc_id", F.lit(5))
-    picked = picked.orderBy(by_hash, "doc_id").limit(MAX_LABELLED)
-    pool = docs.where("doc_id is not null").select("doc_id").orderBy(by_hash, "doc_id").limit(MAX_POOL).distinct()
-    ids = materialize(pool.join(picked, "doc_id", "full").select("doc_id", "quality"), "fit-ids")
-    chosen = docs.select("doc_id", "text", "lang", "source").join(F.broadcast(ids), "doc_id")
+def _rows_of(docs: DataFrame, labels: DataFrame) -> Rows:
+    """The documents of labels (doc_id, label), which are few: only they reach the driver. Of rows that share an id the first in the order of views stays."""
 
     def views(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            a, b = _views(f)
-            both = np.hstack([a, b]).astype("<f4")
-            yield pd.DataFrame({"doc_id": f["doc_id"], "quality": f["quality"], "view": [x.tobytes() for x in both]})
-
-    rows = chosen.mapInPandas(views, "doc_id bigint, quality double, view binary").toPandas()
-    rows = rows.sort_values(["doc_id", "view"]).drop_duplicates("doc_id")
-    x = np.frombuffer(b"".join(rows["view"]), "<f4").reshape(len(rows), -1).astype(np.float32) if len(rows) else np.zeros((0, PAIR_BINS + META_BINS + 4), np.float32)
-    known = rows["quality"].notna().to_numpy()
-    y = (rows["quality"].to_numpy()[known] > 0).astype(float)
-    if len(set(y.tolist())) < 2:
+            both = np.hstack(_views(f)).astype("<f4")
+            yield pd.DataFrame({"doc_id": f["doc_id"], "label": f["label"], "view": [x.tobytes() for x in both]})
+
+    chosen = docs.select("doc_id", "text", "lang", "source").join(F.broadcast(labels), "doc_id")
+    rows = chosen.mapInPandas(views, "doc_id bigint, label double, view binary").toPandas().sort_values(["doc_id", "view"]).drop_duplicates("doc_id")
+    x = np.frombuffer(b"".join(rows["view"]), "<f4") if len(rows) else np.zeros(0, np.float32)
+    x = x.reshape(len(rows), PAIR_BINS + META_BINS)
+    return Rows(rows["doc_id"].to_numpy(np.int64), x[:, :PAIR_BINS], x[:, PAIR_BINS:], rows["label"].to_numpy(float))
+
+
+def _surest(docs: DataFrame, views: list[View], average: np.ndarray, taken: DataFrame) -> list[list[tuple[int, float]]]:
+    """For each view the (doc_id, label) that it is surest of among all documents but the taken ones."""
+
+    @F.pandas_udf("text double, metadata double")
+    def sure(text: pd.Series, lang: pd.Series, source: pd.Series) -> pd.DataFrame:
+        f = pd.DataFrame({"text": text, "lang": lang, "source": source})
+        found = [np.zeros((0, 2))]
+        for i in range(0, len(f), 500):
+            pairs, metadata = _views(f.iloc[i : i + 500])
+            found.append(np.stack([views[0].probability(text_view(pairs, average)), views[1].probability(metadata)], axis=1))
+        return pd.DataFrame(np.concatenate(found), columns=["text", "metadata"])
+
+    pool = docs.where("doc_id is not null").join(F.broadcast(taken), "doc_id", "left_anti")
+    scores = materialize(pool.select("doc_id", sure("text", "lang", "source").alias("p")).select("doc_id", "p.*"), "round-scores")
+    found = []
+    for view in ("text", "metadata"):
+        picked = []
+        for label, p in ((1.0, F.col(view)), (0.0, 1 - F.col(view))):
+            best = scores.where(p >= SURE).groupBy("doc_id").agg(F.max(p).alias("p")).orderBy(F.col("p").desc(), F.xxhash64("doc_id"), "doc_id").limit(PER_ROUND)
+            picked += [(r.doc_id, label) for r in best.collect()]
+        found.append(picked)
+    return found
+
+
+def co_train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> CoTraining | None:
+    """Fits both views on at most MAX_LABELLED labelled documents and on what they then teach each other; None without labels of both classes.
+
+    In each round each view scores all documents that have no label yet, and gives its label to those that it is surest of;
+    the other view learns them. Views of these few rows alone reach the driver.
+    """
+    spark = docs.sparkSession
+    picked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.max("quality") > 0).cast("double").alias("label"))
+    picked = materialize(picked.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(MAX_LABELLED), "fit-ids")
+    training = CoTraining(_rows_of(docs, picked))
+    if not training.two_classes():
         return None
-    held = np.arange(len(y)) % 3 == 0
-    if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
-        held = np.zeros(len(y), bool)
-    pairs, b = x[:, :PAIR_BINS], x[:, PAIR_BINS:]
-    average = (pairs / np.maximum(pairs.sum(axis=1, keepdims=True), 1)).mean(axis=0) + 1e-6
-    a = text_view(pairs, average / average.sum())
-    return co_train(a[known], b[known], y, held, a[~known], b[~known], average / average.sum())
+    kind = "doc_id bigint, label double"
+    given: list[tuple[int, float]] = []
+    for _ in range(rounds):
+        views = training.fitted()
+        taken = picked.select("doc_id").unionByName(spark.createDataFrame(given, kind).select("doc_id"))
+        by_text, by_metadata = _surest(docs, views, training.average, taken)
+        training.rounds.append(Round(*views, by_text, by_metadata))
+        if not by_text and not by_metadata:
+            break
+        training.teach(*(_rows_of(docs, spark.createDataFrame(x, kind)) for x in (by_text, by_metadata)))
+        given += by_text + by_metadata
+    return training
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -198,7 +261,8 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     holds. Rows alike have equal scores. A column of the input named quality_score or quality_kept is replaced.
     """
     bound_batches(docs.sparkSession)
-    model = fit_quality(docs, labels)
+    trained = co_train(docs, labels)
+    model = trained.model() if trained else None
     blank = F.coalesce(F.length(F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))) == 0, F.lit(True))
 
     @F.pandas_udf("double")

@@ -125,6 +125,41 @@ def test_cotraining_on_held_out_documents(spark):
     assert quality_model.score_quality(docs(spark, []), labels).count() == 0
 
 
+def test_views_teach_each_other_what_they_are_surest_of(spark):
+    rng = random.Random(9)
+    word = lambda good: rng.choice(["the", "house", "green", "trees", "water"] if good else ["BUY", "NOW", "$$$", "W1N", "the", "house"])
+    rows = []
+    for i in range(900):
+        good = i % 3 > 0
+        told = rng.random() < 0.9
+        rows.append((i, " ".join(word(good) for _ in range(rng.choice([3, 8, 40]))), "en", ("press" if good else "spam") if told else "misc"))
+    rows += [(5, "BUY " * 50_000, "en", "spam"), (None, "BUY NOW", "en", "spam")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(240)], "doc_id long, quality int")
+    trained = quality_model.co_train(frame, labels, rounds=1)
+    (first,) = trained.rounds
+    known = set(trained.rows.ids.tolist())
+    assert known == set(range(240)) and first.by_text and first.by_metadata
+    pool = [r for r in rows if r[0] is not None and r[0] not in known]
+    hashed = {r.doc_id: r.h for r in spark.createDataFrame([(r[0],) for r in pool], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id) as h").distinct().collect()}
+    pairs = quality_model.count_pairs([r[1].encode() for r in pool])
+    views = (quality_model.text_view(pairs, trained.average), quality_model.metadata_view([r[2] for r in pool], [r[3] for r in pool]))
+    for view, x, given in ((first.text, views[0], first.by_text), (first.metadata, views[1], first.by_metadata)):
+        p, told = view.probability(x), []
+        for label, q in ((1.0, p), (0.0, 1 - p)):
+            best = sorted((-q[k], hashed[r[0]], r[0]) for k, r in enumerate(pool) if q[k] >= quality_model.SURE)
+            told += [(i, label) for _, _, i in best[: quality_model.PER_ROUND]]
+        assert given == told
+    # each view has learned the rows that the other labelled
+    n = (~trained.held).sum()
+    assert len(trained.train[1][1]) == n + len(first.by_text) and len(trained.train[0][1]) == n + len(first.by_metadata)
+    alone = quality_model.co_train(frame, labels, rounds=0)
+    odds = lambda t: t.model().score(pairs, views[1])
+    assert (np.abs(odds(alone) - odds(trained)) > 1e-6).any()
+    good = np.array([r[0] % 3 > 0 for r in pool])
+    assert ((odds(trained) >= 0.5) == good).mean() > 0.95
+
+
 # Packing
 def encoded(tokens, texts):
     found = []
