@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from contactgrid.tables import written
+
 CELL = ["chr1", "chr2", "bin_x", "bin_y"]
 
 
@@ -14,7 +16,7 @@ def bin_contacts(pairs: DataFrame, bin_sizes: Sequence[int], unit: str = "BP") -
     """Cells of each matrix, by sum of scores; unit FRAG bins fragments instead of positions.
 
     The finest resolution is summed from the pairs; a coarser one that it divides is summed from the finest cells that
-    do, so the pairs are shuffled once, whatever the number of resolutions.
+    do; those that others are summed from are written, so the pairs are read and shuffled once, whatever the number of resolutions.
     """
     at = "pos" if unit == "BP" else "frag"
     pairs = pairs.where((F.col(f"{at}1") >= 0) & (F.col(f"{at}2") >= 0))
@@ -32,6 +34,8 @@ def bin_contacts(pairs: DataFrame, bin_sizes: Sequence[int], unit: str = "BP") -
             "chr1", "chr2", F.when(same, F.least(a, b)).otherwise(a).alias("bin_x"), F.when(same, F.greatest(a, b)).otherwise(b).alias("bin_y"), F.col(value).alias("value")
         )
         done[size] = cells.groupBy(*CELL).agg(F.sum("value").alias("counts"))
+        if any(s > size and s % size == 0 for s in bin_sizes):
+            done[size] = written(done[size], f"cells-{size}")
     out = [done[s].select("chr1", "chr2", F.lit(unit).alias("unit"), F.lit(s).alias("bin_size"), "bin_x", "bin_y", "counts") for s in done]
     result = out[0]
     for other in out[1:]:

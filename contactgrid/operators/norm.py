@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from contactgrid.tables import written
+
+#: Types of norm vectors, and those that are built where none is asked for (M03e). Any other name is a custom type.
+KNOWN_TYPES = ("NONE", "VC", "VC_SQRT", "KR", "SCALE", "GW_KR", "GW_SCALE", "GW_VC", "INTER_KR", "INTER_SCALE", "INTER_VC")
+DEFAULT_TYPES = ("VC", "VC_SQRT", "SCALE", "INTER_SCALE", "GW_SCALE")
+#: The finest bins that genome-wide vectors are built for.
+GENOME_WIDE_FROM = 25_000
+#: Cells of a chromosome up to which its vector is solved in one task; larger ones take a join a round.
+LOCAL_CELLS = 4_000_000
+
 
 def both_sides(cells: DataFrame) -> DataFrame:
     """Intra cells once from each of their bins; a diagonal cell once."""
-    intra = cells.where("chr1 = chr2").select(F.col("chr1").alias("chr"), F.col("bin_x").alias("bin"), F.col("bin_y").alias("other"), "counts")
-    return intra.unionByName(intra.where("bin <> other").select("chr", F.col("other").alias("bin"), F.col("bin").alias("other"), "counts"))
+    side = lambda a, b: F.struct(F.col(a).alias("bin"), F.col(b).alias("other"))
+    sides = F.when(F.col("bin_x") == F.col("bin_y"), F.array(side("bin_x", "bin_y"))).otherwise(F.array(side("bin_x", "bin_y"), side("bin_y", "bin_x")))
+    return cells.where("chr1 = chr2").select(F.col("chr1").alias("chr"), "counts", F.inline(sides)).select("chr", "bin", "other", "counts")
 
 
 def coverage(cells: DataFrame) -> DataFrame:
@@ -19,13 +32,19 @@ def coverage(cells: DataFrame) -> DataFrame:
     return both_sides(cells).groupBy("chr", "bin").agg(F.sum("counts").alias("value"))
 
 
+def _with_values(cells: DataFrame, vector: DataFrame, how: str = "inner") -> DataFrame:
+    """The cells with the vector's values of both bins, vx and vy."""
+    x = vector.select(F.col("chr").alias("chr1"), F.col("bin").alias("bin_x"), F.col("value").alias("vx"))
+    y = vector.select(F.col("chr").alias("chr2"), F.col("bin").alias("bin_y"), F.col("value").alias("vy"))
+    return cells.join(x, ["chr1", "bin_x"], how).join(y, ["chr2", "bin_y"], how)
+
+
 def finish(vector: DataFrame, cells: DataFrame) -> DataFrame:
     """A10: scales a vector so that the normalized matrix keeps the sum of the raw one."""
-    a = vector.where("value > 0").select("chr", "bin", F.col("value").alias("vx"))
-    b = a.select("chr", F.col("bin").alias("other"), F.col("vx").alias("vy"))
-    sums = both_sides(cells).join(a, ["chr", "bin"]).join(b, ["chr", "other"]).groupBy("chr").agg(
-        F.sqrt(F.sum(F.col("counts") / (F.col("vx") * F.col("vy"))) / F.sum("counts")).alias("factor")
-    )
+    twice = F.when(F.col("bin_x") == F.col("bin_y"), F.lit(1)).otherwise(F.lit(2))
+    both = _with_values(cells.where("chr1 = chr2"), vector.where("value > 0"))
+    factor = F.sqrt(F.sum(twice * F.col("counts") / (F.col("vx") * F.col("vy"))) / F.sum(twice * F.col("counts"))).alias("factor")
+    sums = both.groupBy(F.col("chr1").alias("chr")).agg(factor)
     return vector.join(sums, "chr").select("chr", "bin", (F.col("value") * F.col("factor")).alias("value"))
 
 
@@ -41,11 +60,8 @@ def vc_sqrt(cells: DataFrame) -> DataFrame:
 
 def normalize(cells: DataFrame, vector: DataFrame) -> DataFrame:
     """Counts by both bins' values; cells with a missing value go."""
-    x = vector.select(F.col("chr").alias("chr1"), F.col("bin").alias("bin_x"), F.col("value").alias("vx"))
-    y = vector.select(F.col("chr").alias("chr2"), F.col("bin").alias("bin_y"), F.col("value").alias("vy"))
-    both = cells.join(x, ["chr1", "bin_x"]).join(y, ["chr2", "bin_y"])
     value = F.try_divide("counts", F.col("vx") * F.col("vy"))
-    return both.withColumn("counts", value).where("counts is not null and not isnan(counts)").select(*cells.columns)
+    return _with_values(cells, vector).withColumn("counts", value).where("counts is not null and not isnan(counts)").select(*cells.columns)
 
 
 def matvec(cells: DataFrame, vector: DataFrame) -> DataFrame:
@@ -56,8 +72,6 @@ def matvec(cells: DataFrame, vector: DataFrame) -> DataFrame:
 
 def genome_wide(cells: DataFrame, chrom_sizes: DataFrame, bin_size: int, inter_only: bool = False) -> tuple[DataFrame, DataFrame]:
     """M03d: all chromosomes' bins in one row: cells as of one chromosome 0, and the offsets to part them again."""
-    from pyspark.sql import Window
-
     n = (F.floor(F.col("length") / bin_size) + 1).cast("long")
     offsets = chrom_sizes.select("chr", F.coalesce(F.sum(n).over(Window.orderBy("chr").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int").alias("offset"))
     one, two = (offsets.select(F.col("chr").alias(f"chr{e}"), F.col("offset").alias(f"o{e}")) for e in "12")
@@ -73,32 +87,105 @@ def split_back(vector: DataFrame, offsets: DataFrame, chrom_sizes: DataFrame, bi
     return bins.join(vector.select(F.col("bin").alias("wide"), "value"), F.col("wide") == F.col("bin") + F.col("offset")).select("chr", "bin", "value")
 
 
-def balance(cells: DataFrame, tolerance: float = 5e-4, rounds: int = 100, low: float = 0.0) -> DataFrame:
-    """The vector under which every occupied row of each chromosome's matrix has the same sum, finished.
+def occupied(cells: DataFrame, low: float = 0.0) -> DataFrame:
+    """Chr, bin of the rows whose number of cells is at or above the quantile ``low`` of their chromosome's."""
+    filled = both_sides(cells).where("counts > 0").groupBy("chr", "bin").agg(F.count(F.lit(1)).alias("n"))
+    if not low:
+        return filled.select("chr", "bin")
+    cut = filled.groupBy("chr").agg(F.percentile("n", F.lit(low)).alias("cut"))
+    return filled.join(cut, "chr").where("n >= cut").select("chr", "bin")
+
+
+def _solve(x: np.ndarray, y: np.ndarray, c: np.ndarray, n: int, tolerance: float, rounds: int, target: np.ndarray) -> np.ndarray:
+    """The scaling b under which all rows b_i * sum_j c_ij b_j of a matrix, given from both sides, have the target's sums."""
+    b = np.ones(n)
+    for _ in range(rounds):
+        sums = b * np.bincount(x, weights=c * b[y], minlength=n)
+        live = (sums > 0) & (target > 0)
+        if not live.any() or np.abs(sums[live] / target[live] - 1).max() < tolerance:
+            break
+        b[live] *= np.sqrt(target[live] / sums[live])
+    return b
+
+
+def balance(cells: DataFrame, tolerance: float = 5e-4, rounds: int = 200, low: float = 0.0, target: DataFrame | None = None, local_cells: int = LOCAL_CELLS) -> DataFrame:
+    """The vector under which the rows of each chromosome's matrix have equal sums, or the sums of ``target``, finished.
 
-    Alternate scaling toward a constant row sum, by the square root of the row sums, for symmetric matrices. Rows are
-    left out (null) whose count of cells is below the quantile ``low``. A chromosome's occupied cells at one
-    resolution are one pandas group: they bound its size, as bins do; beyond that, use matvec() with
-    written tables between rounds.
+    The scaling of a symmetric matrix to given row sums is one and the same whichever method finds it; this one multiplies
+    each row by the root of what it lacks, round by round. Rows whose number of cells is below the quantile ``low`` are left out.
+    A chromosome of up to ``local_cells`` cells is solved in its task. Larger ones take a join and a sum by row for each
+    round, with the vector written between rounds; neither a chromosome nor a vector is then in one task.
+    target: chr, bin, value.
     """
+    rows = occupied(cells, low)
+    keep = lambda e: rows.select(F.col("chr").alias(f"chr{e}"), F.col("bin").alias(f"bin_{'xy'[e - 1]}"))
+    intra = cells.where("chr1 = chr2 and counts > 0")
+    if low:
+        intra = intra.join(keep(1), ["chr1", "bin_x"], "left_semi").join(keep(2), ["chr2", "bin_y"], "left_semi")
+    intra = written(intra.select("chr1", "chr2", "bin_x", "bin_y", F.col("counts").cast("double").alias("counts")), "balanced-cells")
+    sizes = intra.groupBy("chr1").agg(F.count(F.lit(1)).alias("n"))
+    large = written(sizes.where(F.col("n") > local_cells).select("chr1"), "large-chromosomes")
+    wanted = (target or rows.withColumn("value", F.lit(1.0))).select("chr", "bin", F.col("value").cast("double").alias("want"))
+    sides = both_sides(intra).join(wanted, ["chr", "bin"], "left")
 
     def solve(f: pd.DataFrame) -> pd.DataFrame:
-        x, y, c = f["bin"].to_numpy(), f["other"].to_numpy(), f["counts"].to_numpy(float)
+        x, y, c = f["bin"].to_numpy(), f["other"].to_numpy(), f["counts"].to_numpy()
         n = int(max(x.max(), y.max())) + 1
-        filled = np.bincount(x, minlength=n)
-        keep = filled >= max(1, np.quantile(filled[filled > 0], low) if low else 1)
-        on = keep[x] & keep[y]
-        x, y, c = x[on], y[on], c[on]
-        b = np.ones(n)
-        for _ in range(rounds):
-            sums = b * np.bincount(x, weights=c * b[y], minlength=n)
-            live = sums > 0
-            if not live.any() or np.abs(sums[live] - 1).max() < tolerance:
-                break
-            b[live] /= np.sqrt(sums[live])
-        live = (np.bincount(x, minlength=n) > 0) & keep
-        v = np.where(live, 1 / b, np.nan)
-        v = v * np.sqrt(np.nansum(c / (v[x] * v[y])) / c.sum()) if len(c) else v
-        return pd.DataFrame({"chr": f["chr"].iloc[0], "bin": np.flatnonzero(live), "value": v[live]})
-
-    return both_sides(cells).groupBy("chr").applyInPandas(solve, "chr int, bin int, value double")
+        want = np.zeros(n)
+        want[x] = np.nan_to_num(f["want"].to_numpy(float))
+        b = _solve(x, y, c, n, tolerance, rounds, want)
+        at = np.flatnonzero(want > 0)
+        return pd.DataFrame({"chr": f["chr"].iloc[0], "bin": at, "value": 1 / b[at]})
+
+    few = sides.join(large, sides["chr"] == large["chr1"], "left_anti")
+    vector = few.groupBy("chr").applyInPandas(solve, "chr int, bin int, value double")
+    if large.limit(1).count():
+        vector = vector.unionByName(_by_rounds(intra.join(large, "chr1", "left_semi"), wanted, tolerance, rounds))
+    return finish(vector, intra)
+
+
+def _by_rounds(cells: DataFrame, wanted: DataFrame, tolerance: float, rounds: int) -> DataFrame:
+    cells = written(cells, "round-cells")
+    vector = written(both_sides(cells).select("chr", "bin").distinct().join(wanted.where("want > 0"), ["chr", "bin"]).withColumn("value", F.lit(1.0)), "round-vector")
+    for _ in range(rounds):
+        sums = matvec(cells, vector).withColumnRenamed("value", "product")
+        after = vector.join(sums, ["chr", "bin"]).withColumn("part", F.col("value") * F.col("product") / F.col("want"))
+        after = written(after.withColumns({"off": F.abs(F.col("part") - 1), "value": F.col("value") / F.sqrt("part")}), "round-vector")
+        vector = after.select("chr", "bin", "want", "value")
+        if (after.agg(F.max("off")).first()[0] or 0.0) < tolerance:
+            break
+    return vector.select("chr", "bin", (1 / F.col("value")).alias("value"))
+
+
+def rescale(vector: DataFrame, cells: DataFrame, tolerance: float = 5e-4, rounds: int = 200) -> DataFrame:
+    """M03h: a custom vector rescaled: the vector that gives the normalized matrix the custom one's values as row sums."""
+    return balance(cells, tolerance, rounds, target=vector.where("value > 0"))
+
+
+def add_norms(cells: DataFrame, chrom_sizes: DataFrame, bin_size: int, types: Sequence[str] = DEFAULT_TYPES, low: float = 0.0) -> DataFrame:
+    """M03d-M03f: the vectors of one resolution: norm, chr, bin, value. Genome-wide ones are left out below GENOME_WIDE_FROM."""
+    cells = written(cells, "norm-cells")
+    out = []
+    for name in types:
+        wide, kind = name.split("_", 1) if name.startswith(("GW_", "INTER_")) else ("", name)
+        if wide and bin_size < GENOME_WIDE_FROM or kind == "NONE":
+            continue
+        make = {"VC": vc, "VC_SQRT": vc_sqrt, "KR": lambda c: balance(c, 1e-6, 1000, low), "SCALE": lambda c: balance(c, low=low)}[kind]
+        if wide:
+            all_, offsets = genome_wide(cells, chrom_sizes, bin_size, wide == "INTER")
+            vector = split_back(make(all_), offsets, chrom_sizes, bin_size)
+        else:
+            vector = make(cells)
+        out.append(vector.select(F.lit(name).alias("norm"), "chr", "bin", "value"))
+    result = out[0]
+    for v in out[1:]:
+        result = result.unionByName(v)
+    return result
+
+
+def balance_text(lines: DataFrame) -> DataFrame:
+    """M03g: the vector of a matrix in text, a line (value) each cell: bin_x, bin_y, count."""
+    t = F.split(F.trim("value"), r"\s+")
+    number = lambda k: t[k].cast("int")
+    cells = lines.where(F.size(t) == 3).select(F.lit(1).alias("chr1"), F.lit(1).alias("chr2"), F.least(number(0), number(1)).alias("bin_x"), F.greatest(number(0), number(1)).alias("bin_y"), t[2].cast("double").alias("counts"))
+    return balance(cells, 1e-6, 1000)

@@ -53,7 +53,9 @@ NORMED = """normed AS (SELECT c.chr1, c.chr2, c.bin_x, c.bin_y, c.counts / (a.va
 DENSITY = f"""possible AS (SELECT dist, sum(n - dist) AS possible FROM (SELECT n, unnest(range(n)) AS dist FROM (SELECT length // {SIZE} AS n FROM sizes)) GROUP BY dist),
  seen AS (SELECT bin_y - bin_x AS dist, sum(counts) AS observed FROM cells WHERE chr1 = chr2 GROUP BY 1),
  density AS (SELECT p.dist, coalesce(observed, 0) / possible AS value FROM possible p LEFT JOIN seen s ON p.dist = s.dist)"""
-OE = """oe AS (SELECT chr1, chr2, bin_x, bin_y, counts / nullif(value, 0) AS oe FROM cells JOIN density ON dist = least(bin_y - bin_x, (SELECT max(dist) FROM density)) WHERE chr1 = chr2)"""
+OE = f"""scales AS (SELECT s.chr, sum((length // {SIZE} - dist) * value) / any_value(observed) AS factor FROM sizes s JOIN density ON dist < length // {SIZE}
+ JOIN (SELECT chr1 AS chr, sum(counts) AS observed FROM cells WHERE chr1 = chr2 GROUP BY 1) o ON o.chr = s.chr GROUP BY s.chr),
+ oe AS (SELECT chr1, chr2, bin_x, bin_y, counts / nullif(value, 0) * factor AS oe FROM cells JOIN density ON dist = least(bin_y - bin_x, (SELECT max(dist) FROM density)) JOIN scales ON scales.chr = chr1 WHERE chr1 = chr2)"""
 LOOPS = """loops AS (SELECT o_orderkey AS id, CAST(1 + o_orderkey % 3 AS INTEGER) AS chr, o_custkey * 1000 AS start1, o_custkey * 1000 + 1000 * (1 + o_orderkey % 7) AS end1,
  o_custkey * 1000 + 20000 + 1000 * (o_orderkey % 40) AS start2, o_custkey * 1000 + 20000 + 1000 * (o_orderkey % 40) + 1000 * (1 + o_orderkey % 7) AS end2,
  CAST(floor(o_totalprice) AS BIGINT) AS observed, o_orderpriority AS priority, o_orderstatus AS status FROM orders)"""
@@ -89,10 +91,22 @@ def _cells(spark: SparkSession, d: str, size: int = SIZE) -> DataFrame:
     return binning.bin_contacts(_pairs(spark, d), [size]).drop("unit", "bin_size")
 
 
+def _stored(spark: SparkSession, d: str, size: int = SIZE) -> DataFrame:
+    """The cells, written once, for queries that use them more than once."""
+    return written(_cells(spark, d, size), "cells")
+
+
 def _control(spark: SparkSession, d: str) -> DataFrame:
     return binning.bin_contacts(_pairs(spark, d).where("pair_id % 2 = 0"), [SIZE]).drop("unit", "bin_size")
 
 
+def _oe(spark: SparkSession, d: str, size: int = SIZE) -> DataFrame:
+    """Observed over expected, with each chromosome's scale."""
+    cells, sizes = _stored(spark, d, size), written(_sizes(spark, d), "sizes")
+    density = written(expected.raw_density(cells, sizes, size), "density")
+    return expected.observed_over_expected(cells, density, expected.scale_factors(density, cells, sizes, size))
+
+
 def _genes(spark: SparkSession, d: str) -> DataFrame:
     return adapters.genes(spark, d).withColumn("id", F.col("gene_id"))
 
@@ -113,8 +127,9 @@ PICK = ", ".join(LOOP_COLS)
 @registered("q_region_dump", f"""{VC}, {NORMED} SELECT bin_x * {SIZE} AS x, bin_y * {SIZE} AS y, round(counts, 6) AS value FROM normed WHERE chr1 = 1 AND chr2 = 1
  AND ((bin_x * {SIZE} BETWEEN 0 AND 500000 AND bin_y * {SIZE} BETWEEN 25000 AND 900000) OR (bin_y * {SIZE} BETWEEN 0 AND 500000 AND bin_x * {SIZE} BETWEEN 25000 AND 900000))""")
 def q_region_dump(s, d):
-    cells = _cells(s, d)
-    return _round(query.dump(norm.normalize(cells, norm.vc(cells)), 1, (0, 500_000), 1, (25_000, 900_000), SIZE), "value")
+    cells = written(binning.bin_contacts(_pairs(s, d).where("chr1 = 1 and chr2 = 1"), [SIZE]).drop("unit", "bin_size"), "cells")
+    here = cells.where(query.in_region(1, (0, 500_000), 1, (25_000, 900_000), SIZE))
+    return _round(query.dump(norm.normalize(here, norm.vc(cells)), 1, (0, 500_000), 1, (25_000, 900_000), SIZE), "value")
 
 
 # Sources: lines that Spark makes of the pairs, parsed again.
@@ -432,14 +447,13 @@ def a28(s, d):
 # Joins.
 @registered("j01_normalize", f"{VC}, {NORMED} SELECT chr1, chr2, bin_x, bin_y, round(counts, 6) AS counts FROM normed")
 def j01(s, d):
-    cells = _cells(s, d)
+    cells = _stored(s, d)
     return _round(norm.normalize(cells, norm.vc(cells)), "counts")
 
 
 @registered("j02_observed_over_expected", f"{BASE}, {DENSITY}, {OE} SELECT chr1, chr2, bin_x, bin_y, round(oe, 6) AS oe FROM oe WHERE oe IS NOT NULL")
 def j02(s, d):
-    cells = _cells(s, d)
-    return _round(expected.observed_over_expected(cells, expected.raw_density(cells, _sizes(s, d), SIZE)), "oe")
+    return _round(_oe(s, d), "oe")
 
 
 @registered("j05_intersect", f"{INTERVALS} SELECT DISTINCT chr, greatest(gx1, lx1) AS x1, least(gx2, lx2) AS x2 FROM hits")
@@ -568,7 +582,7 @@ def o06(s, d):
 @registered("o05_poisson_peaks", f"""{BASE}, {DENSITY}, z AS (SELECT chr1, bin_x, bin_y, 2 * (sqrt(counts) - sqrt(value)) AS z FROM cells JOIN density ON dist = bin_y - bin_x WHERE chr1 = chr2),
  r AS (SELECT *, row_number() OVER (PARTITION BY chr1 ORDER BY z DESC, bin_x, bin_y) AS rank FROM z) SELECT chr1, bin_x, bin_y, round(z, 6) AS z, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20""")
 def o05(s, d):
-    cells = _cells(s, d).where("chr1 = chr2")
+    cells = _stored(s, d).where("chr1 = chr2")
     both = cells.withColumn("dist", F.col("bin_y") - F.col("bin_x")).join(expected.raw_density(cells, _sizes(s, d), SIZE), "dist")
     return _round(stats.poisson_peaks(both, 20).select("chr1", "bin_x", "bin_y", "z", "rank"), "z")
 
@@ -589,15 +603,21 @@ _TWO = f"""{BASE}, {_EVEN}, {DENSITY}, cseen AS (SELECT bin_y - bin_x AS dist, s
  JOIN av ON av.chr1 = x.chr1 JOIN cav ON cav.chr1 = x.chr1 WHERE x.chr1 = x.chr2)"""
 
 
-@registered("j03_two_map_transforms", f"{_TWO} SELECT chr1, bin_x, bin_y, " + ", ".join(f"round({v}, 5) AS {k}" for k, v in _T.items()) + " FROM two")
-def j03(s, d):
-    cells, control, sizes = _cells(s, d).where("chr1 = chr2"), _control(s, d).where("chr1 = chr2"), _sizes(s, d)
-    density, cdensity = (expected.raw_density(m, sizes, SIZE).select("dist", F.col("value").alias(v)) for m, v in ((cells, "e"), (control, "ec")))
+def _two_maps(s, d) -> DataFrame:
+    """The cells that both maps have within chromosomes, with all that transforms need: o, c, e, ec, a, ac, e0, ec0, dist."""
+    sizes = written(_sizes(s, d), "sizes")
+    cells, control = (written(m.where("chr1 = chr2"), "cells") for m in (_cells(s, d), _control(s, d)))
+    density, cdensity = (written(expected.raw_density(m, sizes, SIZE), "density").select("dist", F.col("value").alias(v)) for m, v in ((cells, "e"), (control, "ec")))
     averages = [binning.average_counts(m, sizes, SIZE).select("chr1", F.col("average").alias(v)) for m, v in ((cells, "a"), (control, "ac"))]
     both = cells.withColumnRenamed("counts", "o").join(control.withColumnRenamed("counts", "c"), binning.CELL).withColumn("dist", F.col("bin_y") - F.col("bin_x"))
     both = both.join(density, "dist").join(cdensity, "dist").join(averages[0], "chr1").join(averages[1], "chr1")
     zero = density.where("dist = 0").select(F.col("e").alias("e0")).join(cdensity.where("dist = 0").select(F.col("ec").alias("ec0")))
-    both = both.join(F.broadcast(zero))
+    return both.join(F.broadcast(zero))
+
+
+@registered("j03_two_map_transforms", f"{_TWO} SELECT chr1, bin_x, bin_y, " + ", ".join(f"round({v}, 5) AS {k}" for k, v in _T.items()) + " FROM two")
+def j03(s, d):
+    both = written(_two_maps(s, d), "two-maps")
     known = transforms.transforms()
     return both.select("chr1", "bin_x", "bin_y", *(F.round(known[k], 5).alias(k) for k in _T))
 
@@ -605,12 +625,12 @@ def j03(s, d):
 # Vectors.
 @registered("m02_vc_sqrt", f"{BASE}, {COVERAGE}, {finish_sql('sqrt(value)')} SELECT chr, bin, round(value, 6) AS value FROM vec")
 def m02(s, d):
-    return _round(norm.vc_sqrt(_cells(s, d)), "value")
+    return _round(norm.vc_sqrt(_stored(s, d)), "value")
 
 
 @registered("m01_matvec", f"{BASE}, {COVERAGE} SELECT s.chr, s.bin, sum(counts * value) AS value FROM sides s JOIN coverage v ON s.chr = v.chr AND s.other = v.bin GROUP BY s.chr, s.bin")
 def m01(s, d):
-    cells = _cells(s, d)
+    cells = _stored(s, d)
     return norm.matvec(cells, norm.coverage(cells))
 
 
@@ -627,18 +647,20 @@ def m03d(s, d):
     return norm.coverage(wide).select("bin", "value")
 
 
-@registered("m04_pearson", f"""WITH {PAIRS}, {cells_sql(100_000)}, {SIDES}, r AS (SELECT bin AS row, other AS col, counts AS value FROM sides WHERE chr = 1), w AS (SELECT max(col) + 1 AS n FROM r), s AS (SELECT row, sum(value) AS s, sum(value * value) AS ss FROM r GROUP BY row),
- d AS (SELECT a.row, b.row AS row2, sum(a.value * b.value) AS dot FROM r a JOIN r b ON a.col = b.col GROUP BY 1, 2)
- SELECT d.row, d.row2, round((dot - x.s * y.s / n) / nullif(sqrt(x.ss - x.s * x.s / n) * sqrt(y.ss - y.s * y.s / n), 0), 5) AS r FROM d JOIN s x ON x.row = d.row JOIN s y ON y.row = d.row2, w""")
+_OE100 = f"{BASE}, {DENSITY}, {OE}".replace(f"// {SIZE}", "// 100000")
+
+
+@registered("m04_pearson", f"""{_OE100}, v AS (SELECT chr1 AS chr, bin_x AS row, bin_y AS col, oe AS value FROM oe WHERE oe IS NOT NULL UNION ALL SELECT chr1, bin_y, bin_x, oe FROM oe WHERE oe IS NOT NULL AND bin_x <> bin_y),
+ r AS (SELECT DISTINCT chr, row FROM v), dims AS (SELECT chr, unnest(range(length // 100000 + 1)) AS col FROM sizes), full_rows AS (SELECT r.chr, r.row, dims.col, coalesce(v.value, 0) AS value FROM r JOIN dims ON r.chr = dims.chr
+  LEFT JOIN v ON v.chr = r.chr AND v.row = r.row AND v.col = dims.col), centred AS (SELECT chr, row, col, value - avg(value) OVER (PARTITION BY chr, col) AS value FROM full_rows)
+ SELECT a.chr, a.row, b.row AS row2, CASE WHEN a.row = b.row THEN 1 ELSE round(corr(a.value, b.value), 5) END AS r FROM centred a JOIN centred b ON a.chr = b.chr AND a.col = b.col GROUP BY a.chr, a.row, b.row""")
 def m04(s, d):
-    sides = norm.both_sides(_cells(s, d, 100_000)).where("chr = 1").select(F.col("bin").alias("row"), F.col("other").alias("col"), F.col("counts").alias("value"))
-    return _round(linalg.pearson(sides), "r", places=5)
+    return _round(linalg.pearson(written(_oe(s, d, 100_000), "oe"), _sizes(s, d), 100_000), "r", places=5)
 
 
 @registered("m05_eigenvector", None)
 def m05(s, d):
-    cells = _cells(s, d, 100_000)
-    return _round(linalg.eigenvector(expected.observed_over_expected(cells, expected.raw_density(cells, _sizes(s, d), 100_000))), "value")
+    return _round(linalg.eigenvector(_oe(s, d, 100_000)), "value")
 
 
 @registered("m06_compartment_difference", f"""{BASE}, {COVERAGE}, a AS (SELECT chr, bin, value - avg(value) OVER (PARTITION BY chr) AS v FROM coverage), {_EVEN},

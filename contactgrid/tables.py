@@ -2,25 +2,54 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 @cache
 def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="contactgrid-")
+    folder = tempfile.mkdtemp(prefix="contactgrid-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once in the folder that the session names for checkpoints, which driver and executors share, and read again.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints, which driver and executors share.
 
-    Only where no folder is set, as in local tests, is it one of this machine.
+    Only where all run in one process, as in local tests, may it be unset: then a folder of this process takes its place.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return (folder or _own_folder()).rstrip("/")
+
+
+_made: list[str] = []
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written once in the shared folder and read again: it isn't computed anew, and outlives any executor."""
     spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """How many tables have been written: for discard()."""
+    return len(_made)
+
+
+def discard(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Deletes the tables that have been written since a mark(), but for the last ``keep``; their readers have to be done."""
+    gone = _made[since : len(_made) - keep]
+    del _made[since : len(_made) - keep]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
