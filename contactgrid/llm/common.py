@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache, lru_cache
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contactgrid.tables import _made, shared_folder
+
 #: One word: a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
-@cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="contactgrid-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, of the session's settings; one of this process only where none is set, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
-
-
 _worker_caches: list = []
 
 
@@ -60,6 +51,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
