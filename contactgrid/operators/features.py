@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contactgrid.tables import written
+
 ENDS = ["start1", "end1", "start2", "end2"]
 
 
@@ -33,12 +35,13 @@ def mapq_clear(loops: DataFrame, missing: DataFrame, resolution: int, radius: in
     return loops
 
 
-def fdr_accepts(t1: float = 1.5, t2: float = 1.75, t3: float = 2.0, fdr_sum: float = 0.02) -> Column:
-    """enrichment over the four masks, or one much-collapsed cluster with a small sum of false discovery rates."""
-    o, bl, donut, h, v = (F.col(c) for c in ("observed", "expectedBL", "expectedDonut", "expectedH", "expectedV"))
-    rates = sum((F.col(f"fdr{m}") for m in ("Donut", "H", "V")), F.col("fdrBL"))
-    enriched = (o > t2 * bl) & (o > t2 * donut) & (o > t1 * h) & (o > t1 * v) & ((o > t3 * bl) | (o > t3 * donut))
-    return enriched & ((F.col("numCollapsed") > 1) | (rates <= fdr_sum))
+def fdr_accepts(least: float = 1.5, usual: float = 1.75, strong_: float = 2.0, fdr_sum: float = 0.02) -> Column:
+    """loops that stand out from what each mask expects, by its own ratio: the arms by ``least``, donut and corner by ``usual``, one of
+    these two by ``strong_``; and that were collapsed from several pixels, or have a sum of rates of at most ``fdr_sum``."""
+    ratio = {m: F.col("observed") / F.col(f"expected{m}") for m in ("BL", "Donut", "H", "V")}
+    arms, sides = F.least(ratio["H"], ratio["V"]), (ratio["BL"], ratio["Donut"])
+    rates = F.aggregate(F.array(*(F.col(f"fdr{m}") for m in ratio)), F.lit(0.0), lambda total, rate: total + rate)
+    return (arms > least) & (F.least(*sides) > usual) & (F.greatest(*sides) > strong_) & ((F.col("numCollapsed") > 1) | (rates <= fdr_sum))
 
 
 def _cells(df: DataFrame, x: str, y: str, size: int, spread: bool) -> DataFrame:
@@ -118,11 +121,25 @@ def overlapping_rectangles(a: DataFrame, b: DataFrame, width: int = 50_000) -> D
     return left.join(right, on & first).drop("_cx", "_cy", "_bx", "_by")
 
 
-def nearest(points: DataFrame, loops: DataFrame, n: int, radius: int) -> DataFrame:
-    """Of the loops within the radius of a point, the n nearest."""
-    found = near_points(points, loops, radius)
+def nearest(points: DataFrame, loops: DataFrame, n: int, first_radius: int = 10_000) -> DataFrame:
+    """The n loops of the chromosome that are nearest to each point, however far.
+
+    Points look within a radius, by grid cells of that width; those that find fewer than n there, and fewer than their
+    chromosome has, look again within twice the radius, so that each round has fewer points.
+    """
+    most = loops.groupBy("chr").agg(F.least(F.count(F.lit(1)), F.lit(n)).alias("_most"))
+    left = written(points.join(most, "chr"), "nearest-points")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("far", "b_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= n)
+    out, radius = None, first_radius
+    while True:
+        found = near_points(left, loops, radius).withColumn("rank", rank).where(F.col("rank") <= n)
+        found = written(found.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("id"))), "nearest-found")
+        done = found.where("_n = _most")
+        out = done if out is None else out.unionByName(done)
+        left = written(left.join(done.select("id").distinct(), "id", "left_anti"), "nearest-points")
+        if not left.limit(1).count():
+            return out.drop("_n", "_most")
+        radius *= 4
 
 
 def loop_domains(loops: DataFrame, domains: DataFrame, threshold: int) -> DataFrame:
@@ -164,23 +181,43 @@ def corner_scores(pile: DataFrame, window: int = 10, corner: int = 3) -> DataFra
     return g.agg(*(v.alias(k) for k, v in out.items()))
 
 
-def convergence(motif_pairs: DataFrame) -> DataFrame:
-    """How the motifs of loops' two ends face each other: counts of ++, +-, -+, -- and incomplete."""
-    sign = lambda c: F.when(F.col(c), "+").when(~F.col(c), "-")
-    status = F.coalesce(F.concat(sign("strand1"), sign("strand2")), F.lit("incomplete"))
-    return motif_pairs.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+def centre_normed(pile: DataFrame) -> DataFrame:
+    """A pile-up by its centre; where that is 0, by the least positive value, or 1."""
+    centre = F.max(F.when((F.col("dx") == 0) & (F.col("dy") == 0), F.col("value")))
+    by = pile.agg(F.coalesce(F.nullif(centre, F.lit(0.0)), F.min(F.when(F.col("value") > 0, F.col("value"))), F.lit(1.0)).alias("by"))
+    return pile.join(F.broadcast(by)).select("dx", "dy", (F.col("value") / F.col("by")).alias("value"))
+
+
+def mean_normed(pile: DataFrame, window: int = 10) -> DataFrame:
+    """A pile-up by the mean of its whole square, at least 1."""
+    by = pile.agg(F.greatest(F.sum("value") / (2 * window + 1) ** 2, F.lit(1.0)).alias("by"))
+    return pile.join(F.broadcast(by)).select("dx", "dy", (F.col("value") / F.col("by")).alias("value"))
 
 
-def union_without_overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
-    """A, and those of b that overlap none of it."""
-    hit = overlapping_rectangles(a, b).select(F.col("b_id").alias("id")).distinct()
-    return a.unionByName(b.join(hit, "id", "left_anti"))
+def _around(loops: DataFrame, resolution: int, window: int, *keys: str) -> DataFrame:
+    """The cells of each loop's window: keys, chr, bin_x, bin_y, dx, dy."""
+    mid = lambda e: F.floor((F.floor((F.col(f"start{e}") + F.col(f"end{e}")) / 2)) / resolution)
+    spread = F.sequence(F.lit(-window), F.lit(window))
+    at = loops.select(*keys, "chr", mid(1).alias("mx"), mid(2).alias("my")).withColumn("dx", F.explode(spread)).withColumn("dy", F.explode(spread))
+    return at.select(*keys, "chr", (F.col("mx") + F.col("dx")).cast("int").alias("bin_x"), (F.col("my") + F.col("dy")).cast("int").alias("bin_y"), "dx", "dy")
+
+
+def enhancement(loops: DataFrame, cells: DataFrame, resolution: int, window: int = 10) -> DataFrame:
+    """Of each loop with counts in its window, its own cell by the mean of the others: id, enhancement."""
+    c = cells.where("chr1 = chr2").select(F.col("chr1").alias("chr"), "bin_x", "bin_y", "counts")
+    centre = F.sum(F.when((F.col("dx") == 0) & (F.col("dy") == 0), F.col("counts")).otherwise(0.0))
+    rest = (F.sum("counts") - centre) / ((2 * window + 1) ** 2 - 1)
+    return _around(loops, resolution, window, "id").join(c, ["chr", "bin_x", "bin_y"]).groupBy("id").agg(F.try_divide(centre, rest).alias("enhancement"))
 
 
-def centre_by_distance(loops: DataFrame, cells: DataFrame, resolution: int, first: int = 20_000) -> DataFrame:
-    """The sum of the loops' own cells by doubling bands of distance."""
-    mid = lambda e: F.floor(F.floor((F.col(f"start{e}") + F.col(f"end{e}")) / 2) / resolution).cast("int")
-    band = F.floor(F.log2(F.greatest((F.col("start2") - F.col("start1")) / first, F.lit(1.0)))).cast("int")
-    at = loops.select("chr", band.alias("band"), mid(1).alias("bin_x"), mid(2).alias("bin_y")).groupBy("chr", "band", "bin_x", "bin_y").agg(F.count(F.lit(1)).alias("n"))
+def pile_up_by_distance(loops: DataFrame, cells: DataFrame, resolution: int, window: int = 10, corner: int = 3, first: int = 20_000, bands: int = 8) -> DataFrame:
+    """The loops by doubling bands of distance, of each band the centre of its pile-up, and that by the mean of the lower left corner: band, n_loops, centre, p2ll."""
+    far = F.floor(F.abs(F.col("start2") - F.col("start1")) / first)
+    banded = loops.where(far >= 1).withColumn("band", F.floor(F.log2(far.cast("double"))).cast("int")).where(F.col("band") < bands)
     c = cells.where("chr1 = chr2").select(F.col("chr1").alias("chr"), "bin_x", "bin_y", "counts")
-    return at.join(c, ["chr", "bin_x", "bin_y"]).groupBy("band").agg(F.sum(F.col("n") * F.col("counts")).alias("centre"))
+    at = _around(banded, resolution, window, "band").groupBy("band", "chr", "bin_x", "bin_y", "dx", "dy").agg(F.count(F.lit(1)).alias("n"))
+    here = (F.col("dx") == 0) & (F.col("dy") == 0)
+    low = (F.col("dx") > window - corner) & (F.col("dy") < -window + corner)
+    total = lambda c: F.sum(F.when(c, F.col("n") * F.col("counts")).otherwise(0.0))
+    sums = at.join(c, ["chr", "bin_x", "bin_y"]).groupBy("band").agg(total(here).alias("centre"), F.try_divide(total(here), total(low) / corner**2).alias("p2ll"))
+    return banded.groupBy("band").agg(F.count(F.lit(1)).alias("n_loops")).join(sums, "band", "left").select("band", "n_loops", "centre", "p2ll")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from contactgrid import adapters
 from contactgrid.functions import scalars, transforms
-from contactgrid.operators import binning, domains, expected, features, intervals, linalg, loops, motifs, norm, pairs, query, stats
+from contactgrid.operators import binning, domains, expected, features, intervals, linalg, lists, loops, motifs, norm, pairs, query, stats
 from contactgrid.sources import binary, text
 from contactgrid.tables import written
 
@@ -369,7 +369,13 @@ def a15(s, d):
     return _round(expected.raw_density(_cells(s, d), _sizes(s, d), SIZE), "value")
 
 
-@registered("a16_smoothed_expected", None)
+@registered("a16_smoothed_expected", f"""{BASE.replace("WITH", "WITH RECURSIVE", 1)}, {DENSITY}, v AS (SELECT p.dist, coalesce(observed, 0) AS o, possible AS p FROM possible p LEFT JOIN seen s ON p.dist = s.dist),
+ cum AS (SELECT dist, sum(o) OVER (ORDER BY dist) - o AS so, sum(p) OVER (ORDER BY dist) - p AS sp FROM v UNION ALL SELECT count(*), sum(o), sum(p) FROM v), n AS (SELECT count(*) AS n FROM v),
+ win AS (SELECT a.dist AS lo, b.dist AS hi, b.so - a.so AS s, b.sp - a.sp AS p FROM cum a JOIN cum b ON b.dist > a.dist),
+ st(d, lo, hi, s, p) AS (SELECT CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(1 AS BIGINT), CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) UNION ALL
+  SELECT d + 1, w.lo, w.hi, w.s, w.p FROM (SELECT st.d, st.lo, CASE WHEN st.d < 0 THEN 1 ELSE least(st.hi + 2, n) END AS hi, n FROM st, n WHERE st.d + 1 < n) t, LATERAL (SELECT win.* FROM win JOIN win here ON here.lo = t.lo AND here.hi = t.hi
+   WHERE CASE WHEN here.s < 400 THEN win.lo = t.lo AND win.hi >= t.hi AND (win.s >= 400 OR win.hi = t.n) ELSE win.lo - t.lo = t.hi - win.hi AND win.lo >= t.lo AND win.hi > win.lo AND win.s >= 400 END ORDER BY win.hi LIMIT 1) w)
+ SELECT d AS dist, round(s / p, 6) AS value FROM st WHERE d >= 0""")
 def a16(s, d):
     return _round(expected.expected(_cells(s, d), _sizes(s, d), SIZE), "value")
 
@@ -421,10 +427,11 @@ def a35u(s, d):
     return _round(intervals.unique_per_cell(adapters.loci(s, d), 100), "score")
 
 
-@registered("a36_convergence", f"WITH {LOOPS} SELECT CASE WHEN observed % 7 = 0 THEN 'incomplete' ELSE (CASE WHEN id % 2 = 0 THEN '+' ELSE '-' END) || (CASE WHEN observed % 3 = 0 THEN '+' ELSE '-' END) END AS status, count(*) AS n FROM loops GROUP BY 1")
+@registered("a36_convergence", f"WITH {LOOPS} SELECT CASE WHEN observed % 7 = 0 THEN 'incomplete' WHEN observed % 5 = 0 THEN 'non-unique' ELSE (CASE WHEN id % 2 = 0 THEN '+' ELSE '-' END) || (CASE WHEN observed % 3 = 0 THEN '+' ELSE '-' END) END AS status, count(*) AS n FROM loops GROUP BY 1")
 def a36(s, d):
-    pairs_ = adapters.loops(s, d).select((F.col("id") % 2 == 0).alias("strand1"), F.when(F.col("observed") % 7 != 0, F.col("observed") % 3 == 0).alias("strand2"))
-    return features.convergence(pairs_)
+    unique = F.lit(True)
+    ends = adapters.loops(s, d).select((F.col("id") % 2 == 0).alias("strand1"), F.when(F.col("observed") % 7 != 0, F.col("observed") % 3 == 0).alias("strand2"), unique.alias("unique1"), (F.col("observed") % 5 != 0).alias("unique2"))
+    return lists.convergence(ends)
 
 
 @registered("a37_column_sums", f"""{BASE}, x AS (SELECT chr1 AS chr, bin_x AS bin, counts, chr1 = chr2 AND bin_x = bin_y AS diag FROM cells UNION ALL SELECT chr2, bin_y, counts, FALSE FROM cells WHERE chr1 <> chr2 OR bin_x <> bin_y)
@@ -439,9 +446,15 @@ def a27(s, d):
     return features.pile_up(adapters.loops(s, d), _cells(s, d), SIZE, 4)
 
 
-@registered("a28_corner_scores", None)
+@registered("a28_corner_scores", f"""{BASE}, {LOOPS}, a AS (SELECT chr, (start1 + end1) // 2 // {SIZE} AS mx, (start2 + end2) // 2 // {SIZE} AS my FROM loops), w AS (SELECT chr, mx + dx AS bx, my + dy AS y2, dx, dy FROM a, range(-4, 5) p(dx), range(-4, 5) q(dy)),
+ s AS (SELECT dx, dy, sum(counts) AS value FROM w JOIN cells ON chr1 = w.chr AND chr2 = w.chr AND bin_x = bx AND bin_y = y2 GROUP BY dx, dy),
+ g AS (SELECT p.dx, q.dy, coalesce(value, 0) AS value FROM range(-4, 5) p(dx) CROSS JOIN range(-4, 5) q(dy) LEFT JOIN s ON s.dx = p.dx AND s.dy = q.dy), c AS (SELECT value AS c FROM g WHERE dx = 0 AND dy = 0)
+ SELECT round(any_value(c) / nullif(avg(value) FILTER (dx < -2 AND dy < -2), 0), 6) AS p2ul, round(any_value(c) / nullif(avg(value) FILTER (dx < -2 AND dy > 2), 0), 6) AS p2ur, round(any_value(c) / nullif(avg(value) FILTER (dx > 2 AND dy < -2), 0), 6) AS p2ll,
+ round(any_value(c) / nullif(avg(value) FILTER (dx > 2 AND dy > 2), 0), 6) AS p2lr, round(any_value(c) / nullif(avg(value) FILTER (dx <> 0 OR dy <> 0), 0), 6) AS p2m,
+ round((any_value(c) - avg(value) FILTER (dx > 2 AND dy < -2)) / nullif(stddev_samp(value) FILTER (dx > 2 AND dy < -2), 0), 6) AS zscore_ll FROM g, c""")
 def a28(s, d):
-    return features.corner_scores(features.pile_up(adapters.loops(s, d), _cells(s, d), SIZE, 4), 4, 2)
+    scores = features.corner_scores(features.pile_up(adapters.loops(s, d), _cells(s, d), SIZE, 4), 4, 2)
+    return _round(scores, *scores.columns)
 
 
 # Joins.
@@ -506,10 +519,10 @@ def j15(s, d):
     return features.overlapping_rectangles(*_halves(s, d)).select("id", "b_id")
 
 
-@registered("j15_nearest", f"""WITH {HALVES}, r AS (SELECT a.id, b.id AS b_id, {FAR} AS far FROM la a JOIN lb b ON a.chr = b.chr AND {FAR} <= 8000), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY far, b_id) AS rank FROM r)
+@registered("j15_nearest", f"""WITH {HALVES}, r AS (SELECT a.id, b.id AS b_id, {FAR} AS far FROM la a JOIN lb b ON a.chr = b.chr), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY far, b_id) AS rank FROM r)
  SELECT id, b_id, round(far, 6) AS far, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 3""")
 def j15n(s, d):
-    return _round(features.nearest(*_halves(s, d), 3, 8000).select("id", "b_id", "far", "rank"), "far")
+    return _round(features.nearest(*_halves(s, d), 3).select("id", "b_id", "far", "rank"), "far")
 
 
 @registered("j17_fragment_lookup", f"""WITH {LOCI}, sites AS (SELECT DISTINCT CAST(1 + p_partkey % 3 AS INTEGER) AS chr, p_partkey * 700 + 350 AS pos FROM part), l AS (SELECT id, chr, x1 FROM loci)
@@ -739,21 +752,29 @@ def c07(s, d):
 
 @registered("f29_catalog_filter", f"WITH {GENES} SELECT gene_id, name FROM genes WHERE regexp_matches(lower(name), '(re|or).*[02468]$')")
 def f29(s, d):
-    return adapters.genes(s, d).where(F.lower("name").rlike("(re|or).*[02468]$")).select("gene_id", "name")
+    return lists.catalog_filter(adapters.genes(s, d).select("gene_id", "name"), "(re|or).*[02468]$", ["name", "gene_id"])
 
 
-@registered("u01_union_without_overlaps", f"""WITH {HALVES} SELECT id FROM la UNION ALL SELECT id FROM lb b WHERE NOT EXISTS (SELECT 1 FROM la a WHERE a.chr = b.chr AND a.start1 <= b.end1 AND b.start1 <= a.end1 AND a.start2 <= b.end2 AND b.start2 <= a.end2)""")
+OVERLAP = "a.chr = b.chr AND a.start1 <= b.end1 AND b.start1 <= a.end1 AND a.start2 <= b.end2 AND b.start2 <= a.end2"
+
+
+@registered("u01_union_without_overlaps", f"""WITH RECURSIVE {HALVES}, free AS (SELECT * FROM lb b WHERE NOT EXISTS (SELECT 1 FROM la a WHERE {OVERLAP})),
+ e AS (SELECT b.id, a.id AS earlier FROM free a JOIN free b ON {OVERLAP} AND a.id < b.id),
+ st AS (SELECT 0 AS round, id, 0 AS status FROM free UNION ALL SELECT any_value(s.round) + 1, s.id, CASE WHEN any_value(s.status) <> 0 THEN any_value(s.status) WHEN count(*) FILTER (t.status = 1) > 0 THEN 2
+  WHEN count(*) FILTER (e.earlier IS NOT NULL AND t.status <> 2) = 0 THEN 1 ELSE 0 END FROM st s LEFT JOIN e ON e.id = s.id LEFT JOIN st t ON t.id = e.earlier WHERE s.round < 40 GROUP BY s.id)
+ SELECT id FROM la UNION ALL SELECT id FROM st WHERE round = 40 AND status = 1""")
 def u01(s, d):
-    a, b = _halves(s, d)
-    return features.union_without_overlaps(a, b).select("id")
+    return lists.union_without_overlaps(*_halves(s, d)).select("id")
 
 
-@registered("a41_distinct_features", f"WITH {LOOPS} SELECT DISTINCT chr, start1, end1, start2, end2 FROM loops")
+@registered("a41_distinct_features", f"WITH {LOOPS} SELECT chr, start1, end1, start2, end2, min(id) AS id FROM loops GROUP BY ALL")
 def a41(s, d):
-    return adapters.loops(s, d).select("chr", *features.ENDS).distinct()
+    return lists.distinct_features(adapters.loops(s, d))
 
 
-@registered("a29_pile_up_by_distance", f"""{BASE}, {LOOPS}, a AS (SELECT chr, CAST(floor(log2(greatest((start2 - start1) / 20000.0, 1))) AS INTEGER) AS band, (start1 + end1) // 2 // {SIZE} AS mx, (start2 + end2) // 2 // {SIZE} AS my FROM loops)
- SELECT band, sum(counts) AS centre FROM a JOIN cells ON chr1 = a.chr AND chr2 = a.chr AND bin_x = mx AND bin_y = my GROUP BY band""")
+@registered("a29_pile_up_by_distance", f"""{BASE}, {LOOPS}, a AS (SELECT chr, CAST(floor(log2(abs(start2 - start1) // 10000)) AS INTEGER) AS band, (start1 + end1) // 2 // {SIZE} AS mx, (start2 + end2) // 2 // {SIZE} AS my FROM loops WHERE abs(start2 - start1) >= 10000),
+ n AS (SELECT band, count(*) AS n_loops FROM a WHERE band < 8 GROUP BY band), w AS (SELECT band, chr, mx + dx AS bx, my + dy AS y2, dx, dy FROM a, range(-4, 5) p(dx), range(-4, 5) q(dy)),
+ v AS (SELECT band, sum(CASE WHEN dx = 0 AND dy = 0 THEN counts ELSE 0 END) AS centre, sum(CASE WHEN dx > 2 AND dy < -2 THEN counts ELSE 0 END) / 4 AS ll FROM w JOIN cells ON chr1 = w.chr AND chr2 = w.chr AND bin_x = bx AND bin_y = y2 GROUP BY band)
+ SELECT n.band, n_loops, centre, round(centre / nullif(ll, 0), 6) AS p2ll FROM n LEFT JOIN v ON n.band = v.band""")
 def a29(s, d):
-    return features.centre_by_distance(adapters.loops(s, d), _cells(s, d), SIZE)
+    return _round(features.pile_up_by_distance(adapters.loops(s, d), _stored(s, d), SIZE, 4, 2, 10_000), "p2ll")
