@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactgrid.llm.common import let, materialize
@@ -41,20 +41,16 @@ def dedup_lines(docs: DataFrame, window_lines: int = WINDOW_LINES) -> DataFrame:
     where occurrences that overlap are merged: of six equal lines five are in later windows and go. Returns row (struct of all input columns), new_text,
     n_lines (those with a word), n_removed.
 
-    The windows are counted with partial sums before the shuffle, so one that a third of the documents
-    share is a row a task; what repeats is a table of its own, so that its join can be split.
+    The windows are counted, and their first places found, with partial sums before the shuffle, so one that a third of the documents
+    share is a row a task; what repeats is a table of its own, so that its join can be split. No window function follows.
     Null or empty text: as it was. A text of fewer than three lines with words: as it was. Rows that share
     doc_id and text count as one document and get the same result. No rows: no rows.
     """
     windows = _windows(docs, window_lines)
-    repeated = windows.groupBy("a", "b").agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    place = F.struct(F.col("doc").isNull().alias("no_doc"), "doc", "twin", "at")
+    repeated = windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     repeated = materialize(repeated, "line-windows")
-    hits = windows.join(repeated, ["a", "b"])
-    own = F.col("doc").eqNullSafe(F.col("first_doc"))
-    later = hits.where(~own)
-    first = F.min(F.struct("twin", "at")).over(Window.partitionBy("doc", "a", "b"))
-    within = hits.where(own).withColumn("first", first).where("struct(twin, at) <> first")
-    covered = later.select("doc", "twin", "at").unionByName(within.select("doc", "twin", "at"))
+    covered = windows.join(repeated, ["a", "b"]).where(~place.eqNullSafe(F.col("first"))).select("doc", "twin", "at")
     covered = covered.groupBy("doc", "twin").agg(F.collect_set("at").alias("hit"))
     full = F.filter(F.transform("lines", lambda x, i: F.when(_bare(x) != "", i)), lambda i: i.isNotNull())
     rows = _lines(docs).withColumn("full", full).alias("d").join(
