@@ -77,3 +77,10 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Restriction sites from suppliers and parts: chr, pos, ascending and distinct."""
     t = table(spark, sf_dir, "part")
     return t.select((1 + F.col("p_partkey") % 3).cast("int").alias("chr"), (F.col("p_partkey") * 700 + 350).cast("int").alias("pos"))
+
+
+def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chromosomes from nations, two of them sex chromosomes and one mitochondrial."""
+    key = F.col("n_nationkey")
+    name = F.when(key == 22, "chrX").when(key == 23, "Y").when(key == 24, "chrM").otherwise(F.col("n_name"))
+    return table(spark, sf_dir, "nation").select((key + 1).cast("int").alias("chr"), name.alias("name"), (1_000_000 + 10_000 * (key * 37 % 25)).cast("long").alias("length"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,3 +95,38 @@ def occupancy(cells: DataFrame) -> DataFrame:
     return cells.groupBy("chr1", "chr2").agg(
         F.count(F.lit(1)).alias("n_cells"), F.percentile("counts", F.lit(0.05)).alias("p05"), F.percentile("counts", F.lit(0.95)).alias("p95")
     )
+
+
+def thin(cells: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
+    """of each cell's counts as many as a binomial draw keeps; the draw follows from the cell's place and the seed, so reruns agree."""
+
+    @F.pandas_udf("double")
+    def kept(n: pd.Series, draw: pd.Series) -> pd.Series:
+        return pd.Series([float(np.random.default_rng([seed, int(h) & (2**63 - 1)]).binomial(int(k), fraction)) for k, h in zip(n, draw, strict=True)])
+
+    return cells.withColumn("counts", kept(F.floor("counts"), F.xxhash64(*CELL))).where("counts > 0")
+
+
+def rebin(cells: DataFrame, bin_size: int, new_size: int, seed: int = 0) -> DataFrame:
+    """Cells in bins of any other size, also one that isn't a multiple: each count goes to a place of its cell at random, by the cell and the seed.
+
+    Whole counts are dealt one by one, so sums stay; where the new size is a multiple there is nothing to deal.
+    """
+    if new_size % bin_size == 0:
+        return coarsen(cells, new_size // bin_size)
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            n = f["counts"].to_numpy(float).astype(int)
+            at = np.repeat(np.arange(len(f)), n)
+            draws = [np.random.default_rng([seed, int(h) & (2**63 - 1)]).integers(0, bin_size, (k, 2)) for h, k in zip(f["draw"], n, strict=True)]
+            off = np.concatenate([np.zeros((0, 2), int), *draws])
+            part = f.iloc[at]
+            x, y = ((part[b].to_numpy("int64") * bin_size + off[:, k]) // new_size for k, b in enumerate(("bin_x", "bin_y")))
+            same = (part["chr1"] == part["chr2"]).to_numpy()
+            low, high = np.where(same, np.minimum(x, y), x), np.where(same, np.maximum(x, y), y)
+            out = pd.DataFrame({"chr1": part["chr1"].to_numpy(), "chr2": part["chr2"].to_numpy(), "bin_x": low.astype("int32"), "bin_y": high.astype("int32"), "counts": 1.0})
+            yield out.groupby(CELL, as_index=False)["counts"].sum()
+
+    dealt = cells.select(*CELL, "counts", F.xxhash64(*CELL).alias("draw")).mapInPandas(deal, "chr1 int, chr2 int, bin_x int, bin_y int, counts double")
+    return dealt.groupBy(*CELL).agg(F.sum("counts").alias("counts"))

@@ -118,9 +118,61 @@ def lift(rows: DataFrame, scaffolds: DataFrame, width: int = BUCKET) -> DataFram
 
 
 def pseudo_chromosome(regions: DataFrame, buffer: int = 10) -> DataFrame:
-    """Regions one after the other, with ``buffer`` bins between: id, new_start."""
-    over = Window.orderBy("chr", "x1", "x2", "id").rowsBetween(Window.unboundedPreceding, -1)
-    return regions.select("id", "chr", "x1", "x2", F.coalesce(F.sum(F.col("x2") - F.col("x1") + buffer).over(over), F.lit(0)).alias("new_start"))
+    """Regions one after the other, with ``buffer`` bases between: id, chr, x1, x2, new_start.
+
+    Running sums are taken within stretches of a chromosome and carried over the few stretches.
+    """
+    by = Window.partitionBy("chr", "stretch").orderBy("x1", "x2", "id").rowsBetween(Window.unboundedPreceding, -1)
+    r = regions.select("id", "chr", "x1", "x2").withColumns({"stretch": F.floor(F.col("x1") / (1 << 22)), "width": F.col("x2") - F.col("x1") + buffer})
+    over = Window.orderBy("chr", "stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = r.groupBy("chr", "stretch").agg(F.sum("width").alias("all"))
+    sums = sums.select("chr", "stretch", F.coalesce(F.sum("all").over(over), F.lit(0)).alias("before"))
+    r = r.withColumn("here", F.coalesce(F.sum("width").over(by), F.lit(0))).join(sums, ["chr", "stretch"])
+    return r.select("id", "chr", "x1", "x2", (F.col("here") + F.col("before")).alias("new_start"))
+
+
+def lift_cells(cells: DataFrame, regions: DataFrame, bin_size: int) -> DataFrame:
+    """Cells both of whose bins start in regions (id, chr, x1, x2, new_start), at their places in the pseudo chromosome: region_x, region_y, bin_x, bin_y, counts.
+
+    The regions' bins are rows, so both joins are equi-joins. Overlapping regions each take their copy.
+    """
+    bins = regions.select("id", "chr", "x1", "new_start", F.explode(F.sequence(F.ceil(F.col("x1") / bin_size), F.floor(F.col("x2") / bin_size))).alias("bin")).where(F.col("bin") * bin_size >= F.col("x1"))
+    bins = bins.select("id", "chr", F.col("bin").cast("int").alias("bin"), F.floor((F.col("new_start") + F.col("bin") * bin_size - F.col("x1")) / bin_size).alias("new"))
+    x = bins.select(F.col("chr").alias("chr1"), F.col("bin").alias("bin_x"), F.col("id").alias("region_x"), F.col("new").alias("new_x"))
+    y = bins.select(F.col("chr").alias("chr2"), F.col("bin").alias("bin_y"), F.col("id").alias("region_y"), F.col("new").alias("new_y"))
+    return cells.join(x, ["chr1", "bin_x"]).join(y, ["chr2", "bin_y"]).select("region_x", "region_y", F.least("new_x", "new_y").alias("bin_x"), F.greatest("new_x", "new_y").alias("bin_y"), "counts")
+
+
+def lift_track(track: DataFrame, regions: DataFrame) -> DataFrame:
+    """The parts of a track's intervals within regions, at their places in the pseudo chromosome: id, region, x1, x2, score."""
+    both = overlap_join(track, regions)
+    at = lambda p: p - F.col("b_x1") + F.col("b_new_start")
+    return both.select("id", F.col("b_id").alias("region"), at(F.greatest("x1", "b_x1")).alias("x1"), at(F.least("x2", "b_x2")).alias("x2"), "score")
+
+
+def lift_features(rows: DataFrame, scaffolds: DataFrame) -> DataFrame:
+    """Features (id, chr, start1, end1, start2, end2, strand1, strand2) both of whose ends lie within scaffolds, at their new places; an inverted scaffold turns the strand."""
+    def end(e: str) -> DataFrame:
+        ends = rows.select("id", "chr", F.col(f"start{e}").alias("x1"), F.col(f"end{e}").alias("x2"), F.col(f"strand{e}").alias("strand"))
+        both = overlap_join(ends, scaffolds).where("b_x1 <= x1 and x2 <= b_x2")
+        start = F.when(F.col("b_inverted"), F.col("b_new_start") + F.col("b_x2") - F.col("x2")).otherwise(F.col("b_new_start") + F.col("x1") - F.col("b_x1"))
+        strand = F.col("strand") != F.col("b_inverted")
+        return both.select("id", F.col("b_id").alias(f"scaffold{e}"), start.alias(f"start{e}"), (start + F.col("x2") - F.col("x1")).alias(f"end{e}"), strand.alias(f"strand{e}"))
+
+    return end("1").join(end("2"), "id")
+
+
+def track_by_middle(track: DataFrame, size: int) -> DataFrame:
+    """Mean and maximum of scores by the bin of an interval's middle."""
+    middle = F.floor(F.floor((F.col("x1") + F.col("x2")) / 2) / size)
+    return track.groupBy("chr", middle.alias("bin")).agg(F.avg("score").alias("mean"), F.max("score").alias("high"))
+
+
+def coverage_track(vector: DataFrame, chr_: int, first: int, last: int) -> DataFrame:
+    """A chromosome's values of a vector from bin to bin, and the 95th percentile of all its values, where the track's scale ends."""
+    mine = vector.where(F.col("chr") == chr_)
+    top = mine.agg(F.percentile("value", F.lit(0.95)).alias("top"))
+    return mine.where(F.col("bin").between(first, last)).select("bin", "value").join(F.broadcast(top))
 
 
 def genes_by_name(genes: DataFrame, names: DataFrame) -> DataFrame:

@@ -61,19 +61,16 @@ def distinct_features(rows: DataFrame) -> DataFrame:
     return rows.groupBy("chr", *features.ENDS).agg(F.min("id").alias("id"))
 
 
-def feature_order(rows: DataFrame, by_observed: bool = False) -> DataFrame:
-    """By what was observed, or by chromosome and places."""
-    return rows.orderBy("observed", "id") if by_observed else rows.orderBy("chr", "start1", "start2", "end1", "end2", "id")
+#: Orders within a chromosome: O02 of features, by place or by what was observed; O03 of loci; O04 of domains, by both triangles' variances.
+FEATURE_ORDER = ("start1", "start2", "end1", "end2", "id")
+OBSERVED_ORDER = ("observed", "id")
+LOCUS_ORDER = ("x1", "x2", "id")
+DOMAIN_ORDER = ("-(uVarScore + lVarScore)", "id")
 
 
-def locus_order(rows: DataFrame) -> DataFrame:
-    """O03."""
-    return rows.orderBy("chr", "x1", "x2", "id")
-
-
-def domain_order(rows: DataFrame) -> DataFrame:
-    """By the sum of both triangles' variances, the largest first."""
-    return rows.orderBy((F.col("uVarScore") + F.col("lVarScore")).desc(), "id")
+def ordered(rows: DataFrame, order: Sequence) -> DataFrame:
+    """Rows by chromosome and one of these orders, by ranges, so that no task sorts them all."""
+    return rows.orderBy("chr", *map(F.expr, order))
 
 
 def convergence(motifs: DataFrame) -> DataFrame:

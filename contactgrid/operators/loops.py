@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactgrid.functions.scalars import poisson_tail
@@ -221,8 +221,8 @@ def loop_differences(a: DataFrame, b: DataFrame, radius: int = 50_000, fraction:
     return out
 
 
-def not_enriched(loops: DataFrame, cells: DataFrame, vector: DataFrame, density: DataFrame, bin_size: int, limit: float = 1.3, settings: tuple[int, int, int] | None = None) -> DataFrame:
-    """Loops whose pixel in a map is observed less than ``limit`` times what each of the four masks expects.
+def score_loops(loops: DataFrame, cells: DataFrame, vector: DataFrame, density: DataFrame, bin_size: int, settings: tuple[int, int, int] | None = None) -> DataFrame:
+    """Given loops with what a map shows and the masks expect at their places, whatever it is: observed, expectedBL, expectedDonut, expectedH, expectedV.
 
     Loops' pixels that the map has no counts in are scored as zero counts. A loop without expected values, such as one near the
     diagonal or of a bin without a norm, can't be told and is left out, as in the original.
@@ -231,8 +231,70 @@ def not_enriched(loops: DataFrame, cells: DataFrame, vector: DataFrame, density:
     pixel = at.select(F.col("chr").alias("chr1"), F.col("chr").alias("chr2"), "bin_x", "bin_y").distinct()
     empty = pixel.join(cells, ["chr1", "chr2", "bin_x", "bin_y"], "left_anti").withColumn("counts", F.lit(0.0))
     p = pixels(cells.select(*empty.columns).unionByName(empty), vector, density, bin_size, settings=settings)
-    low = p.where(F.col("observed") < limit * F.least(*(F.col(f"expected{m}") for m in MASKS))).select("chr", "bin_x", "bin_y")
-    return at.join(low, ["chr", "bin_x", "bin_y"], "left_semi").select(*loops.columns)
+    told = p.select("chr", "bin_x", "bin_y", "observed", *(f"expected{m}" for m in MASKS))
+    return at.drop("observed").join(told, ["chr", "bin_x", "bin_y"])
+
+
+def not_enriched(loops: DataFrame, cells: DataFrame, vector: DataFrame, density: DataFrame, bin_size: int, limit: float = 1.3, settings: tuple[int, int, int] | None = None) -> DataFrame:
+    """Loops whose pixel in a map is observed less than ``limit`` times what each of the four masks expects: see score_loops()."""
+    low = score_loops(loops, cells, vector, density, bin_size, settings).where(F.col("observed") < limit * F.least(*(F.col(f"expected{m}") for m in MASKS)))
+    return loops.join(low.select("id").distinct(), "id", "left_semi")
+
+
+def poisson_p(observed: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """P(X >= observed) of Poisson variables: the regularized incomplete gamma function, by its series or its continued fraction."""
+    a, x = np.maximum(observed, 1.0), np.maximum(mean, 1e-300)
+    front = np.exp(a * np.log(x) - x - np.array([math.lgamma(v) for v in a]))
+    term = total = 1 / a
+    for k in range(1, 400):
+        term = term * x / (a + k)
+        total = total + term
+    b = x + 1 - a
+    c, d = np.full_like(x, 1e300), 1 / np.where(np.abs(b) < 1e-300, 1e-300, b)
+    h = d.copy()
+    for k in range(1, 400):
+        an, b = -k * (k - a), b + 2
+        d = 1 / np.where(np.abs(an * d + b) < 1e-300, 1e-300, an * d + b)
+        c = b + an / c
+        h = h * d * c
+    p = np.where(x < a + 1, front * total, 1 - front * h)
+    return np.where(observed <= 0, 1.0, np.clip(p, 0.0, 1.0))
+
+
+def significant(pixels_: DataFrame, fdr: float = 0.1) -> DataFrame:
+    """Pixels whose Poisson p-value passes for all four masks, with the p-values (pBL, pDonut, pH, pV).
+
+    Of each mask and lambda bin, pixels' p-values times their number by ``fdr`` are the rank that a pixel has to have: the last
+    rank that is at most the number of pixels with it or a lower one is the limit. Ranks are counted, so that no lambda bin is sorted.
+    """
+
+    def tails(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(**{f"p{m}": poisson_p(f["observed"].to_numpy(float), f[f"expected{m}"].to_numpy(float)) for m in MASKS})
+
+    kind = f"{PIXEL}, " + ", ".join(f"p{m} double" for m in MASKS)
+    p = written(pixels_.select(*PIXEL_COLUMNS).mapInPandas(tails, kind), "p-values")
+    long = p.select(F.inline(F.array(*(F.struct(F.lit(m).alias("mask"), F.col(f"bin{m}").alias("bin"), F.col(f"p{m}").alias("p")) for m in MASKS))))
+    total = long.groupBy("mask", "bin").agg(F.count(F.lit(1)).alias("m"))
+    ranks = long.where(F.col("p") < fdr).join(F.broadcast(total), ["mask", "bin"]).withColumn("rank", F.greatest(F.ceil(F.col("p") * F.col("m") / fdr), F.lit(1)))
+    counts = ranks.groupBy("mask", "bin", "rank").agg(F.count(F.lit(1)).alias("n"), F.max("p").alias("p"))
+    upto = F.sum("n").over(Window.partitionBy("mask", "bin").orderBy("rank"))
+    limits = counts.withColumn("upto", upto).where("rank <= upto").groupBy("mask", "bin").agg(F.max("p").alias("limit"))
+    for m in MASKS:
+        mine = limits.where(F.col("mask") == m).select(F.col("bin").alias(f"bin{m}"), F.col("limit").alias("_limit"))
+        p = p.join(F.broadcast(mine), f"bin{m}").where(F.col(f"p{m}") <= F.col("_limit")).drop("_limit")
+    return p
+
+
+def call_loops_by_p(cells: DataFrame, vector: DataFrame, density: DataFrame, bin_size: int, fdr: float = 0.1, max_ratio: float = 40.0, settings: tuple[int, int, int] | None = None) -> DataFrame:
+    """Loops by p-values: significant pixels joined to centroids, enriched over all masks (F22), and no more than ``max_ratio`` times what they expect."""
+    from contactgrid.operators import lists
+
+    p = written(pixels(written(cells, "cells"), written(vector, "vector"), written(density, "density"), bin_size, settings=settings), "pixels")
+    found = significant(p, fdr).withColumnsRenamed({f"p{m}": f"fdr{m}" for m in MASKS})
+    start = lambda b: (F.col(b).cast("long") * bin_size)
+    loops = cluster(found, bin_size, (settings or SETTINGS[bin_size])[2]).withColumns({"start1": start("bin_x"), "end1": start("bin_x") + bin_size, "start2": start("bin_y"), "end2": start("bin_y") + bin_size})
+    return loops.where(features.fdr_accepts() & lists.clean(max_ratio)).withColumn("id", F.xxhash64("chr", "bin_x", "bin_y"))
 
 
 def differential_loops(

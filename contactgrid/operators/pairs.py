@@ -105,3 +105,38 @@ def distance_to_site(rows: DataFrame, sites: DataFrame, pos: str = "pos") -> Dat
     """The distance to the nearest cut site on either side."""
     near = _as_of(rows, sites, pos)
     return near.withColumn("site_distance", F.least(F.col(pos) - F.col("_prev"), F.col("_next") - F.col(pos))).drop("_frag", "_prev", "_next")
+
+
+def bed_to_fragments(rows: DataFrame, sites: DataFrame) -> DataFrame:
+    """Intervals (chr, x1, x2) with the fragments of their start and end."""
+    return fragment_of(fragment_of(rows, sites, "x1").withColumnRenamed("frag", "frag1"), sites, "x2").withColumnRenamed("frag", "frag2")
+
+
+def site_rows(sites: DataFrame) -> DataFrame:
+    """A row of one base for each cut site: chr, x1, x2, idx (from 0). Sites are numbered along stretches of a chromosome."""
+    at = sites.distinct().withColumns({"x1": F.col("pos") - 1, "x2": F.col("pos")})
+    return fragment_of(at, sites, "pos").select("chr", "x1", "x2", (F.col("frag") - 1).alias("idx"))
+
+
+def nearest_sites(pairs: DataFrame, sites: DataFrame) -> DataFrame:
+    """Both ends of the pairs with the distance to their fragment's nearer end, and which end that is by strand: chr, pos, strand, distance, side.
+
+    Ends beyond a chromosome's last site go. Of ends as near the first counts; a chromosome's start is an end of its first fragment.
+    """
+    end = lambda e: F.struct(F.col(f"strand{e}").alias("strand"), F.col(f"chr{e}").alias("chr"), F.col(f"pos{e}").alias("pos"))
+    ends = pairs.select(F.inline(F.array(end(1), end(2))))
+    near = _as_of(ends, sites, "pos").where("_next is not null")
+    before, after = F.col("pos") - F.coalesce("_prev", F.lit(0)), F.col("_next") - F.col("pos")
+    side = F.when((before <= after) == F.col("strand"), "5p").otherwise("3p")
+    return near.select("chr", "pos", "strand", F.least(before, after).alias("distance"), side.alias("side"))
+
+
+def randomize_in_fragments(pairs: DataFrame, sites: DataFrame, seed: int = 0) -> DataFrame:
+    """each position moved to any place of its fragment, by the pair and the seed, so reruns agree; beyond a chromosome's last site it stays."""
+    for e in "12":
+        place = _as_of(pairs.withColumnRenamed(f"chr{e}", "chr"), sites, f"pos{e}")
+        low, high = F.coalesce("_prev", F.lit(0)), F.col("_next")
+        share = F.pmod(F.xxhash64("pair_id", F.lit(seed), F.lit(int(e)), f"pos{e}"), F.lit(1 << 30)) / F.lit(1 << 30)
+        moved = F.when(high.isNotNull(), (low + F.floor(share * (high - low))).cast("int")).otherwise(F.col(f"pos{e}"))
+        pairs = place.withColumn(f"pos{e}", moved).withColumnRenamed("chr", f"chr{e}").drop("_frag", "_prev", "_next")
+    return pairs

@@ -17,6 +17,24 @@ def parse_region(text: str) -> tuple[str, int | None, int | None]:
     return m[1], number(m[2]), number(m[3])
 
 
+def parse_position(text: str) -> tuple[str, int | None, int | None, int | None]:
+    """What is typed into a position field: chr, start and end (one position: both the same), and a resolution after a last colon.
+
+    Also chr:start-end and chr:start:end, with commas and with k or m for thousands and millions; resolutions end with bp, kb or mb.
+    """
+    unit = {"": 1, "k": 1_000, "m": 1_000_000}
+    number = lambda x: round(float(x[1].replace(",", "")) * unit[(x[2] or "").lower()])
+    parts = [p for p in re.split(r"[:\-\s]+", text.strip()) if p]
+    if not parts:
+        raise ValueError(f"not a position: {text!r}")
+    resolution = re.fullmatch(r"([\d.,]+)([kKmM]?)[bB][pP]?", parts[-1]) if len(parts) > 1 else None
+    places = [re.fullmatch(r"([\d.,]+)([kKmM]?)", p) for p in (parts[1:-1] if resolution else parts[1:])]
+    if len(places) > 2 or not all(places):
+        raise ValueError(f"not a position: {text!r}")
+    start = number(places[0]) if places else None
+    return parts[0], start, number(places[1]) if len(places) > 1 else start, number(resolution) if resolution else None
+
+
 def in_region(chr1: int, x: tuple[int, int], chr2: int, y: tuple[int, int], bin_size: int) -> Column:
     """cells whose bins' starts are in the ranges, both ends included; within a chromosome, the mirrored ranges too."""
     start_x, start_y = F.col("bin_x") * bin_size, F.col("bin_y") * bin_size

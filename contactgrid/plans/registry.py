@@ -192,14 +192,6 @@ def s14(s, d):
     return binary.decode_records(binary.encode_records(_pairs(s, d), binary.SHORT), binary.SHORT).withColumn("score", F.col("score").cast("double"))
 
 
-@registered("s24_parse_bedpe", f"WITH {LOOPS} SELECT CAST(chr AS VARCHAR) AS chr1, start1, end1, CAST(chr AS VARCHAR) AS chr2, start2, end2, CAST(observed AS VARCHAR) AS observed, status FROM loops")
-def s24(s, d):
-    dot = F.lit(".")
-    lines = adapters.loops(s, d).select(F.concat_ws("\t", "chr", "start1", "end1", "chr", "start2", "end2", dot, dot, dot, F.lit("0,0,255"), "observed", "status").alias("value"))
-    f = text.parse_bedpe(lines, "#chr1\tx1\tx2\tchr2\ty1\ty2\tname\tscore\tstrand1\tcolor\to\tstatus")
-    return f.select("chr1", "start1", "end1", "chr2", "start2", "end2", F.col("attrs")["observed"].alias("observed"), F.col("attrs")["status"].alias("status"))
-
-
 @registered("s26_parse_bed", f"WITH {LOCI} SELECT DISTINCT 'chr' || CAST(chr AS VARCHAR) AS chr, x1, x2 FROM loci WHERE chr < 3")
 def s26(s, d):
     name = F.when(F.col("chr") < 3, F.concat(F.lit("chr"), F.col("chr").cast("string"))).otherwise("scaffold")
@@ -479,11 +471,6 @@ def j06(s, d):
     return intervals.preserving_intersect(_genes(s, d).select("id", "chr", "x1", "x2"), adapters.loci(s, d))
 
 
-@registered("j08_alone_in_locus", f"{INTERVALS}, n AS (SELECT g_id FROM hits GROUP BY g_id HAVING count(*) = 1) SELECT DISTINCT l_id AS id, chr, lx1 AS x1, lx2 AS x2 FROM hits JOIN n ON hits.g_id = n.g_id")
-def j08(s, d):
-    return intervals.in_locus(_genes(s, d).select("id", "chr", "x1", "x2"), adapters.loci(s, d), True).select("id", "chr", "x1", "x2")
-
-
 @registered("j09_best_in_locus", f"{INTERVALS}, r AS (SELECT *, row_number() OVER (PARTITION BY g_id ORDER BY score DESC, l_id) AS k FROM hits) SELECT g_id AS id, l_id AS hit, round(score, 6) AS score FROM r WHERE k = 1")
 def j09(s, d):
     return _round(intervals.best_in_locus(_genes(s, d).select("id", "chr", "x1", "x2"), adapters.loci(s, d)), "score")
@@ -503,12 +490,6 @@ def j11(s, d):
     return features.reproducible_nearest(*_halves(s, d), 5000, 0.05).select(*LOOP_COLS)
 
 
-for _keep, _name, _not in ((True, "j12_at_locations", ""), (False, "j13_not_at_locations", "NOT ")):
-    registered(_name, f"WITH {HALVES} SELECT {PICK} FROM la a WHERE {_not}EXISTS (SELECT 1 FROM lb b WHERE a.chr = b.chr AND a.start1 = b.start1 AND a.start2 = b.start2)")(
-        lambda s, d, k=_keep: features.at_locations(*_halves(s, d), k).select(*LOOP_COLS)
-    )
-
-
 @registered("j14_loop_domains", f"WITH {HALVES} SELECT {PICK} FROM lb b WHERE EXISTS (SELECT 1 FROM la a WHERE a.chr = b.chr AND abs(a.start1 - b.start1) <= 20000 AND abs(a.start2 - b.end1) <= 20000)")
 def j14(s, d):
     return features.loop_domains(*_halves(s, d), 20_000).select(*LOOP_COLS)

@@ -86,11 +86,22 @@ def with_ordinals(pairs: DataFrame, chrom_sizes: DataFrame, clean: bool = False)
     return pairs
 
 
-def parse_chrom_sizes(lines: DataFrame) -> DataFrame:
-    """Name and length of each line of two tokens; chr numbers by order of name."""
+def read_any_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """Pairs of any format, by the path's ending: .bin or .bn records, or else text."""
+    from contactgrid.sources import binary
+
+    return binary.read_binary_pairs(spark, path) if path.rstrip("*/").endswith((".bin", ".bn")) else read_pairs(spark, path)
+
+
+def parse_chrom_sizes(lines: DataFrame, line: str | None = None) -> DataFrame:
+    """Name and length of each line of two tokens; chr numbers them, from 1, in the order of the file.
+
+    ``line`` names a column with the lines' numbers; without it, lines are in the order that a file of one partition is read in.
+    """
     t = F.split(F.trim("value"), r"\s+")
-    rows = lines.where(F.size(t) == 2).select(t[0].alias("name"), t[1].cast("long").alias("length"))
-    return rows.withColumn("chr", F.row_number().over(Window.orderBy("name")))
+    at = F.col(line) if line else F.monotonically_increasing_id()
+    rows = lines.withColumn("_at", at).where(F.size(t) == 2).select("_at", t[0].alias("name"), t[1].cast("long").alias("length"))
+    return rows.withColumn("chr", F.row_number().over(Window.orderBy("_at"))).drop("_at")
 
 
 def parse_sites(lines: DataFrame) -> DataFrame:
@@ -99,14 +110,38 @@ def parse_sites(lines: DataFrame) -> DataFrame:
     return lines.select(t[0].alias("chr"), F.posexplode(F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0)))).alias("idx", "site")).select("chr", "idx", F.col("site").cast("int").alias("pos"))
 
 
+def _attributes(names: list[str], first: int) -> Column:
+    """The columns from ``first`` on by their names; a line's missing ones are left out."""
+    t = F.split("value", "\t", -1)
+    if len(names) <= first:
+        return F.create_map().cast("map<string,string>")
+    n = F.least(F.size(t), F.lit(len(names))) - first
+    return F.when(n > 0, F.map_from_arrays(F.slice(F.array(*map(F.lit, names[first:])), F.lit(1), n), F.slice(t, F.lit(first + 1), n))).otherwise(F.create_map().cast("map<string,string>"))
+
+
 def parse_bedpe(lines: DataFrame, header: str) -> DataFrame:
-    """Features with their attributes by the header's names, common abbreviations in full."""
+    """Features with their attributes by the header's names, common abbreviations in full.
+
+    The colour is in the column that the header calls so: the eleventh of the current layout, the seventh of the older one.
+    """
     names = [ALIASES.get(x.strip().lower(), x.strip()) for x in header.lstrip("#").split("\t")]
+    at = next((k for k, x in enumerate(names) if x.lower() in ("color", "colour")), 10)
     t = F.split("value", "\t", -1)
     rows = lines.where(~F.col("value").startswith("#") & ~F.lower("value").startswith("chr1\tx1"))
-    attrs = F.map_from_arrays(F.array(*map(F.lit, names[10:])), F.slice(t, 11, max(0, len(names) - 10))) if len(names) > 10 else F.create_map().cast("map<string,string>")
     long_ = lambda k: t[k].cast("long")
-    return rows.select(t[0].alias("chr1"), long_(1).alias("start1"), long_(2).alias("end1"), t[3].alias("chr2"), long_(4).alias("start2"), long_(5).alias("end2"), t[9].alias("color"), attrs.alias("attrs"))
+    return rows.select(
+        t[0].alias("chr1"), long_(1).alias("start1"), long_(2).alias("end1"), t[3].alias("chr2"), long_(4).alias("start2"), long_(5).alias("end2"), F.get(t, F.lit(at)).alias("color"),
+        _attributes(names, at + 1).alias("attrs"),
+    )
+
+
+def parse_domains(lines: DataFrame, header: str) -> DataFrame:
+    """Domains of one interval a line, as features whose two ends are that interval."""
+    names = [ALIASES.get(x.strip().lower(), x.strip()) for x in header.lstrip("#").split("\t")]
+    t = F.split("value", "\t", -1)
+    rows = lines.where(~F.col("value").startswith("#") & ~F.lower("value").startswith("chr\tx1"))
+    start, end = t[1].cast("long"), t[2].cast("long")
+    return rows.select(t[0].alias("chr1"), start.alias("start1"), end.alias("end1"), t[0].alias("chr2"), start.alias("start2"), end.alias("end2"), _attributes(names, 3).alias("attrs"))
 
 
 def parse_bed(lines: DataFrame) -> DataFrame:

@@ -183,8 +183,8 @@ def test_sinks_read_back(spark, tmp_path):
     back = spark.read.parquet(f"{tmp_path}/m").where("unit = 'BP' and bin_size = 5000 and chr1 = 1 and bin_x = 2")
     assert {(r.bin_y, r.counts) for r in back.collect()} == {(r.bin_y, r.counts) for r in cells.where("bin_x = 2 and counts >= 3").collect()}
     loops_ = spark.createDataFrame([("1", 10, 20, 30, 40, 7.0)], "chr string, start1 long, end1 long, start2 long, end2 long, observed double")
-    found = text.parse_bedpe(sinks.bedpe_lines(loops_).selectExpr("regexp_replace(value, '^((?:[^\\t]*\\t){9})[^\\t]*\\t', '$1') value"), sinks.bedpe_header().replace("\tstrand2", "")).first()
-    assert (found.start1, found.end2, found.attrs["observed"]) == (10, 40, "7.0")
+    found = text.parse_bedpe(sinks.bedpe_lines(loops_), sinks.bedpe_header()).first()
+    assert (found.start1, found.end2, found.color, found.attrs["observed"]) == (10, 40, "0,0,255", "7.0")
     wig = sinks.wig_lines(spark.createDataFrame([(1, 3, 1.5), (1, 4, 2.0), (1, 9, 3.0)], "chr int, bin int, value double"), 10).orderBy("line").collect()
     assert [r.value for r in wig] == ["fixedStep chrom=1 start=31 step=10 span=10", "1.5", "2.0", "fixedStep chrom=1 start=91 step=10 span=10", "3.0"]
 

@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from contactgrid.plans.registry import FLAGSHIP, ORACLES, QUERIES
+from contactgrid.plans.catalog import FLAGSHIP, ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
