@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,8 +10,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Read pairs from line items."""
+def pairs(spark: SparkSession, sf_dir: str, more: dict[str, Column] | None = None) -> DataFrame:
+    """Read pairs from line items, with more columns by name."""
     t = table(spark, sf_dir, "lineitem")
     return t.select(
         F.col("l_orderkey").alias("pair_id"),
@@ -26,6 +26,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor((F.col("l_suppkey") * 20 + F.col("l_linenumber")) * 500 / 4000).cast("int").alias("frag2"),
         (F.col("l_linenumber") * 10).cast("int").alias("mapq2"),
         F.lit(1.0).alias("score"),
+        *(c.alias(name) for name, c in (more or {}).items()),
     )
 
 

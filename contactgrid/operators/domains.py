@@ -134,3 +134,8 @@ def call_domains(cells: DataFrame, tile: int = TILE, least_width: int = 8) -> Da
     best = grid.groupBy("chr", "gx", "gy").agg(F.max(rank).alias("best"))
     lost = grid.join(best, ["chr", "gx", "gy"]).where((F.struct(F.col("score"), -F.col("start_bin"), -F.col("end_bin")) < F.col("best"))).select("chr", "start_bin", "end_bin").distinct()
     return found.join(lost, ["chr", "start_bin", "end_bin"], "left_anti").dropDuplicates(["chr", "start_bin", "end_bin"])
+
+
+def resolution_for(density: DataFrame, deep: float = 250_000, shallow: float = 100_000) -> DataFrame:
+    """C05r: the bin size that a map's depth allows, by what its coarsest density expects on the diagonal, and whether even that is too sparse: bin_size, sparse."""
+    return density.where("dist = 0").select(F.when(F.col("value") > deep, 5_000).otherwise(10_000).alias("bin_size"), (F.col("value") < shallow).alias("sparse"))

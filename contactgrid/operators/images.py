@@ -5,13 +5,19 @@ Rows and columns of an image are window partitions, so the images of many loops
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from contactgrid.functions.scalars import poisson_z
 from contactgrid.tables import written
 
-ROW, COLUMN = Window.partitionBy("id", "i").orderBy("j"), Window.partitionBy("id", "j").orderBy("i")
+
+def _row() -> WindowSpec:
+    return Window.partitionBy("id", "i").orderBy("j")
+
+
+def _column() -> WindowSpec:
+    return Window.partitionBy("id", "j").orderBy("i")
 
 
 def rank_percentile(image: DataFrame) -> DataFrame:
@@ -21,7 +27,7 @@ def rank_percentile(image: DataFrame) -> DataFrame:
     return image.withColumn("value", F.when(F.col("value") == 0, F.lit(0.0)).otherwise(share))
 
 
-def _blurred(by: Window, radius: int) -> Column:
+def _blurred(by: WindowSpec, radius: int) -> Column:
     """The mean of the 2r + 1 values around; beyond an edge the edge's value stands."""
     whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     place, n = F.row_number().over(by), F.count(F.lit(1)).over(whole)
@@ -33,7 +39,7 @@ def _blurred(by: Window, radius: int) -> Column:
 
 def box_blur(image: DataFrame, radius: int) -> DataFrame:
     """The mean of the square of 2r + 1 around each value."""
-    return image.withColumn("value", _blurred(ROW, radius)).withColumn("value", _blurred(COLUMN, radius))
+    return image.withColumn("value", _blurred(_row(), radius)).withColumn("value", _blurred(_column(), radius))
 
 
 def boxes(sigma: int, n: int = 3) -> list[int]:
@@ -54,23 +60,23 @@ def gaussian_blur(image: DataFrame, sigma: int) -> DataFrame:
 def peaks(image: DataFrame, radius: int, by: str = "value") -> DataFrame:
     """The positive values that none within the radius exceeds by the column ``by``; of equals the first row, then column, stays."""
     rank = F.struct(F.col(by).alias("v"), (-F.col("i")).alias("i"), (-F.col("j")).alias("j"))
-    most = image.withColumn("_own", rank).withColumn("_most", F.max("_own").over(ROW.rangeBetween(-radius, radius)))
-    most = most.withColumn("_most", F.max("_most").over(COLUMN.rangeBetween(-radius, radius)))
+    most = image.withColumn("_own", rank).withColumn("_most", F.max("_own").over(_row().rangeBetween(-radius, radius)))
+    most = most.withColumn("_most", F.max("_most").over(_column().rangeBetween(-radius, radius)))
     return most.where((F.col("value") > 0) & (F.col("_own") == F.col("_most"))).drop("_own", "_most")
 
 
 def local_gradient(image: DataFrame, step: int = 1) -> DataFrame:
     """How far a value is above the mean of its eight neighbours at the step, by its own root; rows where it is, away from the edges."""
-    west, east = F.lag("value", step).over(ROW), F.lead("value", step).over(ROW)
+    west, east = F.lag("value", step).over(_row()), F.lead("value", step).over(_row())
     three = image.withColumn("_three", west + F.col("value") + east).withColumn("_two", west + east)
-    around = F.lag("_three", step).over(COLUMN) + F.lead("_three", step).over(COLUMN) + F.col("_two")
+    around = F.lag("_three", step).over(_column()) + F.lead("_three", step).over(_column()) + F.col("_two")
     gradient = F.try_divide(F.col("value") - around / 8, F.sqrt("value"))
     return three.withColumn("value", gradient).where("value > 0").drop("_three", "_two")
 
 
 def column_derivative(image: DataFrame) -> DataFrame:
     """Each value less the next one down its column; the last row goes."""
-    return image.withColumn("value", F.col("value") - F.lead("value").over(COLUMN)).where("value is not null")
+    return image.withColumn("value", F.col("value") - F.lead("value").over(_column())).where("value is not null")
 
 
 def over_median(image: DataFrame, limit: float) -> DataFrame:
@@ -87,14 +93,14 @@ def box_max(image: DataFrame, rows: int, columns: int) -> DataFrame:
 
 def interpolate(image: DataFrame, rows: int, columns: int) -> DataFrame:
     """An image made larger by whole factors: values between those of the image lie on lines between them; beyond the last ones they stay."""
-    def along(m: DataFrame, c: str, by: Window, times: int) -> DataFrame:
+    def along(m: DataFrame, c: str, by: WindowSpec, times: int) -> DataFrame:
         step = F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("_k")
         rest = [x for x in ("id", "i", "j") if x != c]
         m = m.withColumn("_next", F.coalesce(F.lead("value").over(by), F.col("value"))).select("*", step)
         part = F.col("_k") / times
         return m.select(*rest, (F.col(c) * times + F.col("_k")).alias(c), (F.col("value") * (1 - part) + F.col("_next") * part).alias("value"))
 
-    return along(along(image, "j", ROW, columns), "i", COLUMN, rows).select("id", "i", "j", "value")
+    return along(along(image, "j", _row(), columns), "i", _column(), rows).select("id", "i", "j", "value")
 
 
 def expand_with_zeros(image: DataFrame, rows: int, columns: int) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from contactgrid.plans import registry, registry_lists
+from contactgrid.plans import registry, registry_lists, registry_maps
 
 FLAGSHIP, ORACLES, QUERIES = registry.FLAGSHIP, registry.ORACLES, registry.QUERIES
 #: The modules whose import registers queries.
-MODULES = (registry, registry_lists)
+MODULES = (registry, registry_lists, registry_maps)

@@ -106,8 +106,8 @@ def x14(s, d):
     return chromosomes.infer_genome(adapters.genome(s, d), known)
 
 
-@registered("s12_ordinals_by_arrival", """WITH e AS (SELECT o_orderkey AS at, 0 AS k, o_orderpriority AS name FROM orders UNION ALL SELECT o_orderkey, 1, o_orderstatus FROM orders),
- f AS (SELECT name, min(at * 2 + k) AS first FROM e GROUP BY name) SELECT name, CAST(row_number() OVER (ORDER BY first, name) AS INTEGER) AS ordinal FROM f""")
+@registered("s12_ordinals_by_arrival", """WITH e AS (SELECT o_orderkey AS t, 0 AS k, o_orderpriority AS name FROM orders UNION ALL SELECT o_orderkey, 1, o_orderstatus FROM orders),
+ f AS (SELECT name, min(t * 2 + k) AS first FROM e GROUP BY name) SELECT name, CAST(row_number() OVER (ORDER BY first, name) AS INTEGER) AS ordinal FROM f""")
 def s12(s, d):
     lines = adapters.table(s, d, "orders").select(F.col("o_orderkey").alias("at"), F.col("o_orderpriority").alias("chr1"), F.col("o_orderstatus").alias("chr2"))
     return chromosomes.ordinals_by_arrival(lines, "at")

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: The records of the two formats.
 LONG = np.dtype([("strand1", "?"), ("chr1", "<i4"), ("pos1", "<i4"), ("frag1", "<i4"), ("strand2", "?"), ("chr2", "<i4"), ("pos2", "<i4"), ("frag2", "<i4")])
 SHORT = np.dtype([("chr1", "<i4"), ("pos1", "<i4"), ("chr2", "<i4"), ("pos2", "<i4"), ("score", "<f4")])
+#: The records of a dump of cells.
+CELL = np.dtype([("x", "<i4"), ("y", "<i4"), ("value", "<f4")])
 _SQL = {"b": "boolean", "i": "int", "f": "float"}
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,3 +63,41 @@ def wig_lines(vector: DataFrame, bin_size: int) -> DataFrame:
 def append_vectors(vectors: DataFrame, path: str) -> None:
     """Vectors beside those that are there, by type, unit and bin size."""
     vectors.write.mode("append").partitionBy("norm", "unit", "bin_size").parquet(path)
+
+
+#: Bins of a vector that one .npy content holds.
+NPY_BINS = 1 << 20
+
+
+def npy_vectors(vector: DataFrame) -> DataFrame:
+    """Vectors as contents of .npy files, dense from bin 0, nan where there is no value: chr, first, content. Longer ones in parts of NPY_BINS bins."""
+
+    def save(f: pd.DataFrame) -> pd.DataFrame:
+        first = int(f["part"].iloc[0]) * NPY_BINS
+        v = np.full(int(f["bin"].max()) - first + 1, np.nan)
+        v[f["bin"].to_numpy() - first] = f["value"]
+        out = io.BytesIO()
+        np.save(out, v)
+        return pd.DataFrame({"chr": f["chr"].iloc[:1], "first": [first], "content": [out.getvalue()]})
+
+    parts = vector.select("chr", F.col("bin").cast("int").alias("bin"), F.col("value").cast("double").alias("value"), F.floor(F.col("bin") / NPY_BINS).alias("part"))
+    return parts.groupBy("chr", "part").applyInPandas(save, "chr int, first int, content binary")
+
+
+def read_npy(contents: DataFrame) -> DataFrame:
+    """The values of npy_vectors() again: chr, bin, value; null where it is nan."""
+
+    def load(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for chr_, first, content in zip(f["chr"], f["first"], f["content"], strict=True):
+                v = np.load(io.BytesIO(content))
+                yield pd.DataFrame({"chr": chr_, "bin": first + np.arange(len(v), dtype="int32"), "value": v})
+
+    rows = contents.select("chr", "first", "content").mapInPandas(load, "chr int, bin int, value double")
+    return rows.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+
+
+def matrix_lines(dense: DataFrame) -> DataFrame:
+    """A line for each row i of a dense window (i, j, value): its values in brackets, in order."""
+    row = F.transform(F.sort_array(F.collect_list(F.struct("j", "value"))), lambda x: x["value"].cast("string"))
+    return dense.groupBy("i").agg(F.concat(F.lit("["), F.array_join(row, ", "), F.lit("]")).alias("value"))

@@ -175,6 +175,23 @@ def parse_bedgraph(lines: DataFrame) -> DataFrame:
     return rows.select(t[0].alias("chr"), t[1].cast("long").alias("x1"), t[2].cast("long").alias("x2"), t[3].cast("double").alias("score"))
 
 
+def parse_wig(lines: DataFrame) -> DataFrame:
+    """Chr, x1, x2 (from 0, the end not included), score of fixed and variable steps. lines: file, line (its number) and value.
+
+    A line belongs to the last declaration before it in its file. Values in fixed steps follow each other; nan is null.
+    """
+    by = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    declares = F.col("value").rlike("^(fixed|variable)Step")
+    rows = lines.withColumn("head", F.last(F.when(declares, F.struct("line", "value")), True).over(by)).where(~declares & ~F.col("value").rlike("^(track|browser|#)") & F.col("head").isNotNull())
+    named = lambda key, default: F.coalesce(F.regexp_extract("head.value", rf"\b{key}=(\S+)", 1).try_cast("long"), F.lit(default))
+    fixed = F.col("head.value").startswith("fixedStep")
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("file", "head").orderBy("line")) - 1)
+    t = F.split(F.trim("value"), r"\s+")
+    start = F.when(fixed, named("start", 1) - 1 + F.col("place") * named("step", 1)).otherwise(F.get(t, F.lit(0)).try_cast("long") - 1)
+    score = F.when(fixed, F.get(t, F.lit(0))).otherwise(F.get(t, F.lit(1))).try_cast("double")
+    return rows.select(F.regexp_extract("head.value", r"\bchrom=(\S+)", 1).alias("chr"), start.alias("x1"), (start + named("span", 1)).alias("x2"), F.when(~F.isnan(score), score).alias("score"))
+
+
 def parse_norm_vectors(lines: DataFrame) -> DataFrame:
     """Norm, chr, bin_size, unit, bin and value from sections under 'vector TYPE CHR RES UNIT' lines.
 
