@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+from contextlib import suppress
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,14 @@ def free_worker_caches() -> None:
     """Called where a stage's tasks begin that don't need what a worker process has kept of another stage."""
     for kept in _worker_caches:
         kept.cache_clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns to the system the memory that a worker process has freed, which allocators keep: workers of many stages live side by side."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 #: Rows of an Arrow batch at most: texts are long, and both sides of the pipe hold a batch whole.

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactgrid.llm.common import bound_batches, free_worker_caches, materialize, worker_cache
+from contactgrid.llm.common import bound_batches, free_worker_caches, give_back, materialize, worker_cache
 from contactgrid.llm.tokens import RunTokenizer
 
 CAPACITY = 4096
@@ -62,6 +62,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
                 crc = [zlib.crc32(raw[a : a + x]) for a, x in zip(at.tolist(), (4 * length).tolist(), strict=True)]
                 columns = [batch.column(0).take(pa.array(first + of)), pa.array(k, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
@@ -219,8 +220,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, seed: int = 11) -> DataFram
     shards = max(1, ceil(parts.count() / SHARD_PIECES))
     parts = materialize(parts.withColumn("shard", F.floor(F.rand(seed) * shards).cast("long")), "shards")
     lengths = lambda f: pd.DataFrame({"shard": [f["shard"].iloc[0]], "lengths": [_sorted(f)["length"].to_numpy("<i4").tobytes()]})
-    islands = parts.select("shard", *_ORDER).groupBy("shard").applyInPandas(lengths, "shard bigint, lengths binary")
-    islands = islands.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "lengths", F.array().cast("array<binary>").alias("groupings"))
+    shard_lengths = materialize(parts.select("shard", *_ORDER).groupBy("shard").applyInPandas(lengths, "shard bigint, lengths binary"), "shard-lengths")
+    islands = shard_lengths.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "lengths", F.array().cast("array<binary>").alias("groupings"))
     for epoch in range(EPOCHS):
         if epoch:
             elites = islands.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.slice("groupings", 1, 2).alias("elites"))

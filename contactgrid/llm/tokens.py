@@ -10,7 +10,7 @@ import pyarrow as pa
 from contactgrid.llm.shingles import mix, powers, steps
 
 #: Runs that one worker keeps at most. When there are more, it starts anew; ids do not depend on it.
-CACHE_RUNS = 1 << 20
+CACHE_RUNS = 1 << 19
 #: Bytes of text that are encoded together, and runs that the library gets in one string.
 STEP_BYTES, STEP_RUNS = 1 << 20, 200
 
