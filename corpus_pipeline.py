@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from contactgrid.llm import line_dedup, mixing, near_dup, packing, quality_model
 from contactgrid.llm.common import materialize, read
+from contactgrid.tables import discard, mark
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +56,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        since = mark()
+        after = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(spark, since, keep=1)  # the stage's own tables; what it returned stays
+        docs = after
     return docs
