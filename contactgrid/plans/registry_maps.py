@@ -11,7 +11,7 @@ from contactgrid.operators import binning, domains, expected, features, images,
 from contactgrid.plans.registry import (
     _T, _TWO, BASE, COVERAGE, DENSITY, FACED, GENES, LOCI, LOOPS, PAIRS, SIDES, SIZE, SIZES, VC, _cells, _control, _genes, _pairs, _round, _sizes, _stored, _two_maps, cells_sql, finish_sql, registered,
 )
-from contactgrid.sources import binary, sinks, text
+from contactgrid.sources import binary, container, sinks, text
 from contactgrid.tables import written
 
 # Statistics of pairs.
@@ -331,3 +331,10 @@ def f11(s, d):
     sites = adapters.sites(s, d)
     moved = pairs.randomize_in_fragments(_pairs(s, d), sites)
     return pairs.fragment_of(moved.withColumnRenamed("chr1", "chr"), sites, "pos1").select("pair_id", F.col("chr").alias("chr1"), "frag")
+
+
+@registered("s17_container_blocks", f"{BASE} SELECT chr1, chr2, bin_x, bin_y, counts FROM cells")
+def s17(s, d):
+    """The cells as compressed blocks of a container, and back."""
+    contacts = _cells(s, d).select("chr1", "chr2", F.lit("BP").alias("unit"), F.lit(SIZE).alias("bin_size"), "bin_x", "bin_y", "counts")
+    return container.decode_blocks(container.encode_blocks(contacts, 8)).select("chr1", "chr2", "bin_x", "bin_y", "counts")
