@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 #: Digest tables of at most this many rows are broadcast; beyond it, Spark joins by shuffle.
 BROADCAST_LICENSES = 10_000
 
-#: Spellings that licence texts use alike.
+#: Spellings that licence texts use alike; each is the beginning of a word, or whole words where it ends with a space.
 SPELLINGS = {
     "licence": "license",
+    "sublicence": "sublicense",
     "sub license": "sublicense",
     "acknowledgement": "acknowledgment",
     "non commercial": "noncommercial",
@@ -24,7 +25,7 @@ SPELLINGS = {
     "analogue": "analog",
     "fulfilment": "fulfillment",
     "judgement": "judgment",
-    "per cent": "percent",
+    "per cent ": "percent ",
     "copyright owner": "copyright holder",
     "https": "http",
 }
@@ -125,7 +126,8 @@ def canonical(text: Column) -> Column:
     t = F.when(any_of, F.regexp_replace(t, notice, " ")).otherwise(t)
     t = F.concat(F.lit(" "), F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     for a, b in SPELLINGS.items():
-        t = F.replace(t, F.lit(a), F.lit(b))
+        for _ in range(1 + a.endswith(" ")):  # neighbours share a space
+            t = F.replace(t, F.lit(f" {a}"), F.lit(f" {b}"))
     return F.trim(t)
 
 

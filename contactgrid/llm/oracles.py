@@ -15,11 +15,13 @@ def _canonical(text: str) -> str:
     notice = r"(?m)^[^\p{L}\p{N}\n]*(?:(?:copyright|©)[^\n]*\d{4}|\(c\)[^\n]*|©[^\n]*|copyright\s*(?:\(c\)|©)[^\n]*|all rights reserved)[^\n]*$"
     t = f"' ' || regexp_replace(regexp_replace(lower({text}), '{notice}', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
     for a, b in licenses.SPELLINGS.items():
-        t = f"replace({t}, '{a}', '{b}')"
+        for _ in range(1 + a.endswith(" ")):
+            t = f"replace({t}, ' {a}', ' {b}')"
     return f"sha256(trim({t}, ' '))"
 
 
-OP5 = f"""WITH known AS (SELECT {_canonical('t')} AS digest, min(id) AS license_id FROM (VALUES {', '.join(f'({_quoted(k)}, {_quoted(v)})' for k, v in licenses.KNOWN.items())}) x(id, t) GROUP BY 1),
+OP5 = f"""WITH known AS (SELECT {_canonical('t')} AS digest, min(id) AS license_id FROM (VALUES {', '.join(f'({_quoted(k)}, {_quoted(v)})' for k, v in licenses.KNOWN.items())}) x(id, t) GROUP BY 1
+ UNION ALL SELECT digest, min(id) FROM (VALUES {', '.join(f'({_quoted(k)}, {_quoted(v)})' for k, v in licenses.DIGESTS.items())}) y(id, digest) GROUP BY 1),
 d AS (SELECT doc_id, {_canonical('text')} AS digest FROM documents) SELECT doc_id, d.digest, license_id FROM d LEFT JOIN known k ON k.digest = d.digest"""
 
 OP6 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
@@ -86,7 +88,7 @@ h AS (SELECT f.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(body
  list_filter(string_split(body, chr(10)), lambda x: {_BARE} <> '') AS ln, CAST(coalesce(v.n, 0) AS BIGINT) AS n_repeat_words, length(body) AS n_chars, [{', '.join(f'CAST({x} AS DOUBLE)' for x in lengths)}, CAST(length(x_f) AS DOUBLE)] AS classes,
  list_transform(coalesce(fixed, list_transform(range({k}), lambda x: '')), lambda c: CAST(len(list_filter(lw, lambda x: x = c)) AS DOUBLE)) AS few FROM f LEFT JOIN v ON v.doc_id = f.doc_id),
 j AS (SELECT *, list_append(few, n_words - list_sum(few)) AS commons, CAST(len(ln) - len(list_distinct(ln)) AS BIGINT) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM h),
-ref AS (SELECT lang, {total('classes', 6)} AS rc, {total('commons', k + 1)} AS rw FROM j WHERE lang IN ({', '.join(map(_quoted, common))}) GROUP BY lang),
+ref AS (SELECT lang, {total('classes', 6)} AS rc, {total('commons', k + 1)} AS rw FROM j WHERE NOT base_failed AND lang IN ({', '.join(map(_quoted, common))}) GROUP BY lang),
 s AS (SELECT j.*, rc IS NULL AS free, {js(share('classes'), share('rc'))} AS dc, {js(share('commons'), share('rw'))} AS dw FROM j LEFT JOIN ref ON ref.lang = j.lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
  NOT base_failed AND (free OR ((n_chars < {quality_rules.MIN_CHARS} OR dc <= {quality_rules.MAX_CLASS_DISTANCE}) AND (n_words < {quality_rules.MIN_WORDS} OR dw <= {quality_rules.MAX_WORD_DISTANCE}))) AS kept FROM s"""

@@ -98,7 +98,7 @@ def quality_rules(docs: DataFrame, carry: Sequence[str], common_words: Mapping[s
     Returns row (struct of ``carry``), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, class_distance, word_distance, kept. The histogram of character classes and that of the
     language's common words (other words in one more bin) are held against the sums of both over all
-    documents of that language by Jensen-Shannon distance. A document fails at over MAX_CLASS_DISTANCE, given
+    documents of that language that don't fail the base, by Jensen-Shannon distance. A document fails at over MAX_CLASS_DISTANCE, given
     MIN_CHARS characters, or at over MAX_WORD_DISTANCE, given MIN_WORDS words.
 
     The counts are made in one pass and written without the texts; sums by language follow from them. Only
@@ -126,13 +126,13 @@ def quality_rules(docs: DataFrame, carry: Sequence[str], common_words: Mapping[s
     others = F.col("n_words") - F.aggregate("commons", F.lit(0).cast("long"), lambda a, v: a + v)
     d = d.withColumn("commons", F.concat("commons", F.array(others)))
     total = lambda c, n: F.array(*(F.sum(F.col(c)[i]) for i in range(n))).cast("array<double>").alias(f"ref_{c}")
-    known_langs = d.where(F.col("lang").isin(list(common_words)))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    known_langs = d.where(F.col("lang").isin(list(common_words)) & ~failed)
     reference = known_langs.groupBy(F.col("lang").alias("ref_lang")).agg(total("classes", len(CLASSES)), total("commons", k + 1))
     d = d.join(F.broadcast(reference), F.col("lang") == F.col("ref_lang"), "left")
     for name in ("classes", "commons"):
         d = d.withColumn(f"distance_{name}", _distance(F.col(name).cast("array<double>"), F.col(f"ref_{name}")))
     d = d.withColumnsRenamed({"distance_classes": "class_distance", "distance_commons": "word_distance"})
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     fits = ((F.col("n_chars") < MIN_CHARS) | (F.col("class_distance") <= MAX_CLASS_DISTANCE)) & ((F.col("n_words") < MIN_WORDS) | (F.col("word_distance") <= MAX_WORD_DISTANCE))
     return d.select(
         "row", "n_words", F.col("word_chars").cast("long").alias("word_chars"), "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 from pathlib import Path
@@ -47,7 +48,7 @@ def test_repeats_are_exact_where_leading_bits_clash(spark):
 
 def test_divergence_rejects_shouting_and_keeps_prose(spark):
     prose = "the cat and the dog of a house in the town is that for it on with as be are was this by from or "
-    rows = [(i, prose * 3 + f"number {i} of them. ") for i in range(30)] + [(99, "ZZ!! QQ!! " * 60 + " ".join(f"W{k}!!" for k in range(200)))]
+    rows = [(i, " ".join(random.Random(i).choices(prose.split(), k=120)) + f" number {i} of them. ") for i in range(30)] + [(99, "ZZ!! QQ!! " * 60 + " ".join(f"W{k}!!" for k in range(200)))]
     found = {r.doc_id: r for r in quality_rules.quality_rules(docs(spark, rows), ["doc_id"]).select("row.doc_id", "*").collect()}
     assert not found[99].kept and found[99].class_distance > found[0].class_distance
     assert quality_rules.quality_rules(docs(spark, []), ["doc_id"]).count() == 0
@@ -73,6 +74,18 @@ def test_long_licences_are_known(spark, file, told):
     assert {r.doc_id: r.license_id for r in found.select("row.doc_id", "license_id").collect()} == {1: told, 2: told, 3: None}
 
 
+def test_planted_copies_through_the_query(spark, tmp_path):
+    from contactgrid.llm import queries
+
+    path = Path("/usr/share/common-licenses/Apache-2.0")
+    rows = [(1, licenses.KNOWN["ISC"].replace("2020 Holder", "1999 Other Holder")), (2, "It says: " + licenses.KNOWN["ISC"]), (3, "per cent per cent per center"), (4, "percent percent per center")]
+    rows += [(5, "*** " + path.read_text().replace("\n", "\n * "))] if path.exists() else []
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in queries.op5_license_digests(spark, str(tmp_path)).collect()}
+    assert found[1].license_id == "ISC" and found[2].license_id is None and found[3].digest == found[4].digest
+    assert not path.exists() or found[5].license_id == "Apache-2.0"
+
+
 def water_fill(sizes, weights, most):
     total, open_, target = sum(sizes.values()), set(sizes), {}
     while open_:
