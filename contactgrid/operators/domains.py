@@ -105,6 +105,46 @@ def call_tile(m: np.ndarray) -> list[tuple]:
 DOMAIN = "chr int, start_bin int, end_bin int, score double, uVarScore double, lVarScore double, upSign double, loSign double"
 
 
+def _tiles(cells: DataFrame, tile: int) -> DataFrame:
+    """The cells of one side of each tile along the diagonal, each half over the next, packed in a row: chr, tile, bin, other, counts."""
+    step = tile // 2
+    sides = both_sides(cells).where((F.col("bin") <= F.col("other")) & (F.col("other") - F.col("bin") < tile))
+    low, high = F.least("bin", "other"), F.greatest("bin", "other")
+    first, last = F.greatest(F.ceil((high - tile + 1) / step), F.lit(0)).cast("int"), F.floor(low / step).cast("int")
+    dealt = sides.where(first <= last).withColumn("tile", F.explode(F.sequence(first, last)))
+    return dealt.groupBy("chr", "tile").agg(*(F.collect_list(c).alias(c) for c in ("bin", "other", "counts")))
+
+
+def _square(t, step: int, least: int = 0) -> np.ndarray:
+    i, j = np.asarray(t.bin) - t.tile * step, np.asarray(t.other) - t.tile * step
+    n = max(int(j.max()) + 1, least)
+    m = np.zeros((n, n))
+    m[i, j] = m[j, i] = t.counts
+    return m
+
+
+def score_domains(domains: DataFrame, cells: DataFrame, tile: int = TILE) -> DataFrame:
+    """C05s: given domains (id, chr, start_bin, end_bin) with the scores of their corners, whatever these are.
+
+    A domain is scored in the first tile that holds it whole; one of more bins than a tile has none and goes.
+    """
+    step = tile // 2
+    at = F.greatest(F.ceil((F.col("end_bin") - tile + 1) / step), F.lit(0)).cast("int")
+    asked = domains.select("id", "chr", "start_bin", "end_bin", at.alias("tile")).where((F.col("end_bin") - F.col("start_bin") < tile) & (F.col("tile") * step <= F.col("start_bin")))
+    asked = asked.groupBy("chr", "tile").agg(F.collect_list(F.struct("id", "start_bin", "end_bin")).alias("asked"))
+    kind = "id bigint, " + DOMAIN
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for t in f.itertuples(index=False):
+                low = t.tile * step
+                made = corner_scores(_square(t, step, max(r["end_bin"] for r in t.asked) - low + 1))
+                rows = [(r["id"], t.chr, r["start_bin"], r["end_bin"], *(float(x[r["start_bin"] - low, r["end_bin"] - low]) for x in made)) for r in t.asked]
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in kind.split(", ")])
+
+    return _tiles(cells, tile).join(asked, ["chr", "tile"]).mapInPandas(run, kind)
+
+
 def call_domains(cells: DataFrame, tile: int = TILE, least_width: int = 8) -> DataFrame:
     """Domains of each chromosome from tiles along its diagonal, each half over the next; the same domain from two tiles counts once.
 
@@ -112,22 +152,14 @@ def call_domains(cells: DataFrame, tile: int = TILE, least_width: int = 8) -> Da
     stronger one of the next tile are left out.
     """
     step = tile // 2
-    sides = both_sides(cells).where((F.col("bin") <= F.col("other")) & (F.col("other") - F.col("bin") < tile))
-    low, high = F.least("bin", "other"), F.greatest("bin", "other")
-    numbers = F.sequence(F.greatest(F.ceil((high - tile + 1) / step), F.lit(0)).cast("int"), F.floor(low / step).cast("int"))
-    dealt = sides.where(F.greatest(F.ceil((high - tile + 1) / step), F.lit(0)) <= F.floor(low / step)).withColumn("tile", F.explode(numbers))
-    packed = dealt.groupBy("chr", "tile").agg(*(F.collect_list(c).alias(c) for c in ("bin", "other", "counts")))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for t in f.itertuples(index=False):
-                i, j = np.asarray(t.bin) - t.tile * step, np.asarray(t.other) - t.tile * step
-                m = np.zeros((j.max() + 1, j.max() + 1))
-                m[i, j] = m[j, i] = t.counts
-                rows = [(t.chr, a + t.tile * step, b + t.tile * step, *rest) for a, b, *rest in call_tile(m) if b - a >= least_width]
+                rows = [(t.chr, a + t.tile * step, b + t.tile * step, *rest) for a, b, *rest in call_tile(_square(t, step)) if b - a >= least_width]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in DOMAIN.split(", ")])
 
-    found = packed.mapInPandas(run, DOMAIN)
+    found = _tiles(cells, tile).mapInPandas(run, DOMAIN)
     rank = F.struct(F.col("score"), -F.col("start_bin"), -F.col("end_bin"))
     near = lambda c: F.explode(F.array(*(F.floor((F.col(c) + k) / 4) for k in (-2, 2))))
     grid = found.withColumn("gx", near("start_bin")).withColumn("gy", near("end_bin"))

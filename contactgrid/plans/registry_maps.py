@@ -338,3 +338,9 @@ def s17(s, d):
     """The cells as compressed blocks of a container, and back."""
     contacts = _cells(s, d).select("chr1", "chr2", F.lit("BP").alias("unit"), F.lit(SIZE).alias("bin_size"), "bin_x", "bin_y", "counts")
     return container.decode_blocks(container.encode_blocks(contacts, 8)).select("chr1", "chr2", "bin_x", "bin_y", "counts")
+
+
+@registered("c05s_domain_scores", None)
+def c05s(s, d):
+    found = adapters.loops(s, d).select("id", "chr", F.floor(F.col("start1") / 5000).cast("int").alias("start_bin"), F.floor(F.col("end2") / 5000).cast("int").alias("end_bin"))
+    return _round(domains.score_domains(found, _cells(s, d, 5000)), "score", "uVarScore", "lVarScore", "upSign", "loSign")
