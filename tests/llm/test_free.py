@@ -7,6 +7,7 @@ import time
 import zlib
 from collections import Counter
 from math import ceil
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -282,6 +283,47 @@ def test_near_duplicates(spark, monkeypatch):
     assert near_dup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_ids_shared_by_rows_have_one_text(spark):
+    rng = random.Random(21)
+    text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(60))
+    one, two, other = text(), text(), text()
+    rows = [(1, one), (2, two), (7, one), (7, two), (7, None), (8, other), (8, other), (9, "x" * 300_000), (10, "long " * 200_000), (11, "long " * 200_000)]
+    runs = [{r.doc_id: r.class_id for r in near_dup.near_duplicates(docs(spark, rng.sample(rows, len(rows)))).collect()} for _ in range(2)]
+    assert runs[0] == runs[1] and runs[0][7] in (1, 2) and runs[0][8] == 8 and runs[0][11] == 10
+    kept = near_dup.drop_near_duplicates(docs(spark, rows)).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 2, 8, 9, 10]
+
+
+def links(texts):
+    """All pairs of different texts at a similarity of 0.8 or more, by the rarest members of their multisets."""
+    sets = []
+    for _, n, h, r, c in shingle_sets(pa.array(texts), 5, WordHasher()):
+        sets += [counted(h[r == i], c[r == i]) for i in range(n)]
+    often = Counter(x for s in sets for x in s.tolist())
+    at, found = {}, set()
+    for i, s in enumerate(sets):
+        rare = sorted(s.tolist(), key=lambda x: (often[x], x))[: len(s) - ceil(0.8 * len(s)) + 1]
+        near = {j for x in rare for j in at.get(x, ())}
+        for j in near:
+            same = len(np.intersect1d(s, sets[j], assume_unique=True))
+            if same >= 0.8 * (len(s) + len(sets[j]) - same):
+                found.add((j, i))
+        for x in rare:
+            at.setdefault(x, []).append(i)
+    return found
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_recall_of_links(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, " ".join((r.text or "").split())) for r in frame.select("doc_id", "text").collect()]
+    rows = [r for r in rows if r[1]]
+    told = links([t for _, t in rows])
+    found = {r.doc_id: r.class_id for r in near_dup.near_duplicates(frame).collect()}
+    joined = sum(found[rows[a][0]] == found[rows[b][0]] for a, b in told)
+    assert len(told) > 20 and joined >= 0.99 * len(told)
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = random.Random(5)
     base = [rng.choice("abcdefghij") for _ in range(60)] * 3
