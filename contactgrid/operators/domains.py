@@ -1,4 +1,4 @@
-"""Domain calling by diagonal tiles (C05): corner scores of the preference matrix, components, and the merge of tiles."""
+"""Domain calling by diagonal tiles (C05): corner scores of the preference matrix, components, the merge of tiles, and scores of given domains (C05s, C05r, M07)."""
 
 from __future__ import annotations
 

@@ -100,7 +100,7 @@ def best_per_cell(motifs: DataFrame, size: int) -> DataFrame:
 
 
 def binned_track(track: DataFrame, size: int) -> DataFrame:
-    """Mean and maximum of scores over all bins that an interval touches."""
+    """Mean and maximum of scores over all bins that an interval touches."""
     bins = track.withColumn("bin", F.explode(F.sequence(F.floor(F.col("x1") / size), F.floor(F.col("x2") / size))))
     return bins.groupBy("chr", "bin").agg(F.avg("score").alias("mean"), F.max("score").alias("high"))
 

@@ -18,6 +18,8 @@ MASKS = ("BL", "Donut", "H", "V")
 #: Peak width, window and clustering radius by bin size.
 SETTINGS = {5_000: (4, 7, 20_000), 10_000: (2, 5, 20_000), 25_000: (1, 3, 50_000)}
 LAMBDA_BINS, MARGIN = 40, 20
+#: Enriched pixels of a chromosome up to which they are joined to centroids in one task.
+LOCAL_PIXELS = 100_000
 
 
 def _sums(m: np.ndarray) -> np.ndarray:
@@ -151,11 +153,15 @@ def enriched(pixels_: DataFrame, limits: DataFrame) -> DataFrame:
     return out.where(passed).drop(*(f"_{k}{m}" for m in MASKS for k in "btr"))
 
 
-def cluster(found: DataFrame, bin_size: int, radius: int | None = None) -> DataFrame:
-    """Pixels joined to centroids: the strongest left takes all within its growing radius. By chromosome, in a total order.
+def cluster(found: DataFrame, bin_size: int, radius: int | None = None, local_pixels: int = LOCAL_PIXELS) -> DataFrame:
+    """Pixels joined to centroids: the strongest left takes all within its growing radius, in a total order.
 
-    What comes here is only the enriched pixels, a small share; they are greedy by nature, so a chromosome is one group.
+    What comes here is only the enriched pixels, a small share. A chromosome of up to ``local_pixels`` is one group. A larger one is
+    parted into islands, runs of pixels without a wide gap between along the first axis: no centroid reaches across a gap that
+    is wider than its reach. Where one's reach is wider, its chromosome is parted anew at wider gaps.
     """
+    from contactgrid.operators.lists import islands
+
     base = radius or SETTINGS[bin_size][2]
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
@@ -179,7 +185,20 @@ def cluster(found: DataFrame, bin_size: int, radius: int | None = None) -> DataF
         return f.iloc[at].assign(numCollapsed=n.astype("int32"), centroid1=c1.astype("int64"), centroid2=c2.astype("int64"), radius=r.astype("int64"))
 
     schema = f"{PIXEL}, " + ", ".join(f"fdr{m} double" for m in MASKS) + ", numCollapsed int, centroid1 bigint, centroid2 bigint, radius bigint"
-    return found.select(*PIXEL_COLUMNS, *(f"fdr{m}" for m in MASKS)).groupBy("chr").applyInPandas(run, schema)
+    columns = [*PIXEL_COLUMNS, *(f"fdr{m}" for m in MASKS)]
+    found = written(found.select(*columns), "enriched")
+    large = written(found.groupBy("chr").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > local_pixels).select("chr"), "large-chromosomes")
+    out = found.join(large, "chr", "left_anti").select(*columns).groupBy("chr").applyInPandas(run, schema)
+    place = F.col("bin_x").cast("long") * bin_size
+    gap = 4 * base
+    while large.limit(1).count():
+        left = found.join(large, "chr", "left_semi").select(F.xxhash64("chr", "bin_x", "bin_y").alias("id"), "*", place.alias("x1"), place.alias("x2"))
+        parts = islands(written(left, "pixels-left"), gap).select("island", *columns)
+        clusters = written(parts.groupBy("chr", "island").applyInPandas(lambda f: run(f.drop(columns="island")), schema), "clusters")
+        large = written(clusters.where(F.col("radius") + base > gap).select("chr").distinct(), "large-chromosomes")
+        out = out.unionByName(clusters.join(large, "chr", "left_anti").select(*out.columns))
+        gap *= 4
+    return out
 
 
 PIXEL_COLUMNS = [c.split()[0] for c in PIXEL.split(", ")]

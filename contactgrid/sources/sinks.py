@@ -1,4 +1,4 @@
-"""Sinks: dumps, feature lists, intervals, vectors and partitioned matrices."""
+"""Sinks: dumps, feature lists, intervals, vectors and partitioned matrices (K01-K03, K06-K10, K14); see binary.py for K05 and K15, container.py for K02's blocks."""
 
 from __future__ import annotations
 

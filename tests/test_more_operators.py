@@ -93,6 +93,19 @@ def test_loops_by_p_values_are_found_where_planted(spark):
     assert abs(peak.start1 // size - 60) <= 1 and abs(peak.start2 // size - 110) <= 1 and peak.p_value < 0.01
 
 
+def test_centroids_by_islands_are_those_of_whole_chromosomes(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.integers(0, 3000, (60, 2))
+    at = np.unique(np.concatenate([c + rng.integers(-6, 7, (20, 2)) for c in centres]), axis=0)
+    rows = pd.DataFrame({"chr": 1, "bin_x": at[:, 0], "bin_y": at[:, 1], "observed": rng.integers(1, 50, len(at)).astype(float)})
+    for m in loops.MASKS:
+        rows[f"expected{m}"], rows[f"bin{m}"], rows[f"fdr{m}"] = 1.0, 0, 0.0
+    frame = spark.createDataFrame(rows)
+    frame = frame.select(*(frame[c.split()[0]].cast(c.split()[1]) for c in (loops.PIXEL + ", " + ", ".join(f"fdr{m} double" for m in loops.MASKS)).split(", ")))
+    show = lambda df: sorted((r.bin_x, r.bin_y, r.numCollapsed, r.centroid1, r.radius) for r in df.collect())
+    assert show(loops.cluster(frame, 5000, local_pixels=10)) == show(loops.cluster(frame, 5000))
+
+
 def test_scores_of_given_domains_are_those_of_called_ones(spark):
     n = 120
     rate = np.ones((n, n)) * 2
