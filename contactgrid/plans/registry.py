@@ -721,13 +721,19 @@ def a34(s, d):
     return intervals.anchors(adapters.loops(s, d), 15_000)
 
 
-@registered("c07_unique_motifs", None)
+@registered("c07_unique_motifs", f"""WITH {LOOPS}, {LOCI}, {GENES}, lp AS (SELECT chr, id * 40000 AS start1, id * 40000 + end1 - start1 AS end1, id * 40000 + start2 - start1 AS start2, id * 40000 + end2 - start1 AS end2 FROM loops),
+ l AS (SELECT id, chr, id * 60000 AS x1, id * 60000 + x2 - x1 AS x2, score FROM loci), gn AS (SELECT id, chr, id * 300000 AS x1, id * 300000 + x2 - x1 AS x2 FROM genes), {ENDS_SQL.replace("loops", "lp")},
+ m AS (SELECT *, max(x2) OVER (PARTITION BY chr ORDER BY x1, x2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, row_number() OVER (PARTITION BY chr ORDER BY x1, x2) AS k FROM ends),
+ g AS (SELECT *, sum(CASE WHEN reach IS NULL OR x1 > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chr ORDER BY k) AS island FROM m), i AS (SELECT chr, min(x1) AS x1, max(x2) AS x2 FROM g GROUP BY chr, island),
+ a AS (SELECT chr, CASE WHEN x2 - x1 < 15000 THEN greatest((x1 + x2) // 2 - 7500, 0) ELSE x1 END AS x1, CASE WHEN x2 - x1 < 15000 THEN (x1 + x2) // 2 + 7500 ELSE x2 END AS x2 FROM i),
+ h AS (SELECT a.chr AS c, a.x1 AS a1, a.x2 AS a2, l.* FROM a JOIN l ON a.chr = l.chr AND a.x1 <= l.x2 AND l.x1 <= a.x2), alone AS (SELECT DISTINCT id, chr, x1, x2 FROM (SELECT *, count(*) OVER (PARTITION BY c, a1, a2) AS n FROM h) WHERE n = 1),
+ p AS (SELECT * FROM alone WHERE EXISTS (SELECT 1 FROM gn WHERE gn.chr = alone.chr AND gn.x1 <= alone.x2 AND alone.x1 <= gn.x2)), r AS (SELECT p.id, l.id AS hit, l.score, row_number() OVER (PARTITION BY p.id ORDER BY l.score DESC, l.id) AS k FROM p JOIN l ON p.chr = l.chr AND p.x1 <= l.x2 AND l.x1 <= p.x2)
+ SELECT id, hit, round(score, 6) AS score FROM r WHERE k = 1""")
 def c07(s, d):
     sparse = adapters.spread(adapters.loops(s, d), 40_000, "start1", "end1", "start2", "end2")
     loci = adapters.spread(adapters.loci(s, d), 60_000, "x1", "x2")
     genes = adapters.spread(_genes(s, d).select("id", "chr", "x1", "x2"), 300_000, "x1", "x2")
-    return motifs.unique_motifs(sparse, [loci, genes], loci)
-
+    return _round(motifs.unique_motifs(sparse, [loci, genes], loci), "score")
 
 
 
