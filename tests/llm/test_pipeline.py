@@ -49,3 +49,17 @@ def test_stages(spark, tables, tmp_path):
     assert abs(after.sum() - before.sum()) <= 5 and (after <= 3 * before.reindex(after.index) + 1).all()
     assert len(packed.groupby(["doc_id", "ids_crc32"])) <= len(mixed) and packed.groupby("sequence_id").length.sum().max() <= 4096
     assert len(packed[packed.piece == 0]) == len(mixed) and packed.sequence_id.nunique() <= ceil(packed.length.sum() / 4096) + 1
+
+
+def test_run_gives_whole_packings_of_odd_tables(spark, tmp_path):
+    rng = random.Random(3)
+    text = lambda: "\n".join(" ".join(f"w{rng.randrange(900)}" for _ in range(15)) + "." for _ in range(5))
+    kind = "doc_id long, text string, lang string, source string, n_chars long, row string, label string"
+    rows = [(i, text(), "en", f"s{i % 3}", 1, "r", "l") for i in range(60)] + [(None, text(), None, None, None, None, None), (None, None, "en", "s1", 0, "r", None), (7, "", "en", "s2", 0, None, "l")]
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/a/labels.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/a")
+    assert got.count() >= 55 and got.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 4096
+    spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/b/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/b/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
