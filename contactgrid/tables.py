@@ -24,7 +24,8 @@ def shared_folder(spark: SparkSession) -> str:
     Only where all run in one process, as in local tests, may it be unset: then a folder of this process takes its place.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if not folder and master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     return (folder or _own_folder()).rstrip("/")
 
