@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -118,6 +118,15 @@ def islands(rows: DataFrame, gap: int = 0) -> DataFrame:
     return rows.join(found, "id")
 
 
+def by_island(rows: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """What run() gives for each island of the rows. Islands that begin in one stretch of a chromosome are one group, as most are small."""
+
+    def each(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([run(g) for _, g in f.groupby("island", sort=False)])
+
+    return islands(rows).groupBy("chr", F.floor(F.col("island") / (1 << 18)).alias("stretch")).applyInPandas(each, schema)
+
+
 def non_conflicting(main: DataFrame, more: DataFrame) -> DataFrame:
     """Ids of those of ``more`` that, in the order of their ids, have no edge of main, or of one accepted before, within them. Both: id, chr, x1, x2.
 
@@ -137,7 +146,7 @@ def non_conflicting(main: DataFrame, more: DataFrame) -> DataFrame:
                 found.append(r.own)
         return pd.DataFrame({"id": np.array(found, "int64")})
 
-    return islands(both).groupBy("chr", "island").applyInPandas(accept, "id bigint")
+    return by_island(both, accept, "id bigint")
 
 
 SCORES = ["score", "uVarScore", "lVarScore", "upSign", "loSign"]
@@ -169,7 +178,7 @@ def binned_scores(rows: DataFrame, distance: int) -> DataFrame:
         return out[["chr", "i", "j", "n", *SCORES]]
 
     kind = "chr int, i bigint, j bigint, n int, " + ", ".join(f"{s} double" for s in SCORES)
-    return islands(spread).groupBy("chr", "island").applyInPandas(join, kind)
+    return by_island(spread, join, kind)
 
 
 def triple_centroids(triples: DataFrame, tolerance: int) -> DataFrame:
@@ -200,7 +209,7 @@ def triple_centroids(triples: DataFrame, tolerance: int) -> DataFrame:
         x1, x2, x3 = zip(*centres, strict=True)
         return pd.DataFrame({"chr": f["chr"].iloc[0], "x1": x1, "x2": x2, "x3": x3, "n": counts})
 
-    return islands(spread).groupBy("chr", "island").applyInPandas(join, "chr int, x1 bigint, x2 bigint, x3 bigint, n int")
+    return by_island(spread, join, "chr int, x1 bigint, x2 bigint, x3 bigint, n int")
 
 
 def contained(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -224,5 +233,5 @@ def union_without_overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
                 kept.append(r)
         return pd.DataFrame({"id": np.array([r.id for r in kept], "int64")})
 
-    kept = islands(spread).groupBy("chr", "island").applyInPandas(accept, "id bigint")
+    kept = by_island(spread, accept, "id bigint")
     return a.unionByName(free.join(kept, "id", "left_semi").select(*a.columns))
