@@ -93,7 +93,18 @@ s AS (SELECT j.*, rc IS NULL AS free, {js(share('classes'), share('rc'))} AS dc,
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
  NOT base_failed AND (free OR ((n_chars < {quality_rules.MIN_CHARS} OR dc <= {quality_rules.MAX_CLASS_DISTANCE}) AND (n_words < {quality_rules.MIN_WORDS} OR dw <= {quality_rules.MAX_WORD_DISTANCE}))) AS kept FROM s"""
 
+OP11 = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p), i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w WHERE len(w) > 0),
+k AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM i, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM k GROUP BY ALL HAVING count(*) >= 30), n AS (SELECT lang, count(*) AS n FROM i GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1), s AS (SELECT c.*, cut, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * c.f // (x.f + y.f) AS BIGINT) AS score
+ FROM c, (SELECT unnest([1, 2, 3]) AS cut), f x, f y WHERE cut < c.k AND x.lang = c.lang AND y.lang = c.lang AND x.phrase = array_to_string(w[1 : cut], ' ') AND y.phrase = array_to_string(w[cut + 1 :], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT DISTINCT x.lang, x.phrase FROM c x JOIN c y ON x.lang = y.lang AND x.k < y.k AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ') AND 100 * y.f >= 80 * x.f),
+r AS (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, phrase) AS rank FROM b WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.lang = b.lang AND o.phrase = b.phrase))
+SELECT r.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(f AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, score FROM r JOIN n ON n.lang = r.lang WHERE rank <= 2000"""
 
 ORACLES = {
     "op3_quality_divergence": _op3(), "op5_license_digests": OP5, "op6_exact_topk": OP6, "op7_source_mixing": OP7, "op9_line_dedup": OP9, "op10_chat_windows": OP10,
+    "op11_phrase_collocations": OP11,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactgrid.llm import chat, html_text, licenses, line_dedup, mixing, near_dup, oracles, packing, quality_model, quality_rules, topk
+from contactgrid.llm import chat, collocations, html_text, licenses, line_dedup, mixing, near_dup, oracles, packing, quality_model, quality_rules, topk
 from contactgrid.llm.common import read
 
 
@@ -57,6 +57,10 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_windows(turns.unionByName(planted)))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_main_text": op1_html_main_text,
     "op2_quality_cotraining": op2_quality_cotraining,
@@ -68,5 +72,6 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_windows": op10_chat_windows,
+    "op11_phrase_collocations": op11_phrase_collocations,
 }
 ORACLES = oracles.ORACLES
