@@ -94,17 +94,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
  NOT base_failed AND (free OR ((n_chars < {quality_rules.MIN_CHARS} OR dc <= {quality_rules.MAX_CLASS_DISTANCE}) AND (n_words < {quality_rules.MIN_WORDS} OR dw <= {quality_rules.MAX_WORD_DISTANCE}))) AS kept FROM s"""
 
 OP11 = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
-w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p), i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w WHERE len(w) > 0),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p), i AS MATERIALIZED (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w WHERE len(w) > 0),
 k AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM i, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w)),
-f AS (SELECT lang, k, phrase, count(*) AS f FROM k GROUP BY ALL HAVING count(*) >= 30), n AS (SELECT lang, count(*) AS n FROM i GROUP BY lang),
-c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1), s AS (SELECT c.*, cut, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * c.f // (x.f + y.f) AS BIGINT) AS score
- FROM c, (SELECT unnest([1, 2, 3]) AS cut), f x, f y WHERE cut < c.k AND x.lang = c.lang AND y.lang = c.lang AND x.phrase = array_to_string(w[1 : cut], ' ') AND y.phrase = array_to_string(w[cut + 1 :], ' ')),
-b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
-o AS (SELECT DISTINCT x.lang, x.phrase FROM c x JOIN c y ON x.lang = y.lang AND x.k < y.k AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ') AND 100 * y.f >= 80 * x.f),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM k GROUP BY ALL HAVING count(*) >= 30), n AS (SELECT lang, count(*) AS n FROM i GROUP BY lang),
+c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1), h AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+t AS MATERIALIZED (SELECT *, array_to_string(w[1 : cut], ' ') AS head, array_to_string(w[cut + 1 :], ' ') AS tail FROM h),
+s AS (SELECT t.*, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * t.f // (x.f + y.f) AS BIGINT) AS score FROM t JOIN f x ON x.lang = t.lang AND x.phrase = head JOIN f y ON y.lang = t.lang AND y.phrase = tail),
+b AS MATERIALIZED (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS MATERIALIZED (SELECT DISTINCT x.lang, x.phrase FROM c x JOIN c y ON x.lang = y.lang AND x.k < y.k AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ') AND 100 * y.f >= 80 * x.f),
 r AS (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, phrase) AS rank FROM b WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.lang = b.lang AND o.phrase = b.phrase))
 SELECT r.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(f AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, score FROM r JOIN n ON n.lang = r.lang WHERE rank <= 2000"""
 
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+ lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))))"""
+OP12 = rf"""WITH t AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS made, h // 10 AS g FROM (SELECT doc_id, {WORDS} AS w, {_CRC32} AS h FROM documents)),
+u AS (SELECT *, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM t),
+d AS MATERIALIZED (SELECT doc_id, n, CASE WHEN made THEN list_transform(range(n), lambda i: w[1 + (CASE WHEN i < a THEN i ELSE a + (i - a) % p END)]) ELSE w END AS w FROM u),
+f AS MATERIALIZED (SELECT doc_id, n, i, array_to_string(w[i + 1 : i + 5], ' ') AS five FROM (SELECT doc_id, n, w, unnest(range(n - 4)) AS i FROM d WHERE n > 4)),
+s AS (SELECT doc_id, five FROM f GROUP BY ALL HAVING count(*) > 1), c AS MATERIALIZED (SELECT f.* FROM f JOIN s ON s.doc_id = f.doc_id AND s.five = f.five),
+m AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM c x JOIN c y ON x.doc_id = y.doc_id AND x.five = y.five AND x.i < y.i AND 4 * (y.i - x.i) <= x.n),
+e AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m), r AS (SELECT doc_id, q, min(i) AS start, count(*) + 4 + q AS length FROM e GROUP BY doc_id, q, island),
+runs AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM r WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+told AS (SELECT doc_id, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS digest FROM runs GROUP BY doc_id),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs), dropped AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id),
+kept AS (SELECT d.doc_id, CASE WHEN dropped.gone IS NULL THEN array_to_string(w, ' ') ELSE coalesce((SELECT string_agg(x, ' ' ORDER BY i) FROM (SELECT unnest(w) AS x, unnest(range(n)) AS i) WHERE NOT list_contains(dropped.gone, i)), '') END AS text FROM d LEFT JOIN dropped ON dropped.doc_id = d.doc_id)
+SELECT kept.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+ coalesce(digest, sha256('')) AS runs_sha256, sha256(text) AS collapsed_sha256 FROM kept LEFT JOIN told ON told.doc_id = kept.doc_id LEFT JOIN best ON best.doc_id = kept.doc_id"""
+
 ORACLES = {
     "op3_quality_divergence": _op3(), "op5_license_digests": OP5, "op6_exact_topk": OP6, "op7_source_mixing": OP7, "op9_line_dedup": OP9, "op10_chat_windows": OP10,
-    "op11_phrase_collocations": OP11,
+    "op11_phrase_collocations": OP11, "op12_periodic_runs": OP12,
 }
