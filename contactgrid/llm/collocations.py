@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -17,29 +19,36 @@ from contactgrid.llm.common import materialize
 LONGEST, LEAST_COUNT, BEST, SHARE = 4, 30, 2_000, 80
 #: Words of a block of the occurrence relation, about; and bytes of a text that are cut into words together.
 BLOCK_WORDS, STEP_BYTES = 1 << 22, 1 << 22
-#: Bits of an occurrence's phrase number inside its block, and of a block's number inside its task.
-NUMBER_BITS, TASK_BITS = 26, 16
+#: Phrases of blocks that are counted together in one part, about.
+PART_PHRASES = 1 << 21
+#: Bits of a block's number inside its task, and of a phrase's number inside its part.
+TASK_BITS, PART_BITS = 16, 32
 #: Parts of a language that are ranked before the parts' best are ranked together.
 RANK_PARTS = 64
 
 _END = b"\xff"
 _CUT = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", _END * 10)
-OCCURRENCES = "block long, lang string, n long, at binary, number binary, words array<string>, counts array<long>"
-PAIRS = "block long, n long, at binary, number binary, a array<long>, b array<long>, counts array<long>"
+#: Of a block: its occurrences (n of them: at, number) and its phrases (k of them, by number: words, or the ids a and b; counts), packed by columns.
+BLOCKS = "block long, lang string, n long, at binary, number binary, k long, words binary, a binary, b binary, counts binary"
+DEALT = "part long, block long, lang string, k long, number binary, words binary, a binary, b binary, counts binary"
+COUNTED = "block long, k long, number binary, ids binary, id long, lang string, word string, a long, b long, f long"
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Numbers under 2**32 by the bytes of equal weight, compressed."""
-    return pa.compress(np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+def _pack(x: np.ndarray, rising: bool = False) -> bytes:
+    """Whole numbers by the bytes of equal weight, compressed; rising ones by their steps."""
+    x = np.diff(x, prepend=0) if rising else x
+    return pa.compress(np.ascontiguousarray(x, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
 
 
-def _unpack(packed: bytes, n: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(pa.decompress(packed, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+def _unpack(packed: bytes, n: int, rising: bool = False) -> np.ndarray:
+    x = np.ascontiguousarray(np.frombuffer(pa.decompress(packed, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n).T).view("<i8").ravel()
+    return np.cumsum(x) if rising else x
 
 
-def _one(values, kind: pa.DataType) -> pa.Array:
-    """A column of one row, which is a list."""
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+def _batch(rows: list[dict], ddl: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    fields = [pa.field(*(kinds.get(w, w) for w in c.split())) for c in ddl.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in fields], schema=pa.schema(fields))
 
 
 class _Block:
@@ -61,18 +70,17 @@ class _Block:
             size, start = size + len(found), stop
         return size
 
-    def row(self, block: int, lang: str) -> pa.RecordBatch | None:
+    def row(self, block: int, lang: str) -> dict | None:
         everything = np.concatenate(self.parts) if self.parts else np.zeros(0, np.int32)
         at = np.flatnonzero(everything != self.end)
         if not len(at):
             return None
         number = everything[at] - 1  # the end has 0
-        words = pa.array(list(self.number)[1:], pa.binary()).cast(pa.string())
-        counts = np.bincount(number, minlength=len(words))
-        cells = [[block], [lang], [len(at)], [_pack(np.diff(at, prepend=0))], [_pack(number)]]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
-        columns = [pa.array(c, k) for c, k in zip(cells, kinds, strict=True)] + [_one(words, pa.string()), _one(counts, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["block", "lang", "n", "at", "number", "words", "counts"])
+        words = list(self.number)[1:]
+        return {
+            "block": block, "lang": lang, "n": len(at), "at": _pack(at, True), "number": _pack(number),
+            "k": len(words), "words": b" ".join(words), "counts": _pack(np.bincount(number, minlength=len(words))),
+        }
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +92,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = block.row(made, lang)
             if row is not None:
                 made += 1
-                yield row
+                yield _batch([row], BLOCKS)
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
@@ -98,57 +106,110 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each block, the occurrences of frequent phrases, sorted by place, merged with themselves at the next place: pairs that overlap but for one word."""
     for batch in batches:
-        for row in range(len(batch)):
-            block, n, at, number, nos, ids = (batch.column(c)[row] for c in range(6))
-            n = n.as_py()
-            at, number = np.cumsum(_unpack(at.as_py(), n)), _unpack(number.as_py(), n)
-            nos, ids = (np.asarray(x.values.to_numpy(zero_copy_only=False)) for x in (nos, ids))
-            name = np.full(int(number.max()) + 1, -1, np.int64)  # -1: not frequent
+        for row in batch.to_pylist():
+            at, number = _unpack(row["at"], row["n"], True), _unpack(row["number"], row["n"])
+            ids = np.concatenate([_unpack(x["ids"], x["k"], True) for x in row["frequent"]])
             order = np.argsort(ids)
-            name[nos[order]] = np.arange(len(ids))
+            ids, name = ids[order], np.full(int(number.max()) + 1, -1, np.int64)  # -1: not frequent
+            name[np.concatenate([_unpack(x["number"], x["k"]) for x in row["frequent"]])[order]] = np.arange(len(ids))
             number = name[number]
-            keep = number >= 0
-            at, number, ids = at[keep], number[keep], ids[order]
+            at, number = at[number >= 0], number[number >= 0]
             left = np.flatnonzero(at[1:] == at[:-1] + 1)
-            if not len(left):
-                continue
-            pairs, new, counts = np.unique(number[left] * len(ids) + number[left + 1], return_inverse=True, return_counts=True)
-            columns = [pa.array([block.as_py()]), pa.array([len(left)]), pa.array([_pack(np.diff(at[left], prepend=0))], pa.binary()), pa.array([_pack(new)], pa.binary())]
-            columns += [_one(x, pa.int64()) for x in (ids[pairs // len(ids)], ids[pairs % len(ids)], counts)]
-            yield pa.RecordBatch.from_arrays(columns, ["block", "n", "at", "number", "a", "b", "counts"])
+            if len(left):
+                pairs, new, counts = np.unique(number[left] * len(ids) + number[left + 1], return_inverse=True, return_counts=True)
+                phrases = {"k": len(pairs), "a": _pack(ids[pairs // len(ids)], True), "b": _pack(ids[pairs % len(ids)]), "counts": _pack(counts)}
+                yield _batch([{"block": row["block"], "n": len(left), "at": _pack(at[left], True), "number": _pack(new), **phrases}], BLOCKS)
 
 
-def _frequent(occurrences: DataFrame, keys: list[str], fields: list[str], least: int) -> DataFrame:
-    """The group count: of each block's phrases those that all blocks have ``least`` times; f is their count, id the smallest (block, number) as one number."""
-    zipped = occurrences.select("block", *keys, F.posexplode(F.arrays_zip(*fields, "counts")).alias("number", "x"))
-    key = [*keys, *fields]
-    rows = zipped.select("block", "number", *keys, *(F.col(f"x.{f}").alias(f) for f in fields), F.col("x.counts").alias("n"))
-    rows = rows.withColumn("uid", F.col("block") * (1 << NUMBER_BITS) + F.col("number"))
-    group = Window.partitionBy(*key)
-    return rows.withColumns({"f": F.sum("n").over(group), "id": F.min("uid").over(group)}).where(F.col("f") >= least).select("block", "number", "uid", "id", *key, "f")
+def _deal(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Each block's phrases with their counts, dealt by hash to parts: a row for each part that gets any."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            k, counts = row["k"], _unpack(row["counts"], row["k"])
+            words = row["words"].split(b" ") if row["words"] is not None else None
+            if words:
+                part = np.fromiter(map(crc32, words), np.int64, k) % parts
+            else:
+                a, b = _unpack(row["a"], k, True), _unpack(row["b"], k)
+                mixed = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+                mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                part = ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            bounds = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1], True])
+            out = []
+            for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+                mine = order[low:high]
+                told = {"words": zlib.compress(b" ".join(words[i] for i in mine.tolist()), 1)} if words else {"a": _pack(a[mine], True), "b": _pack(b[mine])}
+                out.append({"part": int(part[mine[0]]), "block": row["block"], "lang": row["lang"], "k": len(mine), "number": _pack(mine, True), "counts": _pack(counts[mine]), **told})
+            yield _batch(out, DEALT)
+
+
+def _count(dealt: pa.Table, least: int) -> pa.Table:
+    """The group count of one part: the frequent phrases (id, lang and word or a and b, f), and of each block its own ones (number, ids)."""
+    rows = dealt.select(["block", "part", "lang", "k", "number", "words", "a", "b", "counts"]).to_pylist()
+    sizes = np.array([r["k"] for r in rows])
+    counts = np.concatenate([_unpack(r["counts"], r["k"]) for r in rows])
+    if rows[0]["words"] is not None:
+        langs, lang = np.unique([r["lang"] for r in rows], return_inverse=True)
+        found = pa.array([w for r in rows for w in zlib.decompress(r["words"]).split(b" ")], pa.binary()).dictionary_encode()
+        first, second, words = np.repeat(lang, sizes), found.indices.to_numpy().astype(np.int64), found.dictionary
+    else:
+        (firsts, first), (seconds, second) = (np.unique(np.concatenate(x), return_inverse=True) for x in (
+            [_unpack(r["a"], r["k"], True) for r in rows], [_unpack(r["b"], r["k"]) for r in rows]))
+    key, group = np.unique(first * (int(second.max()) + 1) + second, return_inverse=True)
+    f = np.bincount(group, counts).astype(np.int64)
+    frequent = np.flatnonzero(f >= least)
+    ids = np.full(len(f), -1, np.int64)
+    ids[frequent] = (rows[0]["part"] << PART_BITS) + np.arange(len(frequent))
+    x, y = key[frequent] // (int(second.max()) + 1), key[frequent] % (int(second.max()) + 1)
+    one = {"id": pa.array(ids[frequent]), "f": pa.array(f[frequent])}
+    if rows[0]["words"] is not None:
+        one |= {"lang": pa.array(langs[x].astype(object), pa.string()), "word": words.take(pa.array(y)).cast(pa.string())}
+    else:
+        one |= {"a": pa.array(firsts[x]), "b": pa.array(seconds[y])}
+    mine, low = [], 0
+    for r, size in zip(rows, sizes.tolist(), strict=True):
+        own = ids[group[low : low + size]]
+        low += size
+        kept = np.flatnonzero(own >= 0)
+        if len(kept):
+            order = kept[np.argsort(own[kept])]
+            mine.append({"block": r["block"], "k": len(kept), "ids": _pack(own[order], True), "number": _pack(_unpack(r["number"], size, True)[order])})
+    blocks = _batch(mine, COUNTED)
+    groups = [one.get(f.name, pa.nulls(len(frequent), f.type)) for f in blocks.schema]
+    return pa.Table.from_batches([blocks, pa.RecordBatch.from_arrays(groups, schema=blocks.schema)])
+
+
+def _frequent(blocks: DataFrame, least: int) -> DataFrame:
+    """The phrases of all blocks that occur ``least`` times together, and of each block which of its own these are: COUNTED rows of either kind."""
+    spark = blocks.sparkSession
+    total = blocks.agg(F.sum("k")).first()[0] or 0
+    parts = max(total // PART_PHRASES + 1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = blocks.select("block", "lang", "k", "words", "a", "b", "counts").mapInArrow(lambda batches: _deal(batches, parts), DEALT)
+    return dealt.groupBy("part").applyInArrow(lambda part: _count(part, least), COUNTED)
 
 
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST_COUNT) -> tuple[DataFrame, list[DataFrame]]:
     """SETM: (lang, n) and, of each length from 1 to ``longest``, the frequent phrases.
 
-    Occurrences are a relation of (block, place, phrase), sorted by place and stored: about 4 million words of a language a row, packed by
+    Occurrences are a relation of (block, place, phrase), sorted by place and stored: about 4 million words a block, packed by
     columns, with a place left free after each piece. Each length is one round: a block's relation is cut to the
-    frequent phrases of the length before (a semi-join by the block's own list of them), merged with itself at the next place, its pairs are counted,
-    and the counts of all blocks are summed by one shuffle. A phrase is at most one row a block there, however frequent it is.
+    frequent phrases of the length before (a semi-join by the block's own list of them), merged with itself at the next place, and its pairs are counted.
+    The counts of all blocks are summed by one shuffle: phrases are dealt by hash to parts of about ``PART_PHRASES``, where a phrase is at most
+    one entry a block, however frequent it is; only numbers packed by columns are shuffled.
     Lists: of length 1 (id, lang, word, f), of others (id, a, b, f), where a and b are the ids of the phrase without its last and its first word.
     """
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    held = materialize(texts.mapInArrow(_occurrences, OCCURRENCES), "occurrences-1")
+    held = materialize(texts.mapInArrow(_occurrences, BLOCKS), "occurrences-1")
     totals = materialize(held.groupBy("lang").agg(F.sum("n").alias("n")), "words-by-lang")
-    found = materialize(_frequent(held, ["lang"], ["words"], least).withColumnRenamed("words", "word"), "frequent-1")
-    groups = [found.where("uid = id").select("id", "lang", "word", "f")]
-    for k in range(2, longest + 1):
-        lists = found.groupBy("block").agg(F.collect_list(F.struct("number", "id")).alias("p"))
-        lists = lists.select("block", F.col("p.number").alias("nos"), F.col("p.id").alias("ids"))
-        joined = held.select("block", "n", "at", "number").join(lists, "block").select("block", "n", "at", "number", "nos", "ids")
-        held = materialize(joined.mapInArrow(_extend, PAIRS), f"occurrences-{k}")
-        found = materialize(_frequent(held, [], ["a", "b"], least), f"frequent-{k}")
-        groups.append(found.where("uid = id").select("id", "a", "b", "f"))
+    groups = []
+    for k in range(1, longest + 1):
+        found = materialize(_frequent(held, least), f"frequent-{k}")
+        groups.append(found.where("id is not null").select("id", *(["lang", "word"] if k == 1 else ["a", "b"]), "f"))
+        if k < longest:
+            lists = found.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("k", "number", "ids")).alias("frequent"))
+            joined = held.select("block", "n", "at", "number").join(lists, "block")
+            held = materialize(joined.mapInArrow(_extend, BLOCKS), f"occurrences-{k + 1}")
     return totals, groups
 
 

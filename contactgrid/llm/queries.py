@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactgrid.llm import chat, collocations, html_text, licenses, line_dedup, mixing, near_dup, oracles, packing, periodic, quality_model, quality_rules, topk
+from contactgrid.llm import chat, collocations, html_text, licenses, line_dedup, mixing, near_dup, oracles, packing, periodic, private_data, quality_model, quality_rules, topk
 from contactgrid.llm.common import read
 
 
@@ -65,6 +65,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.periodic_runs(read(spark, sf_dir, "documents"))
 
 
+def op13_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.find_private_data(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_main_text": op1_html_main_text,
     "op2_quality_cotraining": op2_quality_cotraining,
@@ -78,5 +82,6 @@ QUERIES = {
     "op10_chat_windows": op10_chat_windows,
     "op11_phrase_collocations": op11_phrase_collocations,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_private_data": op13_private_data,
 }
 ORACLES = oracles.ORACLES
