@@ -19,9 +19,9 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)
 #: What a label that the patterns didn't give has to have as its marginal.
 LEAST_MARGINAL = 0.9
-ROUNDS, DAMPING, PENALTY, STEPS = 20, 0.5, 1.0, 600
+ROUNDS, DAMPING, PENALTY, STEPS = 20, 0.5, 0.001, 600
 #: Log potential, before the fit moves it, of two alike tokens having one label: exact patterns can't teach it, as what they miss has the wrong label.
-AGREE = 8.0
+AGREE = 12.0
 
 _GAP = " \t\n\x0b\x0c\r"
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -207,7 +207,7 @@ class Weights:
         self.skip = AGREE * np.eye(LABELS)
 
     def fit(self, told: np.ndarray, n: np.ndarray) -> Weights:
-        """Maximizes the pseudo-likelihood, with a penalty on squared moves from the start: each label given its token, its neighbours' labels and that of its alike token.
+        """Maximizes the mean pseudo-likelihood, with a penalty on squared moves from the start, so that tables of all sizes fit alike: each label given its token, its neighbours' labels and that of its alike token.
 
         ``told``: distinct cases as _graph() packs them, ``n``: how many tokens there are of each. The maximum is unique; it is climbed by a fixed number of steps.
         """
@@ -237,7 +237,7 @@ class Weights:
             np.add.at(slopes[2], alike[has[:, 0]], miss[has[:, 0]])
             slopes[2] = slopes[2] + slopes[2].T  # one potential for both ends
             for k, part in enumerate(parts):
-                g = slopes[k] - PENALTY / n.sum() * (part - start[k])
+                g = slopes[k] - PENALTY * (part - start[k])
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g * g
                 part += 0.05 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-9)
