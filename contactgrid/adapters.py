@@ -48,6 +48,24 @@ def loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def loop_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read pairs with loops planted in them, from line items: each 750 orders make a site of 500 kb on one of three chromosomes.
+
+    A site's pairs lie along it, at distances of which small ones are many; but one in twenty (of each fourth site one in eighty) stands where its loop is, from 100 to 300 kb, 7.5 kb wide.
+    """
+    o, n, part, sup = (F.col(f"l_{c}").cast("long") for c in ("orderkey", "linenumber", "partkey", "suppkey"))
+    site = F.floor(o / 750)
+    a = (o * 48_271 + n * 16_807 + part * 69_621) % 1_000_003
+    b = (sup * 40_692 + o * 30_269 + n * 52_774 + part * 7) % 1_000_033
+    start = F.floor(site / 3) * 500_000
+    looped = (n == 1) & (o % 5 == 0) & ((site % 4 != 3) | (o % 20 == 0))
+    at = F.when(looped, start + 100_000 + a % 3_750 + b % 3_750).otherwise(start + a % 500_000)
+    far = F.when(looped, start + 300_000 + (a * 13 + b * 7) % 3_750 + (a * 5 + b * 11) % 3_750).otherwise(at + (b % 1_000) * (F.floor(a / 3) % 400))
+    chr_ = (1 + site % 3).cast("int")
+    t = table(spark, sf_dir, "lineitem")
+    return t.select(chr_.alias("chr1"), at.cast("int").alias("pos1"), chr_.alias("chr2"), far.cast("int").alias("pos2"), F.lit(1.0).alias("score"))
+
+
 def loci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed intervals with a score, from events."""
     t = table(spark, sf_dir, "events")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,14 +34,62 @@ def poisson_z(observed: Column, expected: Column) -> Column:
     return 2 * (F.sqrt(observed) - F.sqrt(expected))
 
 
+def poisson_p(observed: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """P(X >= observed) of Poisson variables of any mean: the regularized incomplete gamma function, by its series or its continued fraction.
+
+    Each value takes as many terms as it needs, a few times the root of its count at most; those that have settled take no part any more.
+    """
+    a, x = (np.array(v, float) for v in np.broadcast_arrays(observed, mean))
+    a, x = np.atleast_1d(a), np.atleast_1d(x)
+    p = np.where(a <= 0, 1.0, 0.0)
+    told = (a > 0) & (x > 0) & np.isfinite(x)
+    p[np.isnan(x) | np.isnan(a)] = np.nan
+    p[(a > 0) & np.isposinf(x)] = 1.0
+    front = np.zeros(len(a))
+    front[told] = np.exp(a[told] * np.log(x[told]) - x[told] - np.array([math.lgamma(v) for v in a[told]]))
+    at = np.flatnonzero(told & (x < a + 1))
+    term = 1 / a[at]
+    total, k = term.copy(), 0
+    while len(at):
+        k += 1
+        term = term * x[at] / (a[at] + k)
+        total = total + term
+        p[at] = front[at] * total
+        on = term > total * 1e-16
+        at, term, total = at[on], term[on], total[on]
+    at = np.flatnonzero(told & (x >= a + 1))
+    tiny = 1e-300
+    b = x[at] + 1 - a[at]
+    c = np.full(len(at), 1 / tiny)
+    d = 1 / np.where(np.abs(b) < tiny, tiny, b)
+    h, k = d.copy(), 0
+    while len(at):
+        k += 1
+        step, b = -k * (k - a[at]), b + 2
+        d = step * d + b
+        d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+        c = b + step / c
+        c = np.where(np.abs(c) < tiny, tiny, c)
+        h = h * d * c
+        p[at] = 1 - front[at] * h
+        on = np.abs(d * c - 1) > 1e-15
+        at, b, c, d, h = at[on], b[on], c[on], d[on], h[on]
+    return np.clip(p, 0.0, 1.0)
+
+
+def poisson_upper(observed: Column | str, mean: Column | str) -> Column:
+    """P(X >= observed), by poisson_p() in whole batches."""
+
+    @F.pandas_udf("double")
+    def tail(o: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series(poisson_p(o.to_numpy(float), m.to_numpy(float)))
+
+    return tail(observed, mean)
+
+
 def poisson_tail(mu: float, n: int) -> list[float]:
     """P(X >= k) for k below n."""
-    p, out, left = math.exp(-mu), [], 1.0
-    for k in range(n):
-        out.append(max(0.0, left))
-        left -= p
-        p *= mu / (k + 1)
-    return out
+    return poisson_p(np.arange(n), np.full(n, float(mu))).tolist()
 
 
 def clean_chromosome(name: Column) -> Column:

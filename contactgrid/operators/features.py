@@ -36,12 +36,12 @@ def mapq_clear(loops: DataFrame, missing: DataFrame, resolution: int, radius: in
 
 
 def fdr_accepts(least: float = 1.5, usual: float = 1.75, strong_: float = 2.0, fdr_sum: float = 0.02) -> Column:
-    """loops that stand out from what each mask expects, by its own ratio: the arms by ``least``, donut and corner by ``usual``, one of
-    these two by ``strong_``; and that were collapsed from several pixels, or have a sum of rates of at most ``fdr_sum``."""
-    ratio = {m: F.col("observed") / F.col(f"expected{m}") for m in ("BL", "Donut", "H", "V")}
-    arms, sides = F.least(ratio["H"], ratio["V"]), (ratio["BL"], ratio["Donut"])
-    rates = F.aggregate(F.array(*(F.col(f"fdr{m}") for m in ratio)), F.lit(0.0), lambda total, rate: total + rate)
-    return (arms > least) & (F.least(*sides) > usual) & (F.greatest(*sides) > strong_) & ((F.col("numCollapsed") > 1) | (rates <= fdr_sum))
+    """loops that stand out from what each mask expects, as often as it: the arms ``least``, donut and corner ``usual``, one of
+    these two ``strong_`` times; and that were collapsed from several pixels, or have a sum of rates of at most ``fdr_sum``."""
+    over = lambda times, *masks: [F.col("observed") > times * F.col(f"expected{m}") for m in masks]
+    arms, sides, one = over(least, "H", "V"), over(usual, "BL", "Donut"), over(strong_, "BL", "Donut")
+    rates = F.aggregate(F.array(*(F.col(f"fdr{m}") for m in ("BL", "Donut", "H", "V"))), F.lit(0.0), lambda total, rate: total + rate)
+    return arms[0] & arms[1] & sides[0] & sides[1] & (one[0] | one[1]) & ((F.col("numCollapsed") > 1) | (rates <= fdr_sum))
 
 
 def _cells(df: DataFrame, x: str, y: str, size: int, spread: bool) -> DataFrame:

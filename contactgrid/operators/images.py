@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from contactgrid.functions.scalars import poisson_z
+from contactgrid.functions.scalars import poisson_upper, poisson_z
 from contactgrid.tables import written
 
 
@@ -127,14 +127,6 @@ def loop_images(loops: DataFrame, cells: DataFrame, bin_size: int, radius: int)
     return at.join(c, ["chr", "bin_x", "bin_y"], "left").select("id", "i", "j", F.coalesce("counts", F.lit(0.0)).alias("value"))
 
 
-def poisson_upper(observed: Column, mean: Column) -> Column:
-    """P(X >= observed) of a Poisson variable, by its terms one after the other."""
-    start = F.struct(F.exp(-mean).alias("term"), F.lit(0.0).alias("below"))
-    step = lambda a, k: F.struct((a["term"] * mean / (k + 1)).alias("term"), (a["below"] + a["term"]).alias("below"))
-    below = F.aggregate(F.sequence(F.lit(0), F.greatest(observed.cast("int") - 1, F.lit(0))), start, step, lambda a: a["below"])
-    return F.when(observed <= 0, F.lit(1.0)).otherwise(F.greatest(1 - below, F.lit(0.0)))
-
-
 def localize(loops: DataFrame, cells: DataFrame, bin_size: int, radius: int = 25, window: int = 1, sigma: int = 3, most_p: float = 0.1, n: int = 1) -> DataFrame:
     """The fine peaks inside coarse loops: id, rank, start1, start2, observed, expected, z, p_value.
 

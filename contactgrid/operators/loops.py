@@ -3,23 +3,23 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator, Sequence
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from contactgrid.functions.scalars import poisson_tail
-from contactgrid.operators import features
+from contactgrid.functions.scalars import poisson_upper
+from contactgrid.operators import expected, features, norm
 from contactgrid.tables import written
 
 MASKS = ("BL", "Donut", "H", "V")
 #: Peak width, window and clustering radius by bin size.
 SETTINGS = {5_000: (4, 7, 20_000), 10_000: (2, 5, 20_000), 25_000: (1, 3, 50_000)}
 LAMBDA_BINS, MARGIN = 40, 20
-#: Enriched pixels of a chromosome up to which they are joined to centroids in one task.
-LOCAL_PIXELS = 100_000
 
 
 def _sums(m: np.ndarray) -> np.ndarray:
@@ -67,33 +67,49 @@ def mask_expected(c: np.ndarray, d: np.ndarray, i: np.ndarray, j: np.ndarray, ro
         return {k: np.where(b > 0, a / b, np.nan) for k, (a, b) in sums.items()}
 
 
-PIXEL = "chr int, bin_x int, bin_y int, observed double, " + ", ".join(f"expected{m} double, bin{m} int" for m in MASKS)
+PIXEL = "bin_size int, chr int, bin_x int, bin_y int, observed double, " + ", ".join(f"expected{m} double, bin{m} int" for m in MASKS)
+PIXEL_COLUMNS = [c.split()[0] for c in PIXEL.split(", ")]
+Settings = dict[int, tuple[int, int, int]]
+
+
+def _sized(df: DataFrame, bin_size: int | None) -> DataFrame:
+    return df if "bin_size" in df.columns else df.withColumn("bin_size", F.lit(bin_size))
+
 
+def _settings(bin_size: int | None, settings: tuple[int, int, int] | Settings | None) -> Settings:
+    if isinstance(settings, dict):
+        return settings
+    return SETTINGS if settings is None else {bin_size: settings}
 
-def pixels(cells: DataFrame, vector: DataFrame, density: DataFrame, bin_size: int, core: int = 256, settings: tuple[int, int, int] | None = None) -> DataFrame:
+
+def pixels(cells: DataFrame, vector: DataFrame, density: DataFrame, bin_size: int | None = None, core: int = 256, settings: tuple[int, int, int] | Settings | None = None) -> DataFrame:
     """C01k: occupied cells off the diagonal with their expected raw counts under the four masks, by tiles with margins.
 
-    Each cell goes to the tiles whose core or margin holds it, at most four; a tile is a bounded dense square, one pandas group,
-    so no chromosome is in one task. Its norm and expected values come by equi-joins.
+    Each cell goes to the tiles whose core or margin holds it, at most four; a tile is a bounded dense square, one row of a pandas batch,
+    so no chromosome is in one task. Its norm and expected values come by equi-joins. Cells, vectors and expected values of several resolutions, each row with its
+    bin_size, take one plan; those without that column are of ``bin_size``. A pixel of which a mask expects nothing, or can't tell, is left out.
     """
-    p, w, _ = settings or SETTINGS[bin_size]
-    intra = cells.where("chr1 = chr2").select(F.col("chr1").alias("chr"), "bin_x", "bin_y", "counts")
-    vx, vy = vector.select("chr", F.col("bin").alias("bin_x"), F.col("value").alias("nx")), vector.select("chr", F.col("bin").alias("bin_y"), F.col("value").alias("ny"))
-    c = intra.join(vx, ["chr", "bin_x"]).join(vy, ["chr", "bin_y"]).where("nx > 0 and ny > 0")
-    both = c.unionByName(c.where("bin_x <> bin_y").select("chr", F.col("bin_y").alias("bin_x"), F.col("bin_x").alias("bin_y"), "counts", F.col("ny").alias("nx"), F.col("nx").alias("ny")))
+    known = {size: (p, w) for size, (p, w, _) in _settings(bin_size, settings).items()}
+    cells, vector, density = _sized(cells, bin_size), _sized(vector, bin_size), _sized(density, bin_size)
+    intra = cells.where("chr1 = chr2").select("bin_size", F.col("chr1").alias("chr"), "bin_x", "bin_y", "counts")
+    vx = vector.select("bin_size", "chr", F.col("bin").alias("bin_x"), F.col("value").alias("nx"))
+    vy = vector.select("bin_size", "chr", F.col("bin").alias("bin_y"), F.col("value").alias("ny"))
+    c = intra.join(vx, ["bin_size", "chr", "bin_x"]).join(vy, ["bin_size", "chr", "bin_y"]).where("nx > 0 and ny > 0")
+    turned = c.where("bin_x <> bin_y").select("bin_size", "chr", F.col("bin_y").alias("bin_x"), F.col("bin_x").alias("bin_y"), "counts", F.col("ny").alias("nx"), F.col("nx").alias("ny"))
+    both = c.unionByName(turned)
     tiles = lambda b: F.sequence(F.floor((F.col(b) - MARGIN) / core), F.floor((F.col(b) + MARGIN) / core))
     dealt = both.withColumn("tx", F.explode(tiles("bin_x"))).withColumn("ty", F.explode(tiles("bin_y"))).where("ty >= tx and tx >= 0")
     # a tile needs the expected values of the distances of its own band alone
     spread = 2 * MARGIN + core
     bands = density.where("value is not null").withColumn("gap", F.explode(F.sequence(F.floor((F.col("dist") - spread) / core), F.floor((F.col("dist") + spread) / core))))
-    bands = bands.groupBy("gap").agg(F.collect_list("dist").alias("dists"), F.collect_list("value").alias("values"))
-    packed = dealt.groupBy("chr", "tx", "ty").agg(*(F.collect_list(x).alias(x) for x in ("bin_x", "bin_y", "counts", "nx", "ny")))
-    packed = packed.withColumn("gap", F.col("ty") - F.col("tx")).join(bands, "gap")
+    bands = bands.groupBy("bin_size", "gap").agg(F.collect_list("dist").alias("dists"), F.collect_list("value").alias("values"))
+    packed = dealt.groupBy("bin_size", "chr", "tx", "ty").agg(*(F.collect_list(x).alias(x) for x in ("bin_x", "bin_y", "counts", "nx", "ny")))
+    packed = packed.withColumn("gap", F.col("ty") - F.col("tx")).join(bands, ["bin_size", "gap"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for t in f.itertuples(index=False):
-                yield _tile(t, core, p, w)
+                yield _tile(t, core, *known[t.bin_size])
 
     return packed.mapInPandas(run, PIXEL)
 
@@ -112,111 +128,199 @@ def _tile(t, core: int, p: int, w: int) -> pd.DataFrame:
     inside = (i >= MARGIN) & (i < n - MARGIN) & (j >= MARGIN) & (j < n - MARGIN) & (j + col0 - i - row0 > p + 2)
     i, j, counts, nx, ny = (x[inside] for x in (i, j, counts, nx, ny))
     ratio = mask_expected(c, d, i, j, row0, col0, p, w)
-    out = {"chr": np.full(len(i), t.chr, np.int32), "bin_x": i + row0, "bin_y": j + col0, "observed": np.round(counts)}
+    out = {"bin_size": np.full(len(i), t.bin_size, np.int32), "chr": np.full(len(i), t.chr, np.int32), "bin_x": i + row0, "bin_y": j + col0, "observed": np.round(counts)}
+    told = np.ones(len(i), bool)
     for m in MASKS:
         e = ratio[m] * d[i, j] * nx * ny
+        told &= np.isfinite(e) & (e > 1e-9)
         with np.errstate(invalid="ignore", divide="ignore"):
             b = np.where(e > 1, np.minimum(np.floor(np.log(e) / math.log(2**0.33)), LAMBDA_BINS - 1), 0)
         out[f"expected{m}"], out[f"bin{m}"] = e, np.nan_to_num(b).astype(np.int32)
-    found = pd.DataFrame(out)
-    return found[np.isfinite(found[[f"expected{m}" for m in MASKS]]).all(axis=1)]
+    return pd.DataFrame(out)[told]
+
+
+def _long(pixels_: DataFrame, value: str) -> DataFrame:
+    """A row for each pixel and mask: bin_size, mask, bin, and the named value (of the mask, where it has one)."""
+    of = lambda m: F.col(value if value in pixels_.columns else f"{value}{m}")
+    return pixels_.select("bin_size", F.inline(F.array(*(F.struct(F.lit(m).alias("mask"), F.col(f"bin{m}").alias("bin"), of(m).alias("v")) for m in MASKS))))
 
 
-def thresholds(pixels_: DataFrame, fdr: float = 0.1, most: int = 10_000) -> DataFrame:
-    """Of each mask and lambda bin, the count above which pixels pass (threshold), with the false discovery rate by count.
+def thresholds(pixels_: DataFrame, fdr: float = 0.1) -> DataFrame:
+    """Of each mask and lambda bin, the false discovery rate of each count that it has, and ``least``, the smallest one that passes: bin_size, mask, bin, o, rate, least.
 
-    The histogram is summed in Spark; a lambda bin's counts, at most ``most`` of them, are one small group.
+    A lambda bin's pixels of a count or more, against as many as its greatest mean would give by chance. Counts are a histogram that Spark sums, with no upper end;
+    only counts that occur are told, as a pixel between two of them doesn't exist. Where none passes, least is null.
     """
-    long = pixels_.select(F.least(F.col("observed").cast("int"), F.lit(most)).alias("o"), F.inline(F.array(*(F.struct(F.lit(m).alias("mask"), F.col(f"bin{m}").alias("bin")) for m in MASKS))))
-    counts = long.groupBy("mask", "bin", "o").agg(F.count(F.lit(1)).alias("n"))
+    counts = _long(pixels_, "observed").groupBy("bin_size", "mask", "bin", F.col("v").cast("long").alias("o")).agg(F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy("bin_size", "mask", "bin")
+    seen = F.sum("n").over(group.orderBy(F.desc("o")).rowsBetween(Window.unboundedPreceding, 0))
+    told = F.sum("n").over(group) * poisson_upper(F.col("o").cast("double"), F.pow(F.lit(2.0), (F.col("bin") + 1) / 3))
+    rates = counts.withColumns({"seen": seen, "told": told})
+    passes = (F.col("o") > 0) & (F.col("told") <= fdr * F.col("seen"))
+    return rates.withColumn("least", F.min(F.when(passes, F.col("o"))).over(group)).select("bin_size", "mask", "bin", "o", (F.col("told") / F.col("seen")).alias("rate"), "least")
+
+
+def enriched(pixels_: DataFrame, rates: DataFrame) -> DataFrame:
+    """Pixels whose count passes in all four masks, with their rates. The least counts are LAMBDA_BINS rows a mask and resolution at most, and broadcast."""
+    rates = rates.where("o >= least")
+    least = rates.groupBy("bin_size", "mask", "bin").agg(F.first("least").alias("_least"))
+    out = pixels_
+    for m in MASKS:
+        mine = least.where(F.col("mask") == m).select("bin_size", F.col("bin").alias(f"bin{m}"), "_least")
+        out = out.join(F.broadcast(mine), ["bin_size", f"bin{m}"]).where(F.col("observed") >= F.col("_least")).drop("_least")
+    out = written(out.withColumn("o", F.col("observed").cast("long")), "passing")
+    for m in MASKS:
+        mine = rates.where(F.col("mask") == m).select("bin_size", F.col("bin").alias(f"bin{m}"), "o", F.col("rate").alias(f"fdr{m}"))
+        out = out.join(mine, ["bin_size", f"bin{m}", "o"])
+    return out.select(*PIXEL_COLUMNS, *(f"fdr{m}" for m in MASKS))
 
-    def solve(f: pd.DataFrame) -> pd.DataFrame:
-        top = int(f["o"].max()) + 2
-        seen = np.bincount(f["o"], weights=f["n"], minlength=top)[::-1].cumsum()[::-1]
-        told = seen[0] * np.array(poisson_tail(2 ** ((f["bin"].iloc[0] + 1) / 3), top))
-        enough = np.flatnonzero(told <= fdr * seen)
-        enough = enough[enough > 0]
-        rates = np.where(seen > 0, told / np.maximum(seen, 1), 0.0)
-        return pd.DataFrame({"mask": [f["mask"].iloc[0]], "bin": [f["bin"].iloc[0]], "threshold": [int(enough[0]) - 1 if len(enough) else most], "rates": [rates.tolist()]})
 
-    return counts.groupBy("mask", "bin").applyInPandas(solve, "mask string, bin int, threshold int, rates array<double>")
+def missing_bins(vector: DataFrame, chrom_sizes: DataFrame, bin_sizes: Sequence[int]) -> DataFrame:
+    """The bins of each chromosome and resolution that have no norm value: bin_size, chr, bin."""
+    sizes = chrom_sizes.withColumn("bin_size", F.explode(F.array(*map(F.lit, bin_sizes))))
+    bins = sizes.select("bin_size", "chr", F.explode(F.sequence(F.lit(0), F.floor(F.col("length") / F.col("bin_size")).cast("int"))).alias("bin"))
+    return bins.join(vector.where("value > 0").select("bin_size", "chr", "bin"), ["bin_size", "chr", "bin"], "left_anti")
 
 
-def enriched(pixels_: DataFrame, limits: DataFrame) -> DataFrame:
-    """Pixels above the thresholds of all four masks, with their rates. The limits are LAMBDA_BINS rows a mask at most, and broadcast."""
-    out = pixels_
-    for m in MASKS:
-        mine = limits.where(F.col("mask") == m).select(F.col("bin").alias(f"_b{m}"), F.col("threshold").alias(f"_t{m}"), F.col("rates").alias(f"_r{m}"))
-        out = out.join(F.broadcast(mine), F.col(f"bin{m}") == F.col(f"_b{m}"))
-        out = out.withColumn(f"fdr{m}", F.coalesce(F.get(f"_r{m}", F.col("observed").cast("int")), F.lit(0.0)))
-    passed = F.col("observed") > F.greatest(*(F.col(f"_t{m}") for m in MASKS))
-    return out.where(passed).drop(*(f"_{k}{m}" for m in MASKS for k in "btr"))
+def clear_of_missing(found: DataFrame, missing: DataFrame, radius: int = 5) -> DataFrame:
+    """pixels without a missing norm value within ``radius`` bins of either end."""
+    around = missing.select("bin_size", "chr", F.explode(F.sequence(F.col("bin") - radius, F.col("bin") + radius)).alias("_bin")).distinct()
+    for end in ("bin_x", "bin_y"):
+        found = found.join(around.withColumnRenamed("_bin", end), ["bin_size", "chr", end], "left_anti")
+    return found.select(*PIXEL_COLUMNS, *(f"fdr{m}" for m in MASKS))
+
 
+def _centroids(f: pd.DataFrame, base: int) -> pd.DataFrame:
+    """The strongest pixel left takes, one after the other from the strongest, those within reach of the middle of what it has; the reach grows with them.
 
-def cluster(found: DataFrame, bin_size: int, radius: int | None = None, local_pixels: int = LOCAL_PIXELS) -> DataFrame:
+    Pixels are in grid cells as wide as the first reach; those of cells that the reach comes to are lined up when it does, so no pixel looks at all others.
+    """
+    f = f.sort_values(["observed", "bin_x", "bin_y"], ascending=[False, True, True], ignore_index=True)
+    size = int(f["bin_size"].iloc[0])
+    x, y = (f[b].to_numpy("int64") * size for b in ("bin_x", "bin_y"))
+    grid = defaultdict(list)
+    for k, cell in enumerate(zip((x // base).tolist(), (y // base).tolist(), strict=True)):
+        grid[cell].append(k)
+    left, rows = np.ones(len(f), bool), []
+    for k in range(len(f)):
+        if not left[k]:
+            continue
+        members, reach, cx, cy = [k], float(base), float(x[k]), float(y[k])
+        left[k] = False
+        line, lined, last = [], set(), k
+        while True:
+            for a in range(int((cx - reach) // base), int((cx + reach) // base) + 1):
+                for b in range(int((cy - reach) // base), int((cy + reach) // base) + 1):
+                    if (a, b) not in lined and (a, b) in grid:
+                        lined.add((a, b))
+                        for q in grid[a, b]:
+                            if q > last and left[q]:
+                                heappush(line, q)
+            while line:
+                last = heappop(line)
+                if math.hypot(x[last] - cx, y[last] - cy) <= reach:
+                    break
+            else:
+                break
+            members.append(last)
+            left[last] = False
+            cx, cy = x[members].mean(), y[members].mean()
+            reach = base + round(float(np.hypot(x[members] - cx, y[members] - cy).max()))
+        rows.append((k, len(members), round(cx) + size // 2, round(cy) + size // 2, round(reach - base)))
+    at, n, c1, c2, r = (np.array(v, "int64") for v in zip(*rows, strict=True))
+    return f.iloc[at].assign(numCollapsed=n.astype("int32"), centroid1=c1, centroid2=c2, radius=r)
+
+
+def cluster(found: DataFrame, bin_size: int | None = None, radius: int | None = None, settings: Settings | None = None) -> DataFrame:
     """Pixels joined to centroids: the strongest left takes all within its growing radius, in a total order.
 
-    What comes here is only the enriched pixels, a small share. A chromosome of up to ``local_pixels`` is one group. A larger one is
-    parted into islands, runs of pixels without a wide gap between along the first axis: no centroid reaches across a gap that
-    is wider than its reach. Where one's reach is wider, its chromosome is parted anew at wider gaps.
+    What comes here is only the enriched pixels, a small share. They are parted into islands, runs of pixels of one resolution and chromosome without a wide gap
+    between along the first axis: no centroid reaches across a gap that is wider than its reach. Where one's reach is wider, its chromosome is parted anew at wider gaps.
     """
     from contactgrid.operators.lists import islands
 
-    base = radius or SETTINGS[bin_size][2]
+    known = {bin_size: radius} if radius else {s: r for s, (_, _, r) in (settings or SETTINGS).items()}
+    sizes = sorted(known)
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["observed", "bin_x", "bin_y"], ascending=[False, True, True], ignore_index=True)
-        x, y = f["bin_x"].to_numpy() * bin_size, f["bin_y"].to_numpy() * bin_size
-        left, rows = np.ones(len(f), bool), []
-        for k in range(len(f)):
-            if not left[k]:
-                continue
-            members, reach = [k], float(base)
-            left[k] = False
-            cx, cy = float(x[k]), float(y[k])
-            for q in np.flatnonzero(left):
-                if math.hypot(x[q] - cx, y[q] - cy) <= reach:
-                    members.append(q)
-                    left[q] = False
-                    cx, cy = x[members].mean(), y[members].mean()
-                    reach = base + round(float(np.hypot(x[members] - cx, y[members] - cy).max()))
-            rows.append((k, len(members), round(cx) + bin_size // 2, round(cy) + bin_size // 2, round(reach - base)))
-        at, n, c1, c2, r = (np.array(v) for v in zip(*rows, strict=True)) if rows else (np.zeros(0, int),) * 5
-        return f.iloc[at].assign(numCollapsed=n.astype("int32"), centroid1=c1.astype("int64"), centroid2=c2.astype("int64"), radius=r.astype("int64"))
+        f = f.drop(columns="island")
+        return _centroids(f, known[int(f["bin_size"].iloc[0])])
 
     schema = f"{PIXEL}, " + ", ".join(f"fdr{m} double" for m in MASKS) + ", numCollapsed int, centroid1 bigint, centroid2 bigint, radius bigint"
     columns = [*PIXEL_COLUMNS, *(f"fdr{m}" for m in MASKS)]
-    found = written(found.select(*columns), "enriched")
-    large = written(found.groupBy("chr").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > local_pixels).select("chr"), "large-chromosomes")
-    out = found.join(large, "chr", "left_anti").select(*columns).groupBy("chr").applyInPandas(run, schema)
-    place = F.col("bin_x").cast("long") * bin_size
-    gap = 4 * base
-    while large.limit(1).count():
-        left = found.join(large, "chr", "left_semi").select(F.xxhash64("chr", "bin_x", "bin_y").alias("id"), "*", place.alias("x1"), place.alias("x2"))
-        parts = islands(written(left, "pixels-left"), gap).select("island", *columns)
-        clusters = written(parts.groupBy("chr", "island").applyInPandas(lambda f: run(f.drop(columns="island")), schema), "clusters")
-        large = written(clusters.where(F.col("radius") + base > gap).select("chr").distinct(), "large-chromosomes")
-        out = out.unionByName(clusters.join(large, "chr", "left_anti").select(*out.columns))
+    of = lambda values: F.element_at(F.create_map(*(F.lit(v) for pair in zip(sizes, values, strict=True) for v in pair)), F.col("bin_size"))
+    base = of([known[s] for s in sizes])
+    # islands are told apart by a chromosome's number: each resolution's chromosomes get their own
+    place = {"id": F.xxhash64("bin_size", "chr", "bin_x", "bin_y"), "_chr": F.col("chr"), "chr": F.col("chr") * len(sizes) + of(list(range(len(sizes))))}
+    start = F.col("bin_x").cast("long") * F.col("bin_size")
+    left, gap, out = written(_sized(found, bin_size).select(*columns), "enriched"), 4 * max(known.values()), None
+    while True:
+        parts = islands(left.withColumns({**place, "x1": start, "x2": start}), gap).withColumn("chr", F.col("_chr")).select("island", *columns)
+        clusters = written(parts.groupBy("bin_size", "chr", "island").applyInPandas(run, schema), "clusters")
+        wide = written(clusters.where(F.col("radius") + base > gap).select("bin_size", "chr").distinct(), "wide-chromosomes")
+        done = clusters.join(wide, ["bin_size", "chr"], "left_anti").select(*(c.split()[0] for c in schema.split(", ")))
+        out = done if out is None else out.unionByName(done)
+        if not wide.limit(1).count():
+            return out
+        left = written(left.join(wide, ["bin_size", "chr"], "left_semi").select(*columns), "enriched")
         gap *= 4
-    return out
 
 
-PIXEL_COLUMNS = [c.split()[0] for c in PIXEL.split(", ")]
+def _as_loops(clusters: DataFrame) -> DataFrame:
+    start = lambda b: F.col(b).cast("long") * F.col("bin_size")
+    ends = {"start1": start("bin_x"), "end1": start("bin_x") + F.col("bin_size"), "start2": start("bin_y"), "end2": start("bin_y") + F.col("bin_size")}
+    return clusters.withColumns({**ends, "id": F.xxhash64("bin_size", "chr", "bin_x", "bin_y")})
 
 
-def call_loops(cells: DataFrame, vector: DataFrame, density: DataFrame, bin_size: int, settings: tuple[int, int, int] | None = None) -> DataFrame:
-    """C01 at one resolution: loops as features with their scores."""
+def call_loops(
+    cells: DataFrame, vector: DataFrame, density: DataFrame, bin_size: int | None = None, settings: tuple[int, int, int] | Settings | None = None, missing: DataFrame | None = None
+) -> DataFrame:
+    """Loops as features with their scores, at one resolution or, given a bin_size by row, at several in one plan; pixels near ``missing`` bins go."""
     p = written(pixels(written(cells, "cells"), written(vector, "vector"), written(density, "density"), bin_size, settings=settings), "pixels")
-    found = cluster(enriched(p, thresholds(p)), bin_size, (settings or SETTINGS[bin_size])[2])
-    loops = found.where(features.fdr_accepts())
-    start = lambda b: (F.col(b).cast("long") * bin_size)
-    return loops.withColumns({"start1": start("bin_x"), "end1": start("bin_x") + bin_size, "start2": start("bin_y"), "end2": start("bin_y") + bin_size, "id": F.xxhash64("chr", "bin_x", "bin_y")})
+    found = enriched(p, written(thresholds(p), "rates"))
+    if missing is not None:
+        found = clear_of_missing(found, missing)
+    return _as_loops(cluster(found, settings=_settings(bin_size, settings))).where(features.fdr_accepts())
+
+
+def maps_by_size(cells: DataFrame, chrom_sizes: DataFrame, bin_sizes: Sequence[int], make: Callable[[DataFrame], DataFrame] = norm.vc_sqrt) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of a map's cells at several resolutions, each row with its bin_size: norm vectors, expected values by distance, and bins without a norm.
+
+    One join a step makes the vectors of all resolutions: each one's chromosomes get numbers of their own.
+    """
+    n, sizes = len(bin_sizes), sorted(bin_sizes)
+    number = F.array_position(F.array(*map(F.lit, sizes)), F.col("bin_size")).cast("int") - 1
+    own = cells.withColumns({c: F.col(c) * n + number for c in ("chr1", "chr2")})
+    back = F.element_at(F.array(*map(F.lit, sizes)), F.pmod(F.col("chr"), F.lit(n)) + 1)
+    vector = written(make(own.drop("bin_size")).select(back.alias("bin_size"), F.floor(F.col("chr") / n).cast("int").alias("chr"), "bin", "value"), "vectors")
+    density = None
+    for size in sizes:
+        of = lambda df, size=size: df.where(F.col("bin_size") == size).drop("bin_size")
+        d = expected.expected(norm.normalize(of(cells), of(vector)), chrom_sizes, size).withColumn("bin_size", F.lit(size))
+        density = d if density is None else density.unionByName(d)
+    return vector, written(density, "densities"), missing_bins(vector, chrom_sizes, sizes)
+
+
+def call_loops_at(cells: DataFrame, chrom_sizes: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
+    """C01, C01m: loops of all resolutions of ``settings`` in one plan, merged: cells have a bin_size by row, as bin_contacts() gives them.
+
+    Cells, vectors, expected values and tiles' pixels of all resolutions are each one stored table; pixels near bins without a norm go
+    before they are joined to centroids; resolutions that merge_resolutions() has no rule for are kept as they are.
+    """
+    sizes = sorted(settings)
+    cells = written(cells.where(F.col("bin_size").isin(sizes)).select("bin_size", "chr1", "chr2", "bin_x", "bin_y", "counts"), "cells")
+    loops = written(call_loops(cells, *(maps := maps_by_size(cells, chrom_sizes, sizes))[:2], settings=settings, missing=maps[2]), "loops-by-size")
+    of = {s: loops.where(F.col("bin_size") == s) for s in sizes}
+    if not {5_000, 10_000} & of.keys():
+        return loops.dropDuplicates(["chr", *features.ENDS])
+    first = [of[s] for s in (5_000, 10_000) if s in of]
+    return merge_resolutions(*first, coarsest=of.get(25_000))
 
 
-def merge_resolutions(fine: DataFrame, coarse: DataFrame, coarsest: DataFrame | None = None) -> DataFrame:
+def merge_resolutions(fine: DataFrame, coarse: DataFrame | None = None, coarsest: DataFrame | None = None) -> DataFrame:
     """C01m: fine loops that the coarse ones confirm within 20 kb, coarse ones that no fine one confirms, fine ones near the diagonal or of
     over 100 counts; then coarsest ones farther than 50 kb from all these."""
-    parts = [
+    parts = [fine] if coarse is None else [
         features.reproducible(coarse, fine, 20_000), coarse.join(features.reproducible(fine, coarse, 20_000).select("id"), "id", "left_anti"),
         features.near_diagonal(fine, 110_000), features.strong(fine, 100),
     ]
@@ -251,7 +355,7 @@ def score_loops(loops: DataFrame, cells: DataFrame, vector: DataFrame, density:
     empty = pixel.join(cells, ["chr1", "chr2", "bin_x", "bin_y"], "left_anti").withColumn("counts", F.lit(0.0))
     p = pixels(cells.select(*empty.columns).unionByName(empty), vector, density, bin_size, settings=settings)
     told = p.select("chr", "bin_x", "bin_y", "observed", *(f"expected{m}" for m in MASKS))
-    return at.drop("observed").join(told, ["chr", "bin_x", "bin_y"])
+    return at.drop("observed", *(f"expected{m}" for m in MASKS)).join(told, ["chr", "bin_x", "bin_y"])
 
 
 def not_enriched(loops: DataFrame, cells: DataFrame, vector: DataFrame, density: DataFrame, bin_size: int, limit: float = 1.3, settings: tuple[int, int, int] | None = None) -> DataFrame:
@@ -260,26 +364,6 @@ def not_enriched(loops: DataFrame, cells: DataFrame, vector: DataFrame, density:
     return loops.join(low.select("id").distinct(), "id", "left_semi")
 
 
-def poisson_p(observed: np.ndarray, mean: np.ndarray) -> np.ndarray:
-    """P(X >= observed) of Poisson variables: the regularized incomplete gamma function, by its series or its continued fraction."""
-    a, x = np.maximum(observed, 1.0), np.maximum(mean, 1e-300)
-    front = np.exp(a * np.log(x) - x - np.array([math.lgamma(v) for v in a]))
-    term = total = 1 / a
-    for k in range(1, 400):
-        term = term * x / (a + k)
-        total = total + term
-    b = x + 1 - a
-    c, d = np.full_like(x, 1e300), 1 / np.where(np.abs(b) < 1e-300, 1e-300, b)
-    h = d.copy()
-    for k in range(1, 400):
-        an, b = -k * (k - a), b + 2
-        d = 1 / np.where(np.abs(an * d + b) < 1e-300, 1e-300, an * d + b)
-        c = b + an / c
-        h = h * d * c
-    p = np.where(x < a + 1, front * total, 1 - front * h)
-    return np.where(observed <= 0, 1.0, np.clip(p, 0.0, 1.0))
-
-
 def significant(pixels_: DataFrame, fdr: float = 0.1) -> DataFrame:
     """Pixels whose Poisson p-value passes for all four masks, with the p-values (pBL, pDonut, pH, pV).
 
@@ -287,33 +371,34 @@ def significant(pixels_: DataFrame, fdr: float = 0.1) -> DataFrame:
     rank that is at most the number of pixels with it or a lower one is the limit. Ranks are counted, so that no lambda bin is sorted.
     """
 
-    def tails(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f.assign(**{f"p{m}": poisson_p(f["observed"].to_numpy(float), f[f"expected{m}"].to_numpy(float)) for m in MASKS})
-
-    kind = f"{PIXEL}, " + ", ".join(f"p{m} double" for m in MASKS)
-    p = written(pixels_.select(*PIXEL_COLUMNS).mapInPandas(tails, kind), "p-values")
-    long = p.select(F.inline(F.array(*(F.struct(F.lit(m).alias("mask"), F.col(f"bin{m}").alias("bin"), F.col(f"p{m}").alias("p")) for m in MASKS))))
-    total = long.groupBy("mask", "bin").agg(F.count(F.lit(1)).alias("m"))
-    ranks = long.where(F.col("p") < fdr).join(F.broadcast(total), ["mask", "bin"]).withColumn("rank", F.greatest(F.ceil(F.col("p") * F.col("m") / fdr), F.lit(1)))
-    counts = ranks.groupBy("mask", "bin", "rank").agg(F.count(F.lit(1)).alias("n"), F.max("p").alias("p"))
-    upto = F.sum("n").over(Window.partitionBy("mask", "bin").orderBy("rank"))
-    limits = counts.withColumn("upto", upto).where("rank <= upto").groupBy("mask", "bin").agg(F.max("p").alias("limit"))
+    p = pixels_.select(*PIXEL_COLUMNS, *(poisson_upper("observed", f"expected{m}").alias(f"p{m}") for m in MASKS))
+    p = written(p, "p-values")
+    long = _long(p, "p").withColumnRenamed("v", "p")
+    key = ["bin_size", "mask", "bin"]
+    total = long.groupBy(*key).agg(F.count(F.lit(1)).alias("m"))
+    ranks = long.where(F.col("p") < fdr).join(F.broadcast(total), key).withColumn("rank", F.greatest(F.ceil(F.col("p") * F.col("m") / fdr), F.lit(1)))
+    counts = ranks.groupBy(*key, "rank").agg(F.count(F.lit(1)).alias("n"), F.max("p").alias("p"))
+    upto = F.sum("n").over(Window.partitionBy(*key).orderBy("rank"))
+    limits = written(counts.withColumn("upto", upto).where("rank <= upto").groupBy(*key).agg(F.max("p").alias("limit")), "limits")
     for m in MASKS:
-        mine = limits.where(F.col("mask") == m).select(F.col("bin").alias(f"bin{m}"), F.col("limit").alias("_limit"))
-        p = p.join(F.broadcast(mine), f"bin{m}").where(F.col(f"p{m}") <= F.col("_limit")).drop("_limit")
-    return p
+        mine = limits.where(F.col("mask") == m).select("bin_size", F.col("bin").alias(f"bin{m}"), F.col("limit").alias("_limit"))
+        p = p.join(F.broadcast(mine), ["bin_size", f"bin{m}"]).where(F.col(f"p{m}") <= F.col("_limit")).drop("_limit")
+    return p.select(*PIXEL_COLUMNS, *(f"p{m}" for m in MASKS))
 
 
-def call_loops_by_p(cells: DataFrame, vector: DataFrame, density: DataFrame, bin_size: int, fdr: float = 0.1, max_ratio: float = 40.0, settings: tuple[int, int, int] | None = None) -> DataFrame:
-    """Loops by p-values: significant pixels joined to centroids, enriched over all masks (F22), and no more than ``max_ratio`` times what they expect."""
+def call_loops_by_p(
+    cells: DataFrame, vector: DataFrame, density: DataFrame, bin_size: int | None = None, fdr: float = 0.1, max_ratio: float = 40.0, settings: tuple[int, int, int] | Settings | None = None,
+    missing: DataFrame | None = None,
+) -> DataFrame:
+    """Loops by p-values, at one resolution or several: significant pixels clear of ``missing`` bins (F21), joined to centroids, enriched over all masks (F22), and no more than
+    ``max_ratio`` times what they expect (F23)."""
     from contactgrid.operators import lists
 
     p = written(pixels(written(cells, "cells"), written(vector, "vector"), written(density, "density"), bin_size, settings=settings), "pixels")
     found = significant(p, fdr).withColumnsRenamed({f"p{m}": f"fdr{m}" for m in MASKS})
-    start = lambda b: (F.col(b).cast("long") * bin_size)
-    loops = cluster(found, bin_size, (settings or SETTINGS[bin_size])[2]).withColumns({"start1": start("bin_x"), "end1": start("bin_x") + bin_size, "start2": start("bin_y"), "end2": start("bin_y") + bin_size})
-    return loops.where(features.fdr_accepts() & lists.clean(max_ratio)).withColumn("id", F.xxhash64("chr", "bin_x", "bin_y"))
+    if missing is not None:
+        found = clear_of_missing(found, missing)
+    return _as_loops(cluster(found, settings=_settings(bin_size, settings))).where(features.fdr_accepts() & lists.clean(max_ratio))
 
 
 def differential_loops(

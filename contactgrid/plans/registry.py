@@ -682,15 +682,6 @@ def k11(s, d):
     return query.cross_hair(_cells(s, d), 1, 7, 40)
 
 
-# Callers: tiles of numpy, so no SQL. The tests hold them against planted signals.
-@registered("c01_loops", None)
-def c01(s, d):
-    cells = written(_cells(s, d), "cells")
-    vector = written(norm.vc_sqrt(cells), "vector")
-    density = expected.expected(norm.normalize(cells, vector), _sizes(s, d), SIZE)
-    return loops.call_loops(cells, vector, density, SIZE).select("chr", "start1", "end1", "start2", "end2", "observed", *(f"expected{m}" for m in loops.MASKS), "numCollapsed")
-
-
 @registered("c05_domains", None)
 def c05(s, d):
     return domains.call_domains(_cells(s, d))

@@ -260,24 +260,7 @@ def c10(s, d):
     return images.localize(adapters.loops(s, d), _stored(s, d, 5000), 5000, radius=8)
 
 
-# Loops and domains.
-@registered("c02_loops_by_p", None)
-def c02(s, d):
-    cells = _stored(s, d)
-    vector = written(norm.vc_sqrt(cells), "vector")
-    density = expected.expected(norm.normalize(cells, vector), _sizes(s, d), SIZE)
-    return loops.call_loops_by_p(cells, vector, density, SIZE).select("chr", "start1", "end1", "start2", "end2", "observed", "numCollapsed")
-
-
-@registered("c03_loop_scores", None)
-def c03(s, d):
-    cells = _stored(s, d)
-    vector = written(norm.vc_sqrt(cells), "vector")
-    density = expected.expected(norm.normalize(cells, vector), _sizes(s, d), SIZE)
-    found = loops.score_loops(adapters.loops(s, d), cells, vector, density, SIZE)
-    return _round(found.select("id", "observed", *(f"expected{m}" for m in loops.MASKS)), *(f"expected{m}" for m in loops.MASKS))
-
-
+# Domains.
 @registered("c05r_resolution", f"{BASE}, {DENSITY} SELECT CAST(CASE WHEN value > 200 THEN 5000 ELSE 10000 END AS INTEGER) AS bin_size, value < 100 AS sparse FROM density WHERE dist = 0")
 def c05r(s, d):
     return domains.resolution_for(expected.raw_density(_cells(s, d), _sizes(s, d), SIZE), 200, 100)
