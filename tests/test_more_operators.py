@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from contactgrid.functions import scalars
 from contactgrid.operators import binning, chromosomes, domains, images, lists, loops, norm, query
 from contactgrid.sources import text
 from contactgrid.tables import discard, mark, shared_folder, written
@@ -66,10 +67,19 @@ def test_triples(spark):
     assert sorted((r.x1, r.x2, r.x3, r.n) for r in found) == sorted((*c[0], c[2]) for c in kept)
 
 
-def test_poisson_tail():
-    told = lambda o, m: 1 - sum(math.exp(-m + k * math.log(m) - math.lgamma(k + 1)) for k in range(int(o)))
-    o, m = np.array([0.0, 1, 5, 50, 30, 3]), np.array([1.0, 1, 2, 30, 100, 0.2])
-    assert loops.poisson_p(o, m) == pytest.approx([told(*x) for x in zip(o, m, strict=True)], abs=1e-9)
+def test_poisson_tails_of_any_mean():
+    def told(o, m):
+        """The sum of all terms from the count on, in exact logarithms."""
+        below = math.fsum(math.exp(-m + k * math.log(m) - math.lgamma(k + 1)) for k in range(int(o)))
+        above = math.fsum(math.exp(-m + k * math.log(m) - math.lgamma(k + 1)) for k in range(int(o), int(max(o, m) + 40 * math.sqrt(max(o, m)) + 60)))
+        return above if above < below else 1 - below
+
+    pairs = [(0, 1), (1, 1), (5, 2), (50, 30), (30, 100), (3, 0.2), (1000, 800), (800, 800), (700, 800), (10_300, 10_000), (9_900, 10_000), (1_001_000, 1_000_000), (999_000, 1_000_000)]
+    o, m = (np.array(x, float) for x in zip(*pairs, strict=True))
+    assert scalars.poisson_p(o, m) == pytest.approx([told(*x) for x in pairs], abs=1e-9)
+    assert 0 < scalars.poisson_p(np.array([1000.0]), np.array([800.0]))[0] < 1e-11
+    assert scalars.poisson_p(np.array([0.0, 3, 3, np.nan]), np.array([0.0, 0.0, np.inf, 1])).tolist()[:3] == [1, 0, 1]
+    assert scalars.poisson_tail(2000.0, 5) == [1.0] * 5  # far below the mean
 
 
 def test_loops_by_p_values_are_found_where_planted(spark):
@@ -93,19 +103,6 @@ def test_loops_by_p_values_are_found_where_planted(spark):
     assert abs(peak.start1 // size - 60) <= 1 and abs(peak.start2 // size - 110) <= 1 and peak.p_value < 0.01
 
 
-def test_centroids_by_islands_are_those_of_whole_chromosomes(spark):
-    rng = np.random.default_rng(4)
-    centres = rng.integers(0, 3000, (60, 2))
-    at = np.unique(np.concatenate([c + rng.integers(-6, 7, (20, 2)) for c in centres]), axis=0)
-    rows = pd.DataFrame({"chr": 1, "bin_x": at[:, 0], "bin_y": at[:, 1], "observed": rng.integers(1, 50, len(at)).astype(float)})
-    for m in loops.MASKS:
-        rows[f"expected{m}"], rows[f"bin{m}"], rows[f"fdr{m}"] = 1.0, 0, 0.0
-    frame = spark.createDataFrame(rows)
-    frame = frame.select(*(frame[c.split()[0]].cast(c.split()[1]) for c in (loops.PIXEL + ", " + ", ".join(f"fdr{m} double" for m in loops.MASKS)).split(", ")))
-    show = lambda df: sorted((r.bin_x, r.bin_y, r.numCollapsed, r.centroid1, r.radius) for r in df.collect())
-    assert show(loops.cluster(frame, 5000, local_pixels=10)) == show(loops.cluster(frame, 5000))
-
-
 def test_scores_of_given_domains_are_those_of_called_ones(spark):
     n = 120
     rate = np.ones((n, n)) * 2

@@ -10,6 +10,8 @@ import pytest
 from contactgrid.plans.catalog import FLAGSHIP, ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
+#: Callers need more contacts to find anything: their queries run on larger tables.
+LARGER = {"c01_loops", "c02_loops_by_p", "c03_loop_scores", "c04_differential_loops", "c05_domains"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 
@@ -29,9 +31,9 @@ def rows(frame, columns):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
-    found = QUERIES[name](spark, SF).toPandas()
+    found = QUERIES[name](spark, SF if name not in LARGER else SF.replace("0.001", "0.01")).toPandas()
     if name not in ORACLES:
-        assert list(found.columns)
+        assert len(found) and list(found.columns)
         return
     told = db.execute(ORACLES[name]).df()
     assert sorted(found.columns) == sorted(told.columns)
