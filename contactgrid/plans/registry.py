@@ -644,17 +644,47 @@ def m03d(s, d):
 _OE100 = f"{BASE}, {DENSITY}, {OE}".replace(f"// {SIZE}", "// 100000")
 
 
-@registered("m04_pearson", f"""{_OE100}, v AS (SELECT chr1 AS chr, bin_x AS row, bin_y AS col, oe AS value FROM oe WHERE oe IS NOT NULL UNION ALL SELECT chr1, bin_y, bin_x, oe FROM oe WHERE oe IS NOT NULL AND bin_x <> bin_y),
+_CORRELATED = f"""{_OE100}, v AS (SELECT chr1 AS chr, bin_x AS row, bin_y AS col, oe AS value FROM oe WHERE oe IS NOT NULL UNION ALL SELECT chr1, bin_y, bin_x, oe FROM oe WHERE oe IS NOT NULL AND bin_x <> bin_y),
  r AS (SELECT DISTINCT chr, row FROM v), dims AS (SELECT chr, unnest(range(length // 100000 + 1)) AS col FROM sizes), full_rows AS (SELECT r.chr, r.row, dims.col, coalesce(v.value, 0) AS value FROM r JOIN dims ON r.chr = dims.chr
-  LEFT JOIN v ON v.chr = r.chr AND v.row = r.row AND v.col = dims.col), centred AS (SELECT chr, row, col, value - avg(value) OVER (PARTITION BY chr, col) AS value FROM full_rows)
- SELECT a.chr, a.row, b.row AS row2, CASE WHEN a.row = b.row THEN 1 ELSE round(corr(a.value, b.value), 5) END AS r FROM centred a JOIN centred b ON a.chr = b.chr AND a.col = b.col GROUP BY a.chr, a.row, b.row""")
+  LEFT JOIN v ON v.chr = r.chr AND v.row = r.row AND v.col = dims.col), centred AS (SELECT chr, row, col, value - avg(value) OVER (PARTITION BY chr, col) AS value FROM full_rows),
+ correlated AS MATERIALIZED (SELECT a.chr, a.row, b.row AS row2, CASE WHEN a.row = b.row THEN 1 ELSE corr(a.value, b.value) END AS r FROM centred a JOIN centred b ON a.chr = b.chr AND a.col = b.col GROUP BY a.chr, a.row, b.row)"""
+
+
+def _top_vector(name: str, matrix: str, squarings: int = 14) -> str:
+    """The eigenvector of the largest eigenvalue: a matrix squared so often has columns along it alone. Tables {name}_0, ..., and {name}: chr, row, v of length 1."""
+    steps = [f"{name}_0 AS MATERIALIZED (SELECT chr, row, row2, r AS v FROM {matrix})"]
+    for k in range(squarings):
+        steps.append(f"""{name}_{k + 1} AS MATERIALIZED (SELECT chr, row, row2, v / max(abs(v)) OVER (PARTITION BY chr) AS v FROM (SELECT a.chr, a.row, b.row2, sum(a.v * b.v) AS v FROM {name}_{k} a JOIN {name}_{k} b
+ ON a.chr = b.chr AND a.row2 = b.row GROUP BY a.chr, a.row, b.row2))""")
+    last = f"{name}_{squarings}"
+    return ", ".join(steps) + f""", {name} AS MATERIALIZED (SELECT m.chr, m.row, v / sqrt(sum(v * v) OVER (PARTITION BY m.chr)) AS v FROM {last} m JOIN (SELECT chr, arg_max(row, v) AS best FROM {last} WHERE row = row2 GROUP BY chr) b
+ ON b.chr = m.chr AND m.row2 = b.best)"""
+
+
+def _signed(name: str) -> str:
+    return f"""SELECT x.chr, CAST(row AS INTEGER) AS bin, round((v - avg(v) OVER (PARTITION BY x.chr)) * s, 6) AS value FROM {name} x JOIN (SELECT chr, sign(arg_min(v, row)) AS s FROM (SELECT *, max(abs(v)) OVER (PARTITION BY chr) AS top FROM {name})
+ WHERE abs(v) >= top * (1 - 1e-9) GROUP BY chr) t ON t.chr = x.chr"""
+
+
+_FIRST = f"{_CORRELATED}, {_top_vector('first_', 'correlated')}"
+_DEFLATED = f"""{_FIRST}, length1 AS (SELECT c.chr, sum(a.v * c.r * b.v) AS size FROM correlated c JOIN first_ a ON a.chr = c.chr AND a.row = c.row JOIN first_ b ON b.chr = c.chr AND b.row = c.row2 GROUP BY c.chr),
+ deflated AS (SELECT c.chr, c.row, c.row2, c.r - size * a.v * b.v AS r FROM correlated c JOIN first_ a ON a.chr = c.chr AND a.row = c.row JOIN first_ b ON b.chr = c.chr AND b.row = c.row2 JOIN length1 l ON l.chr = c.chr), {_top_vector('second_', 'deflated')}"""
+
+
+@registered("m04_pearson", f"{_CORRELATED} SELECT chr, row, row2, round(r, 5) AS r FROM correlated")
 def m04(s, d):
-    return _round(linalg.pearson(written(_oe(s, d, 100_000), "oe"), _sizes(s, d), 100_000), "r", places=5)
+    return _round(linalg.pearson(_oe(s, d, 100_000), _sizes(s, d), 100_000), "r", places=5)
 
 
-@registered("m05_eigenvector", None)
+@registered("m05_eigenvector", f"{_FIRST} {_signed('first_')}")
 def m05(s, d):
-    return _round(linalg.eigenvector(_oe(s, d, 100_000)), "value")
+    return _round(linalg.eigenvector(_oe(s, d, 100_000), 0, _sizes(s, d), 100_000), "value")
+
+
+@registered("o07_second_eigenvector_by_rounds", f"{_DEFLATED} {_signed('second_')}")
+def o07(s, d):
+    """By block Lanczos, which larger chromosomes take."""
+    return _round(linalg.eigenvector(_oe(s, d, 100_000), 1, _sizes(s, d), 100_000, local_bins=0), "value")
 
 
 @registered("m06_compartment_difference", f"""{BASE}, {COVERAGE}, a AS (SELECT chr, bin, value - avg(value) OVER (PARTITION BY chr) AS v FROM coverage), {_EVEN},
