@@ -11,8 +11,8 @@ from contactgrid.operators import binning, domains, expected, features, images,
 from contactgrid.plans.registry import (
     _T, _TWO, BASE, COVERAGE, DENSITY, FACED, GENES, LOCI, LOOPS, PAIRS, SIDES, SIZE, SIZES, VC, _cells, _control, _genes, _pairs, _round, _sizes, _stored, _two_maps, cells_sql, finish_sql, registered,
 )
-from contactgrid.sources import binary, container, sinks, text
-from contactgrid.tables import written
+from contactgrid.sources import binary, container, container_format, sinks, text
+from contactgrid.tables import new_path, shared_folder, written
 
 # Statistics of pairs.
 _LONG = PAIRS.replace("CAST(1.0 AS DOUBLE) AS score", "CAST(1.0 AS DOUBLE) AS score, l_returnflag || l_linestatus || 'AT' AS seq1, l_linestatus || l_returnflag AS seq2")
@@ -323,6 +323,45 @@ def s17(s, d):
     return container.decode_blocks(container.encode_blocks(contacts, 8)).select("chr1", "chr2", "bin_x", "bin_y", "counts")
 
 
+def _container(s, d) -> str:
+    """A container of the cells at two resolutions, and their coverage vectors, written by tasks; its path."""
+    contacts = written(binning.bin_contacts(_pairs(s, d), [SIZE, 100_000]), "contacts")
+    fine = contacts.where(F.col("bin_size") == SIZE).drop("unit", "bin_size")
+    vectors = norm.coverage(fine).select(F.lit("VC").alias("norm"), "chr", F.lit("BP").alias("unit"), F.lit(SIZE).alias("bin_size"), "bin", "value")
+    lengths = [(str(r["chr"]), r["length"]) for r in _sizes(s, d).orderBy("chr").collect()]
+    shared_folder(s)
+    path = container_format.plain_path(new_path(s, "container"))
+    container_format.write_container(contacts, path, lengths, vectors, block_bins=8)
+    return path
+
+
+_ASKED = f"chr1 = 1 AND chr2 <> 2 AND bin_size = {SIZE} AND bin_x BETWEEN 8 AND 30 AND bin_y >= 12"
+
+
+@registered("s16_container_source", f"{BASE} SELECT chr1, chr2, bin_x, bin_y, counts FROM cells WHERE chr1 = 1 AND chr2 = 1 AND bin_x BETWEEN 8 AND 30 AND bin_y >= 12")
+def s16(s, d):
+    """A region of one resolution of a whole container that tasks have written, by the data source."""
+    found = container_format.contact_map(s, _container(s, d)).where("unit = 'BP' AND chr2 = 1").where(_ASKED)
+    return found.select("chr1", "chr2", "bin_x", "bin_y", "counts")
+
+
+@registered("s16_blocks_read", f"""{BASE} SELECT bin_x // 8 BETWEEN 1 AND 3 AND bin_y // 8 >= 1 AS is_read, count(DISTINCT (bin_x // 8, bin_y // 8)) AS blocks FROM cells WHERE chr1 = 1 AND chr2 = 1 GROUP BY 1""")
+def s16b(s, d):
+    """How many blocks of the matrix the same conditions leave to be read, and how many not."""
+    reader = container_format.contact_map(s, _container(s, d), blocks=True, bins={"bin_x": (8, 30), "bin_y": (12, None)})
+    return reader.where(f"chr1 = 1 AND chr2 = 1 AND bin_size = {SIZE}").groupBy("is_read").agg(F.count(F.lit(1)).alias("blocks"))
+
+
+@registered("k01_whole_container", f"{BASE}, {cells_sql(100_000, 'wide')} SELECT {SIZE} AS bin_size, chr1, chr2, bin_x, bin_y, counts FROM cells UNION ALL SELECT 100000, chr1, chr2, bin_x, bin_y, counts FROM wide")
+def k01(s, d):
+    return container_format.contact_map(s, _container(s, d)).select("bin_size", "chr1", "chr2", "bin_x", "bin_y", "counts")
+
+
+@registered("s19_container_vectors", f"{BASE}, {COVERAGE} SELECT chr, bin, value FROM coverage")
+def s19(s, d):
+    return container.read_vectors(s, _container(s, d), "VC").where("value is not null").select("chr", "bin", "value")
+
+
 @registered("c05s_domain_scores", None)
 def c05s(s, d):
     found = adapters.loops(s, d).select("id", "chr", F.floor(F.col("start1") / 5000).cast("int").alias("start_bin"), F.floor(F.col("end2") / 5000).cast("int").alias("end_bin"))
