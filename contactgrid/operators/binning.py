@@ -51,6 +51,14 @@ def coarsen(cells: DataFrame, factor: int) -> DataFrame:
     return cells.groupBy("chr1", "chr2", by("bin_x"), by("bin_y")).agg(F.sum("counts").alias("counts"))
 
 
+def served(levels: dict[int, DataFrame], bin_size: int) -> DataFrame:
+    """Cells of a resolution from stored ones by bin size: those of that size, or the coarsest ones whose bins divide its, summed. Only the chosen level is read."""
+    fit = [s for s in levels if bin_size % s == 0]
+    if not fit:
+        raise ValueError(f"no stored bins of {sorted(levels)} divide {bin_size}")
+    return levels[max(fit)] if max(fit) == bin_size else coarsen(levels[max(fit)], bin_size // max(fit))
+
+
 def genome_offsets(chrom_sizes: DataFrame) -> DataFrame:
     """Where each chromosome begins in thousands of bases, and its bins of each size."""
     before = Window.orderBy("chr").rowsBetween(Window.unboundedPreceding, -1)

@@ -103,6 +103,30 @@ for _name, _all in (("GW_VC", "TRUE"), ("INTER_VC", "FALSE")):
     registered(f"m03e_{_name.lower()}", _WIDE.format(all=_all, name=_name))(lambda s, d, n=_name: _round(norm.add_norms(_cells(s, d), _sizes(s, d), SIZE, (n,)), "value"))
 
 
+_SETTLING = [100_000, 50_000]
+
+
+@registered("m03f_attempts_over_resolutions", "WITH " + PAIRS + ", " + ", ".join(cells_sql(k, f"cells{k}") for k in _SETTLING) + f""", c AS (SELECT 100000 AS bin_size, * FROM cells100000 UNION ALL SELECT 50000, * FROM cells50000),
+ r AS (SELECT bin_size, chr1 AS chr, count(DISTINCT bin) AS bins FROM (SELECT bin_size, chr1, bin_x AS bin FROM c WHERE chr1 = chr2 UNION ALL SELECT bin_size, chr1, bin_y FROM c WHERE chr1 = chr2) GROUP BY ALL),
+ hub AS (SELECT s_nationkey AS n FROM supplier GROUP BY 1) SELECT bin_size, chr, bins, bins AS balanced, 1.0 AS spread FROM r UNION ALL SELECT 100000, 4, count(*) + 1, 0, NULL FROM hub""")
+def m03fa(s, d):
+    """Balanced rows, and how their sums spread, at two resolutions; chromosome 4, where suppliers' nations meet one bin alone, comes to no end and isn't tried again."""
+    hub = adapters.table(s, d, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).cast("double").alias("counts"))
+    four = [F.lit(4).alias("chr1"), F.lit(4).alias("chr2"), F.lit(0).alias("bin_x"), (F.col("s_nationkey") + 1).cast("int").alias("bin_y"), "counts"]
+    contacts = binning.bin_contacts(_pairs(s, d), _SETTLING).drop("unit")
+    for size in _SETTLING:
+        contacts = contacts.unionByName(hub.select(F.lit(size).alias("bin_size"), *four))
+    contacts = written(contacts, "contacts")
+    vectors = written(norm.add_norms_at(contacts, _sizes(s, d), ("KR",)).drop("norm"), "vectors")
+    key = ["bin_size", "chr"]
+    x, y = (vectors.select("bin_size", F.col("chr").alias("chr1"), F.col("bin").alias(f"bin_{c}"), F.col("value").alias(f"v{c}")) for c in "xy")
+    normed = contacts.where("chr1 = chr2").join(x, ["bin_size", "chr1", "bin_x"]).join(y, ["bin_size", "chr1", "bin_y"]).withColumn("counts", F.col("counts") / F.col("vx") / F.col("vy"))
+    sides = F.when(F.col("bin_x") == F.col("bin_y"), F.array("bin_x")).otherwise(F.array("bin_x", "bin_y"))
+    sums = normed.select("bin_size", F.col("chr1").alias("chr"), F.explode(sides).alias("bin"), "counts").groupBy(*key, "bin").agg(F.sum("counts").alias("sum"))
+    spread = sums.groupBy(*key).agg(F.round(F.max("sum") / F.min("sum"), 3).alias("spread"))
+    return vectors.groupBy(*key).agg(F.count(F.lit(1)).alias("bins"), F.count("value").alias("balanced")).join(spread, key, "left")
+
+
 @registered("m03g_text_matrix", f"WITH {PAIRS}, {cells_sql()} SELECT DISTINCT 1.0 AS spread FROM cells WHERE chr1 = 1 AND chr2 = 1")
 def m03g(s, d):
     cells = _stored(s, d).where("chr1 = 1 and chr2 = 1")
@@ -362,6 +386,32 @@ def s19(s, d):
     return container.read_vectors(s, _container(s, d), "VC").where("value is not null").select("chr", "bin", "value")
 
 
+@registered("a05_served_resolution", f"WITH {PAIRS}, {cells_sql(150_000)} SELECT chr1, chr2, bin_x, bin_y, counts FROM cells")
+def a05s(s, d):
+    """Bins of 150 kb, which aren't stored, from the coarsest of three stored levels that divides them (50 kb); the others aren't read."""
+    levels = {k: written(_cells(s, d, k), f"level-{k}") for k in (10_000, 50_000, 100_000)}
+    return binning.served(levels, 150_000)
+
+
+@registered("s14_record_files", f"WITH {PAIRS} SELECT chr1, pos1, chr2, pos2, score FROM pairs")
+def s14f(s, d):
+    """Pairs as files of records, read by ranges of 1,000 records."""
+    path = container_format.plain_path(new_path(s, "records"))
+    binary.write_records(_pairs(s, d), path, binary.SHORT, ".bn")
+    return binary.read_binary_pairs(s, f"{path}/*.bn", 1_000).select("chr1", "pos1", "chr2", "pos2", "score")
+
+
+@registered("s32_vectors_from_file", f"{BASE}, {COVERAGE} SELECT CAST(chr AS VARCHAR) AS chr, CAST(row_number() OVER (PARTITION BY chr ORDER BY bin) - 1 AS INTEGER) AS bin, round(value, 6) AS value FROM coverage")
+def s32f(s, d):
+    """Coverage vectors as sections of one text file, read in Spark's own splits of it."""
+    v = norm.coverage(_cells(s, d))
+    head = v.groupBy("chr").agg(F.lit(-1).alias("bin"), F.concat(F.lit("vector VC "), F.first("chr").cast("string"), F.lit(f" {SIZE} BP")).alias("value"))
+    path = new_path(s, "vectors")
+    head.unionByName(v.select("chr", "bin", F.col("value").cast("string").alias("value"))).coalesce(1).sortWithinPartitions("chr", "bin").select("value").write.text(path)
+    found = text.parse_norm_vectors(text.numbered_lines(s, path))
+    return _round(found.select("chr", "bin", "value"), "value")
+
+
 @registered("c05s_domain_scores", None)
 def c05s(s, d):
     found = adapters.loops(s, d).select("id", "chr", F.floor(F.col("start1") / 5000).cast("int").alias("start_bin"), F.floor(F.col("end2") / 5000).cast("int").alias("end_bin"))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from contactgrid.sources.container import _file
 
 #: The records of the two formats.
 LONG = np.dtype([("strand1", "?"), ("chr1", "<i4"), ("pos1", "<i4"), ("frag1", "<i4"), ("strand2", "?"), ("chr2", "<i4"), ("pos2", "<i4"), ("frag2", "<i4")])
@@ -44,7 +50,53 @@ def encode_records(pairs: DataFrame, kind: np.dtype) -> DataFrame:
     return pairs.select(*kind.names).mapInPandas(run, "content binary")
 
 
-def read_binary_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """Files of .bin or .bn records. A file is one row here; keep files to sizes that a task can hold."""
-    kind = SHORT if path.rstrip("*").endswith(".bn") else LONG
-    return decode_records(spark.read.format("binaryFile").load(path), kind)
+#: Records that one task reads at a time.
+SPLIT_RECORDS = 1 << 20
+
+
+def record_splits(spark: SparkSession, path: str, width: int, records: int = SPLIT_RECORDS) -> DataFrame:
+    """The byte ranges of files of fixed-length records, at multiples of their length: path, at, size. A rest that isn't a whole record goes."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.floor(F.col("length") / width).alias("n")).where("n > 0")  # contents aren't read
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(records).cast("long"))).alias("first")
+    ranges = files.select("path", "n", first)
+    return ranges.select("path", (F.col("first") * width).alias("at"), (F.least(F.lit(records), F.col("n") - F.col("first")) * width).alias("size"))
+
+
+def read_records(spark: SparkSession, path: str, kind: np.dtype, records: int = SPLIT_RECORDS) -> DataFrame:
+    """Records of one file or many, dealt to tasks by ranges: a file of any size is many tasks'. Paths are of file systems that pyarrow knows."""
+    splits = record_splits(spark, path, kind.itemsize, records)
+    n = max(1, splits.count())
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for r in f.itertuples(index=False):
+                # Spark shows local files with one slash
+                with _file(re.sub("^file:/+", "file:///", r.path)) as source:
+                    yield pd.DataFrame(np.frombuffer(source.read_at(int(r.size), int(r.at)), kind))
+
+    return splits.repartition(n, "path", "at").mapInPandas(run, _schema(kind))
+
+
+def read_binary_pairs(spark: SparkSession, path: str, records: int = SPLIT_RECORDS) -> DataFrame:
+    """Files of .bin or .bn records."""
+    return read_records(spark, path, SHORT if path.rstrip("*/").endswith(".bn") else LONG, records)
+
+
+def write_records(pairs: DataFrame, path: str, kind: np.dtype, ending: str) -> None:
+    """A folder of files of records, one a task, on a file system that driver and executors share; a task that is run again writes its file anew."""
+    os.makedirs(path, exist_ok=True)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name = f"{path}/part-{TaskContext.get().partitionId():06d}"
+        n = 0
+        with open(f"{name}.making", "wb") as f:
+            for frame in frames:
+                out = np.zeros(len(frame), kind)
+                for c in kind.names:
+                    out[c] = frame[c]
+                f.write(out.tobytes())
+                n += len(frame)
+        os.replace(f"{name}.making", name + ending)
+        yield pd.DataFrame({"n": [n]})
+
+    pairs.select(*kind.names).mapInPandas(run, "n long").agg(F.sum("n")).collect()

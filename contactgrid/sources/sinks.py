@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The attribute columns of exported loops and domains, by layout.
@@ -51,8 +51,8 @@ def write_bed(intervals: DataFrame, path: str) -> None:
 
 def wig_lines(vector: DataFrame, bin_size: int) -> DataFrame:
     """Fixed-step lines of chr, line (its order) and value: a header for each run of consecutive bins, then its values."""
-    by = Window.partitionBy("chr").orderBy("bin")
-    v = vector.withColumn("first", F.coalesce(F.col("bin") - F.lag("bin").over(by) != 1, F.lit(True)))
+    before = vector.select("chr", (F.col("bin") + 1).alias("bin"), F.lit(False).alias("first"))
+    v = vector.join(before, ["chr", "bin"], "left").withColumn("first", F.coalesce("first", F.lit(True)))
     head = F.concat(F.lit("fixedStep chrom="), F.col("chr").cast("string"), F.lit(" start="), (F.col("bin") * bin_size + 1).cast("string"), F.lit(f" step={bin_size} span={bin_size}"))
     value = F.col("value").cast("string")
     lines = F.when(F.col("first"), F.array(F.struct((2 * F.col("bin")).alias("line"), head.alias("value")), F.struct((2 * F.col("bin") + 1).alias("line"), value.alias("value"))))

@@ -175,31 +175,62 @@ def parse_bedgraph(lines: DataFrame) -> DataFrame:
     return rows.select(t[0].alias("chr"), t[1].cast("long").alias("x1"), t[2].cast("long").alias("x2"), t[3].cast("double").alias("score"))
 
 
+#: Lines that a stretch of a file holds, where they are numbered through.
+STRETCH_LINES = 1 << 20
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files as Spark splits them: file, stretch (the byte at which the split begins), line (rising within it), value."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("stretch"))
+    return lines.select("file", "stretch", F.monotonically_increasing_id().alias("line"), "value")
+
+
+def under_heads(lines: DataFrame, is_head: Column, is_data: Column) -> DataFrame:
+    """The data lines, each with the last head line before it in its file (head) and its place under it, from 0. Lines before the first head go.
+
+    A file is worked on in stretches: those of numbered_lines(), or else of STRETCH_LINES lines. Each stretch tells its last head and how many data lines it has, one row, and gets
+    from those before it what it begins with; so neither a file nor a section is one task's.
+    """
+    if "stretch" not in lines.columns:
+        lines = lines.withColumn("stretch", F.floor(F.col("line") / STRETCH_LINES))
+    rows = lines.select("file", "stretch", "line", "value", is_head.alias("is_head"), is_data.alias("is_data")).where("is_head or is_data")
+    inside = Window.partitionBy("file", "stretch").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.sum(F.col("is_data").cast("long")).over(inside)
+    rows = rows.withColumn("seen", seen).withColumn("own", F.last(F.when(F.col("is_head"), F.struct(F.col("value").alias("head"), "seen")), True).over(inside))
+    told = rows.groupBy("file", "stretch").agg(F.max_by("own", "line").alias("last"), F.sum(F.col("is_data").cast("long")).alias("n"))
+    before = Window.partitionBy("file").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum("n").over(before), F.lit(0))
+    told = told.withColumn("at", at).withColumn("last", F.when(F.col("last").isNotNull(), F.struct(F.col("last.head").alias("head"), (F.col("at") + F.col("last.seen")).alias("seen"))))
+    carried = told.select("file", "stretch", "at", F.last("last", True).over(before).alias("carried"))
+    found = rows.where("is_data").join(carried, ["file", "stretch"])
+    mine = F.col("own").isNotNull()
+    head = F.when(mine, F.col("own.head")).otherwise(F.col("carried.head"))
+    place = F.col("at") + F.col("seen") - 1 - F.when(mine, F.col("at") + F.col("own.seen")).otherwise(F.col("carried.seen"))
+    return found.select("file", head.alias("head"), place.alias("place"), "value").where("head is not null")
+
+
 def parse_wig(lines: DataFrame) -> DataFrame:
-    """Chr, x1, x2 (from 0, the end not included), score of fixed and variable steps. lines: file, line (its number) and value.
+    """Chr, x1, x2 (from 0, the end not included), score of fixed and variable steps. lines: file, line (its number), value, or numbered_lines().
 
     A line belongs to the last declaration before it in its file. Values in fixed steps follow each other; nan is null.
     """
-    by = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     declares = F.col("value").rlike("^(fixed|variable)Step")
-    rows = lines.withColumn("head", F.last(F.when(declares, F.struct("line", "value")), True).over(by)).where(~declares & ~F.col("value").rlike("^(track|browser|#)") & F.col("head").isNotNull())
-    named = lambda key, default: F.coalesce(F.regexp_extract("head.value", rf"\b{key}=(\S+)", 1).try_cast("long"), F.lit(default))
-    fixed = F.col("head.value").startswith("fixedStep")
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("file", "head").orderBy("line")) - 1)
+    rows = under_heads(lines, declares, ~declares & ~F.col("value").rlike("^(track|browser|#)") & (F.trim("value") != ""))
+    named = lambda key, default: F.coalesce(F.regexp_extract("head", rf"\b{key}=(\S+)", 1).try_cast("long"), F.lit(default))
+    fixed = F.col("head").startswith("fixedStep")
     t = F.split(F.trim("value"), r"\s+")
     start = F.when(fixed, named("start", 1) - 1 + F.col("place") * named("step", 1)).otherwise(F.get(t, F.lit(0)).try_cast("long") - 1)
     score = F.when(fixed, F.get(t, F.lit(0))).otherwise(F.get(t, F.lit(1))).try_cast("double")
-    return rows.select(F.regexp_extract("head.value", r"\bchrom=(\S+)", 1).alias("chr"), start.alias("x1"), (start + named("span", 1)).alias("x2"), F.when(~F.isnan(score), score).alias("score"))
+    return rows.select(F.regexp_extract("head", r"\bchrom=(\S+)", 1).alias("chr"), start.alias("x1"), (start + named("span", 1)).alias("x2"), F.when(~F.isnan(score), score).alias("score"))
 
 
 def parse_norm_vectors(lines: DataFrame) -> DataFrame:
     """Norm, chr, bin_size, unit, bin and value from sections under 'vector TYPE CHR RES UNIT' lines.
 
-    lines: file, line (its number) and value. nan and . are null. A section is the lines to the next header of its file.
+    lines: file, line (its number), value, or numbered_lines(). nan and . are null. A section is the lines to the next header of its file.
     """
-    by = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.when(F.col("value").startswith("vector"), F.struct("line", "value"))
-    rows = lines.withColumn("head", F.last(head, True).over(by)).where(~F.col("value").startswith("vector"))
-    t = F.split(F.col("head.value"), r"\s+")
+    head = F.col("value").startswith("vector")
+    rows = under_heads(lines, head, ~head)
+    t = F.split("head", r"\s+")
     value = F.when(~F.lower(F.trim("value")).isin("nan", "."), F.trim("value").try_cast("double"))
-    return rows.where("head is not null").select(t[1].alias("norm"), t[2].alias("chr"), t[3].cast("int").alias("bin_size"), t[4].alias("unit"), (F.col("line") - F.col("head.line") - 1).cast("int").alias("bin"), value.alias("value"))
+    return rows.select(t[1].alias("norm"), t[2].alias("chr"), t[3].cast("int").alias("bin_size"), t[4].alias("unit"), F.col("place").cast("int").alias("bin"), value.alias("value"))
