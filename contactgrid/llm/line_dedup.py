@@ -15,7 +15,7 @@ def _bare(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc"), F.hash("text").alias("twin"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc"), F.xxhash64("text").alias("twin"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
 
 
 def _windows(docs: DataFrame, n: int) -> DataFrame:
