@@ -11,7 +11,7 @@ from contactgrid.operators import binning, domains, expected, features, images,
 from contactgrid.plans.registry import (
     _T, _TWO, BASE, COVERAGE, DENSITY, FACED, GENES, LOCI, LOOPS, PAIRS, SIDES, SIZE, SIZES, VC, _cells, _control, _genes, _pairs, _round, _sizes, _stored, _two_maps, cells_sql, finish_sql, registered,
 )
-from contactgrid.sources import binary, container, container_format, sinks, text
+from contactgrid.sources import bigwig, binary, container, container_format, sinks, text
 from contactgrid.tables import new_path, shared_folder, written
 
 # Statistics of pairs.
@@ -386,6 +386,36 @@ def s19(s, d):
     return container.read_vectors(s, _container(s, d), "VC").where("value is not null").select("chr", "bin", "value")
 
 
+def _track(s, d) -> str:
+    """The coverage of bins of 5 kb as an indexed track file with two levels of summaries; its path."""
+    v = norm.coverage(_stored(s, d, 5000))
+    values = v.select(F.concat(F.lit("chr"), "chr").alias("chr"), (F.col("bin") * F.lit(5000).cast("long")).alias("x1"), ((F.col("bin") + 1) * F.lit(5000).cast("long")).alias("x2"), F.col("value").alias("score"))
+    lengths = [(f"chr{r['chr']}", r["length"]) for r in _sizes(s, d).collect()]
+    path = container_format.plain_path(new_path(s, "track"))
+    bigwig.write_track(values, path, lengths, [20_000, 100_000])
+    return path
+
+
+_COVERED5 = f"{BASE}, {COVERAGE}, track AS (SELECT 'chr' || chr AS chr, bin * 5000 AS x1, (bin + 1) * 5000 AS x2, value FROM coverage)".replace(f"// {SIZE}", "// 5000")
+
+
+@registered("s30_track_range", f"{_COVERED5} SELECT chr, x1, x2, value AS score FROM track WHERE chr = 'chr2' AND x2 > 60000 AND x1 < 400000")
+def s30(s, d):
+    return bigwig.track(s, _track(s, d)).where("chr = 'chr2' and x2 > 60000 and x1 < 400000")
+
+
+@registered("s30_track_summaries", f"""{_COVERED5} SELECT chr, CAST(x1 // 100000 AS BIGINT) AS w, CAST(sum(x2 - x1) AS BIGINT) AS n, min(value) AS low, max(value) AS high, round(sum(value * (x2 - x1)) / sum(x2 - x1), 3) AS mean FROM track GROUP BY ALL""")
+def s30s(s, d):
+    found = bigwig.track(s, _track(s, d), zoom=2)
+    return found.select("chr", F.floor(F.col("x1") / 100_000).alias("w"), "n", "low", "high", F.round(F.col("total") / F.col("n"), 3).alias("mean"))
+
+
+@registered("a30_track_windows", f"""{_COVERED5}, w AS (SELECT chr, (x1 + x2) // 2 // 40000 AS w, avg(value) AS mean, max(value) AS high FROM track GROUP BY ALL), l AS (SELECT chr, unnest(range(max(w) + 1)) AS w FROM w GROUP BY chr)
+ SELECT l.chr, l.w * 40000 AS x1, (l.w + 1) * 40000 AS x2, round(coalesce(mean, 0), 6) AS mean, coalesce(high, 0) AS high FROM l LEFT JOIN w ON w.chr = l.chr AND w.w = l.w""")
+def a30w(s, d):
+    return _round(bigwig.windows(bigwig.track(s, _track(s, d)), 40_000), "mean")
+
+
 @registered("a05_served_resolution", f"WITH {PAIRS}, {cells_sql(150_000)} SELECT chr1, chr2, bin_x, bin_y, counts FROM cells")
 def a05s(s, d):
     """Bins of 150 kb, which aren't stored, from the coarsest of three stored levels that divides them (50 kb); the others aren't read."""
