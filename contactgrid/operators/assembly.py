@@ -130,3 +130,51 @@ def aggregates(resolved: DataFrame) -> DataFrame:
     same = (F.lag("inverted").over(by) == F.col("inverted")) & (F.col("id") - F.lag("id").over(by) == step)
     run = F.sum((~F.coalesce(same, F.lit(False))).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))
     return resolved.withColumn("run", run).groupBy("super_id", "run").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.min("new_start").alias("new_start"), F.sum("length").alias("length"), F.first("inverted").alias("inverted"))
+
+
+def assembly_rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A file's lines (line, value) as rows: scaffolds (id, name, length), and the layout (super_id, the line's number; pos from 0; signed_id)."""
+    t, head = F.split(F.trim("value"), r"\s+"), F.col("value").startswith(">")
+    scaffolds = lines.where(head).select(t[1].cast("int").alias("id"), F.substring(t[0], 2, 1 << 30).alias("name"), t[2].cast("long").alias("length"))
+    layout = lines.where(~head & (F.trim("value") != "")).select(F.col("line").alias("super_id"), F.posexplode(t).alias("pos", "signed_id"))
+    return scaffolds, layout.withColumn("signed_id", F.col("signed_id").cast("int"))
+
+
+def _chains(layout: DataFrame) -> DataFrame:
+    """Signed ids of each superscaffold as a line."""
+    row = F.transform(F.sort_array(F.collect_list(F.struct("pos", "signed_id"))), lambda x: x["signed_id"].cast("string"))
+    return layout.groupBy("super_id").agg(F.array_join(row, " ").alias("value")).select(F.lit(1).alias("part"), F.col("super_id").cast("long").alias("line"), "value")
+
+
+def assembly_lines(scaffolds: DataFrame, layout: DataFrame) -> DataFrame:
+    """The lines again: part (scaffolds, then superscaffolds) and line are their order."""
+    heads = scaffolds.select(F.lit(0).alias("part"), F.col("id").cast("long").alias("line"), F.concat(F.lit(">"), F.concat_ws(" ", "name", "id", "length")).alias("value"))
+    return heads.unionByName(_chains(layout))
+
+
+def phasing_rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Variants (id, chr, pos, ref, alt) of '>chr pos ref alt id' lines, and chains of signed ids (super_id, pos, signed_id), where a negative one has its alternative on the first copy."""
+    t, head = F.split(F.trim("value"), r"\s+"), F.col("value").startswith(">")
+    variants = lines.where(head).select(t[4].cast("int").alias("id"), F.substring(t[0], 2, 1 << 30).alias("chr"), t[1].cast("long").alias("pos"), t[2].alias("ref"), t[3].alias("alt"))
+    return variants, assembly_rows(lines)[1]
+
+
+def phasing_scaffolds(variants: DataFrame, chains: DataFrame, length: int = 1_000) -> tuple[DataFrame, DataFrame]:
+    """The two forms of each variant as scaffolds of their own (2 id - 1 the reference's, 2 id the alternative), and of each chain its two copies as superscaffolds."""
+    forms = F.inline(F.array(*(F.struct((2 * F.col("id") - 1 + k).alias("form"), F.col(c).alias("variant")) for k, c in enumerate(("ref", "alt")))))
+    scaffolds = variants.select("chr", "pos", "id", "ref", "alt", forms).select(F.col("form").alias("id"), F.concat_ws(":", "chr", "pos", "variant").alias("name"), F.lit(length).cast("long").alias("length"))
+    size, turned = F.abs("signed_id"), (F.col("signed_id") < 0).cast("int")
+    copies = F.inline(F.array(*(F.struct((2 * F.col("super_id") + k).alias("copy"), (2 * size - F.when(turned == k, 1).otherwise(0)).alias("form")) for k in (0, 1))))
+    layout = chains.select("super_id", "pos", "signed_id", copies).select(F.col("copy").alias("super_id"), "pos", F.col("form").alias("signed_id"))
+    return scaffolds, layout
+
+
+def phasing_lines(scaffolds: DataFrame, layout: DataFrame) -> DataFrame:
+    """The phasing file of scaffolds and superscaffolds as phasing_scaffolds() makes them: part, line, value. The first copy of each chain tells it."""
+    t = F.split("name", ":")
+    of = lambda rest, c: scaffolds.where(F.col("id") % 2 == rest).select(F.ceil(F.col("id") / 2).alias("variant"), t[0].alias("chr"), t[1].alias("at"), t[2].alias(c))
+    both = of(1, "ref").join(of(0, "alt").select("variant", "alt"), "variant")
+    heads = both.select(F.lit(0).alias("part"), F.col("variant").cast("long").alias("line"), F.concat(F.lit(">"), F.concat_ws(" ", "chr", "at", "ref", "alt", "variant")).alias("value"))
+    signed = F.when(F.col("signed_id") % 2 == 0, -F.col("signed_id") / 2).otherwise((F.col("signed_id") + 1) / 2).cast("int")
+    first = layout.where(F.col("super_id") % 2 == 0).select(F.floor(F.col("super_id") / 2).alias("super_id"), "pos", signed.alias("signed_id"))
+    return heads.unionByName(_chains(first))

@@ -94,6 +94,17 @@ def infer_genome(dim: DataFrame, genomes: DataFrame) -> DataFrame:
     return hits.agg(F.min_by("genome", F.struct("rank", "genome")).alias("genome"))
 
 
+def infer_enzyme(dim: DataFrame, sites: DataFrame, genomes: DataFrame, enzymes: DataFrame) -> DataFrame:
+    """Genome and enzyme, of the genome that infer_genome() finds: the first, in order of rank, that cuts its first chromosome (the smallest chr of dim) as often as sites (chr, pos) do.
+
+    enzymes: genome, n_sites, rank, enzyme. Where none does, enzyme is null.
+    """
+    first = dim.agg(F.min("chr").alias("chr"))
+    cuts = first.join(sites.groupBy("chr").agg(F.count(F.lit(1)).alias("n_sites")), "chr", "left").select(F.coalesce("n_sites", F.lit(0)).alias("n_sites"))
+    found = infer_genome(dim, genomes).join(F.broadcast(cuts))  # both are one row
+    return found.join(enzymes, ["genome", "n_sites"], "left").groupBy("genome").agg(F.min_by("enzyme", F.struct("rank", "enzyme")).alias("enzyme"))
+
+
 def ordinals_by_arrival(pairs: DataFrame, at: str) -> DataFrame:
     """Name, ordinal (from 1) of chromosomes as they first come, by the column ``at``; of one row the first end first."""
     ends = pairs.select(at, F.posexplode(F.array("chr1", "chr2")).alias("end", "name"))

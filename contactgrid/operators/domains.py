@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactgrid.operators.norm import both_sides
+from contactgrid.tables import written
 
 GAP = 7
 #: Bins of the window that slides along the diagonal by half of it: no wider domain is found.
@@ -126,9 +127,10 @@ def _square(t, step: int, least: int = 0) -> np.ndarray:
 def score_domains(domains: DataFrame, cells: DataFrame, tile: int = TILE) -> DataFrame:
     """C05s: given domains (id, chr, start_bin, end_bin) with the scores of their corners, whatever these are.
 
-    A domain is scored in the first tile that holds it whole; one of more bins than a tile has none and goes.
+    A domain is scored in the first tile that holds it whole. One that no tile holds, as it is wider than half a tile and lies across, or wider than one, has null scores.
     """
     step = tile // 2
+    wide = domains.select("id", "chr", F.col("start_bin").cast("int").alias("start_bin"), F.col("end_bin").cast("int").alias("end_bin"))
     at = F.greatest(F.ceil((F.col("end_bin") - tile + 1) / step), F.lit(0)).cast("int")
     asked = domains.select("id", "chr", "start_bin", "end_bin", at.alias("tile")).where((F.col("end_bin") - F.col("start_bin") < tile) & (F.col("tile") * step <= F.col("start_bin")))
     asked = asked.groupBy("chr", "tile").agg(F.collect_list(F.struct("id", "start_bin", "end_bin")).alias("asked"))
@@ -142,7 +144,10 @@ def score_domains(domains: DataFrame, cells: DataFrame, tile: int = TILE) -> Dat
                 rows = [(r["id"], t.chr, r["start_bin"], r["end_bin"], *(float(x[r["start_bin"] - low, r["end_bin"] - low]) for x in made)) for r in t.asked]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in kind.split(", ")])
 
-    return _tiles(cells, tile).join(asked, ["chr", "tile"]).mapInPandas(run, kind)
+    scored = written(_tiles(cells, tile).join(asked, ["chr", "tile"]).mapInPandas(run, kind), "scored-domains")
+    none = [F.lit(None).cast("double").alias(c.split()[0]) for c in kind.split(", ")[4:]]
+    fits = (F.col("end_bin") - F.col("start_bin") < tile) & (F.greatest(F.ceil((F.col("end_bin") - tile + 1) / step), F.lit(0)) * step <= F.col("start_bin"))
+    return scored.unionByName(wide.where(~fits).select("*", *none))
 
 
 def call_domains(cells: DataFrame, tile: int = TILE, least_width: int = 8) -> DataFrame:
@@ -168,6 +173,11 @@ def call_domains(cells: DataFrame, tile: int = TILE, least_width: int = 8) -> Da
     return found.join(lost, ["chr", "start_bin", "end_bin"], "left_anti").dropDuplicates(["chr", "start_bin", "end_bin"])
 
 
+def wider_than(domains: DataFrame, least_width: int) -> DataFrame:
+    """domains of more than ``least_width`` bins."""
+    return domains.where(F.col("end_bin") - F.col("start_bin") > least_width)
+
+
 def resolution_for(density: DataFrame, deep: float = 250_000, shallow: float = 100_000) -> DataFrame:
     """C05r: the bin size that a map's depth allows, by what its coarsest density expects on the diagonal, and whether even that is too sparse: bin_size, sparse."""
     return density.where("dist = 0").select(F.when(F.col("value") > deep, 5_000).otherwise(10_000).alias("bin_size"), (F.col("value") < shallow).alias("sparse"))

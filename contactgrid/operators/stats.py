@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from contactgrid.functions.scalars import poisson_upper
+
 from contactgrid.operators.pairs import alignment
 
 
@@ -88,6 +90,14 @@ def poisson_peaks(cells: DataFrame, k: int) -> DataFrame:
     return cells.withColumn("z", z).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def significant_peaks(cells: DataFrame, k: int, most_p: float = 0.1) -> DataFrame:
+    """The k cells of each chromosome that stand out most from the expected value, of those whose Poisson p-value, times the chromosome's cells (its window), is at most ``most_p``."""
+    n = cells.groupBy("chr1").agg(F.count(F.lit(1)).alias("n"))
+    p = F.least(poisson_upper(F.round("counts"), F.col("value")) * F.col("n"), F.lit(1.0))
+    found = cells.where("value > 0").join(F.broadcast(n), "chr1").withColumn("p_value", p).where(F.col("p_value") <= most_p).drop("n")  # a row a chromosome
+    return poisson_peaks(found, k)
+
+
 def pair_counters(pairs: DataFrame, thresholds: list[int], ligation: str, dangling: str) -> DataFrame:
     """All counters of read pairs with their sequences (seq1, seq2), a row for each quality threshold, in one pass over the pairs.
 
@@ -141,6 +151,25 @@ def convergence_bin(histogram: DataFrame, n_bins: int, limit: float = 0.01, hold
     return found.select(F.coalesce("bin", F.lit(n_bins - 1)).cast("int").alias("bin"))
 
 
+def find_duplicates(reads: DataFrame, radius: int = 50) -> DataFrame:
+    """Reads with their kind: unique, the first by name of all with the same strands, chromosomes and positions of both ends; opt, a later one within ``radius`` of an earlier one
+    of its place on the same tile (tile, x, y); pcr, the other later ones.
+
+    Which ones are near each other is an equi-join of places, tiles and cells of the radius, so a place that a third of the reads share is spread over its cells.
+    """
+    place = ["strand1", "chr1", "pos1", "strand2", "chr2", "pos2"]
+    first = reads.groupBy(*place).agg(F.min("name").alias("_first"))
+    cell = lambda c: F.floor(F.col(c) / radius)
+    near = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
+    a = reads.select(*place, "tile", F.col("name"), F.col("x").alias("_ax"), F.col("y").alias("_ay"), near("x").alias("_cx")).withColumn("_cy", F.explode(F.sequence(F.floor(F.col("_ay") / radius) - 1, F.floor(F.col("_ay") / radius) + 1)))
+    b = reads.select(*place, "tile", F.col("name").alias("_before"), F.col("x").alias("_bx"), F.col("y").alias("_by"), cell("x").alias("_cx"), cell("y").alias("_cy"))
+    close = (F.col("_before") < F.col("name")) & (F.hypot(F.col("_ax") - F.col("_bx"), F.col("_ay") - F.col("_by")) <= radius)
+    optical = a.join(b, [*place, "tile", "_cx", "_cy"]).where(close).select("name").distinct().withColumn("_opt", F.lit(True))
+    both = reads.join(first, place).join(optical, "name", "left")
+    kind = F.when(F.col("name") == F.col("_first"), "unique").when(F.col("_opt"), "opt").otherwise("pcr")
+    return both.select(*reads.columns, kind.alias("kind"))
+
+
 def duplicate_counts(reads: DataFrame) -> DataFrame:
     """Reads (kind) that are optical duplicates (opt), copies (pcr) or neither (unique), in one row."""
     n = lambda k: F.sum((F.col("kind") == k).cast("long"))

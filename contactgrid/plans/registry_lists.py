@@ -106,6 +106,23 @@ def x14(s, d):
     return chromosomes.infer_genome(adapters.genome(s, d), known)
 
 
+@registered("x14_infer_enzyme", f"""WITH {GENOME}, k AS (SELECT n_regionkey AS rank, 'genome' || n_regionkey AS genome, n_name AS name, 1000000 + 10000 * ((n_nationkey * 37) % 25) + CASE WHEN n_regionkey < 2 THEN 1 ELSE 0 END AS length FROM nation),
+ f AS (SELECT k.genome FROM genome g JOIN k ON g.name = k.name AND g.length = k.length ORDER BY rank LIMIT 1), c AS (SELECT count(*) AS n FROM part WHERE 1 + p_partkey % 3 = 1)
+ SELECT f.genome, min(n_nationkey) AS k, 'enzyme' || min(n_nationkey) AS enzyme FROM f LEFT JOIN nation ON 'genome' || n_regionkey = f.genome AND n_nationkey % 3 = 0 GROUP BY f.genome""".replace("min(n_nationkey) AS k, ", ""))
+def x14e(s, d):
+    known = adapters.table(s, d, "nation").select(
+        F.col("n_regionkey").alias("rank"), F.concat(F.lit("genome"), F.col("n_regionkey").cast("string")).alias("genome"), F.col("n_name").alias("name"),
+        (1_000_000 + 10_000 * (F.col("n_nationkey") * 37 % 25) + F.when(F.col("n_regionkey") < 2, 1).otherwise(0)).cast("long").alias("length"),
+    )
+    sites = adapters.sites(s, d)
+    cuts = sites.where("chr = 1").agg(F.count(F.lit(1)).alias("n"))
+    key = F.col("n_nationkey")
+    enzymes = adapters.table(s, d, "nation").join(F.broadcast(cuts)).select(  # one row
+        F.concat(F.lit("genome"), F.col("n_regionkey").cast("string")).alias("genome"), (F.col("n") + key % 3).alias("n_sites"), key.alias("rank"), F.concat(F.lit("enzyme"), key.cast("string")).alias("enzyme"),
+    )
+    return chromosomes.infer_enzyme(adapters.genome(s, d), sites, known, enzymes)
+
+
 @registered("s12_ordinals_by_arrival", """WITH e AS (SELECT o_orderkey AS t, 0 AS k, o_orderpriority AS name FROM orders UNION ALL SELECT o_orderkey, 1, o_orderstatus FROM orders),
  f AS (SELECT name, min(t * 2 + k) AS first FROM e GROUP BY name) SELECT name, CAST(row_number() OVER (ORDER BY first, name) AS INTEGER) AS ordinal FROM f""")
 def s12(s, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contactgrid import adapters
 from contactgrid.functions import transforms
-from contactgrid.operators import binning, domains, expected, features, images, intervals, loops, norm, pairs, query, stats
+from contactgrid.operators import assembly, binning, domains, expected, features, images, intervals, loops, norm, pairs, query, stats
 from contactgrid.plans.registry import (
     _T, _TWO, BASE, COVERAGE, DENSITY, FACED, GENES, LOCI, LOOPS, PAIRS, SIDES, SIZE, SIZES, VC, _cells, _control, _genes, _pairs, _round, _sizes, _stored, _two_maps, cells_sql, finish_sql, registered,
 )
@@ -416,6 +416,75 @@ def a30w(s, d):
     return _round(bigwig.windows(bigwig.track(s, _track(s, d)), 40_000), "mean")
 
 
+_READS = """reads AS (SELECT l_orderkey * 10 + l_linenumber AS name, l_returnflag <> 'R' AS strand1, 1 AS chr1, l_partkey % 40 AS pos1, l_linestatus = 'F' AS strand2, 2 AS chr2, l_suppkey % 7 AS pos2, l_linenumber AS tile,
+ l_orderkey * 37 % 1000 AS x, l_partkey * 91 % 1000 AS y FROM lineitem)"""
+
+
+@registered("a24_found_duplicates", f"""WITH {_READS}, f AS (SELECT *, min(name) OVER p AS first FROM reads WINDOW p AS (PARTITION BY strand1, pos1, strand2, pos2)),
+ o AS (SELECT DISTINCT a.name FROM reads a JOIN reads b ON a.strand1 = b.strand1 AND a.pos1 = b.pos1 AND a.strand2 = b.strand2 AND a.pos2 = b.pos2 AND a.tile = b.tile AND b.name < a.name AND sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= 50)
+ SELECT name, CASE WHEN name = first THEN 'unique' WHEN name IN (SELECT name FROM o) THEN 'opt' ELSE 'pcr' END AS kind FROM f""")
+def a24f(s, d):
+    """Copies found by place, and those near an earlier one on its tile, of pairs brought to few places."""
+    t = adapters.table(s, d, "lineitem")
+    reads = t.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("name"), (F.col("l_returnflag") != "R").alias("strand1"), F.lit(1).alias("chr1"), (F.col("l_partkey") % 40).alias("pos1"),
+        (F.col("l_linestatus") == "F").alias("strand2"), F.lit(2).alias("chr2"), (F.col("l_suppkey") % 7).alias("pos2"), F.col("l_linenumber").alias("tile"),
+        (F.col("l_orderkey") * 37 % 1000).alias("x"), (F.col("l_partkey") * 91 % 1000).alias("y"),
+    )
+    return stats.find_duplicates(reads).select("name", "kind")
+
+
+@registered("o05_significant_peaks", f"""{BASE}, {DENSITY}, v AS (SELECT chr1, bin_x, bin_y, counts, value, count(*) OVER (PARTITION BY chr1) AS n FROM cells JOIN density ON dist = bin_y - bin_x WHERE chr1 = chr2),
+ p AS (SELECT *, least(1, n * (1 - coalesce(list_sum(list_transform(range(CAST(round(counts) AS BIGINT)), lambda k: exp(k * ln(value) - value - lgamma(k + 1)))), 0))) AS p_value, 2 * (sqrt(counts) - sqrt(value)) AS z FROM v WHERE value > 0),
+ r AS (SELECT *, row_number() OVER (PARTITION BY chr1 ORDER BY z DESC, bin_x, bin_y) AS k FROM p WHERE p_value <= 0.9) SELECT chr1, bin_x, bin_y, counts, round(z, 6) AS z, round(p_value, 6) AS p_value FROM r WHERE k <= 20""")
+def o05p(s, d):
+    cells = _stored(s, d).where("chr1 = chr2")
+    both = cells.withColumn("dist", F.col("bin_y") - F.col("bin_x")).join(expected.raw_density(cells, _sizes(s, d), SIZE), "dist")
+    return _round(stats.significant_peaks(both, 20, 0.9).select("chr1", "bin_x", "bin_y", "counts", "z", "p_value"), "z", "p_value")
+
+
+@registered("f25_wide_domains", f"""WITH {LOOPS} SELECT id, chr, start1 // 5000 AS start_bin, end2 // 5000 AS end_bin FROM loops WHERE end2 // 5000 - start1 // 5000 > 8""")
+def f25(s, d):
+    bins = {c: F.floor(F.col(at) / 5000).alias(c) for c, at in (("start_bin", "start1"), ("end_bin", "end2"))}
+    return domains.wider_than(adapters.loops(s, d).select("id", "chr", *bins.values()), 8)
+
+
+_PHASED = "SELECT p_partkey + 1 AS id, 'c' || ((p_partkey + 1) % 3) AS chr, (p_partkey + 1) * 10 AS pos, upper(substr(p_name, 1, 1)) AS ref, upper(substr(p_type, 1, 1)) AS alt FROM part"
+
+
+@registered("s35_phasing_copies", f"""WITH v AS ({_PHASED}), m AS (SELECT id, id // 20 AS chain, CASE WHEN id % 3 = 0 THEN -id ELSE id END AS signed_id, row_number() OVER (PARTITION BY id // 20 ORDER BY id) - 1 AS place FROM v)
+ SELECT CAST(2 * chain + k AS BIGINT) AS super_id, CAST(place AS INTEGER) AS pos, CAST(2 * abs(signed_id) - CASE WHEN (signed_id < 0) = (k = 1) THEN 1 ELSE 0 END AS INTEGER) AS signed_id FROM m, (SELECT unnest([0, 1]) AS k)""")
+def s35(s, d):
+    """A phasing file of parts: chains of twenty variants, both copies of each."""
+    t = adapters.table(s, d, "part")
+    key, first = F.col("p_partkey") + 1, lambda c: F.upper(F.substring(c, 1, 1))  # variants are numbered from 1
+    heads = t.select((10**9 + key).alias("line"), F.concat(F.lit(">c"), F.concat_ws(" ", (key % 3).cast("string"), (key * 10).cast("string"), first("p_name"), first("p_type"), key.cast("string"))).alias("value"))
+    signed = F.when(key % 3 == 0, -key).otherwise(key)
+    row = F.transform(F.sort_array(F.collect_list(F.struct(key.alias("k"), signed.alias("s")))), lambda x: x["s"].cast("string"))
+    chains = t.groupBy(F.floor(key / 20).alias("line")).agg(F.array_join(row, " ").alias("value"))
+    return assembly.phasing_scaffolds(*assembly.phasing_rows(heads.unionByName(chains)))[1]
+
+
+@registered("k13_phasing_lines", f"""WITH v AS ({_PHASED}) SELECT 0 AS part, CAST(id AS BIGINT) AS line, '>' || chr || ' ' || pos || ' ' || ref || ' ' || alt || ' ' || id AS value FROM v
+ UNION ALL SELECT 1, CAST(id // 20 AS BIGINT), string_agg(CASE WHEN id % 3 = 0 THEN -id ELSE id END, ' ' ORDER BY id) FROM v GROUP BY id // 20""")
+def k13p(s, d):
+    """The file again from its two copies and the forms of its variants."""
+    t = adapters.table(s, d, "part")
+    key, first = F.col("p_partkey") + 1, lambda c: F.upper(F.substring(c, 1, 1))  # variants are numbered from 1
+    variants = t.select(key.cast("int").alias("id"), F.concat(F.lit("c"), (key % 3).cast("string")).alias("chr"), (key * 10).alias("pos"), first("p_name").alias("ref"), first("p_type").alias("alt"))
+    place = F.row_number().over(Window.partitionBy("super_id").orderBy("id")) - 1
+    chains = variants.withColumn("super_id", F.floor(F.col("id") / 20)).select("super_id", place.alias("pos"), F.when(F.col("id") % 3 == 0, -F.col("id")).otherwise(F.col("id")).alias("signed_id"))
+    return assembly.phasing_lines(*assembly.phasing_scaffolds(variants, chains))
+
+
+@registered("k08_localized_export", f"WITH {LOOPS} SELECT 'chr' || chr AS chr1, start1, end1, start2, end2, CAST(observed AS VARCHAR) AS observed, 'NA' AS localX FROM loops")
+def k08l(s, d):
+    """Loops in the fifth layout, read back."""
+    lines = sinks.bedpe_lines(adapters.loops(s, d).withColumn("chr", F.concat(F.lit("chr"), "chr")), "LOCALIZED")
+    back = text.parse_bedpe(lines, sinks.bedpe_header("LOCALIZED"))
+    return back.select("chr1", "start1", "end1", "start2", "end2", F.col("attrs")["observed"].alias("observed"), F.col("attrs")["localX"].alias("localX"))
+
+
 @registered("a05_served_resolution", f"WITH {PAIRS}, {cells_sql(150_000)} SELECT chr1, chr2, bin_x, bin_y, counts FROM cells")
 def a05s(s, d):
     """Bins of 150 kb, which aren't stored, from the coarsest of three stored levels that divides them (50 kb); the others aren't read."""

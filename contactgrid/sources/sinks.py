@@ -15,6 +15,10 @@ LAYOUTS = {
     "NA": [],
     "FINAL": ["observed", "expectedBL", "expectedDonut", "expectedH", "expectedV", "fdrBL", "fdrDonut", "fdrH", "fdrV", "numCollapsed", "centroid1", "centroid2", "radius"],
     "ENRICHED": ["observed", "expectedBL", "expectedDonut", "expectedH", "expectedV", "binBL", "binDonut", "binH", "binV", "fdrBL", "fdrDonut", "fdrH", "fdrV"],
+    "LOCALIZED": [
+        "observed", "expectedBL", "expectedDonut", "expectedH", "expectedV", "fdrBL", "fdrDonut", "fdrH", "fdrV", "numCollapsed", "centroid1", "centroid2", "radius", "highRes_start_1", "highRes_end_1",
+        "highRes_start_2", "highRes_end_2", "upstream_start_1", "upstream_end_1", "downstream_start_2", "downstream_end_2", "localX", "localY", "localObserved", "localPval", "localZscore", "localPeakID",
+    ],
     "ARROWHEAD": ["score", "uVarScore", "lVarScore", "upSign", "loSign"],
 }
 

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 
 from contactgrid.functions import scalars
-from contactgrid.operators import binning, chromosomes, domains, images, lists, loops, norm, query
+from contactgrid.operators import assembly, binning, chromosomes, domains, images, lists, loops, motifs, norm, query, stats
 from contactgrid.sources import text
 from contactgrid.tables import discard, mark, shared_folder, written
 
@@ -112,6 +112,8 @@ def test_scores_of_given_domains_are_those_of_called_ones(spark):
     rows = [(k, r.chr, r.start_bin, r.end_bin) for k, r in enumerate(called)]
     found = {r.id: r for r in domains.score_domains(spark.createDataFrame(rows, "id long, chr int, start_bin int, end_bin int"), cells, 400).collect()}
     assert len(found) == len(called) and all(found[k].score == pytest.approx(r.score) and found[k].loSign == pytest.approx(r.loSign) for k, r in enumerate(called))
+    wide = spark.createDataFrame([(7, 1, 3, 900), (8, 1, 21, 69)], "id long, chr int, start_bin int, end_bin int")
+    assert {r.id: r.score is None for r in domains.score_domains(wide, cells, 400).collect()} == {7: True, 8: False}
 
 
 def test_random_draws_keep_what_they_should(spark):
@@ -141,3 +143,70 @@ def test_written_tables_can_be_discarded(spark):
     assert a.count() == 3 and shared_folder(spark)
     discard(spark, since, keep=1)
     assert b.count() == 3 and mark() == since + 1
+
+
+def test_phasing_files_and_layouts_as_rows(spark):
+    lines = [">a 10 A G 1", ">a 20 C T 2", ">b 5 G C 3", "1 -2", "-3"]
+    frame = spark.createDataFrame(list(enumerate(lines)), "line long, value string")
+    variants, chains = assembly.phasing_rows(frame)
+    scaffolds, layout = assembly.phasing_scaffolds(variants, chains)
+    assert {(r.id, r.name) for r in scaffolds.collect()} == {(1, "a:10:A"), (2, "a:10:G"), (3, "a:20:C"), (4, "a:20:T"), (5, "b:5:G"), (6, "b:5:C")}
+    assert {(r.super_id, r.pos, r.signed_id) for r in layout.collect()} == {(6, 0, 1), (6, 1, 4), (7, 0, 2), (7, 1, 3), (8, 0, 6), (9, 0, 5)}
+    assert [r.value for r in assembly.phasing_lines(scaffolds, layout).orderBy("part", "line").collect()] == lines
+    text_ = [">s1 1 100", ">s2 2 50", ">s3 3 70", "1 -3", "2"]
+    rows = assembly.assembly_rows(spark.createDataFrame(list(enumerate(text_)), "line long, value string"))
+    assert [r.value for r in assembly.assembly_lines(*rows).orderBy("part", "line").collect()] == text_
+    told = assembly.parse_assembly(text_)
+    assert [tuple(r) for r in rows[0].select("name", "id", "length").orderBy("id").collect()] == told[0]
+    assert assembly.assembly_lines(*(r.where("1 = 0") for r in rows)).count() == 0
+
+
+def test_copies_are_found_by_place_and_tile(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.random() < 0.5, 1, rng.randrange(3), True, 2, 7, rng.randrange(2), rng.randrange(300), rng.randrange(300)) for k in range(300)]
+    rows += [(1000 + k, True, 1, 0, True, 2, 7, 0, 10, 10) for k in range(50)]  # a place with many
+    df = spark.createDataFrame(rows, "name long, strand1 boolean, chr1 int, pos1 int, strand2 boolean, chr2 int, pos2 int, tile int, x int, y int")
+    told = {}
+    for r in rows:
+        before = [o for o in rows if o[1:7] == r[1:7] and o[0] < r[0]]
+        close = any(o[7] == r[7] and math.hypot(o[8] - r[8], o[9] - r[9]) <= 50 for o in before)
+        told[r[0]] = "unique" if not before else "opt" if close else "pcr"
+    found = stats.find_duplicates(df)
+    assert {r["name"]: r.kind for r in found.collect()} == told and set(told.values()) == {"unique", "opt", "pcr"}
+    assert stats.duplicate_counts(found).first().asDict() == {k: list(told.values()).count(k) for k in ("opt", "pcr", "unique")}
+
+
+def test_directed_motifs_against_brute_force(spark):
+    rng = random.Random(11)
+    at = [rng.randrange(0, 4_000_000, 1_000) for _ in range(40)]
+    lps = [(k, 1, a, a + 5_000, a + 200_000, a + 205_000) for k, a in enumerate(at)]
+    peaks = [(k, 1, x, x + 300) for k, x in enumerate(y + rng.randrange(-3_000, 6_000) for lp in lps for y in (lp[2], lp[2], lp[4], lp[4]))]
+    found_motifs = [(1000 + k, 1, p[2] + rng.randrange(-50, 200), p[2] + 220, rng.random(), rng.random() < 0.5) for k, p in enumerate(peaks)]
+    loops_df = spark.createDataFrame(lps, "id long, chr int, start1 long, end1 long, start2 long, end2 long")
+    peaks_df = spark.createDataFrame([(*p, 1.0) for p in peaks], "id long, chr int, x1 long, x2 long, score double")
+    motifs_df = spark.createDataFrame(found_motifs, "id long, chr int, x1 long, x2 long, score double, forward boolean")
+
+    def merged(spans):
+        out = []
+        for a, b in sorted(spans):
+            if out and a <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], b)
+            else:
+                out.append([a, b])
+        return [(max((a + b) // 2 - 7_500, 0), (a + b) // 2 + 7_500) if b - a < 15_000 else (a, b) for a, b in out]
+
+    hits = lambda a, b: a[0] <= b[1] and b[0] <= a[1]
+    up, down = merged([lp[2:4] for lp in lps]), merged([lp[4:6] for lp in lps])
+    told = set()
+    for mine, other, forward in ((up, down, True), (down, up, False)):
+        for anchor in mine:
+            if any(hits(anchor, o) for o in other):
+                continue
+            inside = [p for p in peaks if hits(anchor, p[2:4])]
+            if len(inside) > 1:
+                for p in inside:
+                    best = [m for m in found_motifs if m[5] == forward and hits(p[2:4], m[2:4])]
+                    if best:
+                        told.add((p[0], max(best, key=lambda m: (m[4], -m[0]))[0], forward))
+    found = {(r.id, r.hit, r.forward) for r in motifs.directed_motifs(loops_df, peaks_df, motifs_df).collect()}
+    assert found == told and len(told) > 5
