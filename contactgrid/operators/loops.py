@@ -20,6 +20,8 @@ MASKS = ("BL", "Donut", "H", "V")
 #: Peak width, window and clustering radius by bin size.
 SETTINGS = {5_000: (4, 7, 20_000), 10_000: (2, 5, 20_000), 25_000: (1, 3, 50_000)}
 LAMBDA_BINS, MARGIN = 40, 20
+#: Bases in which islands of pixels begin that are joined to centroids in one group.
+ISLANDS_STRETCH = 1 << 22
 
 
 def _sums(m: np.ndarray) -> np.ndarray:
@@ -243,8 +245,7 @@ def cluster(found: DataFrame, bin_size: int | None = None, radius: int | None =
     sizes = sorted(known)
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.drop(columns="island")
-        return _centroids(f, known[int(f["bin_size"].iloc[0])])
+        return pd.concat([_centroids(g.drop(columns=["island", "stretch"]), known[int(g["bin_size"].iloc[0])]) for _, g in f.groupby("island", sort=False)])
 
     schema = f"{PIXEL}, " + ", ".join(f"fdr{m} double" for m in MASKS) + ", numCollapsed int, centroid1 bigint, centroid2 bigint, radius bigint"
     columns = [*PIXEL_COLUMNS, *(f"fdr{m}" for m in MASKS)]
@@ -255,8 +256,10 @@ def cluster(found: DataFrame, bin_size: int | None = None, radius: int | None =
     start = F.col("bin_x").cast("long") * F.col("bin_size")
     left, gap, out = written(_sized(found, bin_size).select(*columns), "enriched"), 4 * max(known.values()), None
     while True:
-        parts = islands(left.withColumns({**place, "x1": start, "x2": start}), gap).withColumn("chr", F.col("_chr")).select("island", *columns)
-        clusters = written(parts.groupBy("bin_size", "chr", "island").applyInPandas(run, schema), "clusters")
+        parts = islands(left.withColumns({**place, "x1": start, "x2": start}), gap).withColumn("chr", F.col("_chr"))
+        # islands that begin in one stretch are one group, as most are small
+        parts = parts.select("island", F.floor(F.col("island") / ISLANDS_STRETCH).alias("stretch"), *columns)
+        clusters = written(parts.groupBy("bin_size", "chr", "stretch").applyInPandas(run, schema), "clusters")
         wide = written(clusters.where(F.col("radius") + base > gap).select("bin_size", "chr").distinct(), "wide-chromosomes")
         done = clusters.join(wide, ["bin_size", "chr"], "left_anti").select(*(c.split()[0] for c in schema.split(", ")))
         out = done if out is None else out.unionByName(done)
