@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactgrid.llm.common import materialize
+from contactgrid.tables import discard, mark
 
 LONGEST, LEAST_COUNT, BEST, SHARE = 4, 30, 2_000, 80
 #: Words of a block of the occurrence relation, about; and bytes of a text that are cut into words together.
@@ -200,7 +201,7 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST_CO
     Lists: of length 1 (id, lang, word, f), of others (id, a, b, f), where a and b are the ids of the phrase without its last and its first word.
     """
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    held = materialize(texts.mapInArrow(_occurrences, BLOCKS), "occurrences-1")
+    held, at = materialize(texts.mapInArrow(_occurrences, BLOCKS), "occurrences-1"), mark() - 1
     totals = materialize(held.groupBy("lang").agg(F.sum("n").alias("n")), "words-by-lang")
     groups = []
     for k in range(1, longest + 1):
@@ -210,6 +211,8 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST_CO
             lists = found.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("k", "number", "ids")).alias("frequent"))
             joined = held.select("block", "n", "at", "number").join(lists, "block")
             held = materialize(joined.mapInArrow(_extend, BLOCKS), f"occurrences-{k + 1}")
+            discard(docs.sparkSession, at, keep=mark() - at - 1)  # the shorter phrases' occurrences alone
+            at = mark() - 1
     return totals, groups
 
 
