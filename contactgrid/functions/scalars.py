@@ -103,24 +103,34 @@ def commify(n: Column) -> Column:
     return F.format_number(n.cast("long"), 0)
 
 
+def library_sizes(unique: np.ndarray, duplicates: np.ndarray) -> np.ndarray:
+    """Distinct molecules from reads, by c/x - 1 + exp(-n/x) = 0, found by halving; 0 where there are no unique reads or no duplicates."""
+    c, n = np.array(unique, float), np.array(unique, float) + np.array(duplicates, float)
+    told = (c > 0) & (n > c)
+    low, high = np.where(told, c, 1.0), np.where(told, c * 10, 1.0)
+    above = lambda x: told & (c / x - 1 + np.exp(-n / x) > 0)
+    while (far := above(high)).any():
+        high = np.where(far, high * 10, high)
+    while (high - low > 1e-12 * high).any():
+        middle = (low + high) / 2
+        up = above(middle)
+        low, high = np.where(up, middle, low), np.where(up, high, middle)
+    return np.where(told, (low + high) / 2, 0.0)
+
+
 def library_size(unique: float, duplicates: float) -> float:
-    """Distinct molecules from reads, by c/x - 1 + exp(-n/x) = 0."""
-    n = unique + duplicates
-    if unique <= 0 or duplicates <= 0:
-        return 0.0
-    f = lambda x: unique / x - 1 + math.exp(-n / x)
-    low, high = unique, unique * 10
-    while f(high) > 0:
-        high *= 10
-    for _ in range(1000):
-        mid = (low + high) / 2
-        if f(mid) > 0:
-            low = mid
-        else:
-            high = mid
-        if high - low < 1e-9 * high:
-            break
-    return (low + high) / 2
+    """A23, of one library."""
+    return float(library_sizes(np.array([unique]), np.array([duplicates]))[0])
+
+
+def library_size_of(unique: Column | str, duplicates: Column | str) -> Column:
+    """A23, of a library a row, in whole batches."""
+
+    @F.pandas_udf("double")
+    def size(u: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series(library_sizes(u.to_numpy(float), d.to_numpy(float)))
+
+    return size(unique, duplicates)
 
 
 def is_debris(name: Column) -> Column:

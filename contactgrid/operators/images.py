@@ -116,6 +116,26 @@ def display_limit(image: DataFrame, share: float = 0.95, every: int = 10) -> Dat
     return off.groupBy("id").agg(F.percentile("value", F.lit(share)).alias("top"))
 
 
+def tiles(cells: DataFrame, n: int) -> DataFrame:
+    """The squares of n x n bins that hold a map's intra cells, as images: id, i, j, value, 0 where there is no cell.
+
+    Squares lie on a grid over each chromosome's matrix, on its diagonal and above; one on the diagonal holds mirrored cells too. tile_id() tells a square's id.
+    """
+    at = lambda c: F.floor(F.col(c) / n)
+    c = cells.where("chr1 = chr2").select("chr1", "bin_x", "bin_y", "counts", tile_id(F.col("chr1"), at("bin_x"), at("bin_y")).alias("id"))
+    mirrored = c.where((F.col("bin_x") != F.col("bin_y")) & (at("bin_x") == at("bin_y"))).withColumns({"bin_x": F.col("bin_y"), "bin_y": F.col("bin_x")})
+    inside = lambda c, name: (F.col(c) % n).cast("int").alias(name)
+    here = c.unionByName(mirrored).select("id", inside("bin_x", "i"), inside("bin_y", "j"), "counts")
+    places = F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda k: F.struct(F.floor(k / n).cast("int").alias("i"), (k % n).cast("int").alias("j"), F.lit(0.0).alias("counts")))
+    grid = c.select("id").distinct().select("id", F.inline(places))
+    return here.unionByName(grid).groupBy("id", "i", "j").agg(F.sum("counts").alias("value"))
+
+
+def tile_id(chr_: Column, row: Column, column: Column) -> Column:
+    """A square's number from its chromosome's and its row and column of squares, each below 2**20."""
+    return ((chr_.cast("long") * (1 << 20) + row) * (1 << 20) + column).cast("long")
+
+
 def loop_images(loops: DataFrame, cells: DataFrame, bin_size: int, radius: int) -> DataFrame:
     """The windows of ``radius`` bins around the loops' middles as images, their id the loop's; i, j from 0."""
     mid = lambda e: F.floor(F.floor((F.col(f"start{e}") + F.col(f"end{e}")) / 2) / bin_size)

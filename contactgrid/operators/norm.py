@@ -279,9 +279,10 @@ def add_norms_at(contacts: DataFrame, chrom_sizes: DataFrame, types: Sequence[st
     return out
 
 
-def balance_text(lines: DataFrame) -> DataFrame:
-    """M03g: the vector of a matrix in text, a line (value) each cell: bin_x, bin_y, count."""
+def balance_text(lines: DataFrame, chr_: str | None = None) -> DataFrame:
+    """M03g: the vector of a matrix in text, a line (value) each cell: bin_x, bin_y, count; those of several at once, if ``chr_`` names a column that tells them apart."""
     t = F.split(F.trim("value"), r"\s+")
     number = lambda k: t[k].cast("int")
-    cells = lines.where(F.size(t) == 3).select(F.lit(1).alias("chr1"), F.lit(1).alias("chr2"), F.least(number(0), number(1)).alias("bin_x"), F.greatest(number(0), number(1)).alias("bin_y"), t[2].cast("double").alias("counts"))
+    key = F.col(chr_) if chr_ else F.lit(1)
+    cells = lines.where(F.size(t) == 3).select(key.alias("chr1"), key.alias("chr2"), F.least(number(0), number(1)).alias("bin_x"), F.greatest(number(0), number(1)).alias("bin_y"), t[2].cast("double").alias("counts"))
     return balance(cells, 1e-6, 1000)

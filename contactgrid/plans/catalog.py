@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from contactgrid.plans import registry, registry_lists, registry_loops, registry_maps
+from contactgrid.plans import registry, registry_files, registry_lists, registry_loops, registry_maps
 
 FLAGSHIP, ORACLES, QUERIES = registry.FLAGSHIP, registry.ORACLES, registry.QUERIES
 #: The modules whose import registers queries.
-MODULES = (registry, registry_lists, registry_loops, registry_maps)
+MODULES = (registry, registry_files, registry_lists, registry_loops, registry_maps)

@@ -127,12 +127,12 @@ def m03fa(s, d):
     return vectors.groupBy(*key).agg(F.count(F.lit(1)).alias("bins"), F.count("value").alias("balanced")).join(spread, key, "left")
 
 
-@registered("m03g_text_matrix", f"WITH {PAIRS}, {cells_sql()} SELECT DISTINCT 1.0 AS spread FROM cells WHERE chr1 = 1 AND chr2 = 1")
+@registered("m03g_text_matrix", f"{BASE} SELECT DISTINCT chr1 AS chr, 1.0 AS spread FROM cells WHERE chr1 = chr2")
 def m03g(s, d):
-    cells = _stored(s, d).where("chr1 = 1 and chr2 = 1")
-    vector = norm.balance_text(cells.select(F.concat_ws("\t", "bin_y", "bin_x", "counts").alias("value")))
+    cells = _stored(s, d).where("chr1 = chr2")
+    vector = written(norm.balance_text(cells.select("chr1", F.concat_ws("\t", "bin_y", "bin_x", "counts").alias("value")), "chr1"), "vector")
     sums = norm.coverage(norm.normalize(cells, vector))
-    return _round(sums.agg((F.max("value") / F.min("value")).alias("spread")), "spread", places=3)
+    return _round(sums.groupBy("chr").agg((F.max("value") / F.min("value")).alias("spread")), "spread", places=3)
 
 
 @registered("m03h_rescaled_vector", f"{BASE} SELECT DISTINCT chr1 AS chr, 1.0 AS spread FROM cells WHERE chr1 = chr2")
@@ -159,10 +159,16 @@ def s31v(s, d):
 
 
 # Sinks that are read back.
-@registered("k05_binary_dump", f"{BASE} SELECT CAST(bin_x * {SIZE} AS INTEGER) AS x, CAST(bin_y * {SIZE} AS INTEGER) AS y, counts AS value FROM cells WHERE chr1 = 1 AND chr2 = 1")
+@registered("k05_binary_dump", f"{BASE} SELECT chr1, chr2, CAST(bin_x * {SIZE} AS INTEGER) AS x, CAST(bin_y * {SIZE} AS INTEGER) AS y, counts AS value FROM cells")
 def k05(s, d):
-    rows = _cells(s, d).where("chr1 = 1 and chr2 = 1").select((F.col("bin_x") * SIZE).alias("x"), (F.col("bin_y") * SIZE).alias("y"), F.col("counts").alias("value"))
-    return binary.decode_records(binary.encode_records(rows, binary.CELL), binary.CELL).withColumn("value", F.col("value").cast("double"))
+    """The dumps of all pairs of chromosomes, each read back."""
+    cells, found = _stored(s, d), None
+    for a, b in [(1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (3, 3)]:
+        rows = cells.where(f"chr1 = {a} and chr2 = {b}").select((F.col("bin_x") * SIZE).alias("x"), (F.col("bin_y") * SIZE).alias("y"), F.col("counts").alias("value"))
+        back = binary.decode_records(binary.encode_records(rows, binary.CELL), binary.CELL)
+        back = back.select(F.lit(a).alias("chr1"), F.lit(b).alias("chr2"), "x", "y", F.col("value").cast("double").alias("value"))
+        found = back if found is None else found.unionByName(back)
+    return found
 
 
 @registered("k06_npy_vectors", f"{BASE}, {COVERAGE}, n AS (SELECT chr, max(bin) AS n FROM coverage GROUP BY chr), b AS (SELECT chr, unnest(range(n + 1)) AS bin FROM n) SELECT b.chr, CAST(b.bin AS INTEGER) AS bin, coalesce(value, 0) AS value FROM b LEFT JOIN coverage c ON c.chr = b.chr AND c.bin = b.bin")
@@ -170,13 +176,6 @@ def k06(s, d):
     return sinks.read_npy(sinks.npy_vectors(norm.coverage(_cells(s, d)))).fillna(0.0)
 
 
-@registered("k07_matrix_text", f"""{BASE}, sym AS (SELECT bin_x AS i, bin_y AS j, counts FROM cells WHERE chr1 = 1 AND chr2 = 1 UNION ALL SELECT bin_y, bin_x, counts FROM cells WHERE chr1 = 1 AND chr2 = 1 AND bin_x <> bin_y),
- g AS (SELECT p.i, q.j FROM range(8) p(i), range(8) q(j)) SELECT CAST(g.i AS INTEGER) AS i, '[' || string_agg(CAST(CAST(coalesce(counts, 0) AS BIGINT) AS VARCHAR), ', ' ORDER BY g.j) || ']' AS value FROM g LEFT JOIN sym ON sym.i = g.i AND sym.j = g.j GROUP BY g.i""")
-def k07(s, d):
-    dense = query.window(_cells(s, d), 1, 0, 0, 8, 8).withColumn("value", F.col("value").cast("long"))
-    return sinks.matrix_lines(dense)
-
-
 # Lifted cells, tracks and features.
 _REGIONS = f"{GENES}, regions AS (SELECT id, chr, x1, x2, x1 * 3 + 1000 AS new_start FROM genes)"
 
@@ -244,39 +243,42 @@ def a27e(s, d):
 
 
 N = 16
-_IMAGE = f"""WITH {PAIRS}, {cells_sql(5000)}, sym AS (SELECT chr1 AS id, bin_x AS i, bin_y AS j, counts FROM cells WHERE chr1 = chr2 UNION ALL SELECT chr1, bin_y, bin_x, counts FROM cells WHERE chr1 = chr2 AND bin_x <> bin_y),
- m AS (SELECT k.id, p.i, q.j, coalesce(counts, 0) AS value FROM range(1, 4) k(id) CROSS JOIN range({N}) p(i) CROSS JOIN range({N}) q(j) LEFT JOIN sym ON sym.id = k.id AND sym.i = p.i AND sym.j = q.j)"""
+_TILE = f"(CAST(chr1 AS BIGINT) * 1048576 + bin_x // {N}) * 1048576 + bin_y // {N}"
+_IMAGE = f"""WITH {PAIRS}, {cells_sql(5000)}, c AS (SELECT CAST({_TILE} AS BIGINT) AS id, bin_x, bin_y, counts FROM cells WHERE chr1 = chr2),
+ sym AS (SELECT id, bin_x % {N} AS i, bin_y % {N} AS j, counts FROM c UNION ALL SELECT id, bin_y % {N}, bin_x % {N}, counts FROM c WHERE bin_x <> bin_y AND bin_x // {N} = bin_y // {N}), ids AS (SELECT DISTINCT id FROM c),
+ m AS (SELECT k.id, p.i, q.j, coalesce(counts, 0) AS value FROM ids k CROSS JOIN range({N}) p(i) CROSS JOIN range({N}) q(j) LEFT JOIN sym ON sym.id = k.id AND sym.i = p.i AND sym.j = q.j)"""
 
 
 def _image(s, d):
-    """The first N bins of each chromosome's matrix, of which all cells are made first, as images."""
-    cells = _stored(s, d, 5000)
-    image = None
-    for k in (1, 2, 3):
-        one = query.window(cells, k, 0, 0, N, N).select(F.lit(k).alias("id"), "i", "j", "value")
-        image = one if image is None else image.unionByName(one)
-    return image
+    """All chromosomes' whole matrices as images of N x N bins."""
+    return images.tiles(_cells(s, d, 5000), N)
 
 
-def _on_image(name, sql, made, *rounded):
-    registered(name, f"{_IMAGE} {sql}")(lambda s, d: _round(made(_image(s, d)), *(rounded or ["value"])))
+def _on_image(name, sql, made, rounded="value"):
+    registered(name, f"{_IMAGE} {sql}")(lambda s, d: _round(made(_image(s, d)), *([rounded] if rounded else [])))
 
 
-_I = "CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(id AS INTEGER) AS id"
+_I = "CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, id"
 _on_image("w07_rank_percentile", f"SELECT {_I}, round(CASE WHEN value = 0 THEN 0 ELSE 100.0 * (rank() OVER (PARTITION BY id ORDER BY value) - 1) / count(*) OVER (PARTITION BY id) END, 6) AS value FROM m", images.rank_percentile)
-_on_image("w08_box_blur", f"""SELECT CAST(t.i AS INTEGER) AS i, CAST(t.j AS INTEGER) AS j, CAST(t.id AS INTEGER) AS id, round(avg(s.value), 6) AS value FROM m t, range(-2, 3) a(di), range(-2, 3) b(dj), m s
+_on_image("w08_box_blur", f"""SELECT CAST(t.i AS INTEGER) AS i, CAST(t.j AS INTEGER) AS j, t.id, round(avg(s.value), 6) AS value FROM m t, range(-2, 3) a(di), range(-2, 3) b(dj), m s
  WHERE s.id = t.id AND s.i = least(greatest(t.i + di, 0), {N - 1}) AND s.j = least(greatest(t.j + dj, 0), {N - 1}) GROUP BY t.id, t.i, t.j""", lambda m: images.box_blur(m, 2))
+_BOXED = f""", {{to}} AS MATERIALIZED (SELECT t.id, t.i, t.j, avg(s.value) AS value FROM {{of}} t, range(-{{r}}, {{r}} + 1) a(di), range(-{{r}}, {{r}} + 1) b(dj), {{of}} s
+ WHERE s.id = t.id AND s.i = least(greatest(t.i + di, 0), {N - 1}) AND s.j = least(greatest(t.j + dj, 0), {N - 1}) GROUP BY t.id, t.i, t.j)"""
+_on_image("w08_gaussian_blur", "".join(_BOXED.format(to=f"m{k + 1}", of=f"m{k or ''}", r=r) for k, r in enumerate((1, 1, 2))) + f" SELECT {_I}, round(value, 6) AS value FROM m3", lambda m: images.gaussian_blur(m, 2))
 _on_image("w09_peaks", f"SELECT {_I}, value FROM m t WHERE value > 0 AND NOT EXISTS (SELECT 1 FROM m o WHERE o.id = t.id AND abs(o.i - t.i) <= 2 AND abs(o.j - t.j) <= 2 AND (o.value > t.value OR (o.value = t.value AND (o.i < t.i OR (o.i = t.i AND o.j < t.j)))))", lambda m: images.peaks(m, 2))
 _on_image("w10_local_gradient", f"""SELECT {_I}, round(value, 6) AS value FROM (SELECT t.id, t.i, t.j, (any_value(t.value) - sum(o.value) / 8) / nullif(sqrt(any_value(t.value)), 0) AS value FROM m t JOIN m o ON o.id = t.id AND abs(o.i - t.i) <= 1 AND abs(o.j - t.j) <= 1 AND NOT (o.i = t.i AND o.j = t.j)
  WHERE t.i BETWEEN 1 AND {N - 2} AND t.j BETWEEN 1 AND {N - 2} GROUP BY t.id, t.i, t.j) WHERE value > 0""", images.local_gradient)
 _on_image("w11_column_derivative", f"SELECT {_I}, value FROM (SELECT id, i, j, value - lead(value) OVER (PARTITION BY id, j ORDER BY i) AS value FROM m) WHERE value IS NOT NULL", images.column_derivative)
 _on_image("w11_over_median", f"SELECT {_I}, round(value, 6) AS value FROM (SELECT id, i, j, least(value / nullif(median(value) OVER (PARTITION BY id, j), 0), 3) AS value FROM m) WHERE value IS NOT NULL", lambda m: images.over_median(m, 3.0))
-_on_image("w12_box_max", "SELECT CAST(i // 4 AS INTEGER) AS i, CAST(j // 2 AS INTEGER) AS j, CAST(id AS INTEGER) AS id, max(value) AS value FROM m GROUP BY 1, 2, 3", lambda m: images.box_max(m, 4, 2))
-_on_image("w12_interpolate", f"""SELECT CAST(r.i AS INTEGER) AS i, CAST(c.j AS INTEGER) AS j, CAST(a.id AS INTEGER) AS id, round((a.value * (1 - (c.j % 3) / 3.0) + b.value * (c.j % 3) / 3.0) * (1 - (r.i % 2) / 2.0) + (e.value * (1 - (c.j % 3) / 3.0) + f.value * (c.j % 3) / 3.0) * (r.i % 2) / 2.0, 6) AS value
+_on_image("w12_box_max", "SELECT CAST(i // 4 AS INTEGER) AS i, CAST(j // 2 AS INTEGER) AS j, id, max(value) AS value FROM m GROUP BY 1, 2, 3", lambda m: images.box_max(m, 4, 2))
+_on_image("w12_interpolate", f"""SELECT CAST(r.i AS INTEGER) AS i, CAST(c.j AS INTEGER) AS j, a.id, round((a.value * (1 - (c.j % 3) / 3.0) + b.value * (c.j % 3) / 3.0) * (1 - (r.i % 2) / 2.0) + (e.value * (1 - (c.j % 3) / 3.0) + f.value * (c.j % 3) / 3.0) * (r.i % 2) / 2.0, 6) AS value
  FROM range({2 * N}) r(i) CROSS JOIN range({3 * N}) c(j) JOIN m a ON a.i = r.i // 2 AND a.j = c.j // 3 JOIN m b ON b.id = a.id AND b.i = a.i AND b.j = least(a.j + 1, {N - 1}) JOIN m e ON e.id = a.id AND e.i = least(a.i + 1, {N - 1}) AND e.j = a.j
  JOIN m f ON f.id = a.id AND f.i = e.i AND f.j = b.j""", lambda m: images.interpolate(m, 2, 3))
-_on_image("w12_expand_with_zeros", "SELECT CAST(p.i AS INTEGER) AS i, CAST(q.j AS INTEGER) AS j, CAST(k.id AS INTEGER) AS id, coalesce(value, 0) AS value FROM range(1, 4) k(id) CROSS JOIN range(20) p(i) CROSS JOIN range(18) q(j) LEFT JOIN m ON m.id = k.id AND m.i = p.i AND m.j = q.j", lambda m: images.expand_with_zeros(m, 20, 18))
-_on_image("a43_display_limit", "SELECT CAST(id AS INTEGER) AS id, round(quantile_cont(value, 0.95), 6) AS top FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i, j) AS place FROM m WHERE i <> j AND value > 0) WHERE place % 10 = 0 GROUP BY id", images.display_limit, "top")
+_on_image("w12_expand_with_zeros", "SELECT CAST(p.i AS INTEGER) AS i, CAST(q.j AS INTEGER) AS j, k.id, coalesce(value, 0) AS value FROM ids k CROSS JOIN range(20) p(i) CROSS JOIN range(18) q(j) LEFT JOIN m ON m.id = k.id AND m.i = p.i AND m.j = q.j", lambda m: images.expand_with_zeros(m, 20, 18))
+_on_image("a43_display_limit", "SELECT id, round(quantile_cont(value, 0.95), 6) AS top FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i, j) AS place FROM m WHERE i <> j AND value > 0) WHERE place % 10 = 0 GROUP BY id", images.display_limit, "top")
+
+
+_on_image("k07_matrix_text", "SELECT id, CAST(i AS INTEGER) AS i, '[' || string_agg(CAST(CAST(value AS BIGINT) AS VARCHAR), ', ' ORDER BY j) || ']' AS value FROM m GROUP BY id, i", lambda m: sinks.matrix_lines(m.withColumn("value", F.col("value").cast("long"))), None)
 
 
 @registered("c10_localizer", None)

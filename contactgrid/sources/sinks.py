@@ -102,6 +102,6 @@ def read_npy(contents: DataFrame) -> DataFrame:
 
 
 def matrix_lines(dense: DataFrame) -> DataFrame:
-    """A line for each row i of a dense window (i, j, value): its values in brackets, in order."""
+    """A line for each row i of a dense window (i, j, value), or of each of many by their ``id``: its values in brackets, in order."""
     row = F.transform(F.sort_array(F.collect_list(F.struct("j", "value"))), lambda x: x["value"].cast("string"))
-    return dense.groupBy("i").agg(F.concat(F.lit("["), F.array_join(row, ", "), F.lit("]")).alias("value"))
+    return dense.groupBy(*(c for c in ("id", "i") if c in dense.columns)).agg(F.concat(F.lit("["), F.array_join(row, ", "), F.lit("]")).alias("value"))

@@ -210,3 +210,34 @@ def test_directed_motifs_against_brute_force(spark):
                         told.add((p[0], max(best, key=lambda m: (m[4], -m[0]))[0], forward))
     found = {(r.id, r.hit, r.forward) for r in motifs.directed_motifs(loops_df, peaks_df, motifs_df).collect()}
     assert found == told and len(told) > 5
+
+
+def test_tiles_cover_all_intra_cells(spark):
+    rows = [(1, 1, 0, 0, 2.0), (1, 1, 0, 3, 5.0), (1, 1, 5, 17, 7.0), (2, 2, 4, 5, 3.0), (1, 2, 0, 0, 9.0)]
+    cells = spark.createDataFrame(rows, "chr1 int, chr2 int, bin_x int, bin_y int, counts double")
+    found = {(r.id, r.i, r.j): r.value for r in images.tiles(cells, 4).collect()}
+    number = lambda c, a, b: (c * 2**20 + a) * 2**20 + b
+    assert len(found) == 3 * 16
+    assert {k: v for k, v in found.items() if v} == {
+        (number(1, 0, 0), 0, 0): 2.0, (number(1, 0, 0), 0, 3): 5.0, (number(1, 0, 0), 3, 0): 5.0, (number(1, 1, 4), 1, 1): 7.0,
+        (number(2, 1, 1), 0, 1): 3.0, (number(2, 1, 1), 1, 0): 3.0,
+    }
+    assert images.tiles(cells.where("false"), 4).count() == 0
+
+
+def test_library_sizes_solve_their_equation():
+    unique, again = np.array([900.0, 10.0, 5.0, 0.0, 10**9]), np.array([100.0, 90.0, 0.0, 4.0, 1.0])
+    size = scalars.library_sizes(unique, again)
+    assert list(size[2:4]) == [0.0, 0.0]
+    for c, n, x in zip(unique[[0, 1]], (unique + again)[[0, 1]], size[[0, 1]], strict=True):
+        assert abs(c / x - 1 + np.exp(-n / x)) < 1e-9
+    assert size[4] > 10**17
+
+
+def test_text_matrices_of_several_chromosomes_balance_apart(spark):
+    cells = [(c, f"{i}\t{j}\t{1 + (i * 3 + j * c) % 5}") for c in (1, 2) for i in range(6) for j in range(i, 6)]
+    lines = spark.createDataFrame(cells, "chr int, value string")
+    both = {(r.chr, r.bin): r.value for r in norm.balance_text(lines, "chr").collect()}
+    for c in (1, 2):
+        alone = {r.bin: r.value for r in norm.balance_text(lines.where(f"chr = {c}")).collect()}
+        assert {b: both[c, b] for b in alone} == pytest.approx(alone, rel=1e-4)
