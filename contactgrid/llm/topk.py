@@ -21,6 +21,8 @@ SHARD_ROWS, PAGE, FANOUT, QUERY_BLOCK = 8192, 128, 16, 1024
 PIVOT_SAMPLE, MOST_PIVOTS = 4096, 256
 #: Trees' roots that are held against a block of queries in one step.
 ROOTS_STEP = 4096
+#: Blocks of queries that meet the roots under one key, so that no key holds all blocks; rows of a table that is broadcast, at most.
+SALT_BLOCKS, BROADCAST_ROWS = 64, 100_000
 
 
 @dataclass
@@ -214,7 +216,8 @@ def exact_top_k(vectors: DataFrame, k: int = 20, query_step: int = 20) -> DataFr
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.coalesce(bad, F.lit(True)) & F.col("vec_id").isNotNull())
     v = v.select(F.col("vec_id").cast("long").alias("vec_id"), F.size("embedding").alias("dim"), whole.alias("v"))
-    pivots = _pivots(v, vectors.count())
+    n = vectors.count()
+    pivots = _pivots(v, n)
 
     @F.pandas_udf("int")
     def nearest(dim: pd.Series, x: pd.Series) -> pd.Series:
@@ -229,7 +232,8 @@ def exact_top_k(vectors: DataFrame, k: int = 20, query_step: int = 20) -> DataFr
     v = materialize(v.withColumn("cell", nearest("dim", "v")), "vectors")
     sizes = v.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum(asks.cast("long")).alias("n_asks"))
     parts = sizes.select("dim", "cell", F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("parts"), F.greatest(F.ceil(F.col("n_asks") / QUERY_BLOCK), F.lit(1)).cast("int").alias("blocks"))
-    v = v.join(F.broadcast(parts), ["dim", "cell"])
+    parts = materialize(parts, "parts")
+    v = v.join(F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts, ["dim", "cell"])
     numbered = lambda part: (F.col("cell").cast("long") * (1 << 32) + part)
     dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n))
     trees = v.withColumn("shard", numbered(dealt("parts"))).groupBy("dim", "shard").applyInPandas(_grow, "dim int, shard bigint, center binary, radius double, tree binary")
@@ -239,9 +243,12 @@ def exact_top_k(vectors: DataFrame, k: int = 20, query_step: int = 20) -> DataFr
     first = asked.join(trees.select("dim", "shard", "tree"), ["dim", "shard"], "left")
     first = first.where("tree is not null").groupBy("dim", "block").applyInPandas(_own(k), "dim int, block bigint, shard bigint, queries binary, found binary")
     first = materialize(asked.join(first.select("dim", "block", F.col("queries").alias("known"), "found"), ["dim", "block"], "left").select("dim", "block", F.when(F.col("found").isNotNull(), F.col("shard")).otherwise(-1).alias("shard"), F.coalesce("known", "queries").alias("queries"), "found"), "first-found")
-    roots = trees.select("dim", "shard", "center", "radius").withColumn("step", F.pmod(F.xxhash64("shard"), F.lit(max(1, ceil(vectors.count() / SHARD_ROWS / ROOTS_STEP)))))
+    roots = trees.select("dim", "shard", "center", "radius").withColumn("step", F.pmod(F.xxhash64("shard"), F.lit(max(1, ceil(n / SHARD_ROWS / ROOTS_STEP)))))
     roots = roots.groupBy("dim", "step").agg(F.collect_list(F.struct("shard", "center", "radius")).alias("roots"))
-    pairs = first.drop("found").join(roots, "dim").groupBy("dim", "block", "step").applyInPandas(_hopeful, "dim int, block bigint, shard bigint, which binary")
+    salts = max(1, ceil(first.count() / SALT_BLOCKS))
+    roots = roots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = first.drop("found").withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
+    pairs = salted.join(roots, ["dim", "salt"]).drop("salt").groupBy("dim", "block", "step").applyInPandas(_hopeful, "dim int, block bigint, shard bigint, which binary")
     pairs = materialize(pairs, "hopeful")
     both = pairs.join(first.select("dim", "block", "queries"), ["dim", "block"]).join(trees.select("dim", "shard", "tree"), ["dim", "shard"])
     found = both.groupBy("dim", "shard", "block").applyInPandas(_search(k), FOUND).unionByName(first.where("found is not null").select("found").mapInPandas(_unpacked, FOUND))

@@ -338,7 +338,10 @@ def test_signatures_estimate_weighted_jaccard():
 
 
 # Search
-def test_exact_top_k(spark, monkeypatch):
+@pytest.mark.parametrize(("salt_blocks", "broadcast_rows"), [(64, 100_000), (1, 0)])
+def test_exact_top_k(spark, monkeypatch, salt_blocks, broadcast_rows):
+    monkeypatch.setattr(topk, "SALT_BLOCKS", salt_blocks)
+    monkeypatch.setattr(topk, "BROADCAST_ROWS", broadcast_rows)
     monkeypatch.setattr(topk, "SHARD_ROWS", 300)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 16)
     rng = np.random.default_rng(7)
