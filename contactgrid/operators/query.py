@@ -8,15 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_REGION = r"^([^:\s]+)(?::([\d,]+)[:-]([\d,]+))?$"
+
+
 def parse_region(text: str) -> tuple[str, int | None, int | None]:
     """chr or chr:start:end (also chr:start-end, with commas)."""
-    m = re.fullmatch(r"\s*([^:\s]+)(?::([\d,]+)[:-]([\d,]+))?\s*", text)
+    m = re.match(_REGION, text.strip())
     if not m:
         raise ValueError(f"not a region: {text!r}")
     number = lambda x: int(x.replace(",", "")) if x else None
     return m[1], number(m[2]), number(m[3])
 
 
+def regions(text: Column) -> Column:
+    """chr, x1, x2 of region strings as parse_region() reads them, as a struct of each row; null where a string is none."""
+    t = F.trim(text)
+    number = lambda k: F.replace(F.regexp_extract(t, _REGION, k), F.lit(","), F.lit("")).try_cast("long")
+    return F.when(t.rlike(_REGION), F.struct(F.regexp_extract(t, _REGION, 1).alias("chr"), number(2).alias("x1"), number(3).alias("x2")))
+
+
 def parse_position(text: str) -> tuple[str, int | None, int | None, int | None]:
     """What is typed into a position field: chr, start and end (one position: both the same), and a resolution after a last colon.
 

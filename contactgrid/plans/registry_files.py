@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from contactgrid import adapters
 from contactgrid.functions import scalars
-from contactgrid.operators import assembly, expected, norm, pairs, stats
-from contactgrid.plans.registry import BASE, COVERAGE, DENSITY, LOCI, PAIRS, SIZE, SIZES, _cells, _control, _round, _sizes, _stored, cells_sql, registered
+from contactgrid.operators import assembly, binning, expected, norm, pairs, query, stats
+from contactgrid.plans.registry import BASE, COVERAGE, DENSITY, LOCI, LOOPS, PAIRS, SIZE, SIZES, _cells, _control, _pairs, _round, _sizes, _stored, cells_sql, registered
 from contactgrid.sources import sinks, text
 from contactgrid.tables import new_path
 
@@ -77,6 +77,46 @@ def s23(s, d):
     return text.parse_sites(pairs.site_arrays(adapters.sites(s, d)).select(F.concat(F.lit("chr"), F.col("chr").cast("string"), F.lit(" "), sites).alias("value")))
 
 
+@registered("s04_inferred_layouts", f"""WITH {PAIRS} SELECT v.layout AS layout, CAST(chr1 AS VARCHAR) AS chr1, pos1, CAST(chr2 AS VARCHAR) AS chr2, pos2 FROM pairs, (SELECT unnest(['short', 'super_short', 'dcic']) AS layout) v""")
+def s04(s, d):
+    """Pairs in three layouts, each read back by what its file's first lines show."""
+    p, found = _pairs(s, d), None
+    way = lambda e, yes, no: F.when(F.col(f"strand{e}"), F.lit(yes)).otherwise(F.lit(no))
+    layouts = {
+        "short": [way(1, "0", "16"), "chr1", "pos1", "frag1", way(2, "0", "16"), "chr2", "pos2", "frag2"],
+        "super_short": ["chr1", "pos1", "chr2", "pos2"],
+        "dcic": ["pair_id", "chr1", "pos1", "chr2", "pos2", way(1, "+", "-"), way(2, "+", "-")],
+    }
+    for name, columns in layouts.items():
+        path = new_path(s, name)
+        line = F.concat_ws("\t" if name == "dcic" else " ", *columns)
+        first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # of a partition, so of a file
+        p.select(F.concat(F.when(first & F.lit(name == "dcic"), F.lit("## pairs format v1.0\n")).otherwise(F.lit("")), line).alias("value")).write.text(path)
+        back = text.read_any_pairs(s, path).select(F.lit(name).alias("layout"), "chr1", "pos1", "chr2", "pos2")
+        found = back if found is None else found.unionByName(back)
+    return found
+
+
+@registered("f14_region_strings", f"WITH {LOOPS} SELECT id, 'chr' || chr AS chr, start1 AS x1, end2 AS x2 FROM loops UNION ALL SELECT -1 - id, 'chr' || chr, -1, -1 FROM loops")
+def f14(s, d):
+    """Loops' regions, and their chromosomes alone, which have no places (-1), written as strings and read."""
+    t = adapters.loops(s, d)
+    name, digits = F.concat(F.lit("chr"), F.col("chr").cast("string")), lambda c: F.format_number(F.col(c), 0)
+    both = t.select("id", F.concat(name, F.lit(":"), digits("start1"), F.when(F.col("id") % 2 == 0, "-").otherwise(":"), digits("end2"), F.lit(" ")).alias("value"))
+    return both.unionByName(t.select(-1 - F.col("id"), name.alias("value")).toDF("id", "value")).select("id", query.regions(F.col("value")).alias("r")).select("id", "r.*").fillna(-1, ["x1", "x2"])
+
+
+@registered("f07_thinned_sums", f"{BASE} SELECT chr1, chr2, sum(counts) AS total, TRUE AS in_bounds, TRUE AS near_half FROM cells GROUP BY chr1, chr2")
+def f07s(s, d):
+    """Of each pair of chromosomes, whether all thinned cells hold whole counts, none more than before, and their sum is within six deviations of half."""
+    cells = _stored(s, d)
+    key = ["chr1", "chr2", "bin_x", "bin_y"]
+    both = cells.join(binning.thin(cells, 0.5).withColumnRenamed("counts", "kept"), key, "left").fillna(0.0, ["kept"])
+    fine = (F.col("kept") >= 0) & (F.col("kept") <= F.col("counts")) & (F.col("kept") == F.floor("kept"))
+    near = F.abs(F.sum("kept") - F.sum("counts") / 2) <= 6 * F.sqrt(F.sum("counts") / 4)
+    return both.groupBy("chr1", "chr2").agg(F.sum("counts").alias("total"), F.bool_and(fine).alias("in_bounds"), near.alias("near_half"))
+
+
 @registered("k09_bed_export", f"WITH {LOCI} SELECT DISTINCT 'chr' || chr AS chr, x1, x2 FROM loci")
 def k09(s, d):
     path = new_path(s, "bed")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from contactgrid.functions import scalars
 from contactgrid.operators import binning, domains, expected, intervals, linalg, loops, norm, query
@@ -213,3 +214,9 @@ def test_resolved_layout(spark):
     found = {r.id: (r.new_start, r.inverted) for r in assembly.resolve(scaffolds, layout).collect()}
     assert found == {2: (0, True), 1: (50, False), 3: (150, False)}
     assert assembly.aggregates(assembly.resolve(scaffolds, layout)).count() == 3
+
+
+def test_region_strings_as_columns(spark):
+    texts = ["chr1:1,000-2000", " 2:5:9 ", "X", "chr1:5", "", None, "a b"]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, value string").select("id", query.regions(F.col("value")).alias("r")).orderBy("id").collect()
+    assert [r.r and tuple(r.r) for r in found] == [("chr1", 1000, 2000), ("2", 5, 9), ("X", None, None), None, None, None, None]
