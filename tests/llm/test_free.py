@@ -49,6 +49,7 @@ def test_blocks(page, told):
     [
         ("<p id='notice-of-appeal'>a<h2 class='search-title'>b</h2><div class='hidden-gems'>c</div><p class='navigation-history'>d", ["a", "b", "c", "d"]),
         ("<div class='site-footer'>no</div><div id='comment-12'>no</div><p class='ad-300x250'>no</p><ul class=sidebarLeft><li>no</ul><p>yes", ["yes"]),
+        ("<article><h2 id='search'>a</h2><p id='discussion'>b</p><p class='advert'>no</p><div id='comments'>no</div></article><p id='copyright'>no", ["a", "b"]),
         ("<p>one<a href=/some/long/path/to/page title=don't>two</a><a title='x>y'>three</a>", ["onetwothree"]),
         ("<p>a<a href=/path/to/the-page-that-was-cut", ["a"]), ("<p>a<a title='never closed>b", ["ab"]), ("<p>&#99999999999999;&#x0000041;&#00000000066;", ["�AB"]),
     ],
@@ -70,6 +71,14 @@ def test_any_page_takes_linear_time(page):
     assert time.process_time() - began < 30
 
 
+def test_columns_of_pages_that_clash(spark):
+    html = "<article><p>one &amp; two</article>"
+    rows = [(1, "http://a/1", html, "b", 7, "t", 1), (2, None, None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, blocks string, page int, text string, n_chars int")
+    found = {r.page_id: (r.url, r.text, r.n_chars) for r in html_text.main_text(pages).collect()}
+    assert found == {1: ("http://a/1", "one & two", 9), 2: (None, "", 0)}
+
+
 def test_host_repeats_go_where_markup_is_silent(spark):
     menu = "<div>Home of all the things that we sell and more of them</div><div>Read our long and repeated terms of service which nobody reads at all ever</div>"
     word = lambda i, k: f"w{i}x{k}"
