@@ -38,9 +38,13 @@ def between_fragments(pairs: DataFrame) -> DataFrame:
     return pairs.where("not (chr1 = chr2 and frag1 = frag2)")
 
 
-def subsample(pairs: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
-    """F06."""
-    return pairs.sample(fraction=fraction, seed=seed)
+def subsample(pairs: DataFrame, fraction: float, seed: int = 0, by: str | None = None) -> DataFrame:
+    """about a share of the pairs, dealt by a hash of the column ``by``, or of all columns, and the seed.
+
+    So a task that is run again takes the same pairs, in whatever order they come; pairs that are alike stay or go together, and a smaller share lies inside a larger one.
+    """
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *([by] if by else pairs.columns)), 11) / F.lit(float(1 << 53))
+    return pairs.where(draw < fraction)
 
 
 def clamp(pairs: DataFrame, chrom_sizes: DataFrame) -> DataFrame:

@@ -117,6 +117,17 @@ def f07s(s, d):
     return both.groupBy("chr1", "chr2").agg(F.sum("counts").alias("total"), F.bool_and(fine).alias("in_bounds"), near.alias("near_half"))
 
 
+@registered("f06_subsample_shares", f"WITH {PAIRS} SELECT chr1, chr2, count(*) AS total, TRUE AS near_share, TRUE AS nested FROM pairs GROUP BY chr1, chr2")
+def f06(s, d):
+    """Of each two chromosomes, whether three tenths of the orders give about as many pairs, in whole orders, and a tenth lies inside them."""
+    p = _pairs(s, d)
+    small, large = (pairs.subsample(p.select("pair_id").distinct(), share, 5, "pair_id").withColumn(name, F.lit(True)) for share, name in ((0.1, "small"), (0.3, "large")))
+    both = p.join(small, "pair_id", "left").join(large, "pair_id", "left").fillna(False, ["small", "large"])
+    taken = F.count_if("large")
+    near = F.abs(taken - 0.3 * F.count(F.lit(1))) <= 6 * F.sqrt(7 * 0.21 * F.count(F.lit(1)))  # an order has seven pairs at most
+    return both.groupBy("chr1", "chr2").agg(F.count(F.lit(1)).alias("total"), near.alias("near_share"), F.bool_and(~F.col("small") | F.col("large")).alias("nested"))
+
+
 @registered("k09_bed_export", f"WITH {LOCI} SELECT DISTINCT 'chr' || chr AS chr, x1, x2 FROM loci")
 def k09(s, d):
     path = new_path(s, "bed")

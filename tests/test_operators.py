@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contactgrid.functions import scalars
-from contactgrid.operators import binning, domains, expected, intervals, linalg, loops, norm, query
+from contactgrid.operators import binning, domains, expected, intervals, linalg, loops, norm, pairs, query
 from contactgrid.sources import text
 from contactgrid.streaming.ingest import stream_contacts
 
@@ -220,3 +220,14 @@ def test_region_strings_as_columns(spark):
     texts = ["chr1:1,000-2000", " 2:5:9 ", "X", "chr1:5", "", None, "a b"]
     found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, value string").select("id", query.regions(F.col("value")).alias("r")).orderBy("id").collect()
     assert [r.r and tuple(r.r) for r in found] == [("chr1", 1000, 2000), ("2", 5, 9), ("X", None, None), None, None, None, None]
+
+
+def test_subsamples_are_the_same_in_any_order(spark):
+    rows = spark.range(20_000).select("id", (F.col("id") % 7).alias("k"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("n"))
+    ids = lambda f: {r.id for r in f.select("id").collect()}
+    some = ids(pairs.subsample(rows, 0.3, 1))
+    assert some == ids(pairs.subsample(rows.repartition(5, "k"), 0.3, 1)) and 5_600 < len(some) < 6_400
+    assert ids(pairs.subsample(rows, 0.1, 1)) < some != ids(pairs.subsample(rows, 0.3, 2))
+    assert pairs.subsample(rows, 0.0).count() == 0 and pairs.subsample(rows, 1.0).count() == 20_000
+    whole = pairs.subsample(rows, 0.5, 1, "k").groupBy("k").count().collect()
+    assert {r["count"] for r in whole} <= {r["count"] for r in rows.groupBy("k").count().collect()}
