@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -118,13 +119,16 @@ def islands(rows: DataFrame, gap: int = 0) -> DataFrame:
     return rows.join(found, "id")
 
 
-def by_island(rows: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """What run() gives for each island of the rows. Islands that begin in one stretch of a chromosome are one group, as most are small."""
+def by_island(rows: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str, at_once: bool = False) -> DataFrame:
+    """What run() gives for each island of the rows. Islands that begin in one stretch of a chromosome are one group, as most are small.
+
+    With ``at_once`` run() gets the whole group, and tells its islands apart by the column island: frames of a few rows each cost more than their rows.
+    """
 
     def each(f: pd.DataFrame) -> pd.DataFrame:
         return pd.concat([run(g) for _, g in f.groupby("island", sort=False)])
 
-    return islands(rows).groupBy("chr", F.floor(F.col("island") / (1 << 18)).alias("stretch")).applyInPandas(each, schema)
+    return islands(rows).groupBy("chr", F.floor(F.col("island") / (1 << 18)).alias("stretch")).applyInPandas(run if at_once else each, schema)
 
 
 def non_conflicting(main: DataFrame, more: DataFrame) -> DataFrame:
@@ -136,17 +140,21 @@ def non_conflicting(main: DataFrame, more: DataFrame) -> DataFrame:
     both = both.withColumns({"own": F.col("id"), "id": F.xxhash64("turn", "id")})
 
     def accept(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["turn", "own"])
-        edges, found = [], []
-        for r in f.itertuples():
-            if r.turn and any(r.x1 <= e <= r.x2 for e in edges):
+        f = f.sort_values(["island", "turn", "own"])
+        found, here = [], None
+        for island, turn, own, x1, x2 in zip(*(f[c].tolist() for c in ("island", "turn", "own", "x1", "x2")), strict=True):
+            if island != here:
+                here, edges = island, []
+            k = bisect_left(edges, x1)
+            if turn and k < len(edges) and edges[k] <= x2:
                 continue
-            edges += [r.x1, r.x2]
-            if r.turn:
-                found.append(r.own)
+            insort(edges, x1)
+            insort(edges, x2)
+            if turn:
+                found.append(own)
         return pd.DataFrame({"id": np.array(found, "int64")})
 
-    return by_island(both, accept, "id bigint")
+    return by_island(both, accept, "id bigint", at_once=True)
 
 
 SCORES = ["score", "uVarScore", "lVarScore", "upSign", "loSign"]
@@ -161,24 +169,33 @@ def binned_scores(rows: DataFrame, distance: int) -> DataFrame:
     spread = rows.select("id", "chr", F.col("i").cast("long").alias("x1"), (F.col("i") + distance - 1).cast("long").alias("x2"), "i", "j", *SCORES)
 
     def join(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("id")
-        edges: list[list[int]] = []
-        members: list[list[int]] = []
-        for k, (i, j) in enumerate(zip(f["i"], f["j"], strict=True)):
-            for box, rows_ in zip(edges, members, strict=True):
-                if min(abs(box[0] - i), abs(box[1] - i)) < distance and min(abs(box[2] - j), abs(box[3] - j)) < distance:
-                    box[:] = min(box[0], i), max(box[1], i), min(box[2], j), max(box[3], j)
-                    rows_.append(k)
-                    break
+        f = f.sort_values(["island", "id"])
+        edges: list[tuple[int, int, int, int]] = []
+        box = np.empty(len(f), "int64")
+        here = None
+        for k, (island, i, j) in enumerate(zip(f["island"].tolist(), f["i"].tolist(), f["j"].tolist(), strict=True)):
+            if island != here:
+                here, known = island, {}  # boxes by the cells of their corners, of which one is next to a row that fits
+            cells = ((a, b) for a in range(i // distance - 1, i // distance + 2) for b in range(j // distance - 1, j // distance + 2))
+            near = sorted({n for c in cells for n in known.get(c, ())})
+            fits = lambda e: min(abs(e[0] - i), abs(e[1] - i)) < distance and min(abs(e[2] - j), abs(e[3] - j)) < distance  # noqa: B023, E731
+            n = next((n for n in near if fits(edges[n])), len(edges))
+            if n == len(edges):
+                edges.append((i, i, j, j))
             else:
-                edges.append([i, i, j, j])
-                members.append([k])
-        means = [f.iloc[m][SCORES].mean() for m in members]
-        out = pd.DataFrame(means).assign(chr=f["chr"].iloc[0], i=[e[1] for e in edges], j=[e[3] for e in edges], n=[len(m) for m in members])
+                e = edges[n]
+                edges[n] = min(e[0], i), max(e[1], i), min(e[2], j), max(e[3], j)
+            box[k] = n
+            for c in {(a // distance, b // distance) for a in edges[n][:2] for b in edges[n][2:]}:
+                at = known.setdefault(c, [])
+                if n not in at:
+                    at.append(n)
+        by = f[SCORES].groupby(box)
+        out = by.mean().assign(chr=f["chr"].iloc[0], i=[e[1] for e in edges], j=[e[3] for e in edges], n=by.size())
         return out[["chr", "i", "j", "n", *SCORES]]
 
     kind = "chr int, i bigint, j bigint, n int, " + ", ".join(f"{s} double" for s in SCORES)
-    return by_island(spread, join, kind)
+    return by_island(spread, join, kind, at_once=True)
 
 
 def triple_centroids(triples: DataFrame, tolerance: int) -> DataFrame:
