@@ -5,14 +5,21 @@ Rows and columns of an image are window partitions, so the images of many loops
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from contactgrid.functions.scalars import poisson_upper, poisson_z
+from contactgrid.functions.scalars import poisson_upper
+from contactgrid.operators.norm import both_sides
 from contactgrid.tables import written
 
 #: Places of dense images that a task is dealt: as many as it sorts in memory.
 TASK_PIXELS = 500_000
+#: Places of windows that the localizer works on at once.
+WINDOW_PIXELS = 1_000_000
 
 
 def _row() -> WindowSpec:
@@ -163,24 +170,78 @@ def loop_images(loops: DataFrame, cells: DataFrame, bin_size: int, radius: int)
     return at.join(c, ["chr", "bin_x", "bin_y"], "left").select("id", "i", "j", F.coalesce("counts", F.lit(0.0)).alias("value"))
 
 
+def _box_mean(m: np.ndarray, radius: int, axis: int) -> np.ndarray:
+    """_blurred() of a stack of images."""
+    m = np.moveaxis(m, axis, -1)
+    n = m.shape[-1]
+    padded = np.pad(m, ((0, 0), (0, 0), (radius, radius)))
+    inside = np.zeros(m.shape)
+    for k in range(2 * radius + 1):
+        inside += padded[..., k : k + n]
+    first, last = np.maximum(radius - np.arange(n), 0), np.maximum(radius - np.arange(n)[::-1], 0)
+    return np.moveaxis((inside + (first * m[..., :1] + last * m[..., -1:])) / (2 * radius + 1), -1, axis)
+
+
+def _box_means(m: np.ndarray, radius: int) -> np.ndarray:
+    """box_blur() of a stack of images."""
+    return _box_mean(_box_mean(m, radius, 2), radius, 1)
+
+
+def _outstanding(z: np.ndarray, value: np.ndarray, radius: int) -> tuple[np.ndarray, ...]:
+    """peaks() of a stack of images by z, which is -inf where nothing is told: image, row and column of each."""
+    n = z.shape[-1]
+    padded = np.pad(z, ((0, 0), (radius, radius), (radius, radius)), constant_values=-np.inf)
+    most = padded
+    for axis in (1, 2):
+        most = np.max([np.take(most, range(k, k + n), axis) for k in range(2 * radius + 1)], axis=0)
+    at, i, j = np.nonzero((value > 0) & (z > -np.inf) & (z >= most))
+    stays = np.ones(len(at), bool)
+    for di, dj in ((di, dj) for di in range(-radius, 1) for dj in range(-radius, radius + 1) if (di, dj) < (0, 0)):
+        stays &= padded[at, i + radius + di, j + radius + dj] != z[at, i, j]
+    return at[stays], i[stays], j[stays]
+
+
 def localize(loops: DataFrame, cells: DataFrame, bin_size: int, radius: int = 25, window: int = 1, sigma: int = 3, most_p: float = 0.1, n: int = 1) -> DataFrame:
     """The fine peaks inside coarse loops: id, rank, start1, start2, observed, expected, z, p_value.
 
     What a loop's window holds is summed over boxes of ``window`` bins around each cell; the same, blurred, and of equal mass
     over all, is what is expected. Cells that stand out most from it within a box of their own are peaks; the p-value of a
     peak counts all of its window. At most n of a loop, the strongest first.
+
+    Loops of one place share a window. Cells meet it by squares as wide, and only those that it holds are shuffled, a row a window; its zeros are made in the tasks, which work on many windows at once.
     """
-    raw = written(loop_images(loops, cells, bin_size, radius), "loop-images")
-    summed = box_blur(raw, window).withColumn("value", F.col("value") * (2 * window + 1) ** 2)
-    blurred = gaussian_blur(summed, sigma).withColumnRenamed("value", "expected")
-    both = written(summed.join(blurred, ["id", "i", "j"]), "blurred")
-    all_ = Window.partitionBy("id")
-    both = both.withColumn("expected", F.col("expected") * F.try_divide(F.sum("value").over(all_), F.sum("expected").over(all_))).where("expected > 0")
-    found = peaks(both.withColumn("z", poisson_z(F.col("value"), F.col("expected"))), 2 * window + 1, "z")
-    found = found.withColumn("p_value", F.least(poisson_upper(F.round("value"), F.col("expected")) * F.count(F.lit(1)).over(all_), F.lit(1.0))).where(F.col("p_value") <= most_p)
-    rank = F.row_number().over(all_.orderBy(F.col("z").desc(), "i", "j"))
+    width = 2 * radius + 1
     mid = lambda e: F.floor(F.floor((F.col(f"start{e}") + F.col(f"end{e}")) / 2) / bin_size)
     at = loops.select("id", "chr", mid(1).alias("x0"), mid(2).alias("y0"))
+    square = lambda c: F.floor(c / width)
+    touched = lambda c: F.explode(F.array_distinct(F.array(square(F.col(c) - radius), square(F.col(c) + radius))))
+    windows = at.select("chr", "x0", "y0").distinct().withColumn("tx", touched("x0")).withColumn("ty", touched("y0"))
+    sides = both_sides(cells).withColumns({"tx": square(F.col("bin")), "ty": square(F.col("other"))})
+    i, j = F.col("bin") - F.col("x0") + radius, F.col("other") - F.col("y0") + radius
+    seen = windows.join(sides.hint("merge"), ["chr", "tx", "ty"]).where(i.between(0, width - 1) & j.between(0, width - 1))
+    held = seen.groupBy("chr", "x0", "y0").agg(F.collect_list((i * width + j).cast("int")).alias("place"), F.collect_list(F.coalesce("counts", F.lit(0.0)).cast("double")).alias("counts"))
+    step = max(1, WINDOW_PIXELS // width**2)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for low in range(0, len(f), step):
+                g = f.iloc[low : low + step]
+                raw = np.zeros((len(g), width * width))
+                raw[np.repeat(np.arange(len(g)), g["place"].str.len()), np.concatenate(g["place"].to_numpy())] = np.concatenate(g["counts"].to_numpy())
+                value = _box_means(raw.reshape(len(g), width, width), window) * (2 * window + 1) ** 2
+                expected = value
+                for box in boxes(sigma):
+                    expected = _box_means(expected, (box - 1) // 2)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    expected = expected * (value.sum(axis=(1, 2)) / expected.sum(axis=(1, 2)))[:, None, None]
+                    z = np.where(expected > 0, 2 * (np.sqrt(value) - np.sqrt(expected)), -np.inf)
+                k, row, column = _outstanding(z, value, 2 * window + 1)
+                peak = {c: v[k, row, column] for c, v in (("value", value), ("expected", expected), ("z", z))}
+                yield g[["chr", "x0", "y0"]].iloc[k].assign(i=row, j=column, n_peaks=np.bincount(k, minlength=len(g))[k], **peak)
+
+    found = held.mapInPandas(run, "chr int, x0 long, y0 long, i int, j int, n_peaks long, value double, expected double, z double")
+    found = found.withColumn("p_value", F.least(poisson_upper(F.round("value"), F.col("expected")) * F.col("n_peaks"), F.lit(1.0))).where(F.col("p_value") <= most_p)
+    rank = F.row_number().over(Window.partitionBy("chr", "x0", "y0").orderBy(F.col("z").desc(), "i", "j"))
     start = lambda o, c: ((F.col(o) - radius + F.col(c)) * bin_size).cast("long")
-    best = found.withColumn("rank", rank).where(F.col("rank") <= n).join(at, "id")
+    best = found.withColumn("rank", rank).where(F.col("rank") <= n).join(at, ["chr", "x0", "y0"])
     return best.select("id", "chr", "rank", start("x0", "i").alias("start1"), start("y0", "j").alias("start2"), F.col("value").alias("observed"), "expected", "z", "p_value")
