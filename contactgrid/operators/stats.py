@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from contactgrid.functions.scalars import poisson_upper
 
 from contactgrid.operators.pairs import alignment
+from contactgrid.tables import counted, written
 
 
 def pair_statistics(pairs: DataFrame, mapq: int, short: int = 20_000) -> DataFrame:
@@ -186,6 +187,7 @@ def validate(cells: DataFrame, chrom_sizes: DataFrame, bin_size: int) -> DataFra
     """Of each matrix its cells, and how many are negative or no number, in the wrong order, beyond a chromosome's end, or there twice."""
     n = lambda c: F.sum(F.coalesce(c, F.lit(True)).cast("long"))
     cells = cells.groupBy("chr1", "chr2", "bin_x", "bin_y").agg(F.count(F.lit(1)).alias("times"), F.min("counts").alias("counts"))
+    chrom_sizes = counted(written(chrom_sizes, "sizes"))  # a join by shuffle would leave all cells of a chromosome to one task
     for e, b in (("1", "bin_x"), ("2", "bin_y")):
         last = chrom_sizes.select(F.col("chr").alias(f"chr{e}"), F.floor(F.col("length") / bin_size).alias(f"last{e}"))
         cells = cells.join(last, f"chr{e}", "left").withColumn(f"beyond{e}", (F.col(b) < 0) | (F.col(b) > F.col(f"last{e}")))
