@@ -103,3 +103,37 @@ def test_lifted_cells_are_copied_behind_the_joins(spark):
     want = {(a, b, *sorted(((n[a] + x * 1000) // 1000, (n[b] + 1000) // 1000)), 2.0) for n, x in (({1: 100, 2: 9000}, 0),) for a in (1, 2) for b in (1, 2)}
     want |= {(a, 3, 0, (n + 1000) // 1000, 3.0) for a, n in ((1, 100), (2, 9000))}
     assert {tuple(r) for r in lifted.collect()} == want
+
+
+def test_gram_of_tasks_without_rows(spark):
+    from contactgrid.operators import linalg
+
+    rows = spark.createDataFrame([(1, [], [2.0, 1.0])], "chr int, q array<double>, y array<double>")
+    assert linalg._gram(rows.repartition(3).unionByName(rows.where("chr = 2")))[1].tolist() == [[4, 2], [2, 1]]
+
+
+def test_stripes_meet_in_as_many_tasks_as_they_ask_for(spark, monkeypatch):
+    from contactgrid.operators import linalg
+
+    monkeypatch.setattr(linalg, "TASK_STRIPES", 4, raising=False)
+    oe = spark.createDataFrame([(1, 1, k, k + 1, 1.0 + k % 3) for k in range(31)], "chr1 int, chr2 int, bin_x int, bin_y int, oe double")
+    sizes = spark.createDataFrame([(1, 3200)], "chr int, length long")
+    found = linalg.pearson(oe, sizes, 100, height=8)
+    assert found.rdd.getNumPartitions() == 1 + 16 // 4
+    assert found.count() == 32 * 32
+    whole = {(r.row, r.row2): r.r for r in linalg.pearson(oe, sizes, 100).collect()}
+    assert all(abs(r.r - whole[r.row, r.row2]) < 1e-12 for r in found.collect())
+
+
+def test_records_are_cut_into_pieces_and_short_ranges_share_tasks(spark, tmp_path):
+    from contactgrid.sources import binary
+
+    rows = [(1, k, 2, k * 3, 0.5) for k in range(2501)]
+    pairs = spark.createDataFrame(rows, "chr1 int, pos1 int, chr2 int, pos2 int, score float").coalesce(1)
+    found = binary.decode_records(binary.encode_records(pairs, binary.SHORT), binary.SHORT)
+    assert "Generate explode" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == rows
+    binary.write_records(pairs, str(tmp_path / "r"), binary.SHORT, ".bn")
+    read = binary.read_binary_pairs(spark, f"{tmp_path}/r/*.bn", 10)
+    assert read.rdd.getNumPartitions() <= max(4, spark.sparkContext.defaultParallelism)
+    assert sorted(tuple(r) for r in read.collect()) == rows
