@@ -19,6 +19,10 @@ LONG = np.dtype([("strand1", "?"), ("chr1", "<i4"), ("pos1", "<i4"), ("frag1", "
 SHORT = np.dtype([("chr1", "<i4"), ("pos1", "<i4"), ("chr2", "<i4"), ("pos2", "<i4"), ("score", "<f4")])
 #: The records of a dump of cells.
 CELL = np.dtype([("x", "<i4"), ("y", "<i4"), ("value", "<f4")])
+#: Records of a piece of a longer row of them.
+PIECE_RECORDS = 100
+#: Bytes of short ranges that make a batch together.
+BATCH_BYTES = 1 << 20
 _SQL = {"b": "boolean", "i": "int", "f": "float"}
 
 
@@ -27,14 +31,16 @@ def _schema(kind: np.dtype) -> str:
 
 
 def decode_records(blobs: DataFrame, kind: np.dtype) -> DataFrame:
-    """Pairs from rows with whole records in ``content``."""
+    """Pairs from rows with whole records in ``content``, which are cut into pieces first, so that a batch of rows is bounded whatever their length."""
+    width = PIECE_RECORDS * kind.itemsize
+    numbers = F.sequence(F.lit(0), F.floor((F.length("content") - 1) / width).cast("int"))
+    pieces = blobs.where(F.length("content") > 0).select(F.explode(F.transform(numbers, lambda k: F.substring(F.col("content"), k * width + 1, F.lit(width)))).alias("content"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for content in f["content"]:
-                yield pd.DataFrame(np.frombuffer(content, kind))
+            yield pd.DataFrame(np.frombuffer(b"".join(f["content"]), kind))
 
-    return blobs.select("content").mapInPandas(run, _schema(kind))
+    return pieces.mapInPandas(run, _schema(kind))
 
 
 def encode_records(pairs: DataFrame, kind: np.dtype) -> DataFrame:
@@ -50,7 +56,7 @@ def encode_records(pairs: DataFrame, kind: np.dtype) -> DataFrame:
     return pairs.select(*kind.names).mapInPandas(run, "content binary")
 
 
-#: Records that one task reads at a time.
+#: Records of a range of a file; a task is dealt about as many, in one range or several.
 SPLIT_RECORDS = 1 << 20
 
 
@@ -63,16 +69,27 @@ def record_splits(spark: SparkSession, path: str, width: int, records: int = SPL
 
 
 def read_records(spark: SparkSession, path: str, kind: np.dtype, records: int = SPLIT_RECORDS) -> DataFrame:
-    """Records of one file or many, dealt to tasks by ranges: a file of any size is many tasks'. Paths are of file systems that pyarrow knows."""
+    """Records of one file or many, dealt to tasks by ranges: a file of any size is many tasks'. Paths are of file systems that pyarrow knows.
+
+    Short ranges share tasks: there are as many as the records ask for, not one a range.
+    """
     splits = record_splits(spark, path, kind.itemsize, records)
-    n = max(1, splits.count())
+    count, size = splits.agg(F.count(F.lit(1)), F.sum("size")).first()
+    n = max(1, min(count, max(spark.sparkContext.defaultParallelism, -(-(size or 0) // (SPLIT_RECORDS * kind.itemsize)))))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for r in f.itertuples(index=False):
+            for name, ranges in f.groupby("path", sort=False):
                 # Spark shows local files with one slash
-                with _file(re.sub("^file:/+", "file:///", r.path)) as source:
-                    yield pd.DataFrame(np.frombuffer(source.read_at(int(r.size), int(r.at)), kind))
+                with _file(re.sub("^file:/+", "file:///", name)) as source:
+                    held: list[bytes] = []
+                    for r in ranges.itertuples(index=False):
+                        held.append(source.read_at(int(r.size), int(r.at)))
+                        if sum(map(len, held)) >= BATCH_BYTES:
+                            yield pd.DataFrame(np.frombuffer(b"".join(held), kind))
+                            held = []
+                    if held:
+                        yield pd.DataFrame(np.frombuffer(b"".join(held), kind))
 
     return splits.repartition(n, "path", "at").mapInPandas(run, _schema(kind))
 
