@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactgrid import adapters
-from contactgrid.operators import binning, expected, loops, norm
+from contactgrid.operators import binning, expected, loops
 from contactgrid.plans.registry import _round, cells_sql, registered
 from contactgrid.tables import written
 
@@ -73,28 +73,22 @@ def planted_cells(s, d, sizes=tuple(SIZES)) -> DataFrame:
     return written(binning.bin_contacts(adapters.loop_pairs(s, d), sizes).drop("unit"), "planted-cells")
 
 
-def _planted_map(s, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Cells, vectors, mean counts by distance, and bins without a norm, of all resolutions of the planted map."""
+def _planted_map(s, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Cells, the same with norms, vectors, mean counts by distance, and bins without a norm, of all resolutions of the planted map."""
     cells, sizes = planted_cells(s, d), adapters.chrom_sizes(adapters.loop_pairs(s, d))
-    vector, _, missing = loops.maps_by_size(cells, sizes, SIZES)
-    density = None
-    for size in SIZES:
-        mine = norm.normalize(cells.where(F.col("bin_size") == size).drop("bin_size"), vector.where(F.col("bin_size") == size).drop("bin_size"))
-        one = expected.raw_density(mine, sizes, size).withColumn("bin_size", F.lit(size))
-        density = one if density is None else density.unionByName(one)
-    return cells, vector, written(density, "densities"), missing
+    return cells, *loops.normed_maps(cells, sizes, SIZES, expected.raw_density)
 
 
 @registered("c01k_masks", f"{MASKED} SELECT CAST(bin_size AS INTEGER) AS bin_size, chr, bin_x, bin_y, observed, {', '.join(f'round({chr(34)}{e}{chr(34)}, 5) AS {chr(34)}{e}{chr(34)}' for e in _EXPECTED)} FROM told")
 def c01k(s, d):
-    cells, vector, density, _ = _planted_map(s, d)
+    _, cells, vector, density, _ = _planted_map(s, d)
     return _round(loops.pixels(cells, vector, density).select("bin_size", "chr", "bin_x", "bin_y", "observed", *_EXPECTED), *_EXPECTED, places=5)
 
 
 @registered("c01e_enriched_pixels", ENRICHED)
 def c01e(s, d):
     """Pixels of three resolutions that pass in all masks, clear of bins without a norm, before they are joined to centroids."""
-    cells, vector, density, missing = _planted_map(s, d)
+    _, cells, vector, density, missing = _planted_map(s, d)
     p = written(loops.pixels(cells, vector, density), "pixels")
     found = loops.clear_of_missing(loops.enriched(p, written(loops.thresholds(p), "rates")), missing)
     total = F.aggregate(F.array(*(F.col(f"fdr{m}") for m in loops.MASKS)), F.lit(0.0), lambda a, x: a + x)
@@ -113,7 +107,7 @@ def c01(s, d):
 @registered("c02_loops_by_p", None)
 def c02(s, d):
     cells, sizes = planted_cells(s, d), adapters.chrom_sizes(adapters.loop_pairs(s, d))
-    vector, density, missing = loops.maps_by_size(cells, sizes, SIZES)
+    cells, vector, density, missing = loops.normed_maps(cells, sizes, SIZES)
     return loops.call_loops_by_p(cells, vector, density, settings=loops.SETTINGS, missing=missing).select(*_LOOP)
 
 
@@ -139,7 +133,7 @@ def c03s(s, d):
 
 @registered("c03_loop_scores", None)
 def c03(s, d):
-    cells, vector, density, _ = _planted_map(s, d)
+    cells, _, vector, density, _ = _planted_map(s, d)
     of = lambda df: df.where("bin_size = 25000").drop("bin_size")
     found = loops.score_loops(_given(s, d), of(cells), of(vector), of(density), 25_000)
     return _round(found.select("id", "observed", *_EXPECTED), *_EXPECTED, places=5)
@@ -155,8 +149,8 @@ def c04d(s, d):
     maps, found = [], []
     for pairs_ in (at, at.where(~lost)):
         cells = written(binning.bin_contacts(pairs_, [10_000]).drop("unit"), "map-cells")
-        vector, density, missing = loops.maps_by_size(cells, sizes, [10_000])
+        met, vector, density, missing = loops.normed_maps(cells, sizes, [10_000])
         settings = {10_000: loops.SETTINGS[10_000]}
-        found.append(written(loops.call_loops(cells, vector, density, settings=settings, missing=missing), "map-loops"))
+        found.append(written(loops.call_loops(met, vector, density, settings=settings, missing=missing), "map-loops"))
         maps.append(tuple(m.drop("bin_size") for m in (cells, vector, density)))
     return loops.differential_loops(*found, *maps, 10_000).select("only_in", "chr", "start1", "end1", "start2", "end2")
