@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,29 +30,35 @@ def preference(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def _triangles(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each corner (a, b), the whole sums of v over its two triangles, each from that of (a, b - 1) and running sums along rows and columns.
+def _sweep(v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each width from 1, of all corners (a, a + width), the whole sums of v over their two triangles, each from that of (a, b - 1) and running sums along rows and columns.
 
     A domain a..b leaves two marks. In rows of its first half, cells whose mirror is upstream of a, columns 2i - a to b, prefer
     downstream (upper); in rows of its second half, cells past b whose mirror is still inside, b to 2i - a, prefer upstream (lower).
     """
     n = len(v)
-    right, down = np.pad(v.cumsum(1), ((0, 0), (1, 0))), np.pad(v.cumsum(0), ((1, 0), (0, 0)))
-    upper, lower = np.zeros((n, n)), np.zeros((n, n))
-    up, lo = v.diagonal().copy(), np.zeros(n)
+    right, down = np.zeros((n, n + 1), v.dtype), np.zeros((n + 1, n), v.dtype)
+    np.cumsum(v, 1, out=right[:, 1:])
+    np.cumsum(v, 0, out=down[1:])
+    up, lo = v.diagonal().astype(float), np.zeros(n)
+    del v
     for width in range(1, n):
         a = np.arange(0, n - width)
         b = a + width
         # column b comes to the upper triangle, and goes from the lower one, which gets row b
         up = up[:-1] + down[a + width // 2 + 1, b] - down[a, b]
         lo = lo[:-1] - (down[b, b] - down[a + (width + 1) // 2, b]) + right[b, np.minimum(2 * b - a, n - 1) + 1] - right[b, b + 1]
-        upper[a, b], lower[a, b] = up, lo
-    return upper, lower
+        yield up, lo
 
 
-def _mean(v: np.ndarray, ones: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    u, l = _triangles(v)  # noqa: E741
-    return u / np.maximum(ones[0], 1), l / np.maximum(ones[1], 1)
+def _triangles(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of _sweep() as squares."""
+    n = len(v)
+    upper, lower = np.zeros((n, n)), np.zeros((n, n))
+    for width, (up, lo) in enumerate(_sweep(v), 1):
+        a = np.arange(0, n - width)
+        upper[a, a + width], lower[a, a + width] = up, lo
+    return upper, lower
 
 
 def components(mask: np.ndarray) -> np.ndarray:
@@ -73,36 +79,66 @@ def components(mask: np.ndarray) -> np.ndarray:
     return out
 
 
-def corner_scores(m: np.ndarray, variance: float = VARIANCE) -> tuple[np.ndarray, ...]:
-    """The score of each corner, and the variances and signs it is made of; zero where the variance is over its threshold."""
+def corner_scores(m: np.ndarray, keep: Callable[[int, np.ndarray, np.ndarray], np.ndarray], variance: float = VARIANCE) -> tuple[np.ndarray, ...]:
+    """Of the corners (i, j) that are kept, the score and the variances and signs it is made of: i, j, score, uVar, lVar, upSign, loSign; zero where the variance is over its threshold.
+
+    Of a width and the signs of all its corners, ``keep`` tells the places of those to keep. Corners are gone through width by width, so that no square but running sums is held,
+    and those of signs, which are whole numbers up to the square's side, in two bytes.
+    """
     p = preference(m)
-    ones = _triangles((np.abs(p) > 0).astype(float))
-    u, l = _mean(p, ones)  # noqa: E741
-    su, sl = _mean(np.sign(p), ones)
-    vu, vl = _mean(p * p, ones)
-    vu -= u * u
-    vl -= l * l
-    scaled = lambda x: x / (np.abs(x).max() or 1)
-    score = scaled(l - u) + scaled(sl - su) - scaled(vu + vl)
-    return np.where(vu + vl > variance, 0.0, np.maximum(score, 0.0)), vu, vl, su, sl
+    if len(p) > np.iinfo(np.int16).max:
+        raise ValueError(f"{len(p)} bins: take a smaller tile")
+    sign = np.sign(p).astype(np.int16)
+    sweeps = [_sweep(np.abs(sign)), _sweep(sign), _sweep(p), _sweep(p * p)]
+    del p, sign
+    most, parts = np.zeros(3), []
+    for width, ((nu, nl), (su, sl), (u, l), (vu, vl)) in enumerate(zip(*sweeps, strict=True), 1):  # noqa: E741
+        nu, nl = np.maximum(nu, 1), np.maximum(nl, 1)
+        su, sl, u, l = su / nu, sl / nl, u / nu, l / nl  # noqa: E741
+        vu, vl = vu / nu - u * u, vl / nl - l * l
+        made = l - u, sl - su, vu + vl
+        most = np.maximum(most, [np.abs(x).max() for x in made])
+        if len(at := keep(width, su, sl)):
+            parts.append([at, at + width, *(x[at] for x in (*made, vu, vl, su, sl))])
+    if not parts:
+        return (np.empty(0, np.int64),) * 2 + (np.empty(0),) * 5
+    i, j, *made, vu, vl, su, sl = (np.concatenate(x) for x in zip(*parts, strict=True))
+    scaled = [x / (top or 1) for x, top in zip(made, most, strict=True)]
+    return i, j, np.where(made[2] > variance, 0.0, np.maximum(scaled[0] + scaled[1] - scaled[2], 0.0)), vu, vl, su, sl
 
 
 def call_tile(m: np.ndarray) -> list[tuple]:
     """Domains of a square on the diagonal: (start, end, score, uVar, lVar, upSign, loSign), under falling sign thresholds until there are some."""
-    score, vu, vl, su, sl = corner_scores(m)
+    at = corner_scores(m, lambda _, su, sl: np.flatnonzero((-su >= LEAST_SIGN - 1e-9) & (sl >= LEAST_SIGN - 1e-9)))
+    i, j, score, su, sl = at[0], at[1], at[2], at[5], at[6]
     sign = SIGN
     while sign >= LEAST_SIGN - 1e-9:
-        mask = (score > 0) & (-su >= sign) & (sl >= sign)
-        i, j = np.nonzero(mask)
-        labels, scores = components(mask)[i, j], score[i, j]
-        order = np.lexsort((j, i, -scores, labels))
-        best = order[np.diff(labels[order], prepend=0) > 0]
+        told = np.flatnonzero((score > 0) & (-su >= sign) & (sl >= sign))
+        mask = np.zeros(m.shape, bool)
+        mask[i[told], j[told]] = True
+        labels = components(mask)[i[told], j[told]]
+        order = told[np.lexsort((j[told], i[told], -score[told], labels))]
+        label = np.sort(labels)
+        best = order[np.diff(label, prepend=0) > 0]
         if len(best):
-            return [(int(i[k]), int(j[k]), *(float(x[i[k], j[k]]) for x in (score, vu, vl, su, sl))) for k in best]
+            return [(int(i[k]), int(j[k]), *(float(x[k]) for x in at[2:])) for k in best]
         sign -= SIGN_STEP
     return []
 
 
+def given_corners(m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """A row for each of the corners (i, j), in their order: score, uVar, lVar, upSign, loSign; zeros for one without a width."""
+    n = len(m)
+    asked = np.unique(i * n + j)
+    width, first = asked % n - asked // n, asked // n
+    order = np.argsort(width, kind="stable")
+    width, first = width[order], first[order]
+    found = corner_scores(m, lambda w, *_: first[np.searchsorted(width, w) : np.searchsorted(width, w, "right")])
+    rows = np.zeros((len(asked), 5))
+    rows[np.searchsorted(asked, found[0] * n + found[1])] = np.stack(found[2:], 1)
+    return rows[np.searchsorted(asked, i * n + j)]
+
+
 DOMAIN = "chr int, start_bin int, end_bin int, score double, uVarScore double, lVarScore double, upSign double, loSign double"
 
 
@@ -140,9 +176,10 @@ def score_domains(domains: DataFrame, cells: DataFrame, tile: int = TILE) -> Dat
         for f in frames:
             for t in f.itertuples(index=False):
                 low = t.tile * step
-                made = corner_scores(_square(t, step, max(r["end_bin"] for r in t.asked) - low + 1))
-                rows = [(r["id"], t.chr, r["start_bin"], r["end_bin"], *(float(x[r["start_bin"] - low, r["end_bin"] - low]) for x in made)) for r in t.asked]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in kind.split(", ")])
+                ids, starts, ends = (np.array(c, np.int64) for c in zip(*((r["id"], r["start_bin"], r["end_bin"]) for r in t.asked), strict=True))
+                made = given_corners(_square(t, step, int(ends.max()) - low + 1), starts - low, ends - low)
+                rows = {"id": ids, "chr": t.chr, "start_bin": starts, "end_bin": ends}
+                yield pd.DataFrame(rows | dict(zip((c.split()[0] for c in kind.split(", ")[4:]), made.T, strict=True)))
 
     scored = written(_tiles(cells, tile).join(asked, ["chr", "tile"]).mapInPandas(run, kind), "scored-domains")
     none = [F.lit(None).cast("double").alias(c.split()[0]) for c in kind.split(", ")[4:]]

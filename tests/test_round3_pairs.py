@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 
 from contactgrid import adapters
-from contactgrid.operators import intervals, loops
+from contactgrid.operators import domains, intervals, loops
 from contactgrid.plans import registry_loops
 
 
@@ -69,3 +70,27 @@ def test_pixels_take_cells_with_norms_and_sorted_runs(spark):
             a, b = over(at)
             assert np.isclose(told[f"expected{m}"], a / b * mean[y - x] * of[x, y], rtol=1e-6)
     assert mine
+
+
+def test_corners_are_scored_without_squares():
+    r = np.random.default_rng(5)
+    n = 120
+    m = np.triu(r.poisson(0.4, (n, n))).astype(float)
+    for k in range(0, 90, 30):
+        m[k : k + 25, k : k + 25] += np.triu(r.poisson(3, (25, 25)))
+    m += np.triu(m, 1).T
+    p = domains.preference(m)
+    mean = lambda v: [x / np.maximum(c, 1) for x, c in zip(domains._triangles(v), domains._triangles((np.abs(p) > 0).astype(float)), strict=True)]
+    (u, l), (su, sl), (vu, vl) = mean(p), mean(np.sign(p)), mean(p * p)  # noqa: E741
+    vu, vl = vu - u * u, vl - l * l
+    scaled = lambda x: x / np.abs(x).max()
+    score = np.where(vu + vl > domains.VARIANCE, 0.0, np.maximum(scaled(l - u) + scaled(sl - su) - scaled(vu + vl), 0.0))
+    i = r.integers(0, n, 300)
+    j = np.minimum(i + r.integers(0, n, 300), n - 1)  # some without a width, some twice
+    assert np.array_equal(domains.given_corners(m, i, j), np.stack([x[i, j] for x in (score, vu, vl, su, sl)], 1))
+    big = np.tile(m, (9, 9))
+    tracemalloc.start()
+    domains.given_corners(big, i, j)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 10 * big.nbytes
