@@ -51,7 +51,8 @@ def suffix_keys(hasher: WordHasher, hosts: list[str], pages: list[list[str]]) ->
     h, inside = np.zeros(len(words), np.uint64), np.zeros(len(words), bool)
     for k in range(RUN_TOKENS):
         inside = np.zeros(len(words), bool)
-        inside[: len(words) - k] = block[k:] == block[: len(words) - k]
+        n = max(len(words) - k, 0)  # a batch may have fewer words than a run
+        inside[:n] = block[k:] == block[:n]
         at = np.flatnonzero(inside)
         h[at] = h[at] * np.uint64(0x9E3779B97F4A7C15) + words[at + k]
     chosen = inside | np.append(True, block[1:] != block[:-1])
@@ -86,25 +87,22 @@ def _steps(batch: pa.RecordBatch, n: int = 200) -> Iterator[pa.RecordBatch]:
 class _Page:
     """A page's blocks with their suffixes' keys: texts, whether each may be the article's (kept), whether markup says so (inside)."""
 
-    def __init__(self, named: str, blocks: list[tuple[str, bool, bool]], numbers: np.ndarray, keys: np.ndarray):
-        self.texts, self.kept, self.inside = ([b[k] for b in blocks] for k in range(3))
-        self.stamp = _stamp("\n".join([named, *self.texts]))
-        self.keys = np.split(keys, np.searchsorted(numbers, np.arange(1, len(blocks)))) if blocks else []
+    def __init__(self, stamp: int, texts: list[str], kept: list[bool], inside: list[bool], numbers: np.ndarray, keys: np.ndarray):
+        self.stamp, self.texts, self.kept, self.inside = stamp, texts, kept, inside
+        self.keys = np.split(keys, np.searchsorted(numbers, np.arange(1, len(texts)))) if texts else []
 
 
-def _pages(batches: Iterator[pa.RecordBatch], keyed: bool = True) -> Iterator[tuple[pa.RecordBatch, list[_Page]]]:
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[list[_Page]]:
     hasher = WordHasher()
-    none = (np.empty(0, np.int64),) * 2
     for batch in batches:
         for part in _steps(batch):
-            blocks = [candidate_blocks(x) for x in part.column("html").to_pylist()]
-            hosts = [host(u) for u in part.column("url").to_pylist()]
-            keys = suffix_keys(hasher, hosts, [[b[0] for b in x] for x in blocks]) if keyed else [none] * len(blocks)
-            yield part, [_Page(h, b, n, k) for h, b, (n, k) in zip(hosts, blocks, keys, strict=True)]
+            stamps, urls, *of = (part.column(c).to_pylist() for c in ("page", "url", "blocks", "kept", "inside"))
+            keys = suffix_keys(hasher, [host(u) for u in urls], of[0])
+            yield [_Page(*x, *k) for *x, k in zip(stamps, *of, keys, strict=True)]
 
 
 def _batch(kind: str, rows: list[tuple]) -> pa.RecordBatch:
-    types = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32())}
+    types = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "array<boolean>": pa.list_(pa.bool_())}
     fields = [x.split() for x in kind.split(", ")]
     columns = list(zip(*rows, strict=True)) or [()] * len(fields)
     return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
@@ -112,45 +110,51 @@ def _batch(kind: str, rows: list[tuple]) -> pa.RecordBatch:
 
 SEED = "key bigint, page bigint"
 BLOCK = "page bigint, block int, text string, kept boolean, inside boolean, seeds array<bigint>, keys array<bigint>"
-RUN = "key bigint, page bigint, inside boolean"
-TEXT = "page_id bigint, url string, page bigint, numbers array<int>, blocks array<string>"
+PARSED = "page_id bigint, url string, page bigint, blocks array<string>, kept array<boolean>, inside array<boolean>"
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, values)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values) if values else [], pa.int64()))
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of each page, and a hash of its host and blocks."""
+    for batch in batches:
+        for part in _steps(batch):
+            ids, urls, pages = (part.column(c).to_pylist() for c in ("page_id", "url", "html"))
+            rows = []
+            for i, u, page in zip(ids, urls, pages, strict=True):
+                blocks = candidate_blocks(page)
+                rows.append((i, u, _stamp("\n".join([host(u), *(b[0] for b in blocks)])), *([b[k] for b in blocks] for k in range(3))))
+            yield _batch(PARSED, rows)
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct seeds of each page."""
-    for _, pages in _pages(batches):
+    for pages in _pages(batches):
         found = [np.unique(np.concatenate([seeds(k) for k in p.keys])) if p.keys else np.empty(0, np.int64) for p in pages]
         stamps = np.repeat(np.array([p.stamp for p in pages], np.int64), [len(x) for x in found])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.int64()), pa.array(stamps)], ["key", "page"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, pages in _pages(batches):
-        yield _batch(BLOCK, [(p.stamp, n, *x) for p in pages for n, x in enumerate(zip(p.texts, p.kept, p.inside, (seeds(k).tolist() for k in p.keys), (k.tolist() for k in p.keys), strict=True))])
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The numbers and texts of the blocks of each page that may be the article's."""
-    for part, pages in _pages(batches, keyed=False):
-        kept = [[(n, t) for n, (t, k) in enumerate(zip(p.texts, p.kept, strict=True)) if k] for p in pages]
-        yield _batch(TEXT, list(zip(part.column("page_id").to_pylist(), part.column("url").to_pylist(), (p.stamp for p in pages), ([n for n, _ in x] for x in kept), ([t for _, t in x] for x in kept), strict=True)))
-
-
-def _silent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pages with blocks that may be the article's, of which markup says so of none."""
-    for part, pages in _pages(batches, keyed=False):
-        yield _batch("page_id bigint", [(i,) for i, x in zip(part.column("page_id").to_pylist(), pages, strict=True) if any(x.kept) and not any(x.inside)])
+    for pages in _pages(batches):
+        at = _batch("page bigint, block int, text string, kept boolean, inside boolean", [(p.stamp, n, *x) for p in pages for n, x in enumerate(zip(p.texts, p.kept, p.inside, strict=True))])
+        keys = [k for p in pages for k in p.keys]
+        yield pa.RecordBatch.from_arrays([*at.columns, _lists([seeds(k) for k in keys]), _lists(keys)], [*at.schema.names, "seeds", "keys"])
 
 
 def _changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         of = [batch.column(c).to_pylist() for c in ("text", "keys", "gone")]
         texts = [without_runs(t, k, set(g)) for t, k, g in zip(*of, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("block"), pa.array(texts, pa.string())], ["page", "block", "text"])
+        kept, inside = batch.column("kept"), batch.column("inside")
+        yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("block"), pa.array(texts, pa.string()), kept, inside], ["page", "block", "text", "kept", "inside"])
 
 
 def repeated_runs(pages: DataFrame, min_pages: int = MIN_PAGES) -> tuple[DataFrame, DataFrame]:
-    """The runs that distinct pages of a host repeat, by key, with the number of pages (n) and of those where markup has them in the article (n_inside); and the blocks that hold any.
+    """Of pages as _parsed() gives them, the runs that distinct pages of a host repeat, by key, with the number of pages (n) and of those where markup has them in the article (n_inside); and the blocks that hold any.
 
     Suffixes are dealt to buckets by their hosts' and first RUN_TOKENS tokens' hash, so that those of one bucket are
     neighbours in the host's suffix array, with that much in common, and no host is in one task. All suffixes of all pages are
@@ -168,35 +172,34 @@ def repeated_runs(pages: DataFrame, min_pages: int = MIN_PAGES) -> tuple[DataFra
 
 
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """page_id, url, text and n_chars of each page.
+    """page_id, url, text and n_chars of each page; n_repeated, of its distinct blocks those with a run that the host's array finds repeated, and n_told, of these those that markup has in the article.
 
-    Markup makes blocks, and leaves out those in parts that are named as menus, notices, comments and so on. Where a page
-    has an article (or else a main element), what stands in it is the text: repeats can't tell there, as passages that
-    articles share, and sentences that other pages quote in adverts or footers, are the article's. On all other pages those
-    tokens go that a run covers which stands on min_pages distinct pages of the host, unless on most of these markup has
-    it in the article. Where no page is silent, no run is looked for.
+    The runs are those of one suffix array a host, over all blocks of all its pages: see repeated_runs(). Tokens go that a run covers which
+    stands on min_pages distinct pages of the host, unless on most of these markup has it in the article. Pages that show
+    the same count as one, so copies of a page don't make it repeated.
 
-    The runs are those of one suffix array a host: see repeated_runs(). Pages that show the same count as one, so
-    copies of a page don't make it repeated.
+    Markup is the check behind that: it leaves out blocks in parts that are named as menus, notices, comments and so on, and where a page
+    has an article (or else a main element), what stands in it is the text, and nothing else. What the array would cut there comes back: passages that articles share,
+    and sentences that other pages quote in adverts or footers, are the article's. runs_cut tells whether the cuts changed the text.
 
     Null, empty or textless html: empty text. Null url: a host of its own. Rows that share page_id keep their
     own texts. No rows: no rows. Columns other than page_id, url and html play no part.
     """
     bound_batches(pages.sparkSession)
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    texts = p.mapInArrow(_texts, TEXT)
-    if not p.mapInArrow(_silent, "page_id bigint").limit(1).count():
-        text = F.array_join("blocks", "\n")
-        return texts.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.lit(False).alias("runs_cut"))
+    p = materialize(p.mapInArrow(_parsed, PARSED), "page-blocks")  # read three times
     runs, blocks = repeated_runs(p, min_pages)
     gone = runs.where("2 * n_inside <= n").select("key")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    at = blocks.where("kept and not inside").select("page", "block", F.explode(F.array_distinct("keys")).alias("key"))
+    at = blocks.select("page", "block", F.explode(F.array_distinct("keys")).alias("key"))
     covered = at.join(gone, "key").groupBy("page", "block").agg(F.collect_set("key").alias("gone"))
-    changed = blocks.drop("kept", "inside").join(covered, ["page", "block"]).select("page", "block", "text", "keys", "gone").mapInArrow(_changed, "page bigint, block int, text string")
-    changed = materialize(changed.groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("block", "text"))).alias("changed")), "changed-blocks")
+    cut = blocks.join(covered, ["page", "block"]).select("page", "block", "text", "kept", "inside", "keys", "gone").mapInArrow(_changed, "page bigint, block int, text string, kept boolean, inside boolean")
+    own = F.when(F.col("kept") & ~F.col("inside"), F.struct("block", "text"))
+    changed = cut.groupBy("page").agg(F.map_from_entries(F.collect_list(own)).alias("changed"), F.count(F.lit(1)).alias("n_repeated"), F.count_if("inside").alias("n_told"))
+    changed = materialize(changed, "changed-blocks")
     few = F.broadcast(changed) if changed.count() <= BROADCAST_ROWS else changed
-    texts = texts.join(few, "page", "left")
-    now = F.when(F.col("changed").isNull(), F.col("blocks")).otherwise(F.zip_with("numbers", "blocks", lambda n, t: F.coalesce(F.try_element_at(F.col("changed"), n), t)))
-    text = F.array_join(F.filter(now, lambda t: t != ""), "\n")
-    return texts.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.col("changed").isNotNull().alias("runs_cut"))
+    texts = p.join(few, "page", "left")
+    text = F.transform("blocks", lambda t, n: F.when(F.get("kept", n), F.coalesce(F.try_element_at(F.col("changed"), n), t)).otherwise(""))
+    text = F.array_join(F.filter(text, lambda t: t != ""), "\n")
+    counts = (F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("n_repeated", "n_told"))
+    return texts.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.coalesce(F.size("changed") > 0, F.lit(False)).alias("runs_cut"), *counts)
