@@ -5,10 +5,13 @@ Rows and columns of an image are window partitions, so the images of many loops
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ from contactgrid.tables import written
 TASK_PIXELS = 500_000
 #: Places of windows that the localizer works on at once.
 WINDOW_PIXELS = 1_000_000
+#: Digits for any double to six places and more.
+_EXACT = Context(prec=400)
 
 
 def _row() -> WindowSpec:
@@ -142,6 +147,11 @@ def tiles(cells: DataFrame, n: int) -> DataFrame:
     Only the cells are shuffled, by square; the zeros are made in the tasks, of which each gets about TASK_PIXELS places, and what is done
     by image, row or column stays in these tasks.
     """
+    return _filled(_tile_cells(cells, n), n, n)
+
+
+def _tile_cells(cells: DataFrame, n: int) -> DataFrame:
+    """The cells of tiles(), dealt by square: id, i, j, value."""
     at = lambda c: F.floor(F.col(c) / n)
     inside = lambda c: (F.col(c) % n).cast("int")
     one = lambda i, j: F.struct(inside(i).alias("i"), inside(j).alias("j"))
@@ -151,7 +161,46 @@ def tiles(cells: DataFrame, n: int) -> DataFrame:
     here = written(here, "tile-cells")
     pixels = here.agg(F.approx_count_distinct("id")).first()[0] * n * n
     dealt = here.repartition(1 + pixels // TASK_PIXELS, "id")
-    return _filled(dealt.groupBy("id", "i", "j").agg(F.sum("counts").alias("value")), n, n)
+    return dealt.groupBy("id", "i", "j").agg(F.sum("counts").alias("value"))
+
+
+def _rounded(v: np.ndarray, places: int) -> np.ndarray:
+    """Spark's round() of an array: by products where that is certain, by decimals near a half and beyond what products can tell."""
+    scaled = v * 10.0**places
+    whole = np.rint(scaled)
+    out = whole / 10.0**places
+    with np.errstate(invalid="ignore"):
+        unsure = ~((np.abs(np.abs(scaled - whole) - 0.5) > 1e-3) & (np.abs(scaled) < 2.0**40)) & np.isfinite(v)
+    if unsure.any():
+        out[unsure] = [float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP, _EXACT)) for x in v[unsure].tolist()]
+    return out
+
+
+def on_tiles(cells: DataFrame, n: int, work: Callable[[np.ndarray], np.ndarray], places: int = 6) -> DataFrame:
+    """What ``work`` makes of tiles(), rounded: id, i, j, value. It gets many squares of n x n at once, as a stack, and gives as many images of any size.
+
+    A square is a row of its cells; its zeros and what ``work`` makes are only there while a stack of about WINDOW_PIXELS places is worked on.
+    """
+    place = (F.col("i") * n + F.col("j")).alias("place")
+    held = _tile_cells(cells, n).groupBy("id").agg(F.collect_list(F.struct(place, F.coalesce("value", F.lit(0.0)).alias("value"))).alias("there"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, WINDOW_PIXELS // (n * n))
+        for batch in batches:
+            for low in range(0, len(batch), step):
+                ids, there = batch.column("id").slice(low, step), batch.column("there").slice(low, step)
+                raw, cell = np.zeros((len(ids), n * n)), there.flatten()
+                raw[np.repeat(np.arange(len(ids)), pc.list_value_length(there).to_numpy()), cell.field("place").to_numpy()] = cell.field("value").to_numpy()
+                made = _rounded(work(raw.reshape(-1, n, n)), places)
+                rows, columns = made.shape[1:]
+                few = max(1, WINDOW_PIXELS // (rows * columns))
+                for k in range(0, len(made), few):
+                    part = made[k : k + few]
+                    i, j = np.divmod(np.arange(rows * columns, dtype="int32"), np.int32(columns))
+                    values = [np.repeat(ids.slice(k, few).to_numpy(), rows * columns), np.tile(i, len(part)), np.tile(j, len(part)), part.ravel()]
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], ["id", "i", "j", "value"])
+
+    return held.mapInArrow(run, "id bigint, i int, j int, value double")
 
 
 def tile_id(chr_: Column, row: Column, column: Column) -> Column:
@@ -187,6 +236,23 @@ def _box_means(m: np.ndarray, radius: int) -> np.ndarray:
     return _box_mean(_box_mean(m, radius, 2), radius, 1)
 
 
+def gaussian_blurred(m: np.ndarray, sigma: int) -> np.ndarray:
+    """gaussian_blur() of a stack of images."""
+    for width in boxes(sigma):
+        m = _box_means(m, (width - 1) // 2)
+    return m
+
+
+def interpolated(m: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    """interpolate() of a stack of images."""
+    for axis, times in ((2, columns), (1, rows)):
+        m = np.moveaxis(m, axis, -1)
+        following = np.concatenate((m[..., 1:], m[..., -1:]), axis=-1)
+        part = np.arange(times) / times
+        m = np.moveaxis((m[..., None] * (1 - part) + following[..., None] * part).reshape(*m.shape[:-1], -1), -1, axis)
+    return m
+
+
 def _outstanding(z: np.ndarray, value: np.ndarray, radius: int) -> tuple[np.ndarray, ...]:
     """peaks() of a stack of images by z, which is -inf where nothing is told: image, row and column of each."""
     n = z.shape[-1]

@@ -258,22 +258,26 @@ def _on_image(name, sql, made, rounded="value"):
     registered(name, f"{_IMAGE} {sql}")(lambda s, d: _round(made(_image(s, d)), *([rounded] if rounded else [])))
 
 
+def _on_stacks(name, sql, work):
+    registered(name, f"{_IMAGE} {sql}")(lambda s, d: images.on_tiles(_cells(s, d, 5000), N, work))
+
+
 _I = "CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, id"
 _on_image("w07_rank_percentile", f"SELECT {_I}, round(CASE WHEN value = 0 THEN 0 ELSE 100.0 * (rank() OVER (PARTITION BY id ORDER BY value) - 1) / count(*) OVER (PARTITION BY id) END, 6) AS value FROM m", images.rank_percentile)
 _on_image("w08_box_blur", f"""SELECT CAST(t.i AS INTEGER) AS i, CAST(t.j AS INTEGER) AS j, t.id, round(avg(s.value), 6) AS value FROM m t, range(-2, 3) a(di), range(-2, 3) b(dj), m s
  WHERE s.id = t.id AND s.i = least(greatest(t.i + di, 0), {N - 1}) AND s.j = least(greatest(t.j + dj, 0), {N - 1}) GROUP BY t.id, t.i, t.j""", lambda m: images.box_blur(m, 2))
 _BOXED = f""", {{to}} AS MATERIALIZED (SELECT t.id, t.i, t.j, avg(s.value) AS value FROM {{of}} t, range(-{{r}}, {{r}} + 1) a(di), range(-{{r}}, {{r}} + 1) b(dj), {{of}} s
  WHERE s.id = t.id AND s.i = least(greatest(t.i + di, 0), {N - 1}) AND s.j = least(greatest(t.j + dj, 0), {N - 1}) GROUP BY t.id, t.i, t.j)"""
-_on_image("w08_gaussian_blur", "".join(_BOXED.format(to=f"m{k + 1}", of=f"m{k or ''}", r=r) for k, r in enumerate((1, 1, 2))) + f" SELECT {_I}, round(value, 6) AS value FROM m3", lambda m: images.gaussian_blur(m, 2))
+_on_stacks("w08_gaussian_blur", "".join(_BOXED.format(to=f"m{k + 1}", of=f"m{k or ''}", r=r) for k, r in enumerate((1, 1, 2))) + f" SELECT {_I}, round(value, 6) AS value FROM m3", lambda m: images.gaussian_blurred(m, 2))
 _on_image("w09_peaks", f"SELECT {_I}, value FROM m t WHERE value > 0 AND NOT EXISTS (SELECT 1 FROM m o WHERE o.id = t.id AND abs(o.i - t.i) <= 2 AND abs(o.j - t.j) <= 2 AND (o.value > t.value OR (o.value = t.value AND (o.i < t.i OR (o.i = t.i AND o.j < t.j)))))", lambda m: images.peaks(m, 2))
 _on_image("w10_local_gradient", f"""SELECT {_I}, round(value, 6) AS value FROM (SELECT t.id, t.i, t.j, (any_value(t.value) - sum(o.value) / 8) / nullif(sqrt(any_value(t.value)), 0) AS value FROM m t JOIN m o ON o.id = t.id AND abs(o.i - t.i) <= 1 AND abs(o.j - t.j) <= 1 AND NOT (o.i = t.i AND o.j = t.j)
  WHERE t.i BETWEEN 1 AND {N - 2} AND t.j BETWEEN 1 AND {N - 2} GROUP BY t.id, t.i, t.j) WHERE value > 0""", images.local_gradient)
 _on_image("w11_column_derivative", f"SELECT {_I}, value FROM (SELECT id, i, j, value - lead(value) OVER (PARTITION BY id, j ORDER BY i) AS value FROM m) WHERE value IS NOT NULL", images.column_derivative)
 _on_image("w11_over_median", f"SELECT {_I}, round(value, 6) AS value FROM (SELECT id, i, j, least(value / nullif(median(value) OVER (PARTITION BY id, j), 0), 3) AS value FROM m) WHERE value IS NOT NULL", lambda m: images.over_median(m, 3.0))
 _on_image("w12_box_max", "SELECT CAST(i // 4 AS INTEGER) AS i, CAST(j // 2 AS INTEGER) AS j, id, max(value) AS value FROM m GROUP BY 1, 2, 3", lambda m: images.box_max(m, 4, 2))
-_on_image("w12_interpolate", f"""SELECT CAST(r.i AS INTEGER) AS i, CAST(c.j AS INTEGER) AS j, a.id, round((a.value * (1 - (c.j % 3) / 3.0) + b.value * (c.j % 3) / 3.0) * (1 - (r.i % 2) / 2.0) + (e.value * (1 - (c.j % 3) / 3.0) + f.value * (c.j % 3) / 3.0) * (r.i % 2) / 2.0, 6) AS value
+_on_stacks("w12_interpolate", f"""SELECT CAST(r.i AS INTEGER) AS i, CAST(c.j AS INTEGER) AS j, a.id, round((a.value * (1 - (c.j % 3) / 3.0) + b.value * (c.j % 3) / 3.0) * (1 - (r.i % 2) / 2.0) + (e.value * (1 - (c.j % 3) / 3.0) + f.value * (c.j % 3) / 3.0) * (r.i % 2) / 2.0, 6) AS value
  FROM range({2 * N}) r(i) CROSS JOIN range({3 * N}) c(j) JOIN m a ON a.i = r.i // 2 AND a.j = c.j // 3 JOIN m b ON b.id = a.id AND b.i = a.i AND b.j = least(a.j + 1, {N - 1}) JOIN m e ON e.id = a.id AND e.i = least(a.i + 1, {N - 1}) AND e.j = a.j
- JOIN m f ON f.id = a.id AND f.i = e.i AND f.j = b.j""", lambda m: images.interpolate(m, 2, 3))
+ JOIN m f ON f.id = a.id AND f.i = e.i AND f.j = b.j""", lambda m: images.interpolated(m, 2, 3))
 _on_image("w12_expand_with_zeros", "SELECT CAST(p.i AS INTEGER) AS i, CAST(q.j AS INTEGER) AS j, k.id, coalesce(value, 0) AS value FROM ids k CROSS JOIN range(20) p(i) CROSS JOIN range(18) q(j) LEFT JOIN m ON m.id = k.id AND m.i = p.i AND m.j = q.j", lambda m: images.expand_with_zeros(m, 20, 18))
 _on_image("a43_display_limit", "SELECT id, round(quantile_cont(value, 0.95), 6) AS top FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i, j) AS place FROM m WHERE i <> j AND value > 0) WHERE place % 10 = 0 GROUP BY id", images.display_limit, "top")
 
