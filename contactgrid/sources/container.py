@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 NO_SHORT = -32768
 #: Bytes that are read ahead.
 AHEAD = 1 << 20
-#: Blocks that one split reads, about.
-SPLIT_BLOCKS = 64
+#: Blocks that one split reads, about; where they are short, bytes of them.
+SPLIT_BLOCKS, SPLIT_BYTES = 64, 1 << 20
+#: Blocks, bytes of them and decoded cells that make a batch.
+BATCH_BLOCKS, BATCH_BYTES, BATCH_CELLS = 1_000, 1 << 23, 1 << 16
 
 
 def _file(path: str):
@@ -162,25 +166,66 @@ CELLS = "chr1 int, chr2 int, unit string, bin_size int, bin_x int, bin_y int, co
 BLOCKS = "chr1 int, chr2 int, unit string, bin_size int, block int, position bigint, size int"
 
 
+def _sorted_blocks(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple]:
+    """Of cells sorted by ``key`` each block's key, bin_x, bin_y and counts; a block can begin in one batch and end in another."""
+    own, parts = None, []
+    whole = lambda: tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+    for batch in batches:
+        if not len(batch):
+            continue
+        changed = np.zeros(len(batch) - 1, bool)
+        for c in key:
+            changed |= pc.not_equal(batch.column(c)[1:], batch.column(c)[:-1]).to_numpy(zero_copy_only=False)
+        first = np.r_[0, np.flatnonzero(changed) + 1]
+        keys = zip(*(batch.column(c).take(pa.array(first)).to_pylist() for c in key), strict=True)
+        cells = [batch.column(c).to_numpy() for c in ("bin_x", "bin_y", "counts")]
+        for k, a, b in zip(keys, first.tolist(), [*first[1:].tolist(), len(batch)], strict=True):
+            if parts and k != own:
+                yield own, *whole()
+                parts = []
+            own = k
+            parts.append([c[a:b] for c in cells])
+    if parts:
+        yield own, *whole()
+
+
 def encode_blocks(contacts: DataFrame, block_bins: int = 1_000) -> DataFrame:
-    """The cells as compressed blocks of block_bins x block_bins: chr1, chr2, unit, bin_size, block, content. A block bounds a group."""
+    """The cells as compressed blocks of block_bins x block_bins: chr1, chr2, unit, bin_size, block, content.
+
+    Cells are sorted by block and encoded in a stream, of which a task holds one block's cells and a batch of encoded blocks.
+    """
     if block_bins > 32_767:
         raise ValueError("places within a block have 16 bits")
-
-    def encode(f: pd.DataFrame) -> pd.DataFrame:
-        content = encode_block(f["bin_x"].to_numpy(), f["bin_y"].to_numpy(), f["counts"].to_numpy(float))
-        return f.iloc[:1][["chr1", "chr2", "unit", "bin_size", "block"]].assign(content=[content])
+    key = ["chr1", "chr2", "unit", "bin_size", "block"]
+    kinds = pa.schema([("chr1", pa.int32()), ("chr2", pa.int32()), ("unit", pa.string()), ("bin_size", pa.int32()), ("block", pa.int32()), ("content", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for k, x, y, counts in _sorted_blocks(batches, key):
+            rows.append((*k, encode_block(x, y, counts)))
+            size += len(rows[-1][-1])
+            if len(rows) == BATCH_BLOCKS or size >= BATCH_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
     side = lambda c: F.floor(F.col(c) / block_bins)
     columns = (side("bin_y") * F.lit(1 << 15) + side("bin_x")).cast("int")
-    dealt = contacts.select("chr1", "chr2", "unit", "bin_size", "bin_x", "bin_y", "counts", columns.alias("block"))
-    return dealt.groupBy("chr1", "chr2", "unit", "bin_size", "block").applyInPandas(encode, "chr1 int, chr2 int, unit string, bin_size int, block int, content binary")
+    dealt = contacts.select(*(F.col(c).cast("int").alias(c) for c in ("chr1", "chr2")), "unit", F.col("bin_size").cast("int").alias("bin_size"), "bin_x", "bin_y", F.col("counts").cast("double").alias("counts"), columns.alias("block"))
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "chr1 int, chr2 int, unit string, bin_size int, block int, content binary")
 
 
 def _decoded(f: pd.DataFrame, contents: Iterator[bytes], version: int) -> Iterator[pd.DataFrame]:
-    for row, content in zip(f.itertuples(index=False), contents, strict=True):
-        x, y, c = decode_block(zlib.decompress(content), version)
-        yield pd.DataFrame({"chr1": row.chr1, "chr2": row.chr2, "unit": row.unit, "bin_size": row.bin_size, "bin_x": x, "bin_y": y, "counts": c})
+    """The cells of blocks, many blocks a frame."""
+    first, n, held = 0, [], []
+    for k, content in enumerate(contents):
+        held.append(decode_block(zlib.decompress(content), version))
+        n.append(len(held[-1][0]))
+        if k + 1 == len(f) or sum(n) >= BATCH_CELLS:
+            same = {c: np.repeat(f[c].to_numpy()[first : k + 1], n) for c in ("chr1", "chr2", "unit", "bin_size")}
+            yield pd.DataFrame(same | {c: np.concatenate(v) for c, v in zip(("bin_x", "bin_y", "counts"), zip(*held, strict=True), strict=True)})
+            first, n, held = k + 1, [], []
 
 
 def decode_blocks(blocks: DataFrame, version: int = 8) -> DataFrame:

@@ -113,13 +113,12 @@ class ContactMapReader(DataSourceReader):
         c = container.open_container(self.path)
         out = []
         with container._file(self.path) as f:
-            for key, position, _ in c.matrices:
-                if not all(self.wanted.has(f"chr{k + 1}", int(x)) for k, x in enumerate(key.split("_"))):
-                    continue
-                for r in _resolutions(f, position):
-                    if self.wanted.has("unit", r.unit) and self.wanted.has("bin_size", r.bin_size):
-                        step = container.SPLIT_BLOCKS
-                        out += [Blocks(r.chr1, r.chr2, r.unit, r.bin_size, r.block_bins, r.columns, r.at + k * ENTRY, min(step, r.n - k), c.version) for k in range(0, r.n, step)]
+            there = [r for key, position, _ in c.matrices if all(self.wanted.has(f"chr{k + 1}", int(x)) for k, x in enumerate(key.split("_"))) for r in _resolutions(f, position)]
+            entries = sum(size for _, _, size in c.matrices) // ENTRY  # about as many as the file has blocks
+            step = max(container.SPLIT_BLOCKS, container.SPLIT_BYTES * entries // max(f.size(), 1))
+            for r in there:
+                if self.wanted.has("unit", r.unit) and self.wanted.has("bin_size", r.bin_size):
+                    out += [Blocks(r.chr1, r.chr2, r.unit, r.bin_size, r.block_bins, r.columns, r.at + k * ENTRY, min(step, r.n - k), c.version) for k in range(0, r.n, step)]
         return out or [Blocks(0, 0, "", 0, 1, 1, 0, 0)]
 
     def read(self, p: Blocks) -> Iterator[pa.RecordBatch]:
@@ -132,15 +131,25 @@ class ContactMapReader(DataSourceReader):
                 same = [pa.array([v] * p.n, k) for v, k in ((p.chr1, pa.int32()), (p.chr2, pa.int32()), (p.unit, pa.string()), (p.bin_size, pa.int32()))]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(entries["block"], pa.int32()), pa.array(on)], ["chr1", "chr2", "unit", "bin_size", "block", "is_read"])
                 return
+            held, n = [], 0
             for e in entries[on]:
                 x, y, c = container.decode_block(container.zlib.decompress(f.read_at(int(e["size"]), int(e["at"]))), p.version)
                 keep = np.ones(len(x), bool)
                 for name, bins in (("bin_x", x), ("bin_y", y)):
                     keep &= (bins >= self.wanted.low[name]) & (bins <= self.wanted.high[name])
-                n = int(keep.sum())
-                if n:
-                    same = ([p.chr1] * n, [p.chr2] * n, [p.unit] * n, [p.bin_size] * n)
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip((*same, x[keep], y[keep], c[keep]), _ARROW, strict=True)], schema=_ARROW)
+                held.append((x[keep], y[keep], c[keep]))
+                n += len(held[-1][0])
+                if n >= container.BATCH_CELLS:
+                    yield self._batch(p, held, n)
+                    held, n = [], 0
+            if n:
+                yield self._batch(p, held, n)
+
+    @staticmethod
+    def _batch(p: Blocks, held: list[tuple[np.ndarray, ...]], n: int) -> pa.RecordBatch:
+        same = [pa.repeat(pa.scalar(v, t.type), n) for v, t in zip((p.chr1, p.chr2, p.unit, p.bin_size), _ARROW, strict=False)]
+        cells = [pa.array(np.concatenate(v), t.type) for v, t in zip(zip(*held, strict=True), list(_ARROW)[4:], strict=True)]
+        return pa.RecordBatch.from_arrays([*same, *cells], schema=_ARROW)
 
 
 class ContactMapSource(DataSource):
@@ -227,7 +236,8 @@ def write_container(
     lists of chromosomes and resolutions; the file gets its name when it is whole.
     """
     kept = contacts.where(F.col("counts") >= least)
-    blocks = written(_placed(container.encode_blocks(kept, block_bins)), "placed-blocks")
+    encoded = written(container.encode_blocks(kept, block_bins), "encoded-blocks")  # ranges are sampled, which would encode all twice
+    blocks = written(_placed(encoded), "placed-blocks")
     zooms = blocks.groupBy(*_ZOOM).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     stats = kept.groupBy(*_ZOOM).agg(F.sum("counts").alias("total"), F.count(F.lit(1)).alias("cells"))
     zooms = zooms.join(stats, _ZOOM).collect()  # a row a matrix and resolution, as the footer has them

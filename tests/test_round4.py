@@ -68,3 +68,36 @@ def test_positions_beyond_32_bits(spark, far, name):
     at = [k for k, c in enumerate(got.columns) if c in ("value", "r")]
     plain = lambda r: (*(v for k, v in enumerate(r) if k not in at), *(None if r[k] is None else round(r[k], 4) + 0.0 for k in at))
     assert sorted(map(plain, rows), key=str) == sorted(map(plain, want), key=str)
+
+
+def test_blocks_are_encoded_in_a_stream(spark, cells, monkeypatch):
+    from contactgrid.sources import container
+
+    for name, small in (("BATCH_BLOCKS", 2), ("BATCH_CELLS", 5)):
+        monkeypatch.setattr(container, name, small)
+    contacts = cells.unionByName(cells.withColumn("chr2", F.lit(2))).withColumns({"unit": F.lit("BP"), "bin_size": F.lit(1000)}).cache()
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # a block is many batches, and a batch ends within one
+        blocks = container.encode_blocks(contacts, 8)
+        plan = blocks._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "FlatMapGroups" not in plan  # no call of Python a block
+        names = ["chr1", "chr2", "unit", "bin_size", "bin_x", "bin_y", "counts"]
+        found = container.decode_blocks(blocks)
+        assert sorted(map(tuple, found.select(*names).collect())) == sorted(map(tuple, contacts.select(*names).collect()))
+        n = contacts.selectExpr("chr1", "chr2", "floor(bin_x / 8)", "floor(bin_y / 8)").distinct().count()
+        assert blocks.count() == n == blocks.select("chr1", "chr2", "block").distinct().count()
+        assert container.decode_blocks(container.encode_blocks(contacts.where("false"), 8)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_short_blocks_share_splits(spark, tmp_path):
+    from contactgrid.sources import container, container_format
+
+    rows = spark.range(2_000).selectExpr("1 AS chr1", "1 AS chr2", "'BP' AS unit", "1000 AS bin_size", "cast(id AS int) AS bin_x", "cast(id AS int) AS bin_y", "cast(1 + id AS double) AS counts")
+    path = str(tmp_path / "one.map")
+    container_format.write_container(rows, path, [("1", 2_000_000)], block_bins=8)
+    read = container_format.contact_map(spark, path)
+    assert read.rdd.getNumPartitions() < 250 // container.SPLIT_BLOCKS  # 250 blocks of some bytes
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, rows.collect()))
