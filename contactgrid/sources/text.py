@@ -110,9 +110,13 @@ def parse_chrom_sizes(lines: DataFrame, line: str | None = None) -> DataFrame:
 
 
 def parse_sites(lines: DataFrame) -> DataFrame:
-    """Chr, idx, pos of each cut site; a line is a chromosome and its sites."""
-    t = F.split(F.trim("value"), r"\s+")
-    return lines.select(t[0].alias("chr"), F.posexplode(F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0)))).alias("idx", "site")).select("chr", "idx", F.col("site").cast("int").alias("pos"))
+    """Chr, idx, pos of each cut site; a line is a chromosome and its sites.
+
+    A line is split before its sites become rows: a split beside them would be made anew for each site.
+    """
+    parts = lines.select(F.split(F.trim("value"), r"\s+").alias("t"))
+    named = parts.select(F.col("t")[0].alias("chr"), F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))).alias("sites"))
+    return named.select("chr", F.posexplode("sites").alias("idx", "site")).select("chr", "idx", F.col("site").cast("int").alias("pos"))
 
 
 def _attributes(names: list[str], first: int) -> Column:
