@@ -101,3 +101,34 @@ def test_short_blocks_share_splits(spark, tmp_path):
     read = container_format.contact_map(spark, path)
     assert read.rdd.getNumPartitions() < 250 // container.SPLIT_BLOCKS  # 250 blocks of some bytes
     assert sorted(map(tuple, read.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_sites_of_a_line_are_split_once(spark):
+    from contactgrid.sources import text
+
+    lines = spark.createDataFrame([("chr1 10 20 35",), (" chr2\t7 ",), ("chr3",)], "value string")
+    found = text.parse_sites(lines)
+    assert sorted(map(tuple, found.collect())) == [("chr1", 0, 10), ("chr1", 1, 20), ("chr1", 2, 35), ("chr2", 0, 7)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    made = [line for line in plan.splitlines() if "Generate" in line or line.startswith("Project")]
+    assert made and not any("split(" in line for line in made)  # beside the rows of a line it would be made for each
+
+
+def test_lifted_features_are_many_tasks(spark):
+    from contactgrid.operators import intervals
+
+    features = [(1, 1, 4_990, 5_010, 12_000, 12_500, True, False), (2, 1, 100, 200, 30_000, 30_001, False, False), (3, 2, 4_990, 5_010, 5_000, 5_020, True, True), (4, 1, 900_000, 900_001, 5_000, 5_001, True, True)]
+    scaffolds = [(k, 1 + k % 2, 700 * k, 700 * k + 9_000, 10_000 * k, k % 3 == 0) for k in range(30)]
+    rows = spark.createDataFrame(features, "id long, chr int, start1 long, end1 long, start2 long, end2 long, strand1 boolean, strand2 boolean")
+    found = intervals.lift_features(rows, spark.createDataFrame(scaffolds, "id long, chr int, x1 long, x2 long, new_start long, inverted boolean"))
+    want = []
+    for i, chr_, *ends, s1, s2 in features:
+        of = []
+        for a, b, s in ((*ends[:2], s1), (*ends[2:], s2)):
+            at = [(k, new + x2 - b if turned else new + a - x1, s != turned) for k, c, x1, x2, new, turned in scaffolds if c == chr_ and x1 <= a and b <= x2]
+            of.append([(k, x, x + b - a, strand) for k, x, strand in at])
+        want += [(i, *p, *q) for p in of[0] for q in of[1]]
+    names = ["id", "scaffold1", "start1", "end1", "strand1", "scaffold2", "start2", "end2", "strand2"]
+    assert found.columns == names and len(want) == 40
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert found.rdd.getNumPartitions() == 8 * spark.sparkContext.defaultParallelism  # however little is shuffled
