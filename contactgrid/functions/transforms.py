@@ -6,6 +6,10 @@ at distance 0. A result that is no number is null.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,6 +53,30 @@ def split_transforms() -> dict[str, tuple[Column, Column]]:
     }
 
 
+def exp_log_digits(count: Column, expected: Column) -> Column:
+    """"explogeo" to nine digits, by the C library's logarithms and exponentials, which are those of the SQL.
+
+    Java's differ from them in the last bits, and what the quotient of logarithms loses its exponential makes a thousand times as much: enough to round another way. Values
+    are few, as counts and distances are, so each of a batch is found once.
+    """
+
+    @F.pandas_udf("double")
+    def digits(c: pd.Series, e: pd.Series) -> pd.Series:
+        pairs, at = np.unique(np.c_[c.to_numpy(float), e.to_numpy(float)], axis=0, return_inverse=True)
+        return pd.Series([_exp_log(x, y) for x, y in pairs.tolist()], dtype="object")[at.ravel()].reset_index(drop=True)
+
+    return digits(count.cast("double"), expected.cast("double"))
+
+
+def _exp_log(x: float, y: float) -> float | None:
+    if not (x > -1 and y > -1) or not (below := math.log(y + 1)):  # nan too
+        return None
+    try:
+        return float(f"{math.exp(math.log(x + 1) / below):.8e}")
+    except OverflowError:
+        return math.inf
+
+
 def norm_squared(v1: Column, v2: Column, dist: Column) -> Column:
     """X20."""
     return _by(F.lit(1.0), v1 * v2 * F.pow(F.greatest(dist, F.lit(1)).cast("double"), F.lit(4.0)))

@@ -313,8 +313,8 @@ def x04s(s, d):
 @registered("x04_more_transforms", f"{_TWO} SELECT chr1, bin_x, bin_y, " + ", ".join((f"CAST(format('{{:.8e}}', {v}) AS DOUBLE)" if k == "explogceo" else f"round({v}, 5)") + f" AS {k}" for k, v in _MORE.items()) + " FROM two")
 def x04m(s, d):
     known, both = transforms.transforms(), written(_two_maps(s, d), "two-maps")
-    digits = lambda c: F.when(c.isNotNull(), F.format_string("%.8e", c).cast("double"))
-    return both.select("chr1", "bin_x", "bin_y", *((digits(known[k]) if k == "explogceo" else F.round(known[k], 5)).alias(k) for k in _MORE))
+    digits = transforms.exp_log_digits(F.col("c"), F.col("ec"))
+    return both.select("chr1", "bin_x", "bin_y", *((digits if k == "explogceo" else F.round(known[k], 5)).alias(k) for k in _MORE))
 
 
 @registered("x20_norm_squared", f"{VC} SELECT c.chr1, c.bin_x, c.bin_y, round(1 / (a.value * b.value * power(greatest(bin_y - bin_x, 1), 4)), 6) AS value FROM cells c JOIN vec a ON c.chr1 = a.chr AND c.bin_x = a.bin JOIN vec b ON c.chr1 = b.chr AND c.bin_y = b.bin WHERE chr1 = chr2")

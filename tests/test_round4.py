@@ -132,3 +132,16 @@ def test_lifted_features_are_many_tasks(spark):
     assert found.columns == names and len(want) == 40
     assert sorted(map(tuple, found.collect())) == sorted(want)
     assert found.rdd.getNumPartitions() == 8 * spark.sparkContext.defaultParallelism  # however little is shuffled
+
+
+def test_exponential_has_the_digits_of_the_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from contactgrid.functions import transforms
+
+    pairs = [(2.0, 0.003631556666666667), (2.0, 0.0036554733333333334), (2.0, 0.006596523333333333), (1.0, 0.5), (7.0, 1e-4), (3.0, 12.5), (2.0, 0.003631556666666667)]
+    frame = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, c double, ec double").coalesce(1)
+    got = [r.v for r in sorted(frame.select("k", transforms.exp_log_digits(F.col("c"), F.col("ec")).alias("v")).collect())]
+    want = [duckdb.execute("select CAST(format('{:.8e}', exp(ln(c + 1) / ln(ec + 1))) AS DOUBLE) from (select ?::double c, ?::double ec)", p).fetchone()[0] for p in pairs]
+    assert got == want and got[0] == 4.17289666e131 and got[4] == float("inf")  # Java's exponential gives 4.17289665e131
+    none = spark.createDataFrame([(1.0, 0.0), (None, 1.0), (1.0, None)], "c double, ec double")
+    assert [r.v for r in none.select(transforms.exp_log_digits(F.col("c"), F.col("ec")).alias("v")).collect()] == [None] * 3
