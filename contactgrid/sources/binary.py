@@ -56,8 +56,8 @@ def encode_records(pairs: DataFrame, kind: np.dtype) -> DataFrame:
     return pairs.select(*kind.names).mapInPandas(run, "content binary")
 
 
-#: Records of a range of a file; a task is dealt about as many, in one range or several.
-SPLIT_RECORDS = 1 << 20
+#: Records of a range of a file; a task is dealt about as many, in one range or several. Up to so many ranges a core are tasks of their own.
+SPLIT_RECORDS, CORE_RANGES = 1 << 20, 4
 
 
 def record_splits(spark: SparkSession, path: str, width: int, records: int = SPLIT_RECORDS) -> DataFrame:
@@ -71,11 +71,12 @@ def record_splits(spark: SparkSession, path: str, width: int, records: int = SPL
 def read_records(spark: SparkSession, path: str, kind: np.dtype, records: int = SPLIT_RECORDS) -> DataFrame:
     """Records of one file or many, dealt to tasks by ranges: a file of any size is many tasks'. Paths are of file systems that pyarrow knows.
 
-    Short ranges share tasks: there are as many as the records ask for, not one a range.
+    Many short ranges share tasks: there are as many as the records ask for, not one a range.
     """
     splits = record_splits(spark, path, kind.itemsize, records)
     count, size = splits.agg(F.count(F.lit(1)), F.sum("size")).first()
-    n = max(1, min(count, max(spark.sparkContext.defaultParallelism, -(-(size or 0) // (SPLIT_RECORDS * kind.itemsize)))))
+    cores = spark.sparkContext.defaultParallelism
+    n = max(1, count if count <= CORE_RANGES * cores else min(count, max(cores, -(-(size or 0) // (SPLIT_RECORDS * kind.itemsize)))))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
